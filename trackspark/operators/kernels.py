@@ -110,18 +110,19 @@ def value_cell(v: Column, per_octave: int = 128) -> Column:
     return F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("long") * size)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolation quantiles (rank q*(n-1)) for groups of any size.
+def exact_ranks(df: DataFrame, keys: Sequence[str], col: str, ranks: dict) -> DataFrame:
+    """Order statistics for groups of any size: {name: rank(n) -> 0-based Column}.
 
     Nulls count nothing (no filter is placed on the value: a pushed-down predicate would
     inline a computed column many times over).  Values are folded to (value, count) before
-    any shuffle of raw rows; running
-    counts over the few cells of a key locate the cells that hold the wanted ranks, and
-    only those cells are ordered inside.  Returns keys, n, min, max and one column per quantile.
+    any shuffle of raw rows; running counts over the few cells of a key locate the cells
+    that hold the wanted ranks, and only those cells are ordered inside.
+    Returns keys, n, min, max and one column per rank.
     """
     counted = (
         df.select(*keys, F.col(col).cast("double").alias("_v"))
-        .groupBy(*keys, "_v").agg(F.count("_v").alias("_c")).withColumn("_cell", F.coalesce(value_cell(F.col("_v")), F.lit(-9_000_000_000)))
+        .groupBy(*keys, "_v").agg(F.count("_v").alias("_c"))
+        .withColumn("_cell", F.coalesce(value_cell(F.col("_v")), F.lit(-9_000_000_000)))
     )
     part = W.partitionBy(*keys)
     cells = counted.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_cn"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
@@ -129,24 +130,38 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: dict[st
     cells = cells.select(
         *keys, "_cell", F.sum("_cn").over(upto).alias("_end"), (F.sum("_cn").over(upto) - F.col("_cn")).alias("_off"),
         F.sum("_cn").over(part).alias("n"), F.min("_mn").over(part).alias("min"), F.max("_mx").over(part).alias("max"))
+    wanted = {n: r(F.col("n")) for n, r in ranks.items()}
     hit = F.lit(False)
-    for p in probs.values():
-        r = F.lit(p) * (F.col("n") - 1)
-        hit = hit | ((F.floor(r) < F.col("_end")) & (F.ceil(r) >= F.col("_off")))
+    for r in wanted.values():
+        hit = hit | ((r < F.col("_end")) & (r >= F.col("_off")))
     inside = W.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = counted.join(cells.filter(hit), [*keys, "_cell"]).withColumn(
         "_hi", F.col("_off") + F.sum("_c").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    aggs = [F.max("n").alias("n"), F.max("min").alias("min"), F.max("max").alias("max")]
-    for name, p in probs.items():
-        r = F.lit(p) * (F.col("n") - 1)
-        for side, rank in (("a", F.floor(r)), ("b", F.ceil(r))):
-            aggs.append(F.max(F.when((rank >= F.col("_lo")) & (rank < F.col("_hi")), F.col("_v"))).alias(f"_{name}_{side}"))
-    out = ranked.groupBy(*keys).agg(*aggs)
-    frac = {n: F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1)) for n, p in probs.items()}
+    return ranked.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.max("min").alias("min"), F.max("max").alias("max"),
+        *[F.max(F.when((r >= F.col("_lo")) & (r < F.col("_hi")), F.col("_v"))).alias(n) for n, r in wanted.items()])
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolation quantiles (position q*(n-1)) for groups of any size."""
+    ranks = {}
+    for name, q in probs.items():
+        ranks[f"_{name}_a"] = lambda n, q=q: F.floor(F.lit(q) * (n - 1))
+        ranks[f"_{name}_b"] = lambda n, q=q: F.ceil(F.lit(q) * (n - 1))
+    out = exact_ranks(df, keys, col, ranks)
+    frac = {n: F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1)) for n, q in probs.items()}
     return out.select(*keys, "n", "min", "max", *[
         (F.col(f"_{n}_a") + (F.col(f"_{n}_b") - F.col(f"_{n}_a")) * frac[n]).alias(n) for n in probs])
 
 
+def in_intervals(df: DataFrame, intervals: DataFrame, keys: Sequence[str], pos: str, start: str, end: str,
+                 width: int) -> DataFrame:
+    """Rows inside one of the disjoint intervals of their key (inclusive), with the interval."""
+    iv = intervals.withColumn("_b", F.explode(F.sequence(bucket_of(F.col(start), width), bucket_of(F.col(end), width))))
+    rows = df.withColumn("_b", bucket_of(F.col(pos), width))
+    return rows.join(iv, [*keys, "_b"]).filter((F.col(pos) >= F.col(start)) & (F.col(pos) <= F.col(end))).drop("_b")
+
+
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, width: int) -> DataFrame:
     """Disjoint union of intervals per key; touching intervals merge.
 

@@ -302,14 +302,14 @@ def a36(spark, sf):
 
 @query("a37_limits", B.sql("""
 , s AS (SELECT dataset, color, count(*) AS n, quantile_cont(signal,0.999) AS p999, max(signal) AS mx FROM series GROUP BY ALL)
-SELECT dataset, color, n, round(p999,6) AS floor, round(p999*1.25,6) AS threshold, round(135.0*least(1, 280.5523/361.0),6) AS ceiling,
+SELECT dataset, color, n, round(p999,9) AS floor, round(p999*1.25,9) AS threshold, round(135.0*least(1, 280.5523/361.0),6) AS ceiling,
  round(135.0*least(1,280.5523/361.0)/(p999*1.25),6) AS head_room, p999*1.25>=135.0*least(1,280.5523/361.0) AS saturated FROM s""".lstrip()[1:], "series"))
 def a37(spark, sf):
     from ..operators.signals import limits
     from ..operators.kernels import exact_quantiles
     s = exact_quantiles(B.series(spark, sf), ["dataset", "color"], "signal", {"p999": 0.999})
     out = limits(s, F.col("p999"), contrast=135.0, ball_area=280.5523, window_px=19)
-    return out.select("dataset", "color", "n", r6("floor").alias("floor"), r6("threshold").alias("threshold"),
+    return out.select("dataset", "color", "n", F.round("floor", 9).alias("floor"), F.round("threshold", 9).alias("threshold"),
                       r6("ceiling").alias("ceiling"), r6("head_room").alias("head_room"), "saturated")
 
 
