@@ -64,9 +64,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections(spark, sf_dir).filter(F.col("event_id") % 7 == 0).withColumn(
-        "kind", F.when(F.col("event_id") % 2 == 0, "pot").otherwise("shot")
-    )
+    """Every detection is one claim; its kind alternates."""
+    return detections(spark, sf_dir).withColumn("kind", F.when(F.col("event_id") % 2 == 0, "pot").otherwise("shot"))
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +151,7 @@ FROM detections d JOIN (
 SELECT * FROM (VALUES (0,'head-left',0.0::DOUBLE,0.0::DOUBLE),(1,'head-right',1270.0,0.0),(2,'foot-right',1270.0,2540.0),
  (3,'foot-left',0.0,2540.0),(4,'left-side',0.0,1270.0),(5,'right-side',1270.0,1270.0)) p(ord, pocket, qx, qy)""",
     "claims": """
-SELECT *, CASE WHEN event_id % 2 = 0 THEN 'pot' ELSE 'shot' END AS kind FROM detections WHERE event_id % 7 = 0""",
+SELECT *, CASE WHEN event_id % 2 = 0 THEN 'pot' ELSE 'shot' END AS kind FROM detections""",
     "matches": """
 SELECT l_orderkey % 200 AS night, l_orderkey, l_linenumber, l_linenumber::BIGINT AS round, l_suppkey AS side_a,
        (l_suppkey + 1 + l_partkey % ((SELECT count(*) FROM supplier) - 1)) % (SELECT count(*) FROM supplier) AS side_b,

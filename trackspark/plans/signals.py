@@ -75,7 +75,7 @@ def a3(spark, sf):
     return rounded(T.channel_floors(T.series_stats(s, DS, ["signal", "occ"])), 9)
 
 
-CTRL = """ctl AS (SELECT dataset, us AS c0 FROM series WHERE event_id%40=0),
+CTRL = """ctl AS (SELECT dataset, us AS c0 FROM series WHERE signal<=2.5),
 wn AS (SELECT dataset, min(w0) AS w0, max(w1) AS w1 FROM (SELECT *, sum(o) OVER (PARTITION BY dataset ORDER BY w0) AS run FROM (
  SELECT *, CASE WHEN w0 <= max(w1) OVER (PARTITION BY dataset ORDER BY w0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o
  FROM (SELECT dataset, c0-9000000000 AS w0, c0+9000000000 AS w1 FROM ctl))) GROUP BY dataset, run),
@@ -86,7 +86,7 @@ def ok():
 
 
 def controls(spark, sf):
-    return series(spark, sf).filter("event_id % 40 = 0").select("dataset", F.col("us").alias("at"))
+    return series(spark, sf).filter("signal <= 2.5").select("dataset", F.col("us").alias("at"))
 
 
 @query("a4_noise_floor", B.sql(CTRL + """
@@ -126,10 +126,10 @@ def a6b(spark, sf):
 
 
 @query("a6_spread_controls", B.sql("""
-, b AS (SELECT dataset, us-1704067200000000 AS us FROM series WHERE event_id%29=0), g AS (SELECT dataset, s.step, floor(2592000000000*step/41)::BIGINT AS g0 FROM (SELECT DISTINCT dataset FROM b), (SELECT unnest(range(1,41))::INTEGER AS step) s)
+, b AS (SELECT dataset, us-1704067200000000 AS us FROM series WHERE signal>=150), g AS (SELECT dataset, s.step, floor(2592000000000*step/41)::BIGINT AS g0 FROM (SELECT DISTINCT dataset FROM b), (SELECT unnest(range(1,41))::INTEGER AS step) s)
 SELECT dataset, step, g0 AS "at" FROM g WHERE g0>=5400000000 AND g0+9000000000<=2592000000000 AND NOT EXISTS (SELECT 1 FROM b WHERE b.dataset=g.dataset AND abs(b.us-g.g0)<=36000000000)""".lstrip()[1:], "series"))
 def a6c(spark, sf):
-    ev = series(spark, sf).filter("event_id % 29 = 0").select("dataset", (F.col("us") - B.EPOCH_2024_US).alias("us"))
+    ev = series(spark, sf).filter("signal >= 150").select("dataset", (F.col("us") - B.EPOCH_2024_US).alias("us"))
     return S.spread_controls(ev, DS, 720 * SEC, 40, 10 * SEC, int(1.5 * SEC), int(2.5 * SEC)).select("dataset", "step", "at")
 
 
@@ -205,7 +205,7 @@ def w6(spark, sf):
     return rounded(S.decay_shape(quick_onsets(spark, sf), series(spark, sf), DS, 6 * SEC, SEC))
 
 
-PROFILE = """ev AS (SELECT event_id, dataset, us FROM series WHERE event_id%10=0),
+PROFILE = """ev AS (SELECT event_id, dataset, us FROM series WHERE signal>=120),
 gd AS (SELECT ev.*, k.k, us + (k.k*360000000 - 5400000000) AS g FROM ev, (SELECT unnest(range(41)) AS k) k),
 nx AS (SELECT dataset, us, min(signal) AS v FROM series GROUP BY ALL), la AS (SELECT dataset, arg_max(v, us) AS lastv FROM (SELECT dataset, us, max(signal) AS v FROM series GROUP BY ALL) GROUP BY dataset),
 sm AS (SELECT g.event_id, g.dataset, g.k, coalesce(n.v, lastv) AS v FROM gd g ASOF LEFT JOIN nx n ON n.dataset=g.dataset AND g.g<=n.us JOIN la ON la.dataset=g.dataset)"""
@@ -216,19 +216,19 @@ SELECT dataset, event_id, count(*) AS n, max(v) AS peak, median(v) AS median, ro
  CASE WHEN max(v)<60 THEN 'none' WHEN abs((arg_min(k,(-v,k))*360000000-5400000000)/3.6e9)<=0.5 THEN 'at' ELSE 'elsewhere' END AS verdict FROM sm GROUP BY ALL""", "series"))
 def w7(spark, sf):
     s = series(spark, sf)
-    out = S.window_profile(s.filter("event_id % 10 = 0"), s, DS, "event_id", F.lit(60.0), SEC)
+    out = S.window_profile(s.filter("signal >= 120"), s, DS, "event_id", F.lit(60.0), SEC)
     return out.withColumn("peak_offset_s", F.round("peak_offset_s", 6))
 
 
 @query("w8_occlusion_reading", B.sql("""
 , s AS (SELECT dataset, event_id, us, (event_id*7%100)/100.0::DOUBLE AS dense, (event_id*3%50)/1000.0::DOUBLE AS share FROM series),
-e AS (SELECT event_id, dataset, us FROM series WHERE event_id%10=0),
+e AS (SELECT event_id, dataset, us FROM series WHERE signal>=120),
 j AS (SELECT e.event_id, e.dataset, e.us, s.us AS su, dense, share FROM e LEFT JOIN s ON s.dataset=e.dataset AND s.us BETWEEN e.us-5400000000 AND e.us+9000000000)
 SELECT dataset, event_id, count(su) AS n, max(dense) AS dense_peak, round(median(dense),6) AS dense_median, round((arg_min(su,(-dense,su))-any_value(us))/3.6e9,6) AS dense_offset_s, max(share) AS share_peak,
  round(median(share),6) AS share_median, round((arg_min(su,(-share,su))-any_value(us))/3.6e9,6) AS share_offset_s, max(dense)>=0.3 OR max(share)>=0.02 AS explained FROM j GROUP BY ALL""".lstrip()[1:], "series"))
 def w8(spark, sf):
     s = series(spark, sf).withColumn("dense", (F.col("event_id") * 7 % 100) / 100.0).withColumn("share", (F.col("event_id") * 3 % 50) / 1000.0)
-    out = S.peak_in_window(s.filter("event_id % 10 = 0"), s, DS, "event_id", ["dense", "share"], SEC, 1.5, 2.5)
+    out = S.peak_in_window(s.filter("signal >= 120"), s, DS, "event_id", ["dense", "share"], SEC, 1.5, 2.5)
     bars = (F.col("dense_peak") >= S.OCC_DENSE_MIN) | (F.col("share_peak") >= S.OCC_SHARE_MIN)
     return rounded(out.withColumn("explained", bars))
 
@@ -241,7 +241,7 @@ SELECT event_id, CASE WHEN peak<greatest(fl*3,3) THEN 'no motion anywhere in win
  CASE WHEN occ AND abs(off)>0.5 THEN 'occlusion-explained elsewhere' WHEN occ THEN 'occlusion-explained at t' WHEN peak<60 THEN 'no motion separable' WHEN abs(off)<=0.5 THEN 'ball-scale motion at t' ELSE 'ball-scale motion elsewhere' END AS combined FROM f""", "series"))
 def p21(spark, sf):
     s = series(spark, sf)
-    p = S.window_profile(s.filter("event_id % 10 = 0"), s, DS, "event_id", F.lit(60.0), SEC)
+    p = S.window_profile(s.filter("signal >= 120"), s, DS, "event_id", F.lit(60.0), SEC)
     fl, off = (F.col("event_id") % 50).cast("double"), F.col("peak_offset_s")
     return p.select("event_id", S.classify_timing(F.col("peak"), off, fl).alias("timing"), S.ball_scale_verdict(F.col("peak"), off, fl).alias("ball_scale"),
                     S.combined_verdict(F.col("verdict"), F.col("event_id") % 3 == 0, off).alias("combined"))
@@ -289,9 +289,9 @@ def i2(spark, sf):
 
 
 @query("i5_union_sets", B.sql("""
-, u AS (SELECT 'a' AS s, 0 AS p, dataset, us//3600000000 AS h FROM series WHERE event_id%3=0 UNION ALL SELECT 'b', 1, dataset, us//3600000000 FROM series WHERE event_id%5=0)
+, u AS (SELECT 'a' AS s, 0 AS p, dataset, us//3600000000 AS h FROM series WHERE color='view' UNION ALL SELECT 'b', 1, dataset, us//3600000000 FROM series WHERE color IN ('view','click'))
 SELECT dataset, h, arg_min(s,p) AS source FROM u GROUP BY dataset, h""".lstrip()[1:], "series"))
 def i5(spark, sf):
     from ..operators.selection import union_sets
     s = series(spark, sf).withColumn("h", F.expr(f"us div {SEC}"))
-    return union_sets([("a", s.filter("event_id % 3 = 0")), ("b", s.filter("event_id % 5 = 0"))], ["dataset", "h"])
+    return union_sets([("a", s.filter("color = 'view'")), ("b", s.filter("color in ('view', 'click')"))], ["dataset", "h"])
