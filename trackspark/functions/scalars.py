@@ -63,7 +63,10 @@ def _fold_unicode(s: pd.Series) -> pd.Series:
 def search_fold(c: Column, ascii_only: bool = False) -> Column:
     """Fold for searching.  Stays in the JVM; non-ASCII text needs ``ascii_only=False``."""
     plain = F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    return plain if ascii_only else F.when(c.rlike("^\\p{ASCII}*$"), plain).otherwise(_fold_unicode(c))
+    if ascii_only:
+        return plain
+    ascii_ = c.rlike("^\\p{ASCII}*$")
+    return F.when(ascii_, plain).otherwise(_fold_unicode(F.when(~ascii_, c)))
 
 
 def name_matches(folded: Column, query: Column) -> Column:

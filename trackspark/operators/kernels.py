@@ -176,3 +176,42 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, wi
         return marked.groupBy(*part, "_run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_run")
     local = sweep(df.select(*keys, start, end).withColumn("_b", F.floor(F.col(start) / width)), [*keys, "_b"])
     return sweep(local.drop("_b"), list(keys))
+
+
+def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, salt: Column, salts: int = 32, name: str = "rank") -> DataFrame:
+    """First k rows per key; a salted local cut first, so a hot key never sorts in one task."""
+    s = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
+    first = W.partitionBy(*keys, "_salt").orderBy(*order)
+    cut = s.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k).drop("_salt", "_r")
+    return cut.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= k)
+
+
+def stream_fold(df: DataFrame, keys: Sequence[str], order: Sequence, make_state, step, schema: str) -> DataFrame:
+    """Sequential rule over sorted rows of each key with bounded state.
+
+    Rows are hash-placed by key and sorted inside the partition (the sort spills), then
+    flow through ``mapInPandas`` batch by batch: a key is never collected, only ``state``
+    lives in memory.  ``step(state, pdf) -> pdf`` sees rows of one key, in order.
+    """
+    import pandas as pd
+
+    names = list(keys)
+
+    def run(batches):
+        current, state = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            changed = (pdf[names] != pdf[names].shift()).any(axis=1).to_numpy()
+            changed[0] = True
+            starts = [i for i, c in enumerate(changed) if c] + [len(pdf)]
+            parts = []
+            for a, b in zip(starts, starts[1:]):
+                chunk = pdf.iloc[a:b]
+                key = tuple(chunk.iloc[0][names])
+                if key != current:
+                    current, state = key, make_state()
+                parts.append(step(state, chunk))
+            yield pd.concat(parts, ignore_index=True)
+
+    return df.repartition(*names).sortWithinPartitions(*names, *order).mapInPandas(run, schema)
