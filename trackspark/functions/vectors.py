@@ -19,8 +19,9 @@ BLOCK = 512
 def pack(df: DataFrame, keys: Sequence[str], cols: Sequence[str], block: str, prefix: str) -> DataFrame:
     item = F.struct(*cols, "vec")
     got = df.groupBy(*keys, block).agg(F.collect_list(item).alias("_s"))
-    return got.select(*keys, block, *[F.transform("_s", lambda e, c=c: e[c]).alias(prefix + c) for c in cols],
-                      F.flatten(F.transform("_s", lambda e: e["vec"])).alias(prefix + "vec"))
+    def field(name):
+        return F.transform("_s", lambda e: e[name])
+    return got.select(*keys, block, *[field(c).alias(prefix + c) for c in cols], F.flatten(field("vec")).alias(prefix + "vec"))
 
 
 def _unit(flat, n: int) -> np.ndarray:

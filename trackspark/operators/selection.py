@@ -14,3 +14,15 @@ def union_sets(sets: Sequence[tuple[str, DataFrame]], keys: Sequence[str]) -> Da
     """Distinct keys over all sets; ``source`` names the first set that holds the key."""
     parts = [d.select(*keys).withColumn("_p", F.struct(F.lit(i).alias("i"), F.lit(n).alias("n"))) for i, (n, d) in enumerate(sets)]
     return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.min("_p").alias("_p")).select(*keys, F.col("_p.n").alias("source"))
+
+
+def timeline(nights: DataFrame, recordings: DataFrame) -> DataFrame:
+    """Events and recordings, newest first, undated last, id as the tie-break; hidden events left out."""
+    both = nights.filter("not hidden").select("night", F.lit("night").alias("kind"), "at_us").unionByName(recordings.select("night", F.lit("recording").alias("kind"), "at_us"))
+    return both.orderBy(F.desc_nulls_last("at_us"), F.desc("night"))
+
+
+def play_queue(matches: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Scheduled before delayed, then by round."""
+    w = W.partitionBy("night").orderBy(F.col("status") == "delayed", "round", *order)
+    return matches.filter("status in ('scheduled', 'delayed')").withColumn("place", F.row_number().over(w).cast("long"))
