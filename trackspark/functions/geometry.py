@@ -352,3 +352,14 @@ def polygon_area(poly: Column) -> Column:
 
 def clip_to_box(quad: Column, box: list[Column]) -> list[tuple[str, Column, float]]:
     return [("x", box[0], 1.0), ("x", box[2], -1.0), ("y", box[1], 1.0), ("y", box[3], -1.0)]
+
+
+def edge_distance(quad: Column, x: Column, y: Column) -> Column:
+    """Distance to the quad's boundary, negative outside."""
+    p = corners(quad)
+    best = []
+    for (ax, ay), (bx, by) in zip(p, p[1:] + p[:1]):
+        ex, ey = bx - ax, by - ay
+        k = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ax) * ex + (y - ay) * ey) / F.nullif(ex * ex + ey * ey, F.lit(0.0))))
+        best.append(F.hypot(x - (ax + k * ex), y - (ay + k * ey)))
+    return F.when(in_quad(x, y, quad), F.least(*best)).otherwise(-F.least(*best))

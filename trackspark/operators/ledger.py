@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .kernels import ordered_index, stream_fold
 
 
@@ -113,13 +114,14 @@ def propagate(bracket: DataFrame, results: DataFrame, absent: DataFrame, rounds:
         winner = (F.when(~ready, none).when(~both, F.coalesce("side_a", "side_b")).when(F.col("_res").isNotNull(), F.when(F.col("winner_side") == 0, F.col("side_a")).otherwise(F.col("side_b"))))
         result = F.when(ready & ~both, "bye").when(ready, F.col("_res"))
         return df.select("tournament", "round", "slot", "side_a", "side_b", status.alias("status"), winner.alias("winner"), result.alias("result"))
-    cur = settle(bracket.filter("round = 1").select("tournament", "round", "slot", "side_a", "side_b", F.lit(True).alias("ready")))
+    # each round feeds the next and the result: written once, so no round is computed twice
+    cur = cut_lineage(settle(bracket.filter("round = 1").select("tournament", "round", "slot", "side_a", "side_b", F.lit(True).alias("ready"))))
     out = cur
     for r in range(2, rounds + 1):
         fed = cur.groupBy("tournament", (F.col("round") + 1).alias("round"), F.expr("slot div 2").alias("slot")).agg(
             F.max(F.when(F.col("slot") % 2 == 0, F.col("winner"))).alias("side_a"), F.max(F.when(F.col("slot") % 2 == 1, F.col("winner"))).alias("side_b"),
             F.bool_and(F.col("status") == "complete").alias("ready"), F.count(F.lit(1)).alias("_n")).filter("_n = 2")
-        cur = settle(fed.select("tournament", "round", "slot", "side_a", "side_b", "ready"))
+        cur = cut_lineage(settle(fed.select("tournament", "round", "slot", "side_a", "side_b", "ready")))
         out = out.unionByName(cur)
     return out
 

@@ -26,3 +26,109 @@ def play_queue(matches: DataFrame, order: Sequence[str]) -> DataFrame:
     """Scheduled before delayed, then by round."""
     w = W.partitionBy("night").orderBy(F.col("status") == "delayed", "round", *order)
     return matches.filter("status in ('scheduled', 'delayed')").withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def plan_frames(cands: DataFrame, cached: DataFrame, offsets: dict[str, Sequence[float]], top: dict[str, int], key: str = "dataset") -> DataFrame:
+    """Bracketing frames of the strongest candidates, one per 0.1 s, flagged when already bought.
+
+    The strongest plan entry that asks for a frame owns it.
+    """
+    from .kernels import top_k
+    best = None
+    for kind, n in top.items():
+        k = top_k(cands.filter(F.col("kind") == kind), [key], [F.desc("strength"), "t", "event_id"], n, F.col("event_id"))
+        k = k.withColumn("_o", F.explode(F.array(*[F.lit(float(o)) for o in offsets[kind]])))
+        best = k if best is None else best.unionByName(k)
+    f = best.withColumn("at", F.col("t") + F.col("_o")).filter("at >= 0").withColumn("tick", F.rint(F.col("at") * 10).cast("long"))
+    owner = f.groupBy(key, "tick").agg(F.min(F.struct((-F.col("strength")).alias("k"), "t", "event_id", "_o")).alias("b"))
+    have = cached.select(key, "tick").distinct().withColumn("_c", F.lit(True))
+    return owner.join(have, [key, "tick"], "left").select(key, "tick", F.col("b.event_id").alias("event_id"), F.coalesce("_c", F.lit(False)).alias("cached"))
+
+
+def select_for_gating(kept: DataFrame, planned: DataFrame, served: DataFrame, controls: int = 20, first_id: int = 1001) -> DataFrame:
+    """Planned candidates, the next strongest controls, then served events not already in; new ids from ``first_id``."""
+    p = planned.select("event_id").distinct()
+    sel = kept.join(p, "event_id", "left_semi").withColumn("measured", F.lit("planned"))
+    spare = kept.join(p, "event_id", "left_anti").orderBy(F.desc("strength"), "t", "event_id").limit(controls).withColumn("measured", F.lit("control"))
+    both = sel.unionByName(spare)
+    extra = served.join(both.select("event_id"), "event_id", "left_anti").withColumn("measured", F.lit("served"))
+    out = both.unionByName(extra, allowMissingColumns=True).withColumn("_g", F.when(F.col("measured") == "planned", 0).when(F.col("measured") == "control", 1).otherwise(2))
+    return assign_order(out, ["_g", F.desc("strength"), "t", "event_id"], first_id)
+
+
+def assign_order(df: DataFrame, order: Sequence, first_id: int) -> DataFrame:
+    """Ids by position for the rows without one.  The selection is a report of bounded size."""
+    w = W.orderBy(*order)
+    return df.withColumn("id", F.coalesce(F.col("id"), F.row_number().over(w) - 1 + first_id).cast("long")).drop("_g")
+
+
+def pending(requested: DataFrame, cached: DataFrame, refetch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Requested minus cached, plus what is asked for again."""
+    new = requested.select(*keys).distinct().join(cached.select(*keys), list(keys), "left_anti")
+    again = requested.select(*keys).distinct().join(refetch.select(*keys), list(keys), "left_semi")
+    return new.unionByName(again).distinct()
+
+
+def persistent_tracks(obs: DataFrame, n: int, keys: Sequence[str] = ("dataset", "track_id")) -> DataFrame:
+    """Tracks by the number of frames they appear in, earlier first on a tie."""
+    f = obs.select(*keys, "frame_no").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), F.min("frame_no").alias("first_frame"), F.max("frame_no").alias("last_frame"))
+    return f.orderBy(F.desc("frames"), "first_frame", *keys).limit(n)
+
+
+def burst_plan(spans: DataFrame, anchors: int, burst: int, spacing: int, key: str = "dataset") -> DataFrame:
+    """Frame indices of n evenly spread anchors, each a burst of spaced frames, inside the recording."""
+    a = spans.withColumn("anchor", F.explode(F.sequence(F.lit(0), F.lit(anchors - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(burst - 1))))
+    at = F.expr(f"(n_frames * anchor) div {anchors} + k * {spacing}")
+    return a.withColumn("frame", at).filter("frame < n_frames").select(key, "frame").distinct()
+
+
+def backlog(recent: DataFrame, index: DataFrame, queue: DataFrame, key: str, order: Sequence) -> DataFrame:
+    """Recent broadcasts neither indexed nor queued, in arrival order."""
+    return recent.join(index.select(key), key, "left_anti").join(queue.select(key), key, "left_anti").orderBy(*order)
+
+
+def assign_ids(entries: DataFrame, previous: DataFrame, reserved: DataFrame, keys: Sequence[str], order: Sequence[str], span: int) -> tuple[DataFrame, DataFrame]:
+    """Known keys keep their id, new keys continue after every id ever issued; departed rows listed."""
+    from .kernels import ordered_index
+    known = entries.join(previous.select(*keys, "id"), list(keys), "left")
+    top = previous.select("id").unionByName(reserved.select("id")).agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    fresh = known.filter("id is null").withColumn("_all", F.lit(0))
+    new = ordered_index(fresh, ["_all"], list(order[1:]), order[0], span, "_i").crossJoin(top).withColumn("id", F.col("_top") + 1 + F.col("_i")).drop("_i", "_top", "_all")
+    gone = previous.join(entries.select(*keys), list(keys), "left_anti")
+    return known.filter("id is not null").unionByName(new), gone
+
+
+def split_blocks(times: DataFrame, second: int, key: str = "dataset", block_s: float = 30.0, every: int = 4, gap_s: float = 5.0, hole_s: float = 3.0) -> DataFrame:
+    """Train / held / dropped by contiguous time blocks with a real gap between the sides.
+
+    Block borders depend on where the block started, so they are streamed with a two-number
+    state; everything after that is native on blocks.
+    """
+    import pandas as pd
+    from .joins import range_pairs
+    from .kernels import stream_fold
+    hole, length, gap = int(hole_s * second), int(block_s * second), int(gap_s * second)
+
+    def make():
+        return {"first": None, "last": None, "no": -1}
+
+    def step(state, pdf):
+        out = []
+        for t in pdf["us"]:
+            t = int(t)
+            if state["first"] is None or t - state["last"] > hole or t - state["first"] >= length:
+                state["first"], state["no"] = t, state["no"] + 1
+            state["last"] = t
+            out.append(state["no"])
+        return pd.DataFrame({key: pdf[key].to_numpy(), "event_id": pdf["event_id"].to_numpy(), "us": pdf["us"].to_numpy(), "block": out})
+    rows = stream_fold(times.select(key, "event_id", "us"), [key], ["us", "event_id"], make, step, f"{key} long, event_id long, us long, block long")
+    b = rows.groupBy(key, "block").agg(F.min("us").alias("b0"), F.max("us").alias("b1"))
+    w = W.partitionBy(key).orderBy("block")
+    edge = F.lag("b1").over(w).isNull() | F.lead("b0").over(w).isNull() | (F.col("b0") - F.lag("b1").over(w) < gap) | (F.lead("b0").over(w) - F.col("b1") < gap)
+    b = b.withColumn("boundary", edge).withColumn("held", F.col("block") % every == every - 1)
+    j = rows.join(b, [key, "block"])
+    near = (F.col("us") - F.col("b0") < gap) | (F.col("b1") - F.col("us") < gap)
+    j = j.withColumn("side", F.when(F.col("boundary") & near, "dropped").when(F.col("held"), "held").otherwise("train"))
+    close = range_pairs(j.filter("side = 'train'").select(key, "event_id", "us"), j.filter("side = 'held'").select(key, F.col("us").alias("h_us")), [key], "us", "h_us", -gap + 1, gap - 1, 8 * length)
+    bad = close.select("event_id").distinct().withColumn("_bad", F.lit(True))
+    return j.join(bad, "event_id", "left").select(key, "event_id", "block", F.when(F.col("_bad"), "dropped").otherwise(F.col("side")).alias("side"))
