@@ -360,6 +360,8 @@ def edge_distance(quad: Column, x: Column, y: Column) -> Column:
     best = []
     for (ax, ay), (bx, by) in zip(p, p[1:] + p[:1]):
         ex, ey = bx - ax, by - ay
-        k = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ax) * ex + (y - ay) * ey) / F.nullif(ex * ex + ey * ey, F.lit(0.0))))
-        best.append(F.hypot(x - (ax + k * ex), y - (ay + k * ey)))
+        along = (x - ax) * ex + (y - ay) * ey
+        size = ex * ex + ey * ey
+        side = F.abs(ex * (y - ay) - ey * (x - ax)) / F.sqrt(F.nullif(size, F.lit(0.0)))
+        best.append(F.when(along <= 0, F.hypot(x - ax, y - ay)).when(along >= size, F.hypot(x - bx, y - by)).otherwise(side))
     return F.when(in_quad(x, y, quad), F.least(*best)).otherwise(-F.least(*best))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("geometry", "matching", "signals", "census", "judging", "identities", "scoring", "ledgers",
-           "documents", "selection", "live")
+           "documents", "selection", "association", "live")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
