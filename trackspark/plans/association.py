@@ -96,9 +96,9 @@ def samples(spark, sf):
 iv AS (SELECT *, row_number() OVER w AS idx, (us-lag(us) OVER w)/3.6e9 AS dt, sqrt(power(x-lag(x) OVER w,2)+power(y-lag(y) OVER w,2)) AS dist, lag(us) OVER w AS pu, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(event_id) OVER w AS pe FROM dd WINDOW w AS (PARTITION BY dataset, track_id ORDER BY us, event_id)),
 sp AS (SELECT *, CASE WHEN dt>0 THEN dist/dt END AS speed FROM iv),
 ht AS (SELECT *, idx-row_number() OVER (PARTITION BY dataset, track_id ORDER BY idx) AS g FROM sp WHERE dt<=12 AND speed>8), st AS (SELECT *, idx-row_number() OVER (PARTITION BY dataset, track_id ORDER BY idx) AS g FROM sp WHERE dt<=12 AND speed<=4),
-rn AS (SELECT dataset, track_id, g, count(*) AS intervals, max(speed) AS peak_speed, min(idx) AS i0, arg_min(pe,idx) AS onset_id, min(pu) AS onset_us, arg_min(px,idx) AS ax, arg_min(py,idx) AS ay, arg_max(x,idx) AS bx, arg_max(y,idx) AS by FROM ht GROUP BY ALL),
+rn AS (SELECT dataset, track_id, g, count(*) AS intervals, max(speed) AS peak_speed, min(idx) AS i0, arg_min(pe,idx) AS onset_id, min(pu) AS onset_us, arg_min(px,idx) AS ax, arg_min(py,idx) AS ay, arg_max(x,idx) AS bx, arg_max(y,idx) AS b_y FROM ht GROUP BY ALL),
 rs AS (SELECT dataset, track_id, g, count(*) AS n_rest, max(idx) AS i1, (max(us)-min(pu))/3.6e9 AS rest_s FROM st GROUP BY ALL),
-fn AS (SELECT rn.*, coalesce(n_rest,0) AS n_rest, coalesce(rest_s,0) AS rest_s, sqrt(power(bx-ax,2)+power(by-ay,2)) AS net FROM rn LEFT JOIN rs ON rs.dataset=rn.dataset AND rs.track_id=rn.track_id AND rs.i1=rn.i0-1)
+fn AS (SELECT rn.*, coalesce(n_rest,0) AS n_rest, coalesce(rest_s,0) AS rest_s, sqrt(power(bx-ax,2)+power(b_y-ay,2)) AS net FROM rn LEFT JOIN rs ON rs.dataset=rn.dataset AND rs.track_id=rn.track_id AND rs.i1=rn.i0-1)
 SELECT dataset, track_id, onset_id, onset_us, intervals, round(peak_speed,6) AS peak_speed, round(net,6) AS net, n_rest, round(rest_s,6) AS rest_s, CASE WHEN intervals<2 THEN 'motion_too_short' WHEN net<=37.8-3.62*sqrt(2) THEN 'oscillation_no_net_travel' WHEN net<=37.8+3.62*sqrt(2) THEN 'oscillation_unresolved'
  WHEN rest_s<1.0 OR n_rest<1 THEN 'no_still_stretch' ELSE 'shot' END AS outcome FROM fn""".lstrip()[1:], "tracks"))
 def w11(spark, sf):
