@@ -68,7 +68,8 @@ def shred_operations(docs: DataFrame, key: str = "doc_id", doc: str = "doc") ->
 
 def _packed(df: DataFrame, keys: list[str], fields: list[str], name: str) -> DataFrame:
     """Rows back to a list in position order; a document is a bounded unit."""
-    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", F.struct(*fields).alias("v")))).alias("_a"))
+    g = df.groupBy(*keys).agg(F.array_sort(
+        F.collect_list(F.struct("position", F.struct(*fields).alias("v"))), lambda a, b: a["position"] - b["position"]).alias("_a"))
     return g.select(*keys, F.transform("_a", lambda e: e["v"]).alias(name))
 
 
