@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import scalars as P
+from ..session import cut_lineage
 from .joins import fields_type
 from .kernels import bounded_lag, exact_quantiles, gap_islands, ordered_index, stream_fold
 
@@ -370,7 +371,7 @@ def intervals(samples: DataFrame, second: int, width: int) -> DataFrame:
 
 def dense_shots(samples: DataFrame, second: int, width: int, cfg: DenseConfig = DenseConfig()) -> DataFrame:
     """Motion runs of each identity with their outcome: shot, typed rejection or unresolved."""
-    i = intervals(samples, second, width)
+    i = cut_lineage(intervals(samples, second, width))  # read by the motion and the rest islands
     near = F.col("dt") <= cfg.max_gap_s
     hot = gap_islands(i.filter(near & (F.col("speed") > cfg.motion_speed)), TRACK, "idx", 1, 4096, name="run")
     runs = hot.groupBy(*TRACK, "run").agg(
@@ -394,7 +395,7 @@ def dense_pots(samples: DataFrame, membership: Column, until: DataFrame, occlusi
     ``until``: dataset, until_us (last time watched).  ``membership`` is the pocket STRUCT of a
     sample, ``occlusion`` its clear/occluded/silent status.
     """
-    i = intervals(samples, second, width)
+    i = cut_lineage(intervals(samples, second, width))  # read by the cadence, the next sample and the verdict
     cadence = exact_quantiles(i, TRACK, "dt", {"cadence": 0.5}).select(*TRACK, "cadence")
     nxt = i.select(*TRACK, (F.col("idx") - 1).alias("idx"), F.col("us").alias("next_us"))
     s = i.join(nxt, [*TRACK, "idx"], "left").join(cadence, list(TRACK), "left").join(until, "dataset")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import scalars as P
 from .joins import greedy_nearest, near_pairs, range_pairs, vanished
-from .kernels import bounded_lag, bucket_of, gap_islands, ordered_index
+from ..session import cut_lineage
+from .kernels import bounded_lag, bucket_of, gap_islands, halo_window, ordered_index
 from .stats import array_median, running_median
 
 KEYS = ("dataset", "frame_no")
@@ -146,12 +147,16 @@ def census_drops(frames: DataFrame, balls: DataFrame, radius: int, hold: int = 8
     ``frames``: dataset, frame_no, n.  ``balls``: dataset, frame_no, color, id, x, y, mm (STRUCT)
     and optionally ``streak``.  The candidate names the missing ball nearest a pocket.
     """
-    f = ordered_index(running_median(frames, ["dataset"], "frame_no", "n", window, span), ["dataset"], [], "frame_no", span)
-    f = bounded_lag(f, ["dataset"], "idx", ["frame_no"])
+    def look_back(w):
+        return {"median": F.percentile("n", 0.5).over(w.rowsBetween(-window, -1)), "prev_frame_no": F.lag("frame_no").over(w)}
+    i = ordered_index(frames, ["dataset"], [], "frame_no", span)
+    # one row per frame, read by the island passes and by both sides of the ball lookup
+    f = cut_lineage(halo_window(i, ["dataset"], "idx", 4096, window, 0, build=look_back))
     low = f.filter(F.col("n") <= F.col("median") - drop)
     runs = gap_islands(low, ["dataset"], "idx", 1, 4096, name="start_idx").groupBy("dataset", "start_idx").agg(
         F.count(F.lit(1)).alias("held"), F.min("n").alias("floor"), F.min(F.struct("idx", "frame_no", "prev_frame_no", "median")).alias("s")).filter(
         F.col("held") >= hold).select("dataset", "held", "floor", "s.frame_no", "s.prev_frame_no", "s.median")
+    runs = cut_lineage(runs)
     now = runs.select("dataset", "frame_no")
     cur = balls.join(now, ["dataset", "frame_no"], "left_semi").select("dataset", "frame_no", "color", "id", "x", "y")
     before = balls.join(runs.select("dataset", F.col("prev_frame_no").alias("frame_no"), F.col("frame_no").alias("start")), ["dataset", "frame_no"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import bindings as B
 from ..sources import documents as D
 from ..sources import operations_store as O
+from ..session import cut_lineage
 from ..sources import sets as S
 
 QUERIES, ORACLE = {}, {}
@@ -93,7 +94,7 @@ UNION ALL SELECT 'players', o_orderkey, 0, o_custkey::VARCHAR, o_orderstatus, 'l
 UNION ALL SELECT 'members', o_orderkey, 0, o_custkey::VARCHAR, 'x', NULL FROM orders UNION ALL SELECT 'tournaments', o_orderkey, 0, 't'||o_orderkey, 'active', NULL FROM orders UNION ALL SELECT 'sources', o_orderkey, 0, 'v'||o_orderkey, 'https://x', NULL FROM orders
 UNION ALL SELECT 'events', o_orderkey, 0, 'a'||o_orderkey, o_orderkey::VARCHAR, NULL FROM orders""")
 def s4(spark, sf):
-    t = O.shred_operations(operations_docs(spark, sf))
+    t = O.shred_operations(cut_lineage(operations_docs(spark, sf)))
     def view(name, ident, value, extra=None, pos="position"):
         x = F.col("extra")[extra] if extra else F.lit(None).cast("string")
         return t[name].select(F.lit(name).alias("table"), "doc_id", F.col(pos).cast("int").alias("position"), F.col(ident).alias("id"), F.col(value).cast("string").alias("value"), x.alias("extra"))
@@ -107,7 +108,7 @@ def s4(spark, sf):
 WITH m AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL)
 SELECT o_orderkey AS doc_id, 1::INTEGER AS players, coalesce(n,0)::INTEGER AS matches, q AS score_sum, o_custkey::VARCHAR AS member, true AS ordered FROM orders LEFT JOIN m ON l_orderkey=o_orderkey""")
 def s5(spark, sf):
-    r = O.render_operations(O.shred_operations(operations_docs(spark, sf)))
+    r = O.render_operations(O.shred_operations(cut_lineage(operations_docs(spark, sf))))
     t = F.col("tournaments")[0]
     m = F.coalesce(t["matches"], F.expr("array()"))
     ids = F.transform(t["matches"], lambda x: x["id"])

@@ -288,13 +288,12 @@ def a36(spark, sf):
     both = seg.join(nxt, ["dataset", "seg"]).withColumns({
         "h": G.homography(F.col("quad")), "own_ih": G.inverse_homography(F.col("quad")), "next_ih": G.inverse_homography(F.col("next_quad"))})
     c = C.resolve_segment(B.claims(spark, sf), both).withColumn("mm", G.project(F.col("segment.h"), F.col("x"), F.col("y")))
-    out = None
-    for name in ("own", "next"):
-        px = F.col("px")
-        res = c.withColumn("px", G.project(F.col(f"segment.{name}_ih"), F.col("mm.x"), F.col("mm.y"))).select("dataset", G.distance(px["x"], px["y"], F.col("x"), F.col("y")).alias("res"))
-        q = exact_quantiles(res, ["dataset"], "res", {"med": 0.5, "p90": 0.9}).select(
-            "dataset", F.col("n").alias(f"{name}_n"), F.col("med").alias(f"{name}_median"), F.col("p90").alias(f"{name}_p90"), F.col("max").alias(f"{name}_max"))
-        out = q if out is None else out.join(q, "dataset")
+    def residual(name):
+        px = G.project(F.col(f"segment.{name}_ih"), F.col("mm.x"), F.col("mm.y"))
+        return c.withColumn("px", px).select("dataset", F.lit(name).alias("map"), G.distance(F.col("px.x"), F.col("px.y"), F.col("x"), F.col("y")).alias("res"))
+    q = exact_quantiles(residual("own").unionByName(residual("next")), ["dataset", "map"], "res", {"median": 0.5, "p90": 0.9})
+    out = q.groupBy("dataset").agg(F.max(F.when(F.col("map") == "own", F.col("n"))).alias("own_n"), *[
+        F.max(F.when(F.col("map") == m, F.col(s))).alias(f"{m}_{s}") for m in ("own", "next") for s in ("median", "p90", "max")])
     a, b = F.col("own_median"), F.col("next_median")
     return out.select("dataset", F.col("own_n").alias("n"), *[r6(f"{k}_{s}").alias(f"{k}_{s}") for k in ("own", "next") for s in ("median", "p90", "max")],
                       F.when(a < b / 2, "own").when(b < a / 2, "next").otherwise("inconclusive").alias("verdict"))

@@ -12,6 +12,7 @@ from ..operators import gates as T
 from ..operators import joins as J
 from ..operators import selection as S
 from ..operators import trajectory as TR
+from ..session import cut_lineage
 from .signals import rounded
 
 QUERIES, ORACLE = {}, {}
@@ -38,7 +39,7 @@ def a20(spark, sf):
 def sides(spark, sf):
     b = B.detections(spark, sf).withColumnRenamed("event_id", "id").select("dataset", "frame_no", "id", "x", "y", "score", "color")
     pred, truth = b.filter("id % 2 = 1"), b.filter("id % 2 = 0")
-    return pred, truth, J.match_truth(pred, truth, 6)
+    return pred, truth, cut_lineage(J.match_truth(pred, truth, 6))  # matched once, read several times
 
 
 MT = """near AS (SELECT p.dataset, p.frame_no, p.event_id AS pid, p.score, list({'d2':(p.x-t.x)*(p.x-t.x)+(p.y-t.y)*(p.y-t.y), 'tid':t.event_id} ORDER BY (p.x-t.x)*(p.x-t.x)+(p.y-t.y)*(p.y-t.y), t.event_id) AS offers
@@ -245,7 +246,7 @@ bs AS (SELECT b.*, score>rival AS local_max FROM be b JOIN rv USING (seed_id) WH
 
 def cells(spark, sf):
     c = B.detections(spark, sf).groupBy("dataset", "frame_no", F.expr("x div 16").alias("gx"), F.expr("y div 16").alias("gy")).agg(F.sum(F.col("event_id") % 97).cast("double").alias("response"))
-    return TR.frame_floor(c)
+    return cut_lineage(TR.frame_floor(c))  # seeds and lookups read the same grid
 
 
 def searched(spark, sf, low=60.0, high=1e9):
