@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 BLOCK = 512
 
 
@@ -38,6 +40,7 @@ def cosine_blocks(left: DataFrame, right: DataFrame, keys: Sequence[str], lcols:
     block pair and the id columns of both sides; whatever it returns is all that leaves
     the task.  Zero vectors give 0.0, NaN stays NaN.
     """
+    ship_package(left.sparkSession)
     ks = list(keys) or ["_k"]
     if not keys:
         left, right = left.withColumn("_k", F.lit(0)), right.withColumn("_k", F.lit(0))

@@ -11,6 +11,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,43 +71,67 @@ class Identity:
         dt = self.last[0] - self.prev[0]
         return (self.last[1] - self.prev[1]) / dt, (self.last[2] - self.prev[2]) / dt
 
-    def residual(self, t, x, y):
-        vx, vy = self.velocity()
-        lead = max(0.0, t - self.last[0])
-        return math.hypot(self.last[1] + vx * lead - x, self.last[2] + vy * lead - y)
 
-    def radius(self, dt, base, cfg):
-        if self.hits < 2:
-            return cfg.bootstrap_px if dt <= cfg.bootstrap_dt_s else base
-        return base + cfg.slack * math.hypot(*self.velocity()) * max(0.0, dt)
-
-
-def _link(state, t, x, y, color, source, cfg):
+class OpenPool:
+    """Open identities with their predictor state in arrays, so one sighting is gated in one pass."""
+
+    FIELDS = ("t", "x", "y", "vx", "vy", "hits")
+
+    def __init__(self, cfg: LinkConfig):
+        self.cfg, self.ids, self.count = cfg, [], 0
+        self.a = {f: np.zeros(64) for f in self.FIELDS}
+
+    def put(self, i: int, k: Identity) -> None:
+        vx, vy = k.velocity()
+        for f, v in zip(self.FIELDS, (*k.last, vx, vy, k.hits)):
+            self.a[f][i] = v
+
+    def open(self) -> Identity:
+        self.count += 1
+        k = Identity(self.count)
+        if len(self.ids) == len(self.a["t"]):
+            self.a = {f: np.concatenate([v, np.zeros_like(v)]) for f, v in self.a.items()}
+        self.ids.append(k)
+        return k
+
+    def candidates(self, t: float, x: float, y: float):
+        """(index, residual, dt) of the identities whose gate admits the sighting, nearest first."""
+        n, c = len(self.ids), self.cfg
+        if not n:
+            return ()
+        dt = t - self.a["t"][:n]
+        fresh = dt <= c.gap_s
+        if n > 64 and fresh.sum() * 2 < n:
+            keep = np.flatnonzero(fresh)
+            self.ids = [self.ids[i] for i in keep]
+            for f in self.FIELDS:
+                self.a[f][: len(keep)] = self.a[f][keep]
+            n, dt, fresh = len(keep), dt[keep], fresh[keep]
+        vx, vy, lead = self.a["vx"][:n], self.a["vy"][:n], np.maximum(dt, 0.0)
+        away = np.hypot(self.a["x"][:n] + vx * lead - x, self.a["y"][:n] + vy * lead - y)
+        wide = np.where(dt <= c.bootstrap_dt_s, c.bootstrap_px, c.match_px)
+        bar = np.where(self.a["hits"][:n] < 2, wide, c.match_px + c.slack * np.hypot(vx, vy) * lead)
+        hit = np.flatnonzero(fresh & (away <= bar))
+        return [(int(i), float(away[i]), float(dt[i])) for i in hit[np.argsort(away[hit], kind="stable")]]
+
+
+def _link(pool: OpenPool, t, x, y, color, source, cfg):
     """(identity, residual, bridged) of one sighting against the open identities."""
     bucket = round(t / cfg.bucket_s)
-    state["open"] = [k for k in state["open"] if t - k.last[0] <= cfg.gap_s]
-    best = None
-    for k in state["open"]:
+    for i, away, dt in pool.candidates(t, x, y):
+        k = pool.ids[i]
         if k.bucket == bucket and source in k.seen:
             continue
-        dt = t - k.last[0]
-        away = k.residual(t, x, y)
-        if away > k.radius(dt, cfg.match_px, cfg) or (best is not None and away >= best[0]):
-            continue
         mine = k.color
         flicker = k.hits < 2 and k.source == source and away <= cfg.flicker_px
         if mine == color or P.UNKNOWN in (mine, color) or flicker:
-            best = (away, k, dt)
-    if best is None:
-        state["n"] += 1
-        k = Identity(state["n"])
-        state["open"].append(k)
-        away, bridged = None, False
-    else:
-        away, k, dt = best
-        bridged = dt > cfg.bridge_s
+            k.add(t, x, y, color, source, bucket)
+            pool.put(i, k)
+            return k, away, dt > cfg.bridge_s
+    k = pool.open()
     k.add(t, x, y, color, source, bucket)
-    return k, away, bridged
+    pool.put(len(pool.ids) - 1, k)
+    return k, None, False
 
 
 def associate(obs: DataFrame, second: int, width: int, cfg: LinkConfig = LinkConfig()) -> DataFrame:
@@ -124,12 +149,12 @@ def associate(obs: DataFrame, second: int, width: int, cfg: LinkConfig = LinkCon
         rows = []
         t0 = state.setdefault("t0", int(pdf["us"].iloc[0]))
         for us, x, y, c, s in zip(pdf["us"], pdf["x"], pdf["y"], pdf["color"], pdf["source"]):
-            k, away, bridged = _link(state, (int(us) - t0) / second, float(x), float(y), c, s, cfg)
+            k, away, bridged = _link(state["pool"], (int(us) - t0) / second, float(x), float(y), c, s, cfg)
             rows.append((k.tid, away, bridged))
         got = pd.DataFrame(rows, columns=["local", "residual_px", "bridged"])
         return pd.concat([pdf[["dataset", "island", "event_id", "us", "x", "y", "color"]].reset_index(drop=True), got], axis=1)
     cols = ["dataset", "island", "bucket", "source", "color", "x", "y", "us", "event_id"]
-    linked = stream_fold(isl.select(*cols), ["dataset", "island"], ["bucket", "source", "color", "x", "event_id"], lambda: {"open": [], "n": 0}, step,
+    linked = stream_fold(isl.select(*cols), ["dataset", "island"], ["bucket", "source", "color", "x", "event_id"], lambda: {"pool": OpenPool(cfg)}, step,
                          "dataset long, island long, event_id long, us long, x double, y double, color string, local long, residual_px double, bridged boolean")
     return stitch(linked, second, cfg)
 

@@ -51,6 +51,10 @@ def flatten_json(df: DataFrame, key: str, doc: str) -> DataFrame:
     """(key, path, kind, value) per leaf and container; path steps are zero-padded so they sort."""
     import pandas as pd
 
+    from ..session import ship_package
+
+    ship_package(df.sparkSession)
+
     def walk(path, v, out):
         if isinstance(v, dict):
             out.append((path, "object", ""))

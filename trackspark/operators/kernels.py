@@ -195,6 +195,9 @@ def stream_fold(df: DataFrame, keys: Sequence[str], order: Sequence, make_state,
     """
     import pandas as pd
 
+    from ..session import ship_package
+
+    ship_package(df.sparkSession)
     names = list(keys)
 
     def run(batches):
@@ -212,6 +215,8 @@ def stream_fold(df: DataFrame, keys: Sequence[str], order: Sequence, make_state,
                 if key != current:
                     current, state = key, make_state()
                 parts.append(step(state, chunk))
-            yield pd.concat(parts, ignore_index=True)
+            parts = [p for p in parts if len(p)]
+            if parts:
+                yield parts[0] if len(parts) == 1 else pd.concat([p.astype(object) for p in parts], ignore_index=True)
 
     return df.repartition(*names).sortWithinPartitions(*names, *order).mapInPandas(run, schema)

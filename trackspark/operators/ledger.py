@@ -57,8 +57,8 @@ def results_sheet(matches: DataFrame, names: DataFrame, order: Sequence[str]) ->
     win, lose = F.when(a_won, F.col("name_a")).otherwise(F.col("name_b")), F.when(a_won, F.col("name_b")).otherwise(F.col("name_a"))
     line = (F.when(F.col("result") == "bye", F.format_string("%s: bye", win)).when(F.col("result") == "forfeit", F.format_string("%s by forfeit over %s", win, lose))
             .otherwise(F.format_string("%s %d-%d %s", win, F.greatest("qty", F.lit(50) - F.col("qty")), F.least("qty", F.lit(50) - F.col("qty")), lose)))
-    w = W.partitionBy("night", "round").orderBy(*order)
-    return m.select("night", "round", *order, F.row_number().over(w).cast("long").alias("pos"), line.alias("line"))
+    placed = ordered_index(m.select("night", "round", *order, line.alias("line")), ["night", "round"], list(order[1:]), order[0], 1 << 16, "pos")
+    return placed.withColumn("pos", F.col("pos") + 1)
 
 
 def win_percent(wins: Column, played: Column) -> Column:

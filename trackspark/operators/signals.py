@@ -39,7 +39,8 @@ def noise_floor(signal: DataFrame, controls: DataFrame, keys: Sequence[str], hal
     q = exact_quantiles(sample, keys, "_s", {"median": 0.5, "p99": 0.99, "floor": FLOOR_QUANTILE})
     counts = held.groupBy(*keys).agg(F.count_if(~F.col("_ok")).alias("excluded"))
     spans = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_windows"))
-    return spans.join(counts, list(keys), "left").join(q, list(keys), "left").withColumn("threshold", F.col("floor") * FLOOR_MARGIN)
+    out = spans.join(counts, list(keys), "left").join(q, list(keys), "left").fillna(0, ["n", "excluded"])
+    return out.withColumn("threshold", F.col("floor") * FLOOR_MARGIN)
 
 
 def calibrate(signal: DataFrame, controls: DataFrame, keys: Sequence[str], half: int, eligible: Column,

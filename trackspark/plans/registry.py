@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 
+from ..session import ship_package
+
 MODULES = ("geometry", "matching", "signals", "census", "judging", "identities", "scoring", "ledgers",
            "documents", "selection", "association", "live")
 
+def _shipped(fn):
+    """Ship the package to the executors before a query builds its plan."""
+    @functools.wraps(fn)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return fn(spark, sf_dir)
+    return run
+
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _name in MODULES:
@@ -16,5 +28,5 @@ for _name in MODULES:
         if exc.name != f"trackspark.plans.{_name}":
             raise
         continue
-    QUERIES.update(_m.QUERIES)
+    QUERIES.update({k: _shipped(f) for k, f in _m.QUERIES.items()})
     ORACLE.update(_m.ORACLE)

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.kernels import stream_fold
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_package
 
 
 def keyed(df: DataFrame, key: str, order: Sequence[str], make, step, schema: str) -> DataFrame:
@@ -25,6 +25,8 @@ def keyed(df: DataFrame, key: str, order: Sequence[str], make, step, schema: str
     if not df.isStreaming:
         return stream_fold(df, [key], list(order), make, step, schema)
 
+    ship_package(df.sparkSession)
+
     def advance(k, batches, state):
         held = pickle.loads(bytes(state.get[0])) if state.exists else make()
         rows = pd.concat(list(batches), ignore_index=True).sort_values(list(order), kind="stable")
@@ -46,8 +48,14 @@ def drain(df: DataFrame, mode: str = "append") -> DataFrame:
     def sink(batch: DataFrame, batch_id: int) -> None:
         part = "all" if mode == "complete" else f"batch={batch_id}"
         batch.write.mode("overwrite").parquet(f"{root}/out/{part}")
-    q = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
+    # state partitions are fixed at the first batch and AQE cannot merge them: follow the cores at hand
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        q = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     got = spark.read.schema(df.schema).parquet(f"{root}/out/all" if mode == "complete" else f"{root}/out")
     return got.select(*df.columns)
 
