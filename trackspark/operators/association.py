@@ -156,7 +156,8 @@ def associate(obs: DataFrame, second: int, width: int, cfg: LinkConfig = LinkCon
     cols = ["dataset", "island", "bucket", "source", "color", "x", "y", "us", "event_id"]
     linked = stream_fold(isl.select(*cols), ["dataset", "island"], ["bucket", "source", "color", "x", "event_id"], lambda: {"pool": OpenPool(cfg)}, step,
                          "dataset long, island long, event_id long, us long, x double, y double, color string, local long, residual_px double, bridged boolean")
-    return stitch(linked, second, cfg)
+    # five branches of the stitch read the links: written once, so the fold runs once
+    return stitch(cut_lineage(linked), second, cfg)
 
 
 def stitch(linked: DataFrame, second: int, cfg: LinkConfig) -> DataFrame:

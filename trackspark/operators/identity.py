@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import scalars as P
 from ..functions.vectors import cosine_blocks, mean_vector
+from ..session import cut_lineage
 from .kernels import bounded_lag, exact_quantiles, gap_islands, ordered_index, stream_fold, top_k
 
 THRESHOLD, MARGIN, SAME_PERSON = 0.35, 0.12, 0.5
@@ -230,6 +231,7 @@ def plan_enrollment(faces: DataFrame, k: int = 5, bar: float = SAME_PERSON, min_
         return pd.DataFrame({"tracklet": pdf["tracklet"].to_numpy(), "vec_id": pdf["vec_id"].to_numpy(), "kept": flags})
     ranked = faces.filter(P.face_quality(F.col("eye_px"), F.col("det_score"))).withColumn("rank", -P.rank_score(F.col("det_score"), F.col("eye_px")))
     flags = stream_fold(ranked.select("tracklet", "rank", "vec_id", "vec"), ["tracklet"], ["rank", "vec_id"], make, step, "tracklet long, vec_id long, kept boolean")
+    flags = cut_lineage(flags)  # read by the bank, the rest and the totals
     marked = ranked.select("tracklet", "vec_id", "vec").join(flags, ["tracklet", "vec_id"])
     bank = marked.filter("kept").groupBy("tracklet").agg(F.collect_list("vec").alias("_bank"))
     agrees = F.exists("_bank", lambda b: P.at_least(P.cosine(F.col("vec"), b), bar))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def union_sets(sets: Sequence[tuple[str, DataFrame]], keys: Sequence[str]) -> DataFrame:
     """Distinct keys over all sets; ``source`` names the first set that holds the key."""
@@ -122,6 +124,7 @@ def split_blocks(times: DataFrame, second: int, key: str = "dataset", block_s: f
             out.append(state["no"])
         return pd.DataFrame({key: pdf[key].to_numpy(), "event_id": pdf["event_id"].to_numpy(), "us": pdf["us"].to_numpy(), "block": out})
     rows = stream_fold(times.select(key, "event_id", "us"), [key], ["us", "event_id"], make, step, f"{key} long, event_id long, us long, block long")
+    rows = cut_lineage(rows)  # the sequential pass runs once
     b = rows.groupBy(key, "block").agg(F.min("us").alias("b0"), F.max("us").alias("b1"))
     w = W.partitionBy(key).orderBy("block")
     edge = F.lag("b1").over(w).isNull() | F.lead("b0").over(w).isNull() | (F.col("b0") - F.lag("b1").over(w) < gap) | (F.lead("b0").over(w) - F.col("b1") < gap)
