@@ -234,3 +234,26 @@ def test_dense_shot_needs_rest_then_travel(spark):
 def test_fragments_split_at_holes(spark):
     df = spark.createDataFrame([(0, 1, t * SEC, i, "red", 1.0 * t, 0.0) for i, t in enumerate([0, 1, 2, 9, 10])], "dataset long, track_id long, us long, event_id long, color string, x double, y double")
     assert sorted(r.hits for r in E.fragments(df, 3 * SEC, 4 * SEC).collect()) == [2, 3]
+
+
+def test_iou_tracklets_burst_and_grace(spark):
+    rows = [(0, 1, 0, 1, 0.0, 0.0, 10.0, 10.0), (0, 1, 1, 2, 1.0, 0.0, 11.0, 10.0), (0, 1, 1, 3, 50.0, 50.0, 60.0, 60.0), (0, 1, 9, 4, 1.0, 0.0, 11.0, 10.0)]
+    df = spark.createDataFrame(rows, "dataset long, burst long, frame_no long, event_id long, x double, y double, x2 double, y2 double")
+    def got(mode):
+        return [r.tracklet for r in A.iou_tracklets(df, ["dataset", "burst"], ["frame_no", "event_id"], mode=mode).orderBy("event_id").collect()]
+    assert got("burst") == [1, 1, 2, 1] and got("grace") == [1, 1, 2, 3]
+
+
+def test_dense_pots_in_order(spark):
+    rows = []
+    for track, status in ((1, "inside"), (2, "outside"), (3, "ambiguous"), (4, "inside"), (5, "inside")):
+        for k in range(5):
+            t = k * 0.1 + (3.0 if track == 4 and k == 4 else 0.0)
+            rows.append((0, track, int(t * SEC), 10 * track + k, 100.0 + (2.0 * k if track != 5 else 0.0), 50.0, status))
+    df = spark.createDataFrame(rows, "dataset long, track_id long, us long, event_id long, x double, y double, v string")
+    until = spark.createDataFrame([(0, 20 * SEC)], "dataset long, until_us long")
+    m = F.struct(F.lit("head-left").alias("pocket"), F.col("v").alias("verdict"))
+    out = A.dense_pots(df, m, until, F.lit("clear"), SEC, 10 * SEC, F.lit(True), F.lit(True)).orderBy("track_id", "us").collect()
+    assert [(r.track_id, r.status, r.reason) for r in out] == [
+        (1, "pot", "inside_pocket_persistence_clear"), (2, "rejected", "disappeared_outside_pocket"), (3, "unknown", "pocket_distance_within_uncertainty"),
+        (4, "unknown", "reappeared_after_gap_inside_pocket"), (4, "unknown", "at_rest_inside_pocket_radius"), (5, "unknown", "at_rest_inside_pocket_radius")]
