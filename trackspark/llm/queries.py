@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, wordpiece
+from . import bpe, decontaminate, urltree, wordpiece
 
+# The stated url rules (verdict, host/path).
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 VOCABULARY_FILE = "word_bpe_49k.json"
 
 
@@ -19,6 +21,13 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "benchmark").selectExpr("item_id AS id", "text")
+    found = decontaminate.find_contamination(_notes(spark, sf_dir), items)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_notes(_notes(spark, sf_dir), public_tokenizers.path(VOCABULARY_FILE))
     return encoded.select(
@@ -30,8 +39,32 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(_notes(spark, sf_dir), public_tokenizers.path(VOCABULARY_FILE)).withColumnRenamed("id", "doc_id")
 
 
+def op10_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = _table(spark, sf_dir, "pages").selectExpr("page_id AS id", "url")
+    return urltree.judge_sources(sources, URL_RULES).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op4_bpe": op4_bpe,
     "op8_token_counts": op8_token_counts,
+    "op10_url_tree": op10_url_tree,
+}
+LOWER = f"translate(text, '{urltree.UPPER}', '{urltree.LOWER}')"
+
+OP2_SQL = f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), []) AS w FROM documents),
+item AS (SELECT CAST(item_id AS VARCHAR) AS item, coalesce(regexp_extract_all({LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), []) AS w FROM benchmark),
+win AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS k
+        FROM (SELECT item, w, least(13, len(w)) AS size, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM item WHERE len(w) > 0)),
+spot AS (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc, (SELECT DISTINCT size FROM win) WHERE len(w) >= size),
+hit AS (SELECT r, i, a.size, item FROM (SELECT r, i, size, array_to_string(w[i:i + size - 1], ' ') AS k FROM spot) a JOIN win ON a.size = win.size AND a.k = win.k),
+words AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hit) GROUP BY r),
+items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN words ON doc.r = words.r LEFT JOIN items ON doc.r = items.r"""
+
+ORACLE: dict[str, str] = {
+    "op2_decontaminate": OP2_SQL,
 }
-ORACLE: dict[str, str] = {}
