@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, urltree, wordpiece
+from . import bpe, decontaminate, secrets, urltree, wordpiece
 
 # The stated url rules (verdict, host/path).
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -39,6 +39,21 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(_notes(spark, sf_dir), public_tokenizers.path(VOCABULARY_FILE)).withColumnRenamed("id", "doc_id")
 
 
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_notes(spark, sf_dir), keep_text=False)
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+    counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in secrets.BASE_KINDS]
+
+    def shown(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
 def op10_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = _table(spark, sf_dir, "pages").selectExpr("page_id AS id", "url")
     return urltree.judge_sources(sources, URL_RULES).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
@@ -48,6 +63,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op4_bpe": op4_bpe,
     "op8_token_counts": op8_token_counts,
+    "op9_secrets": op9_secrets,
     "op10_url_tree": op10_url_tree,
 }
 LOWER = f"translate(text, '{urltree.UPPER}', '{urltree.LOWER}')"
