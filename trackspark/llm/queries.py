@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, secrets, urltree, wordpiece
+from . import bpe, decontaminate, langid, secrets, toxicity, urltree, wordpiece
 
 # The stated url rules (verdict, host/path).
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -35,6 +35,24 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _fold(parts: int, chosen: int):
+    """True where the checksum of the id as text leaves ``chosen`` modulo ``parts``."""
+    return F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % parts == chosen
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = _notes(spark, sf_dir)
+    labels = _table(spark, sf_dir, "labels").selectExpr("doc_id AS id", "toxic")
+    model = toxicity.learn(notes, labels.filter(~_fold(3, 1)))
+    return toxicity.score(notes, model).select(F.col("id").alias("doc_id"), _fold(3, 1).alias("held_out"), "score", F.col("toxic").alias("predicted"))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = _table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text", "lang")
+    profiles = langid.learn_profiles(notes.filter(~_fold(4, 2)))
+    return langid.identify(notes, profiles).select(F.col("id").alias("doc_id"), _fold(4, 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(_notes(spark, sf_dir), public_tokenizers.path(VOCABULARY_FILE)).withColumnRenamed("id", "doc_id")
 
@@ -62,6 +80,8 @@ def op10_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op4_bpe": op4_bpe,
+    "op6_toxicity": op6_toxicity,
+    "op7_langid": op7_langid,
     "op8_token_counts": op8_token_counts,
     "op9_secrets": op9_secrets,
     "op10_url_tree": op10_url_tree,
