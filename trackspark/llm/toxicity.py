@@ -6,6 +6,7 @@ import functools
 import math
 import pickle
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,9 @@ FUZZY_FROM = 5          # a stem of so many letters may hold one edit
 SAMPLE = 40_000         # labelled notes to learn from, about
 CANDIDATES = 4_000      # stems that the cover is chosen from
 LEXICON = 400           # most stems
+CLEAN_COST = 0.5        # occurrences that a stem must newly explain per occurrence in clean notes
+ENOUGH = 6              # occurrences of lexicon stems that explain a toxic note
+PURER = 6               # a stem is so many times more frequent in toxic notes
 REJECT = 0.7
 WINDOW = 4              # words to either side that say how a hit reads
 OPENING, CLOSING = "\"'“«„‘‹", "\"'”»“’›"
@@ -113,11 +117,11 @@ class Lexicon:
 
 
 def features(lexicon: Lexicon, weights: list[float], text: str | None) -> list[float]:
-    """Plain hits, misspelled hits, quoted hits, any plain hit, their share of the words, length; logarithms of counts."""
+    """Plain hits, misspelled hits, quoted hits, the strongest plain hit, their share of the words, length; logarithms of counts."""
     low = (text or "").lower()
     words = WORD.findall(low)
     codes = list(map(lexicon.hits.__getitem__, words))
-    plain = fuzzy = quoted = 0.0
+    plain = fuzzy = quoted = strongest = 0.0
     if any(codes):
         places = [m.span() for m in WORD.finditer(low)]
         for i, code in enumerate(codes):
@@ -128,8 +132,9 @@ def features(lexicon: Lexicon, weights: list[float], text: str | None) -> list[f
                     fuzzy += 1
                 else:
                     plain += weights[(code >> 1) - 1]
+                    strongest = max(strongest, weights[(code >> 1) - 1])
     n = len(words)
-    return [math.log1p(plain), math.log1p(fuzzy), math.log1p(quoted), float(plain > 0), 10 * plain / (n + 10), math.log1p(n) / 10]
+    return [math.log1p(plain), math.log1p(fuzzy), math.log1p(quoted), strongest, 20 * plain / (n + 20), math.log1p(n) / 10]
 
 
 def _reads_quoted(low: str, places, i: int) -> bool:
@@ -142,8 +147,13 @@ def _reads_quoted(low: str, places, i: int) -> bool:
     return inside or bool(REPORTING.search(left[-24:]))
 
 
-def _stems_in(text: str | None) -> set[str]:
-    return {w[:k] for w in {w[:LONGEST] for w in WORD.findall((text or "").lower())} for k in range(SHORTEST_STEM, len(w) + 1)}
+def _stems_in(text: str | None) -> dict[str, int]:
+    """Prefixes of a note's words and how often they occur, ``ENOUGH`` at most."""
+    out: dict[str, int] = {}
+    for word, times in Counter(w[:LONGEST] for w in WORD.findall((text or "").lower())).items():
+        for k in range(SHORTEST_STEM, len(word) + 1):
+            out[word[:k]] = min(ENOUGH, out.get(word[:k], 0) + times)
+    return out
 
 
 def labelled_sample(notes: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
@@ -161,42 +171,53 @@ def labelled_sample(notes: DataFrame, labels: DataFrame, *, sample: int = SAMPLE
 
 
 def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[float]]:
-    """Stems that mark toxic notes: a greedy cover of the toxic sample by stems that clean notes lack.
+    """Stems that mark toxic notes: a greedy cover of the toxic sample by stems that clean notes hold less.
 
-    Stem counts over the sample are made in Spark; only the ``CANDIDATES`` purest stems and, for
-    each toxic sample note, which of them it holds come to the driver (both bounded).
+    A toxic note is explained by ``ENOUGH`` occurrences, so that stems which a clean note may hold
+    once by chance still serve.  Stem counts over the sample are made in Spark; only the
+    ``CANDIDATES`` best stems and, for each toxic sample note, which of them it holds come to the
+    driver (both bounded).
     """
     def stems(part: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([sorted(_stems_in(t)) for t in part.column(0).to_pylist()], pa.list_(pa.string())), part.column(1)], ["stems", "toxic"])
+        held = [_stems_in(t) for t in part.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array([list(h) for h in held], pa.list_(pa.string())), pa.array([list(h.values()) for h in held], pa.list_(pa.int32())), part.column(1)], ["stems", "times", "toxic"])
 
-    held = by_pieces(sample.select("text", F.col("toxic").cast("int").alias("toxic")), stems, "stems array<string>, toxic int")
+    held = by_pieces(sample.select("text", F.col("toxic").cast("int").alias("toxic")), stems, "stems array<string>, times array<int>, toxic int")
     total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0)).alias("t")).first()
     if not total.t or total.t == total.n:
         return [], []
-    least = max(3, total.t // 1000)
-    counts = held.select(F.explode("stems").alias("stem"), "toxic").groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    pure = counts.filter((F.col("t") >= least) & (F.col("t") * (total.n - total.t) >= 50 * F.col("c") * total.t))
-    order = [F.desc(F.col("t") - 20 * F.col("c")), F.desc(F.length("stem")), F.asc("stem")]
+    least = max(4, total.t // 100)  # toxic notes that hold a stem, and occurrences it must explain
+    counts = held.select(F.explode(F.arrays_zip("stems", "times")).alias("s"), "toxic").groupBy(F.col("s.stems").alias("stem")).agg(
+        F.sum(F.col("toxic") * F.col("s.times")).alias("t"), F.sum((1 - F.col("toxic")) * F.col("s.times")).alias("c"), F.sum("toxic").alias("d"))
+    pure = counts.filter((F.col("d") >= least) & (F.col("t") * (total.n - total.t) >= PURER * F.col("c") * total.t))
+    order = [F.desc(F.col("t") - CLEAN_COST * F.col("c")), F.desc(F.length("stem")), F.asc("stem")]
     rows = pure.orderBy(*order).limit(CANDIDATES).collect()
     place = {r.stem: i for i, r in enumerate(rows)}
     packed = checked_broadcast(sample.sparkSession, pickle.dumps(place), 16 << 20, "the candidate stems")
 
     def present(part: pa.RecordBatch) -> pa.RecordBatch:
         known = _loads(packed.value)
-        return pa.RecordBatch.from_arrays([pa.array([sorted(known[s] for s in _stems_in(t) & known.keys()) for t in part.column(0).to_pylist()], pa.list_(pa.int32()))], ["at"])
+        held = [[(known[s], n) for s, n in _stems_in(t).items() if s in known] for t in part.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array([[i for i, _ in h] for h in held], pa.list_(pa.int32())), pa.array([[n for _, n in h] for h in held], pa.list_(pa.int32()))], ["at", "times"])
 
-    docs = [np.array(r.at) for r in by_pieces(sample.filter("toxic = 1").select("text"), present, "at array<int>").collect() if r.at]
+    docs = [(dict(zip(r.at, r.times)), ENOUGH) for r in by_pieces(sample.filter("toxic = 1").select("text"), present, "at array<int>, times array<int>").collect() if r.at]
     clean = np.array([r.c for r in rows])
     size = np.array([len(r.stem) for r in rows])
     chosen: list[int] = []
+    related: list[int] = []
     while docs and len(chosen) < LEXICON:
-        gain = np.bincount(np.concatenate(docs), minlength=len(rows)) - 20 * clean
+        gain = -CLEAN_COST * clean
+        for held_here, left in docs:
+            gain[list(held_here)] += np.minimum(list(held_here.values()), left)
+        gain[related] = -np.inf  # parts and extensions of a chosen stem are the same occurrences
         best = int(np.lexsort((size, gain))[-1])  # largest gain, then the longest stem
         if gain[best] < least:
             break
         chosen.append(best)
-        docs = [d for d in docs if best not in d]
-    rate = [(rows[i].t + 0.5) / (total.t + 1) / ((rows[i].c + 0.5) / (total.n - total.t + 1)) for i in chosen]
+        stem = rows[best].stem
+        related += [i for i, r in enumerate(rows) if r.stem.startswith(stem) or stem.startswith(r.stem)]
+        docs = [(d, left - d.get(best, 0)) for d, left in docs if left > d.get(best, 0)]
+    rate = [(rows[i].t + 0.5) / total.t / ((rows[i].c + 0.5) / (total.n - total.t)) for i in chosen]
     return [rows[i].stem for i in chosen], [min(1.0, math.log(r) / math.log(100)) for r in rate]
 
 
