@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, secrets, toxicity, urltree, wordpiece
+from . import bpe, decontaminate, langid, secrets, toxicity, urltree, warc, wordpiece
+from .records import shared_folder
 
 # The stated url rules (verdict, host/path).
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -35,6 +36,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def _fold(parts: int, chosen: int):
     """True where the checksum of the id as text leaves ``chosen`` modulo ``parts``."""
     return F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % parts == chosen
@@ -80,6 +87,7 @@ def op10_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op4_bpe": op4_bpe,
+    "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
     "op7_langid": op7_langid,
     "op8_token_counts": op8_token_counts,
@@ -101,6 +109,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS B
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN words ON doc.r = words.r LEFT JOIN items ON doc.r = items.r"""
 
+BASE32_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+# A SHA-1 is 160 bits, eight groups of 20 bits that are four base-32 letters each.
+BASE32 = "||".join(
+    f"substr('{BASE32_LETTERS}', CAST(((CAST('0x' || substr(h, {5 * g + 1}, 5) AS BIGINT) >> {s}) & 31) + 1 AS BIGINT), 1)" for g in range(8) for s in (15, 10, 5, 0))
+
+OP5_SQL = f"""
+WITH page AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+top AS (SELECT h, max(page_id) AS refers_to FROM page GROUP BY h)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, {BASE32} AS payload_digest,
+       CASE WHEN page_id < refers_to THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < refers_to THEN refers_to END AS refers_to
+FROM page JOIN top USING (h)"""
+
 ORACLE: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
+    "op5_warc": OP5_SQL,
 }
