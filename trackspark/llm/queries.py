@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, secrets, toxicity, urltree, warc, wordpiece
+from . import bpe, decontaminate, langid, neardup, secrets, toxicity, urltree, warc, wordpiece
 from .records import shared_folder
 
 # The stated url rules (verdict, host/path).
@@ -29,6 +29,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_notes(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_notes(_notes(spark, sf_dir), public_tokenizers.path(VOCABULARY_FILE))
     return encoded.select(
@@ -86,6 +90,7 @@ def op10_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
@@ -109,6 +114,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS B
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN words ON doc.r = words.r LEFT JOIN items ON doc.r = items.r"""
 
+OP3_SQL = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, list_filter(string_split_regex({LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM doc UNION SELECT link.b, reach.r FROM reach JOIN link ON reach.id = link.a WHERE reach.r < link.b),
+least AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN size USING (doc_id) JOIN least ON least.id = doc_id"""
+
 BASE32_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 # A SHA-1 is 160 bits, eight groups of 20 bits that are four base-32 letters each.
 BASE32 = "||".join(
@@ -123,5 +139,6 @@ FROM page JOIN top USING (h)"""
 
 ORACLE: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
+    "op3_near_duplicates": OP3_SQL,
     "op5_warc": OP5_SQL,
 }
