@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, neardup, secrets, toxicity, urltree, warc, wordpiece
+from . import bpe, decontaminate, langid, neardup, secrets, topk, toxicity, urltree, warc, wordpiece
 from .records import shared_folder
 
 # The stated url rules (verdict, host/path).
@@ -22,6 +22,12 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gallery = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("embedding"))
+    found = topk.search(gallery, gallery.filter("id % 20 = 0"), 20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _table(spark, sf_dir, "benchmark").selectExpr("item_id AS id", "text")
     found = decontaminate.find_contamination(_notes(spark, sf_dir), items)
@@ -89,6 +95,7 @@ def op10_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_top_k": op1_top_k,
     "op2_decontaminate": op2_decontaminate,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_bpe": op4_bpe,
@@ -101,6 +108,13 @@ QUERIES = {
 }
 LOWER = f"translate(text, '{urltree.UPPER}', '{urltree.LOWER}')"
 
+OP1_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
 OP2_SQL = f"""
 WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), []) AS w FROM documents),
 item AS (SELECT CAST(item_id AS VARCHAR) AS item, coalesce(regexp_extract_all({LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), []) AS w FROM benchmark),
@@ -138,6 +152,7 @@ SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, {BA
 FROM page JOIN top USING (h)"""
 
 ORACLE: dict[str, str] = {
+    "op1_top_k": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
     "op3_near_duplicates": OP3_SQL,
     "op5_warc": OP5_SQL,
