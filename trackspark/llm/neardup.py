@@ -226,3 +226,19 @@ def near_duplicates(notes: DataFrame, *, share: tuple[int, int] = (75, 100), id_
     out = sketch.drop("bands").join(grouped, ["k1", "k2", "n"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(notes: DataFrame, *, share: tuple[int, int] = (75, 100), id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """The rows of ``notes``, all columns, without the near copies: one note of each component stays.
+
+    Notes without words stay.  Of rows that repeat a note (same id, linked with itself) one stays.
+    """
+    judged = staged(near_duplicates(notes, share=share, id_col=id_col, text_col=text_col), "near-judged")
+    gone = judged.filter("NOT kept").select(F.col("id").alias(id_col)).distinct()
+    left = notes.join(F.broadcast(gone) if gone.count() <= SMALL else gone, id_col, "left_anti")
+    repeated = judged.filter("kept AND id IS NOT NULL AND n_shingles > 0").groupBy("id").count().filter("count > 1").select(F.col("id").alias(id_col))
+    if repeated.isEmpty():
+        return left
+    wordy = F.coalesce(F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    again = left.join(repeated, id_col, "left_semi")
+    return left.join(repeated, id_col, "left_anti").unionByName(again.filter(~wordy)).unionByName(again.filter(wordy).dropDuplicates([id_col]))

@@ -52,7 +52,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def _fold(parts: int, chosen: int):
+def fold(parts: int, chosen: int):
     """True where the checksum of the id as text leaves ``chosen`` modulo ``parts``."""
     return F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % parts == chosen
 
@@ -60,14 +60,14 @@ def _fold(parts: int, chosen: int):
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = _notes(spark, sf_dir)
     labels = _table(spark, sf_dir, "labels").selectExpr("doc_id AS id", "toxic")
-    model = toxicity.learn(notes, labels.filter(~_fold(3, 1)))
-    return toxicity.score(notes, model).select(F.col("id").alias("doc_id"), _fold(3, 1).alias("held_out"), "score", F.col("toxic").alias("predicted"))
+    model = toxicity.learn(notes, labels.filter(~fold(3, 1)))
+    return toxicity.score(notes, model).select(F.col("id").alias("doc_id"), fold(3, 1).alias("held_out"), "score", F.col("toxic").alias("predicted"))
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = _table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text", "lang")
-    profiles = langid.learn_profiles(notes.filter(~_fold(4, 2)))
-    return langid.identify(notes, profiles).select(F.col("id").alias("doc_id"), _fold(4, 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+    profiles = langid.learn_profiles(notes.filter(~fold(4, 2)))
+    return langid.identify(notes, profiles).select(F.col("id").alias("doc_id"), fold(4, 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

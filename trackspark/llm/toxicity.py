@@ -250,9 +250,9 @@ def learn(notes: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> dict:
     return model
 
 
-def _featured(rows: DataFrame, model: dict, made: str) -> DataFrame:
+def _featured(rows: DataFrame, model: dict, made: str, keep_text: bool = False) -> DataFrame:
     packed = checked_broadcast(rows.sparkSession, pickle.dumps(model), 16 << 20, "the toxicity model")
-    schema = StructType([f for f in rows.schema if f.name != "text"] + list(StructType.fromDDL(made)))
+    schema = StructType([f for f in rows.schema if keep_text or f.name != "text"] + list(StructType.fromDDL(made)))
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         lexicon, weights, coef = _loaded(packed.value)
@@ -262,7 +262,7 @@ def _featured(rows: DataFrame, model: dict, made: str) -> DataFrame:
         else:
             z = np.array([[1.0, *x] for x in f]) @ np.array(coef)
             new = pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-        kept = [part.column(i) for i, n in enumerate(part.schema.names) if n != "text"]
+        kept = [part.column(i) for i, n in enumerate(part.schema.names) if keep_text or n != "text"]
         return pa.RecordBatch.from_arrays([*kept, new], schema.names)
 
     return by_pieces(rows, work, schema)
@@ -279,12 +279,13 @@ def _loaded(raw: bytes):
     return Lexicon(model["stems"]), model["weights"], model["coef"]
 
 
-def score(notes: DataFrame, model: dict, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``id, score, toxic``: score 0..1 of every whole note; toxic from 0.7 on.
+def score(notes: DataFrame, model: dict, *, keep_text: bool = False, id_col: str = "id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``id, score, toxic``: score 0..1 of every whole note; toxic from 0.7 on; ``text`` if asked for and a struct ``carry`` of named columns.
 
     ``notes(id, text)`` are the workbench's notes.  Null and empty texts get the score of a text
     without words; an empty table gives no rows; repeated rows are answered one by one; other
     columns are not read.
     """
-    base = notes.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return _featured(base, model, "score double").withColumn("toxic", (F.col("score") >= REJECT).cast("int"))
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []
+    base = notes.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *more)
+    return _featured(base, model, "score double", keep_text).withColumn("toxic", (F.col("score") >= REJECT).cast("int"))
