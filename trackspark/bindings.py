@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 EPOCH_2024_US = 1_704_067_200_000_000
 FRAME_US = 14_400_000_000
 HOUR_US = 3_600_000_000
+# Units keep their size as the tables grow: more recordings, nights and tracklets, not longer ones.
+USERS_PER_RECORDING, USERS_PER_SERIES, ORDERS_PER_NIGHT, FACES_PER_TRACKLET = 38, 9, 75, 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +23,14 @@ def micros(df: DataFrame, col: str):
     return F.unix_micros(col)
 
 
+def _whole(col: str, size: int):
+    return F.expr(f"{col} div {size}L")
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
-        "event_id", "user_id", (F.col("user_id") % 4).alias("dataset"), micros(e, "ts").alias("us"),
+        "event_id", "user_id", _whole("user_id", USERS_PER_RECORDING).alias("dataset"), micros(e, "ts").alias("us"),
         F.col("event_type").alias("color"), "value",
         ((F.col("event_id") * 37 + F.col("user_id") * 11) % 127).alias("x"),
         ((F.col("event_id") * 91 + F.col("user_id") * 53) % 254).alias("y"),
@@ -38,7 +44,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
-        "event_id", (F.col("user_id") % 16).alias("dataset"), micros(e, "ts").alias("us"),
+        "event_id", _whole("user_id", USERS_PER_SERIES).alias("dataset"), micros(e, "ts").alias("us"),
         F.col("event_type").alias("color"), F.col("value").alias("signal"), "user_id",
     ).withColumn("t", (F.col("us") - EPOCH_2024_US) / 3.6e9)
 
@@ -49,7 +55,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six calibration ranges per recording seen in the data; corner k moves by seg*(k+1) px."""
-    keys = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("dataset")).distinct()
+    keys = table(spark, sf_dir, "events").select(_whole("user_id", USERS_PER_RECORDING).alias("dataset")).distinct()
     corners = ((0, 0), (126, 0), (126, 253), (0, 253))
     quad = F.array(*[
         F.struct((F.lit(x) + F.col("seg") * (k + 1)).cast("double").alias("x"),
@@ -72,7 +78,7 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")
     n = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n"))
     return l.crossJoin(n).select(
-        (F.col("l_orderkey") % 200).alias("night"), "l_orderkey", "l_linenumber",
+        _whole("l_orderkey", ORDERS_PER_NIGHT).alias("night"), "l_orderkey", "l_linenumber",
         F.col("l_linenumber").cast("long").alias("round"),
         F.col("l_suppkey").alias("side_a"),
         ((F.col("l_suppkey") + 1 + F.col("l_partkey") % (F.col("n") - 1)) % F.col("n")).alias("side_b"),
@@ -88,7 +94,7 @@ def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", F.col("label").cast("long").alias("label"),
         F.col("embedding").cast("array<double>").alias("vec"),
         F.expr("vec_id div 50").alias("burst"), F.expr("vec_id div 5").alias("frame"),
-        (F.col("vec_id") % 25).alias("tracklet"), (F.col("vec_id") % 2).alias("role"),
+        _whole("vec_id", FACES_PER_TRACKLET).alias("tracklet"), (F.col("vec_id") % 2).alias("role"),
         (F.col("vec_id") % 20).alias("eye_px"), ((F.col("vec_id") % 10) / 10.0).alias("det_score"),
     )
 
@@ -112,20 +118,20 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_VIEWS = {
     "detections": """
-SELECT event_id, user_id, user_id % 4 AS dataset, epoch_us(ts) AS us, event_type AS color, value,
+SELECT event_id, user_id, user_id // 38 AS dataset, epoch_us(ts) AS us, event_type AS color, value,
        (event_id*37 + user_id*11) % 127 AS x, (event_id*91 + user_id*53) % 254 AS y,
        CASE WHEN event_id % 3 = 0 THEN 'scored' ELSE 'plain' END AS source,
        ((event_id*17) % 101) / 100.0 AS score, epoch_us(ts) // 14400000000 AS frame_no,
        (epoch_us(ts) - 1704067200000000) / 3.6e9 AS t FROM events""",
     "series": """
-SELECT event_id, user_id % 16 AS dataset, epoch_us(ts) AS us, event_type AS color, value AS signal, user_id,
+SELECT event_id, user_id // 9 AS dataset, epoch_us(ts) AS us, event_type AS color, value AS signal, user_id,
        (epoch_us(ts) - 1704067200000000) / 3.6e9 AS t FROM events""",
     "tracks": "SELECT *, user_id AS track_id FROM detections",
     "segments": """
 SELECT d.dataset, s.seg, s.seg*120.0::DOUBLE AS t_start, (s.seg+1)*120.0::DOUBLE - 1.0 AS t_end,
        (0+seg*1)::DOUBLE AS x0, (0+seg*1)::DOUBLE AS y0, (126+seg*2)::DOUBLE AS x1, (0+seg*2)::DOUBLE AS y1,
        (126+seg*3)::DOUBLE AS x2, (253+seg*3)::DOUBLE AS y2, (0+seg*4)::DOUBLE AS x3, (253+seg*4)::DOUBLE AS y3
-FROM (SELECT DISTINCT user_id % 4 AS dataset FROM events) d, (SELECT unnest(range(6)) AS seg) s""",
+FROM (SELECT DISTINCT user_id // 38 AS dataset FROM events) d, (SELECT unnest(range(6)) AS seg) s""",
     # the projective map is derived here by eliminating the 8 unknowns of the unit-square map
     "maps": """
 SELECT *, (1269.0*AA)/II AS h0, (1269.0*BB)/II AS h1, (1269.0*CC)/II AS h2, (2539.0*DD)/II AS h3,
@@ -153,7 +159,7 @@ SELECT * FROM (VALUES (0,'head-left',0.0::DOUBLE,0.0::DOUBLE),(1,'head-right',12
     "claims": """
 SELECT *, CASE WHEN event_id % 2 = 0 THEN 'pot' ELSE 'shot' END AS kind FROM detections""",
     "matches": """
-SELECT l_orderkey % 200 AS night, l_orderkey, l_linenumber, l_linenumber::BIGINT AS round, l_suppkey AS side_a,
+SELECT l_orderkey // 75 AS night, l_orderkey, l_linenumber, l_linenumber::BIGINT AS round, l_suppkey AS side_a,
        (l_suppkey + 1 + l_partkey % ((SELECT count(*) FROM supplier) - 1)) % (SELECT count(*) FROM supplier) AS side_b,
        l_partkey, l_quantity::BIGINT AS qty,
        CASE l_returnflag WHEN 'A' THEN 'played' WHEN 'R' THEN 'forfeit' ELSE 'bye' END AS result,
@@ -163,7 +169,7 @@ SELECT l_orderkey % 200 AS night, l_orderkey, l_linenumber, l_linenumber::BIGINT
 FROM lineitem""",
     "faces": """
 SELECT vec_id, label::BIGINT AS label, embedding::DOUBLE[] AS vec, vec_id // 50 AS burst, vec_id // 5 AS frame,
-       vec_id % 25 AS tracklet, vec_id % 2 AS role, vec_id % 20 AS eye_px, (vec_id % 10) / 10.0 AS det_score FROM embeddings""",
+       vec_id // 20 AS tracklet, vec_id % 2 AS role, vec_id % 20 AS eye_px, (vec_id % 10) / 10.0 AS det_score FROM embeddings""",
     "gallery": "SELECT vec_id, label AS player, vec FROM faces WHERE vec_id % 5 = 0",
     "probes": "SELECT vec_id, label AS expected, role, burst, vec FROM faces WHERE vec_id % 5 <> 0",
     "verdicts": """

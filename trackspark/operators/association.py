@@ -245,7 +245,8 @@ def iou_tracklets(boxes: DataFrame, keys: Sequence[str], order: Sequence[str], m
 def dedupe_claims(claims: DataFrame, second: int, width: int, window_s: float = 2.0, strict_s: float = 0.5, near_mm: float = 200.0) -> DataFrame:
     """First-fit groups of claims that describe one act; the earliest is kept.
 
-    claims: dataset, kind, us, event_id, color, pocket, mx, my.  A claim joins the first
+    claims: dataset, kind, us, event_id, color, pocket, mx, my.  Two claims of one kind within the
+    window describe one act when two of colour, place and instant agree.  A claim joins the first
     group with *any* matching member, so groups are not connected components.
     """
     import pandas as pd
@@ -266,7 +267,7 @@ def dedupe_claims(claims: DataFrame, second: int, width: int, window_s: float =
                 g["members"] = [m for m in g["members"] if us - m[0] <= reach]
                 if g["members"]:
                     keep.append(g)
-                if leader is None and any(_same_act(us - m[0], color, pocket, at, m, strict, near_mm) for m in g["members"]):
+                if leader is None and any(_agreements(us - m[0], color, pocket, at, m, strict, near_mm) >= 2 for m in g["members"]):
                     leader = g
             state["groups"] = keep
             if leader is None:
@@ -280,13 +281,11 @@ def dedupe_claims(claims: DataFrame, second: int, width: int, window_s: float =
     return rows.groupBy("leader", "kind").agg(F.count(F.lit(1)).alias("count"), F.array_join(F.array_sort(F.collect_set("color")), "+").alias("colors")).withColumnRenamed("leader", "event_id")
 
 
-def _same_act(dt, color, pocket, at, member, strict, near_mm):
+def _agreements(dt, color, pocket, at, member, strict, near_mm) -> int:
+    """In how many of three ways two claims agree: colour, place (pocket or spot), instant."""
     _, other_color, other_pocket, other_at = member
-    place = bool(pocket) and pocket == other_pocket
-    spot = at is not None and other_at is not None and math.hypot(at[0] - other_at[0], at[1] - other_at[1]) <= near_mm
-    if color and color == other_color and (place or spot or dt <= strict):
-        return True
-    return dt <= strict and (place or spot)
+    spot = None not in (at, other_at) and math.dist(at, other_at) <= near_mm
+    return sum((bool(color) and color == other_color, spot or (bool(pocket) and pocket == other_pocket), dt <= strict))
 
 
 def occlusion_reasons(cands: DataFrame, person: Column, cloth: Column, median: Column, share: float = 0.02, band=(0.55, 1.60)) -> DataFrame:

@@ -184,7 +184,7 @@ def streak_at_least(df: DataFrame, links: DataFrame, depth: int, name: str = "st
     return out
 
 
-def streak_length(df: DataFrame, links: DataFrame, name: str = "streak", rounds: int = 40) -> DataFrame:
+def streak_length(df: DataFrame, links: DataFrame, name: str = "streak", rounds: int = 62) -> DataFrame:
     """Exact streak length by pointer doubling: ceil(log2(longest)) rounds, lineage cut per round."""
     from ..session import cut_lineage
     cur = df.select("id").join(links, "id", "left").select(
@@ -196,6 +196,8 @@ def streak_length(df: DataFrame, links: DataFrame, name: str = "streak", rounds:
         far = cur.select(F.col("id").alias("up"), F.col("up").alias("_u"), F.col("len").alias("_l"))
         cur = cut_lineage(cur.join(far, "up", "left").select(
             "id", F.col("_u").alias("up"), (F.col("len") + F.coalesce(F.col("_l"), F.lit(1)) - 1).alias("len")))
+    else:
+        raise ValueError("the links do not end: a row cannot follow itself")
     return df.join(cur.select("id", F.col("len").alias(name)), "id")
 
 

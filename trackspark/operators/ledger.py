@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -96,8 +97,8 @@ def build_brackets(entrants: DataFrame) -> DataFrame:
                     F.when(~first, 2 * F.col("slot")).alias("parent_a"), F.when(~first, 2 * F.col("slot") + 1).alias("parent_b"))
 
 
-def propagate(bracket: DataFrame, results: DataFrame, absent: DataFrame, rounds: int = 7) -> DataFrame:
-    """Winners climb from their parents round by round (at most 7 rounds for 128 entrants).
+def propagate(bracket: DataFrame, results: DataFrame, absent: DataFrame) -> DataFrame:
+    """Winners climb from their parents round by round, as many rounds as the deepest bracket has.
 
     results: tournament, round, slot, winner_side (0/1), result.  A side alone completes as a
     bye; a full match without a result is scheduled, or delayed when an entrant is absent.
@@ -117,7 +118,8 @@ def propagate(bracket: DataFrame, results: DataFrame, absent: DataFrame, rounds:
     # each round feeds the next and the result: written once, so no round is computed twice
     cur = cut_lineage(settle(bracket.filter("round = 1").select("tournament", "round", "slot", "side_a", "side_b", F.lit(True).alias("ready"))))
     out = cur
-    for r in range(2, rounds + 1):
+    rounds = bracket.agg(F.max("round")).first()[0] or 0
+    for _ in range(2, rounds + 1):
         fed = cur.groupBy("tournament", (F.col("round") + 1).alias("round"), F.expr("slot div 2").alias("slot")).agg(
             F.max(F.when(F.col("slot") % 2 == 0, F.col("winner"))).alias("side_a"), F.max(F.when(F.col("slot") % 2 == 1, F.col("winner"))).alias("side_b"),
             F.bool_and(F.col("status") == "complete").alias("ready"), F.count(F.lit(1)).alias("_n")).filter("_n = 2")
@@ -173,50 +175,64 @@ def backfill(rows: DataFrame) -> DataFrame:
     return rows.withColumn("refusal", refusal).withColumn("status", F.when(F.col("refusal").isNull(), "complete"))
 
 
-def apply_match_event(state: dict, e: dict, race_to: int, tables: int) -> str:
-    """One match event against the state of its tournament; the answer is '' or the refusal."""
-    m = state.setdefault(e["match"], {"status": "scheduled", "score": (0, 0), "absent": set(), "table": None, "winner": None})
-    if m["status"] == "complete":
-        return "not editable"
-    kind = e["action"]
-    if kind == "schedule":
-        if m["absent"]:
-            return "absent player"
-        busy = {o["table"] for k, o in state.items() if k != e["match"] and o["status"] == "live"}
-        table = e["table"] or next((n for n in range(1, tables + 1) if n not in busy), None)
-        if table is None:
-            return "all tables in use"
-        if table in busy:
-            return "table occupied"
-        m.update(table=table, status="live")
-    elif kind == "unschedule":
-        if m["status"] != "live":
-            return "not on a table"
-        m.update(table=None, status="scheduled")
-    elif kind == "score":
-        if m["status"] != "live":
-            return "schedule before scoring"
-        score = (e["a"], e["b"])
-        if not all(0 <= v <= race_to for v in score):
-            return "score out of range"
-        if score == (race_to, race_to):
-            return "both cannot win"
-        m["score"] = score
-    elif kind == "absence":
-        (m["absent"].add if e["flag"] else m["absent"].discard)(e["side"])
-        m.update(status="delayed" if m["absent"] else "scheduled", table=None)
-    elif kind in ("complete", "forfeit"):
-        if kind == "complete":
-            a, b = m["score"]
-            if m["status"] != "live" or max(a, b) != race_to or a == b:
-                return "race-winning score required"
-            winner = 0 if a > b else 1
-        else:
-            winner = 1 - e["side"]
-        m.update(status="complete", winner=winner, table=None)
-    else:
-        return "unknown action"
-    return ""
+class Match(NamedTuple):
+    """One match of a night: its place in the evening, never changed in place."""
+
+    status: str = "scheduled"
+    score: tuple[int, int] = (0, 0)
+    absent: frozenset = frozenset()
+    table: int | None = None
+    winner: int | None = None
+
+
+class House(NamedTuple):
+    """What the rules of a night depend on beside the match itself."""
+
+    race_to: int
+    tables: int
+    busy: frozenset
+
+    def table_for(self, asked: int | None) -> int | None:
+        return asked or min(set(range(1, self.tables + 1)) - self.busy, default=None)
+
+    def won(self, m: Match) -> bool:
+        return m.status == "live" and sorted(m.score)[1] == self.race_to > sorted(m.score)[0]
+
+
+# Per action: the demands in the order they are answered, and what the match becomes when all hold.
+# The refusals are outputs.
+DEMANDS: dict[str, list[tuple[Callable, str]]] = {
+    "schedule": [(lambda m, e, h: not m.absent, "absent player"), (lambda m, e, h: h.table_for(e["table"]) is not None, "all tables in use"),
+                 (lambda m, e, h: h.table_for(e["table"]) not in h.busy, "table occupied")],
+    "unschedule": [(lambda m, e, h: m.status == "live", "not on a table")],
+    "score": [(lambda m, e, h: m.status == "live", "schedule before scoring"), (lambda m, e, h: 0 <= min(e["a"], e["b"]) and max(e["a"], e["b"]) <= h.race_to, "score out of range"),
+              (lambda m, e, h: min(e["a"], e["b"]) < h.race_to, "both cannot win")],
+    "absence": [],
+    "complete": [(lambda m, e, h: h.won(m), "race-winning score required")],
+    "forfeit": [],
+}
+BECOMES: dict[str, Callable] = {
+    "schedule": lambda m, e, h: m._replace(status="live", table=h.table_for(e["table"])),
+    "unschedule": lambda m, e, h: m._replace(status="scheduled", table=None),
+    "score": lambda m, e, h: m._replace(score=(e["a"], e["b"])),
+    "absence": lambda m, e, h: _with_absence(m, m.absent | {e["side"]} if e["flag"] else m.absent - {e["side"]}),
+    "complete": lambda m, e, h: m._replace(status="complete", winner=int(m.score[1] > m.score[0]), table=None),
+    "forfeit": lambda m, e, h: m._replace(status="complete", winner=1 - e["side"], table=None),
+}
+
+
+def _with_absence(m: Match, absent: frozenset) -> Match:
+    return m._replace(absent=absent, status="delayed" if absent else "scheduled", table=None)
+
+
+def next_match(m: Match, e: dict, house: House) -> tuple[Match, str]:
+    """The match after one event, and '' or the first demand that was not met (the match then stays)."""
+    if m.status == "complete":
+        return m, "not editable"
+    if e["action"] not in DEMANDS:
+        return m, "unknown action"
+    refusal = next((why for holds, why in DEMANDS[e["action"]] if not holds(m, e, house)), "")
+    return (m, refusal) if refusal else (BECOMES[e["action"]](m, e, house), "")
 
 
 REPLAY_FIELDS = ("match", "action", "table", "a", "b", "side", "flag")
@@ -232,9 +248,10 @@ def replay(events: DataFrame, key: str = "night", order: Sequence[str] = ("us",
     def step(state, pdf):
         out = []
         for e in pdf[list(REPLAY_FIELDS)].to_dict("records"):
-            why = apply_match_event(state, e, race_to, tables)
-            m = state[e["match"]]
-            out.append((why, m["status"], m["score"][0], m["score"][1], m["winner"]))
+            busy = frozenset(m.table for k, m in state.items() if k != e["match"] and m.status == "live")
+            m, why = next_match(state.get(e["match"], Match()), e, House(race_to, tables, busy))
+            state[e["match"]] = m
+            out.append((why, m.status, *m.score, m.winner))
         got = pd.DataFrame(out, columns=["refusal", "status", "score_a", "score_b", "winner"]).astype({"winner": "Int64"})
         return pd.concat([pdf[[key, "event_id", "match"]].reset_index(drop=True), got], axis=1)
     cols = list(dict.fromkeys([key, "event_id", *order, *REPLAY_FIELDS]))

@@ -313,14 +313,14 @@ def a37(spark, sf):
 
 
 @query("j2_resolve_segment", B.sql("""
-, e AS (SELECT event_id, dataset % 4 AS dataset, CASE WHEN event_id%97=0 THEN NULL ELSE t END AS t FROM series),
+, e AS (SELECT event_id, dataset // 5 AS dataset, CASE WHEN event_id%97=0 THEN NULL ELSE t END AS t FROM series),
 k AS (SELECT e.*, g.seg, coalesce(t BETWEEN t_start AND t_end, false) AS inside, row_number() OVER (PARTITION BY event_id ORDER BY
   coalesce(t BETWEEN t_start AND t_end, false) DESC, CASE WHEN t IS NULL OR t BETWEEN t_start AND t_end THEN 0 ELSE least(abs(t-t_start),abs(t-t_end)) END, t_start) AS rn
  FROM e JOIN segments g USING (dataset))
 SELECT event_id, seg, NOT inside AS clamped, CASE WHEN t IS NULL THEN 'no_time' WHEN NOT inside THEN 'outside_all_segments' END AS clamp_reason FROM k WHERE rn=1""".lstrip()[1:],
  "series", "segments"))
 def j2(spark, sf):
-    e = B.series(spark, sf).select("event_id", (F.col("dataset") % 4).alias("dataset"), F.when(F.col("event_id") % 97 != 0, F.col("t")).alias("t"))
+    e = B.series(spark, sf).select("event_id", F.expr("dataset div 5L").alias("dataset"), F.when(F.col("event_id") % 97 != 0, F.col("t")).alias("t"))
     return C.resolve_segment(e, B.segments(spark, sf)).select("event_id", F.col("segment.seg").alias("seg"), "clamped", "clamp_reason")
 
 

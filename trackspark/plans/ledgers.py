@@ -68,24 +68,24 @@ def p24(spark, sf):
 
 
 @query("j21_audit_of", """
-WITH ids AS (SELECT 'n'||(l_orderkey%200) AS id FROM lineitem UNION SELECT 'm'||l_orderkey FROM lineitem UNION SELECT 'e'||c_custkey FROM customer),
+WITH ids AS (SELECT 'n'||(l_orderkey//75) AS id FROM lineitem UNION SELECT 'm'||l_orderkey FROM lineitem UNION SELECT 'e'||c_custkey FROM customer),
 e AS (SELECT o_orderkey, CASE o_orderkey%4 WHEN 0 THEN 'n'||(o_orderkey%300) WHEN 1 THEN 'm'||(o_orderkey*2) WHEN 2 THEN 'e'||o_custkey ELSE 'x'||o_orderkey END AS id FROM orders)
 SELECT o_orderkey, e.id, e.id IN (SELECT id FROM ids) AS belongs FROM e""")
 def j21(spark, sf):
     l, c = B.table(spark, sf, "lineitem"), B.table(spark, sf, "customer")
-    ids = l.select(F.expr("concat('n', l_orderkey % 200)").alias("id")).unionByName(l.select(F.expr("concat('m', l_orderkey)").alias("id"))).unionByName(c.select(F.expr("concat('e', c_custkey)").alias("id")))
+    ids = l.select(F.expr("concat('n', l_orderkey div 75)").alias("id")).unionByName(l.select(F.expr("concat('m', l_orderkey)").alias("id"))).unionByName(c.select(F.expr("concat('e', c_custkey)").alias("id")))
     e = B.table(spark, sf, "orders").select("o_orderkey", F.expr("case o_orderkey % 4 when 0 then concat('n', o_orderkey % 300) when 1 then concat('m', o_orderkey * 2) when 2 then concat('e', o_custkey) else concat('x', o_orderkey) end").alias("id"))
     return L.audit_of(e, ids)
 
 
 @query("j22_link_sources", """
-WITH s AS (SELECT l_orderkey%200 AS night, l_partkey%50 AS vod, min(l_partkey) AS s0, max(l_partkey+l_suppkey) AS e0 FROM lineitem GROUP BY ALL),
-k AS (SELECT o_orderkey%200 AS night, o_custkey%50 AS vod, min(CASE WHEN o_orderkey%3>0 THEN o_custkey END) AS s1, min(CASE WHEN o_orderkey%3>0 THEN o_custkey+100 END) AS e1 FROM orders GROUP BY ALL)
+WITH s AS (SELECT l_orderkey//75 AS night, l_partkey%50 AS vod, min(l_partkey) AS s0, max(l_partkey+l_suppkey) AS e0 FROM lineitem GROUP BY ALL),
+k AS (SELECT o_orderkey//75 AS night, o_custkey%50 AS vod, min(CASE WHEN o_orderkey%3>0 THEN o_custkey END) AS s1, min(CASE WHEN o_orderkey%3>0 THEN o_custkey+100 END) AS e1 FROM orders GROUP BY ALL)
 SELECT coalesce(s.night,k.night) AS night, coalesce(s.vod,k.vod) AS vod, coalesce(s1,s0) AS start_s, coalesce(e1,e0) AS end_s, CASE WHEN k.night IS NULL THEN 'adopted' ELSE 'link' END AS origin FROM s FULL JOIN k ON s.night=k.night AND s.vod=k.vod""")
 def j22(spark, sf):
-    s = B.table(spark, sf, "lineitem").select((F.col("l_orderkey") % 200).alias("night"), (F.col("l_partkey") % 50).alias("vod"), F.col("l_partkey").alias("start_s"), (F.col("l_partkey") + F.col("l_suppkey")).alias("end_s"))
+    s = B.table(spark, sf, "lineitem").select(F.expr("l_orderkey div 75L").alias("night"), (F.col("l_partkey") % 50).alias("vod"), F.col("l_partkey").alias("start_s"), (F.col("l_partkey") + F.col("l_suppkey")).alias("end_s"))
     known = F.col("o_orderkey") % 3 > 0
-    k = B.table(spark, sf, "orders").select((F.col("o_orderkey") % 200).alias("night"), (F.col("o_custkey") % 50).alias("vod"), F.when(known, F.col("o_custkey")).alias("start_s"), F.when(known, F.col("o_custkey") + 100).alias("end_s"))
+    k = B.table(spark, sf, "orders").select(F.expr("o_orderkey div 75L").alias("night"), (F.col("o_custkey") % 50).alias("vod"), F.when(known, F.col("o_custkey")).alias("start_s"), F.when(known, F.col("o_custkey") + 100).alias("end_s"))
     return L.link_sources(k, s)
 
 
@@ -194,10 +194,10 @@ def v1(spark, sf):
 
 
 @query("v2_check_unique", """
-SELECT 'one_live_match_per_table' AS rule, (l_orderkey%200)||'|'||(l_partkey%40) AS key, count(*) AS n FROM lineitem WHERE l_linestatus='O' GROUP BY l_orderkey%200, l_partkey%40 HAVING count(*)>1
+SELECT 'one_live_match_per_table' AS rule, (l_orderkey//75)||'|'||(l_partkey%40) AS key, count(*) AS n FROM lineitem WHERE l_linestatus='O' GROUP BY l_orderkey//75, l_partkey%40 HAVING count(*)>1
 UNION ALL SELECT 'name_key', lower(trim(p_name)), count(*) FROM part GROUP BY lower(trim(p_name)) HAVING count(*)>1""")
 def v2(spark, sf):
-    l = B.table(spark, sf, "lineitem").select((F.col("l_orderkey") % 200).alias("night"), (F.col("l_partkey") % 40).alias("table"), "l_linestatus")
+    l = B.table(spark, sf, "lineitem").select(F.expr("l_orderkey div 75L").alias("night"), (F.col("l_partkey") % 40).alias("table"), "l_linestatus")
     p = B.table(spark, sf, "part").select(F.lower(F.trim("p_name")).alias("k"))
     return V.check_unique(l, "one_live_match_per_table", ["night", "table"], F.col("l_linestatus") == "O").unionByName(V.check_unique(p, "name_key", ["k"]))
 

@@ -46,7 +46,7 @@ def r2(spark, sf):
     return R.drain(R.latency_summary(e, "color", "value", ["us", "event_id"]))
 
 
-STAGES = """SELECT event_id, user_id%16 AS source, CASE WHEN event_id%2=0 THEN value END AS table_value, CASE WHEN event_id%5=0 THEN event_type END AS person, concat_ws('+', CASE WHEN event_id%2=0 THEN 'table_value' END, CASE WHEN event_id%5=0 THEN 'person' END) AS ran,
+STAGES = """SELECT event_id, user_id//9 AS source, CASE WHEN event_id%2=0 THEN value END AS table_value, CASE WHEN event_id%5=0 THEN event_type END AS person, concat_ws('+', CASE WHEN event_id%2=0 THEN 'table_value' END, CASE WHEN event_id%5=0 THEN 'person' END) AS ran,
  CASE WHEN event_id%2=0 AND value>60 THEN 'table_value' WHEN event_id%5=0 AND (event_id%40>33 OR CASE WHEN event_id%2=0 THEN value ELSE 0 END + event_id%40>70) THEN 'person' END AS overrun FROM events"""
 
 
@@ -56,23 +56,23 @@ def r3(spark, sf):
               U.Stage("person", lambda d: F.col("event_type"), lambda d: F.col("event_id") % 40, every=5, budget_ms=33.0)]
     out = U.run_stages(events(spark, sf), stages, "event_id", 70.0)
     # a total above the frame budget on the first stage is already its own overrun (60 < 70)
-    return R.drain(out.select("event_id", (F.col("user_id") % 16).alias("source"), "table_value", "person", F.array_join("ran", "+").alias("ran"), "overrun"))
+    return R.drain(out.select("event_id", F.expr("user_id div 9L").alias("source"), "table_value", "person", F.array_join("ran", "+").alias("ran"), "overrun"))
 
 
 @query("r4_stream_pots", B.sql("""
 , p AS (SELECT *, lag(us) OVER (PARTITION BY dataset, color ORDER BY us, event_id) AS pu FROM detections), r AS (SELECT *, sum(CASE WHEN us-pu<1800000000 THEN 0 ELSE 1 END) OVER (PARTITION BY dataset, color ORDER BY us, event_id) AS run FROM p),
 s AS (SELECT dataset, color, min(us) AS start_us, max(us)+1800000000 AS end_us, count(*) AS n, max(score) AS peak FROM r GROUP BY dataset, color, run), m AS (SELECT max(us) AS mx FROM detections)
-SELECT dataset, color, start_us, n, peak, CASE WHEN end_us+3600000000<=mx THEN 'pot' ELSE 'unknown' END AS status FROM s, m WHERE end_us//1000<=mx//1000""".lstrip()[1:], "detections"))
+SELECT dataset, color, start_us, n, peak, CASE WHEN end_us+3600000000<=mx THEN 'pot' ELSE 'unknown' END AS status, CASE WHEN end_us+3600000000<=mx THEN 'persistence_clear' ELSE 'no_persistence_window' END AS reason FROM s, m""".lstrip()[1:], "detections"))
 def r4(spark, sf):
-    e = events(spark, sf).select((F.col("user_id") % 4).alias("dataset"), F.col("event_type").alias("color"), "ts", (F.col("event_id") * 17 % 101 / 100.0).alias("score"))
-    s = R.drain(R.activity_sessions(e, ["dataset", "color"], "30 minutes"))
+    e = events(spark, sf).select(F.expr("user_id div 38L").alias("dataset"), F.col("event_type").alias("color"), "ts", (F.col("event_id") * 17 % 101 / 100.0).alias("score"))
+    s = R.drain(R.activity_sessions(e, ["dataset", "color"], "30 minutes"), "complete")
     d = B.detections(spark, sf).agg(F.timestamp_micros(F.max("us")).alias("mx"))
     out = R.stream_pots(s.crossJoin(d), "mx", 3600.0)
-    return out.select("dataset", "color", F.unix_micros("start_ts").alias("start_us"), "n", "peak", "status")
+    return out.select("dataset", "color", F.unix_micros("start_ts").alias("start_us"), "n", "peak", "status", "reason")
 
 
 def tracker_input(df):
-    return df.select((F.col("user_id") % 4).alias("dataset"), ((F.col("us") - F.col("us") % B.FRAME_US) / B.FRAME_US).cast("long").alias("frame_no"), "us", "event_id",
+    return df.select(F.expr("user_id div 38L").alias("dataset"), ((F.col("us") - F.col("us") % B.FRAME_US) / B.FRAME_US).cast("long").alias("frame_no"), "us", "event_id",
                      (((F.col("event_id") * 37 + F.col("user_id") * 11) % 127) * 10.0).alias("x"), (((F.col("event_id") * 91 + F.col("user_id") * 53) % 254) * 10.0).alias("y"),
                      F.col("event_type").alias("color"), ((F.col("event_id") * 17) % 101 / 100.0).alias("conf"), (F.col("event_id") % 41 == 0).alias("hidden"))
 
@@ -83,20 +83,20 @@ def r5(spark, sf):
 
 
 @query("r6_register_identities", """
-WITH f AS (SELECT vec_id, vec_id%2 AS role, vec_id%25 AS track FROM embeddings), m AS (SELECT role, track, min(vec_id) AS first FROM f GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY first) AS cluster FROM m)
-SELECT f.role, f.vec_id AS event_id, k.cluster FROM f JOIN k USING (role, track)""")
+WITH f AS (SELECT vec_id, vec_id//100 AS camera, vec_id%10 AS track FROM embeddings), m AS (SELECT camera, track, min(vec_id) AS first FROM f GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY first) AS cluster FROM m)
+SELECT f.camera, f.vec_id AS event_id, k.cluster FROM f JOIN k USING (camera, track)""")
 def r6(spark, sf):
     e = R.replay_table(spark, sf, "embeddings")
-    o = e.select((F.col("vec_id") % 2).alias("role"), (F.col("vec_id") % 25).alias("track"), F.col("embedding").cast("array<double>").alias("vec"), F.col("vec_id").alias("event_id"), F.col("label").cast("long").alias("player"),
+    o = e.select(F.expr("vec_id div 100L").alias("camera"), (F.col("vec_id") % 10).alias("track"), F.col("embedding").cast("array<double>").alias("vec"), F.col("vec_id").alias("event_id"), F.col("label").cast("long").alias("player"),
                  ((F.col("vec_id") % 10) / 10.0).alias("sim"), ((F.col("vec_id") % 7) / 10.0).alias("runner_up"))
-    return R.drain(R.register_identities(o, "role")).select("role", "event_id", "cluster")
+    return R.drain(R.register_identities(o, "camera")).select("camera", "event_id", "cluster")
 
 
 @query("r7_board_changes", """
-WITH b AS (SELECT user_id%16 AS night, event_id, epoch_us(ts) AS us, md5(floor(value/50)::BIGINT::VARCHAR) AS digest FROM events), l AS (SELECT *, lag(digest) OVER (PARTITION BY night ORDER BY us, event_id) AS pd FROM b)
+WITH b AS (SELECT user_id//9 AS night, event_id, epoch_us(ts) AS us, md5(floor(value/50)::BIGINT::VARCHAR) AS digest FROM events), l AS (SELECT *, lag(digest) OVER (PARTITION BY night ORDER BY us, event_id) AS pd FROM b)
 SELECT night, event_id, digest FROM l WHERE pd IS NULL OR pd<>digest""")
 def r7(spark, sf):
-    b = events(spark, sf).select((F.col("user_id") % 16).alias("night"), "us", "event_id", F.md5(F.floor(F.col("value") / 50).cast("string")).alias("digest"))
+    b = events(spark, sf).select(F.expr("user_id div 9L").alias("night"), "us", "event_id", F.md5(F.floor(F.col("value") / 50).cast("string")).alias("digest"))
     return R.drain(R.board_changes(b, "night", ["us", "event_id"]))
 
 
@@ -108,7 +108,7 @@ def r8(spark, sf):
 
 
 @query("r9_source_delay", """
-SELECT user_id%16 AS source, round((1706745600000000-max(epoch_us(ts)+event_id%7*1000000))/1e6,6) AS delay_s FROM events GROUP BY ALL""")
+SELECT user_id//9 AS source, round((1706745600000000-max(epoch_us(ts)+event_id%7*1000000))/1e6,6) AS delay_s FROM events GROUP BY ALL""")
 def r9(spark, sf):
-    s = events(spark, sf).select((F.col("user_id") % 16).alias("source"), F.col("us").alias("program_us"), (F.col("event_id") % 7 * 1000000).alias("duration_us"))
+    s = events(spark, sf).select(F.expr("user_id div 9L").alias("source"), F.col("us").alias("program_us"), (F.col("event_id") % 7 * 1000000).alias("duration_us"))
     return rounded(R.drain(R.source_delay(s, "source", F.lit(1706745600000000)), "complete"))

@@ -31,10 +31,13 @@ def build_session(app: str = "trackspark", cores: str | int = "*", partitions: i
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names, or a local one where none is set (tests)."""
+    # local-cluster has executors of its own, so it needs a shared folder like any cluster
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if named is None and spark.sparkContext.getCheckpointDir() is None:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="trackspark-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)

@@ -11,11 +11,13 @@ import pickle
 import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import UNKNOWN
 from ..operators.kernels import stream_fold
 from ..session import checkpoint_dir, ship_package
 
@@ -48,14 +50,8 @@ def drain(df: DataFrame, mode: str = "append") -> DataFrame:
     def sink(batch: DataFrame, batch_id: int) -> None:
         part = "all" if mode == "complete" else f"batch={batch_id}"
         batch.write.mode("overwrite").parquet(f"{root}/out/{part}")
-    # state partitions are fixed at the first batch and AQE cannot merge them: follow the cores at hand
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
-    try:
-        q = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-        q.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    q = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
     got = spark.read.schema(df.schema).parquet(f"{root}/out/all" if mode == "complete" else f"{root}/out")
     return got.select(*df.columns)
 
@@ -97,9 +93,14 @@ def latency_summary(samples: DataFrame, key: str, value: str, order: Sequence[st
                  f"{key} {kind}, event_id long, count long, p50 double, p95 double, max double, last double")
 
 
-def activity_sessions(events: DataFrame, keys: Sequence[str], gap: str, ts: str = "ts") -> DataFrame:
-    """Sessions of activity; in a stream only those the watermark has closed are emitted."""
-    e = events.withWatermark(ts, "0 seconds") if events.isStreaming else events
+def activity_sessions(events: DataFrame, keys: Sequence[str], gap: str, ts: str = "ts", delay: str | None = None) -> DataFrame:
+    """Sessions of activity, open ones included.
+
+    With ``delay`` a stream emits a session once the watermark closes it and drops rows that
+    come later still; without, all sessions are kept up to date (complete output), so none is
+    lost at the end of data and files may come in any order.
+    """
+    e = events.withWatermark(ts, delay) if events.isStreaming and delay else events
     return e.groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("peak")).select(
         *keys, F.col("w.start").alias("start_ts"), F.col("w.end").alias("end_ts"), "n", "peak")
 
@@ -148,97 +149,119 @@ def assign_min_cost(cost: list[list[float]]) -> dict[int, int]:
     return {c: r for r, c in pairs.items()} if flip else pairs
 
 
+SEEN, IN_POCKET, HIDDEN, HIDDEN_TOO_LONG, OPEN, OVERDUE = "seen", "in_pocket", "hidden", "hidden_too_long", "open", "overdue"
+# What a slot becomes and says, by its status and what the frame shows of it.
+TURNS = {
+    ACTIVE: {SEEN: (ACTIVE, None), IN_POCKET: (POTTED, "potted"), HIDDEN: (OCCLUDED, "occluded"), OPEN: (COAST, None), OVERDUE: (LOST, "lost")},
+    COAST: {SEEN: (ACTIVE, "reacquired"), IN_POCKET: (POTTED, "potted"), HIDDEN: (OCCLUDED, "occluded"), OPEN: (COAST, None), OVERDUE: (LOST, "lost")},
+    OCCLUDED: {SEEN: (ACTIVE, "reacquired"), IN_POCKET: (POTTED, "potted"), HIDDEN: (OCCLUDED, None), HIDDEN_TOO_LONG: (LOST, "occlusion_expired"), OPEN: (COAST, None), OVERDUE: (LOST, "lost")},
+    LOST: {SEEN: (ACTIVE, "reacquired"), IN_POCKET: (POTTED, "potted"), HIDDEN: (LOST, None), OPEN: (COAST, None), OVERDUE: (LOST, None)},
+}
+
+
 class SlotTracker:
     """Fixed slots seeded by the first frame; gated exact assignment to constant-velocity predictions.
 
-    Rolling friction and cushions are not modelled: prediction is constant velocity.
+    Slots are rows of arrays.  Rolling friction and cushions are not modelled.  An unknown colour
+    fits any slot and never overwrites a known one; ``alike`` names colour pairs that may be
+    read for each other.  A position is hidden when a frame's occluder lies within ``shade`` of it
+    (by default one occluder hides the whole frame).
     """
 
     BIG = 1e6
 
-    def __init__(self, gate=55.0, slack=0.35, bootstrap=90.0, patience=1.5, hidden_patience=60.0, color_cost=40.0, pocket=62.0):
+    def __init__(self, gate=55.0, slack=0.35, bootstrap=90.0, patience=1.5, hidden_patience=60.0, color_cost=40.0, pocket=62.0, shade=math.inf, alike=()):
         self.gate, self.slack, self.bootstrap, self.patience = gate, slack, bootstrap, patience
-        self.hidden_patience, self.color_cost, self.pocket = hidden_patience, color_cost, pocket
-        self.slots: list[dict] = []
-
-    def observe(self, t: float, seen: list[tuple], hidden: bool) -> list[tuple]:
-        """seen: (x, y, color, conf).  Returns events (slot, kind, x, y)."""
-        if not self.slots:
-            self.slots = [dict(no=i, x=x, y=y, vx=0.0, vy=0.0, color=c, t=t, at=t, hits=1, status=ACTIVE, since=None) for i, (x, y, c, _) in enumerate(seen, 1)]
-            return [(s["no"], "seeded", s["x"], s["y"]) for s in self.slots]
-        out, taken = [], {}
-        if seen:
-            costs = [[self._cost(s, t, o) for o in seen] for s in self.slots]
-            taken = {r: c for r, c in assign_min_cost(costs).items() if costs[r][c] < self.BIG / 2}
-        for r, s in enumerate(self.slots):
-            out += self._accept(s, t, seen[taken[r]]) if r in taken else self._missed(s, t, hidden)
-        return out
-
-    def _cost(self, s, t, o):
-        if s["status"] == POTTED:
-            return self.BIG
-        dt = max(0.0, t - s["t"])
-        reach = self.gate + self.slack * math.hypot(s["vx"], s["vy"]) * dt
-        if s["hits"] < 2:
-            reach = max(reach, self.bootstrap)
-        d = math.hypot(o[0] - s["x"] - s["vx"] * (t - s["at"]), o[1] - s["y"] - s["vy"] * (t - s["at"]))
-        differs = s["color"] != o[2]
-        if d > reach or (differs and s["hits"] >= 2):
-            return self.BIG
-        return d + (self.color_cost if differs else 0.0) + (1.0 - o[3]) * 10.0
-
-    def _accept(self, s, t, o):
+        self.hidden_patience, self.color_cost, self.pocket, self.shade = hidden_patience, color_cost, pocket, shade
+        self.alike = {frozenset(p) for p in alike}
+        self.status: list[str] = []
+
+    def _seed(self, t, xy, colors):
+        n = len(xy)
+        self.xy, self.v, self.color = xy.copy(), np.zeros((n, 2)), list(colors)
+        self.seen_t, self.at_t, self.hits, self.since = np.full(n, t), np.full(n, t), np.ones(n, int), np.full(n, math.nan)
+        self.status = [ACTIVE] * n
+        return [(i + 1, "seeded", *map(float, xy[i])) for i in range(n)]
+
+    def _differs(self, a, b) -> bool:
+        return a != b and UNKNOWN not in (a, b)
+
+    def observe(self, t: float, seen: list[tuple], occluders: list[tuple]) -> list[tuple]:
+        """seen: (x, y, color, conf); occluders: (x, y).  Returns events (slot, kind, x, y); slot 0 is a sighting no slot took."""
+        xy = np.array([o[:2] for o in seen], float).reshape(-1, 2)
+        if not self.status:
+            return self._seed(t, xy, [o[2] for o in seen])
+        ahead = self.xy + self.v * (t - self.at_t)[:, None]
+        taken = self._assigned(t, ahead, xy, seen)
+        readings = self._readings(t, ahead, taken, occluders)
+        events = []
+        for i, reading in enumerate(readings):
+            if self.status[i] == POTTED:
+                continue
+            before = self.status[i]
+            self.status[i], said = TURNS[before][reading]
+            if reading is SEEN:
+                events += self._move(i, t, xy[taken[i]], seen[taken[i]][2], before is ACTIVE, said)
+                continue
+            self.xy[i], self.at_t[i] = ahead[i], t
+            self.since[i] = t if said == "occluded" else self.since[i]
+            if said:
+                events.append((i + 1, said, *map(float, ahead[i])))
+        free = sorted(set(range(len(seen))) - set(taken.values()))
+        return events + [(0, "unmatched", *map(float, xy[c])) for c in free]
+
+    def _assigned(self, t, ahead, xy, seen) -> dict[int, int]:
+        """Slot -> sighting of least total cost among the pairs inside the gates."""
+        if not len(xy):
+            return {}
+        away = np.hypot(*(xy[None, :, :] - ahead[:, None, :]).transpose(2, 0, 1))
+        reach = self.gate + self.slack * np.hypot(*self.v.T) * np.maximum(0.0, t - self.seen_t)
+        reach = np.where(self.hits < 2, np.maximum(reach, self.bootstrap), reach)
+        other = np.array([[self._differs(c, o[2]) for o in seen] for c in self.color])
+        strange = np.array([[d and frozenset((c, o[2])) not in self.alike for d, o in zip(row, seen)] for row, c in zip(other, self.color)])
+        barred = (away > reach[:, None]) | (strange & (self.hits >= 2)[:, None]) | np.array([s == POTTED for s in self.status])[:, None]
+        cost = np.where(barred, self.BIG, away + self.color_cost * other + 10.0 * (1.0 - np.array([o[3] for o in seen]))[None, :])
+        return {r: c for r, c in assign_min_cost(cost.tolist()).items() if not barred[r, c]}
+
+    def _readings(self, t, ahead, taken, occluders) -> list[str]:
+        pocketed = (np.hypot(*(ahead[:, None, :] - np.array(POCKETS)[None, :, :]).transpose(2, 0, 1)) <= self.pocket).any(1)
+        dark = np.array([any(math.dist(p, o) <= self.shade for o in occluders) for p in ahead.tolist()], bool)
         out = []
-        if s["status"] in (OCCLUDED, LOST, COAST):
-            out.append((s["no"], "reacquired", o[0], o[1]))
-            s["vx"] = s["vy"] = 0.0
-        elif t - s["t"] > 1e-6:
-            blend = 0.5 if s["hits"] >= 2 else 1.0
-            s["vx"] = blend * (o[0] - s["x"]) / (t - s["t"]) + (1 - blend) * s["vx"]
-            s["vy"] = blend * (o[1] - s["y"]) / (t - s["t"]) + (1 - blend) * s["vy"]
-        if s["color"] != o[2]:
-            out.append((s["no"], "color_mismatch", o[0], o[1]))
-        s.update(x=o[0], y=o[1], color=o[2], t=t, at=t, hits=s["hits"] + 1, status=ACTIVE, since=None)
+        for i in range(len(ahead)):
+            held = self.status[i] == OCCLUDED and t - self.since[i] > self.hidden_patience
+            out.append(SEEN if i in taken else IN_POCKET if pocketed[i] else (HIDDEN_TOO_LONG if held else HIDDEN) if dark[i] else OPEN if t - self.seen_t[i] <= self.patience else OVERDUE)
         return out
 
-    def _missed(self, s, t, hidden):
-        if s["status"] == POTTED:
-            return []
-        s["x"], s["y"], s["at"] = s["x"] + s["vx"] * (t - s["at"]), s["y"] + s["vy"] * (t - s["at"]), t
-        at = (s["no"], s["x"], s["y"])
-        if any(math.hypot(s["x"] - px, s["y"] - py) <= self.pocket for px, py in POCKETS):
-            s["status"] = POTTED
-            return [(at[0], "potted", *at[1:])]
-        if hidden:
-            if s["status"] == LOST:
-                return []
-            fresh = s["status"] != OCCLUDED
-            s["since"] = t if fresh else s["since"]
-            if t - s["since"] > self.hidden_patience:
-                s["status"] = LOST
-                return [(at[0], "occlusion_expired", *at[1:])]
-            s["status"] = OCCLUDED
-            return [(at[0], "occluded", *at[1:])] if fresh else []
-        if t - s["t"] <= self.patience:
-            s["status"] = COAST
-            return []
-        lost = s["status"] != LOST
-        s["status"] = LOST
-        return [(at[0], "lost", *at[1:])] if lost else []
+    def _move(self, i, t, xy, color, steady, said) -> list[tuple]:
+        """Take a sighting: speed is blended after a steady step and unknown after a gap."""
+        events = [(i + 1, said, *map(float, xy))] if said else []
+        dt = t - self.seen_t[i]
+        if not steady:
+            self.v[i] = 0.0
+        elif dt > 1e-6:
+            new = (xy - self.xy[i]) / dt
+            self.v[i] = new if self.hits[i] < 2 else (new + self.v[i]) / 2
+        if self._differs(self.color[i], color) and frozenset((self.color[i], color)) not in self.alike:
+            events.append((i + 1, "color_mismatch", *map(float, xy)))
+        self.color[i] = self.color[i] if color == UNKNOWN else color
+        self.xy[i], self.seen_t[i], self.at_t[i], self.since[i] = xy, t, t, math.nan
+        self.hits[i] += 1
+        return events
 
 
 def slot_tracker(obs: DataFrame, second: int, **config) -> DataFrame:
-    """Identity slots per recording; one event row per status change.
+    """Identity slots per recording; one event row per status change, and one per sighting that no slot took (slot 0).
 
-    obs: dataset, us, frame_no, event_id, x, y, color, conf, hidden.  Whole frames only:
-    frame rows of a key must not straddle micro-batches (the file source keeps them together).
+    obs: dataset, us, frame_no, event_id, x, y, color, conf, hidden (the sighting is also an
+    occluder).  Whole frames only: the rows of a frame must not straddle micro-batches.
     """
     def step(state, pdf):
         tracker, out = state.setdefault("tracker", SlotTracker(**config)), []
         for frame, rows in pdf.groupby("frame_no", sort=True):
             t = float(rows["us"].iloc[0]) / second
             seen = list(zip(rows["x"].astype(float), rows["y"].astype(float), rows["color"], rows["conf"].astype(float)))
-            for slot, kind, x, y in tracker.observe(t, seen, bool(rows["hidden"].any())):
+            dark = rows[rows["hidden"].astype(bool)]
+            for slot, kind, x, y in tracker.observe(t, seen, list(zip(dark["x"].astype(float), dark["y"].astype(float)))):
                 out.append((int(rows["dataset"].iloc[0]), int(frame), slot, kind, x, y))
         return pd.DataFrame(out, columns=["dataset", "frame_no", "slot", "kind", "x", "y"])
     cols = ["dataset", "frame_no", "us", "event_id", "x", "y", "color", "conf", "hidden"]
@@ -317,29 +340,48 @@ def _join_or_open(state, v, bar, margin):
 
 
 def board_changes(boards: DataFrame, key: str, order: Sequence[str], min_interval_us: int = 0) -> DataFrame:
-    """Emit a board only when the digest of its stable content changes, at a bounded rate."""
+    """Emit a board only when the digest of its stable content changes, at a bounded rate.
+
+    A change inside the interval is held and goes out, with its own id, once the interval is
+    over and the board still differs from the one shown; it is seen then at the next row.
+    """
     def step(state, pdf):
         out = []
-        for us, digest in zip(pdf["us"], pdf["digest"]):
-            emit = digest != state.get("digest") and ("us" not in state or us - state["us"] >= min_interval_us)
-            if emit:
-                state["digest"], state["us"] = digest, int(us)
-            out.append(emit)
-        return pdf[[key, "event_id", "digest"]].assign(emitted=out)[lambda d: d["emitted"]].drop(columns="emitted").reset_index(drop=True)
+        for us, eid, digest in zip(pdf["us"], pdf["event_id"], pdf["digest"]):
+            due = "us" not in state or us - state["us"] >= min_interval_us
+            held = state.get("held")
+            if held is not None and due:
+                out.append(held)
+                state.update(digest=held[1], us=state["us"] + min_interval_us, held=None)
+                due = us - state["us"] >= min_interval_us
+            if digest == state.get("digest"):
+                state["held"] = None
+            elif due:
+                out.append((eid, digest))
+                state.update(digest=digest, us=int(us), held=None)
+            else:
+                state["held"] = (eid, digest)
+        got = pd.DataFrame(out, columns=["event_id", "digest"])
+        got.insert(0, key, pdf[key].iloc[0])
+        return got
     return keyed(boards.select(key, "us", "event_id", "digest"), key, order, dict, step, f"{key} long, event_id long, digest string")
 
 
 def append_audit(posts: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One audit row per accepted revision; a post based on an older revision is refused, a repeated id ignored.
 
-    posts: key, event_id, us, behind (how many revisions the writer's base is behind).
+    posts: key, event_id, us, behind (how many revisions the writer's base is behind).  An id
+    counts once, at its first post, however many others came between.
     """
+    if posts.isStreaming:
+        posts = posts.dropDuplicates([key, "event_id"])
+    else:
+        first = W.partitionBy(key, "event_id").orderBy(*order)
+        posts = posts.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+
     def step(state, pdf):
         out = []
         for eid, behind in zip(pdf["event_id"], pdf["behind"]):
-            if eid == state.get("last_id"):
-                continue
-            state["last_id"] = eid
             base = state["revision"] - int(behind)
             if base == state["revision"]:
                 state["revision"] += 1
