@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from . import shingles
 from .records import by_pieces, bytes_and_offsets, id_and_text, staged
 
-ROWS, BANDS = 4, 48      # at similarity 0.75 a pair meets in 15 of 48 buckets on average, in none with probability 1e-8
+ROWS, BANDS = 6, 64      # at similarity 0.75 a pair meets in 11 of 64 buckets on average, in none with probability 4e-6
 SLOTS = ROWS * BANDS
 CENTRES = 4              # bands share so many choices of a bucket's centre
-DIRECT = 16              # a bucket of so many members may be compared in pairs
-DEPTH = 3                # bands that a large open bucket is refined by at most
+CELL_ROWS = 256          # members of an open bucket that a task compares at once with as many others ...
+CELL_BYTES = 1 << 20     # ... and about so many bytes of their sets
 SMALL = 1 << 20          # note ids (8 MB) that may be sent to all tasks; beyond it they are joined
 EMPTY = np.iinfo(np.uint64).max
 
@@ -73,12 +73,12 @@ def _sketch(part: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), bands], ["id", "n", "k1", "k2", "bands"])
 
 
-def _full_sets(notes: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
-    """``id, hashes`` (whole sets) of the named notes."""
+def _full_sets(notes: DataFrame, ids: DataFrame, kind: str, bits: int = 64) -> DataFrame:
+    """``id, hashes`` (whole sets, ``bits`` of each hash) of the named notes."""
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         value, offsets = shingles.sets(*bytes_and_offsets(part.column(1)))
-        raw = value.tobytes()
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[8 * a: 8 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())], ["id", "hashes"])
+        raw, step = value.astype(f"uint{bits}").tobytes(), bits // 8
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[step * a: step * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())], ["id", "hashes"])
 
     named = F.broadcast(ids) if ids.count() <= SMALL else ids
     return by_pieces(notes.join(named, "id", "left_semi"), work, f"id {kind}, hashes binary")
@@ -132,58 +132,68 @@ def _labelled(members: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component, with the bucket's ``size`` and ``first`` component."""
-    keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("first"), F.max("component").alias("_b")).filter("first <> _b").drop("_b")
+    """Members of buckets that hold more than one component, with the bucket's number of blocks."""
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / CELL_ROWS, F.sum("n") * 4 / CELL_BYTES)).cast("int")
+    keys = members.groupBy("key").agg(blocks.alias("blocks"), F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("key", "blocks")
     return members.join(keys, "key")
 
 
-def _fits(share: tuple[int, int]):
-    """Set sizes alone can rule a pair out."""
-    return F.least("n", "m") * share[1] >= F.greatest("n", "m") * share[0]
-
-
-def _pairs(left: DataFrame, right: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Distinct (a, b), a < b, of two member lists that meet in a bucket under different components."""
-    other = right.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("_c"))
-    met = left.select("key", F.col("rep").alias("a"), "n", "component").join(other, "key").filter((F.col("component") != F.col("_c")) & _fits(share))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def _star(members: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs of each bucket's centre with its members in other components."""
+    """Distinct pairs (a, b), a < b, of each bucket's centre with its members."""
     turn = F.pmod(F.col("key"), F.lit(CENTRES))
-    centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", turn).alias("h"), "rep", "n", "component")).alias("c")).select("key", "c.rep", "c.n", "c.component")
-    return _pairs(centre, members, share)
-
+    centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", turn).alias("h"), "rep", "n")).alias("c")).select("key", F.col("c.rep").alias("c"), F.col("c.n").alias("m"))
+    fits = F.least("n", "m") * share[1] >= F.greatest("n", "m") * share[0]  # set sizes alone rule other pairs out
+    met = members.join(centre, "key").filter((F.col("rep") != F.col("c")) & fits)
+    return met.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
 
-def _second_star(members: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """A star around a member outside the bucket's first component."""
-    centre = members.filter("component <> first").groupBy("key").agg(F.min(F.struct("rep", "n", "component")).alias("c")).select("key", "c.rep", "c.n", "c.component")
-    return _pairs(centre, members, share)
 
+def _rest(notes: DataFrame, left: DataFrame, share: tuple[int, int], kind: str) -> DataFrame:
+    """Pairs of open buckets that the stars left apart and that reach the similarity.
 
-def _rest(members: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """All remaining pairs of open buckets, without pairing a large bucket in itself.
-
-    Small buckets are compared in pairs.  A large one is split first: its members meet again only
-    where they share a second (third) open bucket, which similar notes do many times and notes
-    that merely share a passage rarely do.
+    A bucket is dealt into blocks of bounded size and every two blocks meet in a cell of their
+    own, where whole sets (32 bits of each hash, which can only add to a count) are compared
+    through the inverted lists of one side.  Pairs are made and judged inside the task; only those
+    that pass leave it, and they are confirmed on the full hashes like all others.
     """
-    out = None
-    level = members.withColumn("keys", F.array("key"))
-    for depth in range(1, DEPTH + 1):
-        small = level.filter(F.col("size") <= DIRECT) if depth < DEPTH else level
-        found = _pairs(small, small.select("key", "rep", "n", "component"), share)
-        out = found if out is None else out.union(found)
-        if depth == DEPTH:
-            break
-        large = level.filter(F.col("size") > DIRECT)
-        own = members.filter(F.col("size") > DIRECT).select("rep", "component", F.col("key").alias("_k"))
-        finer = large.drop("size", "key", "first").join(own, ["rep", "component"]).filter(F.col("_k") > F.element_at("keys", -1)).withColumn("keys", F.concat("keys", F.array("_k")))
-        level = staged(_open(finer.withColumn("key", F.xxhash64("keys")).drop("_k")), "near-finer")
-        if level.isEmpty():
-            break
-    return out.distinct()
+    ids = staged(left.select(F.col("rep").alias("id")).distinct(), "near-ids")
+    sets = _full_sets(notes, ids, kind, 32).withColumnRenamed("id", "rep")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = left.join(sets, "rep").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("rep", "component", "n", "block", "hashes")).alias("m"))
+
+    def work(batches):
+        for batch in batches:
+            for i, j, m in zip(*(batch.column(c) for c in range(3))):
+                pairs = _compare(m.values, i.as_py() == j.as_py(), share)
+                if pairs.num_rows:
+                    yield pairs
+
+    return cells.select("i", "j", "m").mapInArrow(work, f"a {kind}, b {kind}").distinct()
+
+
+def _compare(m: pa.StructArray, alone: bool, share: tuple[int, int]) -> pa.RecordBatch:
+    """Pairs of a cell in different components whose counts reach the similarity."""
+    rep, component, n, block = (m.field(c) for c in range(4))
+    _, component = np.unique(np.array(component.to_pylist(), object).astype(str), return_inverse=True)
+    n, block = n.to_numpy(zero_copy_only=False), block.to_numpy(zero_copy_only=False)
+    sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in m.field(4)]
+    common = np.bincount(component).argmax()
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    found = []
+    for x in np.flatnonzero(component != common):  # two members of the commonest component need no comparison
+        a, b = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
+        size = b - a
+        at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        shared = np.bincount(owner[at], minlength=len(sets))
+        good = (share[1] * shared >= share[0] * (n + n[x] - shared)) & (component != component[x])
+        if not alone:
+            good &= block != block[x]
+        found += [(min(p, q), max(p, q)) for p, q in ((rep[int(x)].as_py(), rep[int(y)].as_py()) for y in np.flatnonzero(good))]
+    found = sorted(set(found))
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], rep.type), pa.array([q for _, q in found], rep.type)], ["a", "b"])
 
 
 def near_duplicates(notes: DataFrame, *, share: tuple[int, int] = (75, 100), id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -196,10 +206,9 @@ def near_duplicates(notes: DataFrame, *, share: tuple[int, int] = (75, 100), id_
 
     Equal sets are one class before anything is compared.  Classes meet in buckets of equal
     bands; a bucket compares its members with a centre (one of four choices, so that groups are
-    tied together by several stars), links are confirmed on full sets, and only buckets that
-    still hold several components are looked at again: a star around another centre, then the
-    remaining pairs, large buckets split further before they are paired.  So pair counts follow
-    the number of members, and a link between unlike texts is lost only if no band shows it.
+    tied together by several stars), and links are confirmed on full sets.  Buckets that still hold
+    several components are finished exactly, block by block inside tasks.  So candidate pairs
+    follow the number of members, and a link between unlike texts is lost only if no band shows it.
 
     Null, empty or wordless texts have an empty set and are linked with nothing; rows with a null
     id are answered with a null component and stay; repeated rows are answered one by one; an
@@ -215,11 +224,9 @@ def near_duplicates(notes: DataFrame, *, share: tuple[int, int] = (75, 100), id_
     members = staged(banded.join(shared, "key").withColumn("component", F.col("rep")), "near-members")
     wanted = texts.filter("id IS NOT NULL AND text IS NOT NULL")
     links = _confirmed(wanted, _star(members, share), share, kind)
-    for step in (_second_star, _rest):
-        left = staged(_open(_labelled(members.drop("component"), components(links))), "near-open")
-        if left.isEmpty():
-            break
-        links = links.union(_confirmed(wanted, step(left, share), share, kind))
+    left = staged(_open(_labelled(members.drop("component"), components(links))), "near-open")
+    if not left.isEmpty():
+        links = links.union(_confirmed(wanted, _rest(wanted, left, share, kind), share, kind))
     top = components(links)
     own = classes.select("k1", "k2", F.col("n"), F.col("rep"))
     grouped = own.join(top.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
