@@ -33,6 +33,7 @@ ENCODINGS = {
 KINDS = (*BASE_KINDS, *ENCODINGS)
 LENGTH_CLASSES = (20, 28, 40, 64, 128)  # class = the largest of these a run reaches
 BINS = 40                               # quarter decades of the combined p-value
+PLAUSIBLE = 7                           # a run below p = 0.01 is not random, whatever the decoys say
 DECOY_BLOCK = 4096                      # characters of text per set of decoys
 CELLS = 8                               # equal cells of an alphabet in the uniformity test
 
@@ -147,7 +148,7 @@ def find_secrets(notes: DataFrame, *, rate: float = 0.01, keep_text: bool = True
     ``notes(id, text)`` are the workbench's notes (``text`` is returned if ``keep_text``).  Spans are code points, end exclusive.  The
     stated patterns (``assign``, ``access``, ``hex``) always stay.  Other long runs that mix
     letters and digits get the p-value of the randomness battery for the alphabet they fit; a run
-    is a secret when its p-value stays above the limit of its length class.  The limit is the
+    is a secret when its p-value is at least 0.01 and above the limit of its length class.  The limit is the
     lowest at which the expected share of ordinary text among the accepted runs is at most
     ``rate``: decoys of the same lengths, cut from the notes themselves, say how often ordinary
     text gets that far.  Counts of runs and decoys come from all notes and are a table of
@@ -205,7 +206,7 @@ def _limits(scanned: DataFrame, rate: float) -> list[int]:
         row = [counts.get(k * 64 + b, (0, 0)) for b in range(BINS + 1)]
         n_runs, n_decoys = sum(r for r, _ in row), sum(d for _, d in row)
         best, seen, wrong = -1, 0, 0
-        for b, (r, d) in enumerate(row):
+        for b, (r, d) in enumerate(row[: PLAUSIBLE + 1]):
             seen, wrong = seen + r, wrong + d
             if seen and n_decoys and (wrong + 1) / n_decoys * n_runs <= rate * seen:
                 best = b
