@@ -115,9 +115,8 @@ class OpenPool:
         return [(int(i), float(away[i]), float(dt[i])) for i in hit[np.argsort(away[hit], kind="stable")]]
 
 
-def _link(pool: OpenPool, t, x, y, color, source, cfg):
-    """(identity, residual, bridged) of one sighting against the open identities."""
-    bucket = round(t / cfg.bucket_s)
+def _link(pool: OpenPool, bucket, t, x, y, color, source, cfg):
+    """(identity, residual, bridged) of one sighting against the open identities; ``bucket`` is its frame, the same wherever an island starts."""
     for i, away, dt in pool.candidates(t, x, y):
         k = pool.ids[i]
         if k.bucket == bucket and source in k.seen:
@@ -148,8 +147,8 @@ def associate(obs: DataFrame, second: int, width: int, cfg: LinkConfig = LinkCon
     def step(state, pdf):
         rows = []
         t0 = state.setdefault("t0", int(pdf["us"].iloc[0]))
-        for us, x, y, c, s in zip(pdf["us"], pdf["x"], pdf["y"], pdf["color"], pdf["source"]):
-            k, away, bridged = _link(state["pool"], (int(us) - t0) / second, float(x), float(y), c, s, cfg)
+        for bucket, us, x, y, c, s in zip(pdf["bucket"], pdf["us"], pdf["x"], pdf["y"], pdf["color"], pdf["source"]):
+            k, away, bridged = _link(state["pool"], int(bucket), (int(us) - t0) / second, float(x), float(y), c, s, cfg)
             rows.append((k.tid, away, bridged))
         got = pd.DataFrame(rows, columns=["local", "residual_px", "bridged"])
         return pd.concat([pdf[["dataset", "island", "event_id", "us", "x", "y", "color"]].reset_index(drop=True), got], axis=1)
@@ -161,7 +160,11 @@ def associate(obs: DataFrame, second: int, width: int, cfg: LinkConfig = LinkCon
 
 
 def stitch(linked: DataFrame, second: int, cfg: LinkConfig) -> DataFrame:
-    """Re-join identities split by a short occlusion; works on one summary row per identity."""
+    """Re-join identities split by a short occlusion; works on one summary row per identity.
+
+    The first sighting of a re-joined piece is marked bridged, with its distance from where the
+    earlier piece pointed.
+    """
     import pandas as pd
 
     keys = ["dataset", "island", "local"]
@@ -171,7 +174,7 @@ def stitch(linked: DataFrame, second: int, cfg: LinkConfig) -> DataFrame:
     ends = linked.groupBy(*keys).agg(F.count(F.lit(1)).alias("hits"), F.min(p).alias("a"), F.max(p).alias("z"))
     prev = linked.join(ends.select(*keys, F.col("z.event_id").alias("_z")), keys).filter("event_id <> _z").groupBy(*keys).agg(F.max(p).alias("w"))
     tails = ends.join(prev, keys, "left").join(major, keys, "left").select(
-        *keys, "hits", F.col("a.us").alias("a_us"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("z.us").alias("z_us"), F.col("z.x").alias("zx"), F.col("z.y").alias("zy"),
+        *keys, "hits", F.col("a.event_id").alias("head"), F.col("a.us").alias("a_us"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("z.us").alias("z_us"), F.col("z.x").alias("zx"), F.col("z.y").alias("zy"),
         F.col("w.us").alias("w_us"), F.col("w.x").alias("wx"), F.col("w.y").alias("wy"), F.coalesce("major", F.lit(P.UNKNOWN)).alias("major"))
 
     def step(state, pdf):
@@ -180,7 +183,7 @@ def stitch(linked: DataFrame, second: int, cfg: LinkConfig) -> DataFrame:
         for r in pdf.to_dict("records"):
             t = r["a_us"]
             state["open"] = [k for k in state["open"] if t - k["z_us"] <= cfg.stitch_gap_s * second]
-            best = None
+            best = residual = None
             for k in sorted(state["open"], key=lambda o: o["z_us"]):
                 gap = (t - k["z_us"]) / second
                 if gap < cfg.bucket_s or (P.UNKNOWN not in (k["major"], r["major"]) and k["major"] != r["major"]):
@@ -190,7 +193,7 @@ def stitch(linked: DataFrame, second: int, cfg: LinkConfig) -> DataFrame:
                 away = math.hypot(k["zx"] + vx * gap - r["ax"], k["zy"] + vy * gap - r["ay"])
                 bar = (cfg.stitch_px + cfg.slack * math.hypot(vx, vy) * gap) if k["hits"] >= 2 else (cfg.bootstrap_px if gap <= cfg.bootstrap_dt_s else cfg.stitch_px)
                 if away <= bar:
-                    best = k
+                    best, residual = k, away
                     break
             root = best["root"] if best else r["local"]
             if best:
@@ -201,13 +204,15 @@ def stitch(linked: DataFrame, second: int, cfg: LinkConfig) -> DataFrame:
                 r["major"] = best["major"] if best["major"] != P.UNKNOWN else r["major"]
             r["root"] = root
             state["open"].append(r)
-            out.append((r["dataset"], r["island"], r["local"], root))
-        return pd.DataFrame(out, columns=["dataset", "island", "local", "root"])
-    roots = stream_fold(tails, ["dataset", "island"], ["a_us", "local"], lambda: {"open": []}, step, "dataset long, island long, local long, root long")
+            out.append((r["dataset"], r["island"], r["local"], root, r["head"] if best else None, residual))
+        return pd.DataFrame(out, columns=["dataset", "island", "local", "root", "head", "away"]).astype({"head": "Int64", "away": "Float64"})
+    roots = stream_fold(tails, ["dataset", "island"], ["a_us", "local"], lambda: {"open": []}, step, "dataset long, island long, local long, root long, head long, away double")
     counts = linked.groupBy("dataset", "island").agg(F.max("local").alias("n"))
     w = W.partitionBy("dataset").orderBy("island").rowsBetween(W.unboundedPreceding, -1)
     offs = counts.select("dataset", "island", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("off"))
-    return linked.join(roots, keys).join(offs, ["dataset", "island"]).withColumn("tid", F.col("off") + F.col("root")).drop("local", "root", "off")
+    joined = F.coalesce(F.col("event_id") == F.col("head"), F.lit(False))
+    return linked.join(roots, keys).join(offs, ["dataset", "island"]).withColumn("tid", F.col("off") + F.col("root")).withColumn(
+        "bridged", F.col("bridged") | joined).withColumn("residual_px", F.when(joined, F.col("away")).otherwise(F.col("residual_px"))).drop("local", "root", "off", "head", "away")
 
 
 def iou_tracklets(boxes: DataFrame, keys: Sequence[str], order: Sequence[str], mode: str = "burst", bar: float | None = None, grace: int = 3) -> DataFrame:

@@ -259,9 +259,10 @@ def prototypes(tracks: DataFrame, seeds: DataFrame, labels: Sequence[str] = ("A"
     return mean_vector(tracks.join(s, "tracklet").select("seed", "vec"), ["seed"], unit=True)
 
 
-def label_tracks(tracks: DataFrame, protos: DataFrame, margin: float = 0.05) -> DataFrame:
-    """Nearest prototype per row and its lead over the next one (a handful of prototypes)."""
-    sims = tracks.crossJoin(F.broadcast(protos.select("seed", F.col("vec").alias("_p")))).withColumn("_c", P.cosine(F.col("vec"), F.col("_p")))
+def label_tracks(tracks: DataFrame, protos: DataFrame, margin: float = 0.05, labels: Sequence[str] = ("A", "B")) -> DataFrame:
+    """Nearest prototype per row and its lead over the next one; ``labels`` bounds the prototypes to one row each."""
+    named = protos.filter(F.col("seed").isin(*labels)).groupBy("seed").agg(F.first("vec").alias("_p"))
+    sims = tracks.crossJoin(F.broadcast(named)).withColumn("_c", P.cosine(F.col("vec"), F.col("_p")))
     best = sims.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("_c")).alias("k"), "seed"))).alias("_r"))
     gap = F.get(F.col("_r"), F.lit(1))["k"] - F.col("_r")[0]["k"]
     return best.select("vec_id", F.col("_r")[0]["seed"].alias("label"), (-F.col("_r")[0]["k"]).alias("similarity"), gap.alias("gap"),

@@ -45,7 +45,17 @@ def w16(spark, sf):
     return a.join(g, ["dataset", "burst", "event_id"])
 
 
-@query("w17_dedupe_claims")
+@query("w17_dedupe_claims", B.sql("""
+, c AS (SELECT dataset, kind, us, event_id, color, CASE WHEN x%3=0 THEN 'head-left' END AS pocket, x*10.0::DOUBLE AS mx, y*10.0::DOUBLE AS my, lag(us) OVER (PARTITION BY dataset, kind ORDER BY us, event_id) AS pu FROM claims),
+i AS (SELECT *, sum(CASE WHEN us-pu<=7200000000 THEN 0 ELSE 1 END) OVER (PARTITION BY dataset, kind ORDER BY us, event_id) AS isl FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY dataset, kind, isl ORDER BY us, event_id) AS rn FROM i),
+fold AS (SELECT DISTINCT dataset, kind, isl, 0::BIGINT AS rn, []::STRUCT(g BIGINT, us BIGINT, color VARCHAR, pocket VARCHAR, mx DOUBLE, my DOUBLE)[] AS m, NULL::BIGINT AS id, NULL::BIGINT AS leader FROM o UNION ALL
+ SELECT dataset, kind, isl, rn, list_append(m, {'g':coalesce(g,rn),'us':us,'color':color,'pocket':pocket,'mx':mx,'my':my}), event_id, coalesce(g,rn) FROM (
+  SELECT f.dataset, f.kind, f.isl, o.rn, f.m, o.event_id, o.us, o.color, o.pocket, o.mx, o.my, list_min(list_transform(list_filter(f.m, lambda k: o.us-k.us<=7200000000 AND
+   (k.color=o.color)::INT + coalesce(k.pocket=o.pocket OR sqrt((k.mx-o.mx)*(k.mx-o.mx)+(k.my-o.my)*(k.my-o.my))<=200, sqrt((k.mx-o.mx)*(k.mx-o.mx)+(k.my-o.my)*(k.my-o.my))<=200)::INT + (o.us-k.us<=1800000000)::INT >= 2), lambda k: k.g)) AS g
+  FROM fold f JOIN o ON o.dataset=f.dataset AND o.kind=f.kind AND o.isl=f.isl AND o.rn=f.rn+1)),
+l AS (SELECT f.*, o.event_id AS leader_id, c.color FROM fold f JOIN o ON o.dataset=f.dataset AND o.kind=f.kind AND o.isl=f.isl AND o.rn=f.leader JOIN c ON c.event_id=f.id)
+SELECT leader_id AS event_id, kind, count(*) AS count, array_to_string(list_sort(list_distinct(list(color))), '+') AS colors FROM l GROUP BY leader_id, kind""".lstrip()[1:], "claims", recursive=True))
 def w17(spark, sf):
     c = B.claims(spark, sf).withColumn("pocket", F.when(F.col("x") % 3 == 0, "head-left")).withColumn("mx", F.col("x") * 10.0).withColumn("my", F.col("y") * 10.0)
     return A.dedupe_claims(c, SEC, WIDTH)
@@ -67,7 +77,12 @@ def w18(spark, sf):
     return A.prune_candidates(c, SEC, WIDTH)
 
 
-@query("w18_debounce")
+@query("w18_debounce", B.sql("""
+, o AS (SELECT dataset, us, event_id, kind, row_number() OVER (PARTITION BY dataset ORDER BY us, event_id) AS rn FROM claims),
+f AS (SELECT dataset, rn, event_id, us AS last_us, kind AS last_kind, true AS kept FROM o WHERE rn=1 UNION ALL
+ SELECT dataset, rn, event_id, CASE WHEN ok THEN us ELSE last_us END, CASE WHEN ok THEN kind ELSE last_kind END, ok FROM (
+  SELECT o.dataset, o.rn, o.event_id, o.us, o.kind, f.last_us, f.last_kind, o.us-f.last_us>=14400000000 OR o.kind<>f.last_kind AS ok FROM f JOIN o ON o.dataset=f.dataset AND o.rn=f.rn+1))
+SELECT dataset, event_id, kept FROM f""".lstrip()[1:], "claims", recursive=True))
 def w18d(spark, sf):
     return A.debounce(B.claims(spark, sf), SEC)
 
