@@ -13,6 +13,7 @@ HEADLINE = (
     "p2_project", "p6_pocket_membership", "j2_resolve_segment", "j1_asof_first", "j5_nearest_time", "j6_match_frames", "j10_match_truth", "a1_summary",
     "a7_build_census", "a8_window_summary", "a10_track_summary", "w2_running_median", "w9_census_drops", "w13_group_onsets", "g2_judge", "a16_summarize_verdicts",
     "j14_match_gallery", "a12_separation", "a21_pr_sweep", "w15_associate", "a18_standings", "a19_head_to_head", "b1_build_brackets", "v2_check_unique", "a30_fingerprint",
+    "w17_dedupe_claims", "w18_prune_candidates", "b2_propagate", "b5_replay", "r2_latency_summary", "r4_stream_pots", "r8_append_audit",
 )
 
 

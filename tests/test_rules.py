@@ -257,3 +257,40 @@ def test_dense_pots_in_order(spark):
     assert [(r.track_id, r.status, r.reason) for r in out] == [
         (1, "pot", "inside_pocket_persistence_clear"), (2, "rejected", "disappeared_outside_pocket"), (3, "unknown", "pocket_distance_within_uncertainty"),
         (4, "unknown", "reappeared_after_gap_inside_pocket"), (4, "unknown", "at_rest_inside_pocket_radius"), (5, "unknown", "at_rest_inside_pocket_radius")]
+
+
+def test_deep_brackets_climb_to_a_single_champion(spark):
+    entrants = spark.range(600).select(F.lit(1).cast("long").alias("tournament"), F.col("id").alias("entrant"), F.col("id").alias("position"))
+    bracket = L.build_brackets(entrants)
+    results = bracket.select("tournament", "round", "slot", F.lit(0).alias("winner_side"), F.lit("played").alias("result"))
+    done = L.propagate(bracket, results, entrants.limit(0))
+    assert done.count() == bracket.count() == 1023 and done.agg(F.max("round")).first()[0] == 10
+    assert L.tournament_status(done).first().complete
+
+
+def test_open_sessions_survive_files_out_of_order(spark, tmp_path):
+    rows = [("a", t, 0.5) for t in (0, 600, 10_000)] + [("b", 9_900, 0.1)]
+    df = spark.createDataFrame(rows, "color string, s long, score double").select("color", F.timestamp_seconds("s").alias("ts"), "score")
+    for part in (df.filter("color = 'b' or score > 0.4 and unix_seconds(ts) > 5000"), df.filter("color = 'a' and unix_seconds(ts) < 5000")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live = R.drain(R.activity_sessions(stream, ["color"], "30 minutes"), "complete")
+    assert sorted((r.color, r.n) for r in live.collect()) == sorted((r.color, r.n) for r in R.activity_sessions(df, ["color"], "30 minutes").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_tracker_knows_unknown_colours_and_local_occluders():
+    t = R.SlotTracker(shade=50.0)
+    t.observe(0.0, [(300.0, 600.0, "red", 1.0), (900.0, 1500.0, "blue", 1.0)], [])
+    assert t.observe(1.0, [(305.0, 600.0, "unknown", 1.0), (905.0, 1500.0, "blue", 1.0)], []) == [] and t.color == ["red", "blue"]
+    said = t.observe(4.0, [(305.0 + 15, 600.0, "red", 1.0), (40.0, 2000.0, "pink", 1.0)], [(920.0, 1500.0)])
+    assert [(s, k) for s, k, _, _ in said] == [(2, "occluded"), (0, "unmatched")]
+
+
+def test_an_id_posted_again_is_ignored_however_late(spark):
+    df = spark.createDataFrame([(1, e, i, 0) for i, e in enumerate((5, 6, 5, 7, 6))], "key long, event_id long, us long, behind long")
+    assert sorted((r.event_id, r.revision) for r in R.append_audit(df, "key", ["us", "event_id"]).collect()) == [(5, 1), (6, 2), (7, 3)]
+
+
+def test_a_held_board_change_is_not_lost(spark):
+    df = spark.createDataFrame([(1, 0, 0, "a"), (1, 1, 5, "b"), (1, 2, 20, "b"), (1, 3, 60, "b")], "key long, event_id long, us long, digest string")
+    assert [(r.event_id, r.digest) for r in R.board_changes(df, "key", ["us", "event_id"], 10).orderBy("event_id").collect()] == [(0, "a"), (1, "b")]
