@@ -128,11 +128,12 @@ def s6(spark, sf):
     return back.select(F.substring_index("key", "#", 1).alias("doc"), "name", text.alias("label"), number.alias("value"))
 
 
-@query("s6_shred_bank", B.sql("SELECT vec_id//8 AS cluster, (vec_id%8)::INTEGER AS position, round(vec[1],6) AS first, round(vec[64],6) AS last FROM faces", "faces"))
+@query("s6_shred_bank", B.sql("SELECT vec_id//8 AS cluster, (vec_id%8)::INTEGER AS position, round(vec[1],6) AS first, round(vec[64],6) AS last, round(list_dot_product(vec, list_transform(range(1,65), lambda i: i::DOUBLE)),6) AS weighted_sum FROM faces", "faces"))
 def s6b(spark, sf):
     f = B.faces(spark, sf).select(F.expr("vec_id div 8").alias("cluster"), (F.col("vec_id") % 8).cast("int").alias("position"), "vec")
     r = S.shred_bank(S.render_bank(f, "cluster"), "cluster", "flat", 64)
-    return r.select("cluster", "position", F.round(F.col("vec")[0], 6).alias("first"), F.round(F.col("vec")[63], 6).alias("last"))
+    return r.select("cluster", "position", F.round(F.col("vec")[0], 6).alias("first"), F.round(F.col("vec")[63], 6).alias("last"),
+                    F.round(F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 6).alias("weighted_sum"))
 
 
 @query("s7_load_set", """

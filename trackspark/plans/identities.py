@@ -171,11 +171,13 @@ def w22(spark, sf):
 @query("w25_cluster_banks", B.sql("""
 , b AS (SELECT tracklet, vec_id, round(det_score*eye_px,6) AS rank_value, row_number() OVER (PARTITION BY tracklet ORDER BY det_score*eye_px DESC, vec_id)::INTEGER AS rank FROM faces),
 l AS (SELECT *, row_number() OVER (PARTITION BY tracklet ORDER BY frame DESC, vec_id DESC) AS rn FROM faces),
-m AS (SELECT tracklet, round(avg(vec[1]),6) AS m0, round(avg(vec[2]),6) AS m1, round(avg(vec[64]),6) AS m63 FROM l WHERE rn<=32 GROUP BY tracklet)
-SELECT tracklet, rank, vec_id, rank_value, m0, m1, m63 FROM b JOIN m USING (tracklet) WHERE rank<=3""".lstrip()[1:], "faces"))
+a AS (SELECT tracklet, i, avg(vec[i]) AS mean FROM (SELECT tracklet, vec, unnest(range(1,65)) AS i FROM l WHERE rn<=32) GROUP BY tracklet, i),
+m AS (SELECT tracklet, round(max(mean) FILTER (WHERE i=1),6) AS m0, round(max(mean) FILTER (WHERE i=64),6) AS m63, round(sum(i*mean),6) AS weighted_sum FROM a GROUP BY tracklet)
+SELECT tracklet, rank, vec_id, rank_value, m0, m63, weighted_sum FROM b JOIN m USING (tracklet) WHERE rank<=3""".lstrip()[1:], "faces"))
 def w25(spark, sf):
     best, mean = I.cluster_banks(B.faces(spark, sf))
-    m = mean.select("tracklet", F.col("vec")[0].alias("m0"), F.col("vec")[1].alias("m1"), F.col("vec")[63].alias("m63"))
+    every = F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    m = mean.select("tracklet", F.col("vec")[0].alias("m0"), F.col("vec")[63].alias("m63"), every.alias("weighted_sum"))
     return rounded(best.join(m, "tracklet"))
 
 

@@ -193,10 +193,10 @@ def a16r(spark, sf):
 
 
 @query("a17_near_misses", B.sql(EVIDENCE + """,
-sc AS (SELECT event_id, 2.0*(CASE WHEN v1 AND coalesce(vd<=150,false) AND vh>=2 THEN 1 ELSE 0 END + CASE WHEN v2 AND wd<=150 AND wh>=2 THEN 1 ELSE 0 END) + CASE WHEN c0-c1>=1 THEN 1 ELSE 0 END + CASE WHEN dm>=150 THEN 1 ELSE 0 END + CASE WHEN cd>=150 THEN 1 ELSE 0 END AS score FROM jj WHERE status<>'confirmed')
-SELECT event_id, score::DOUBLE AS score FROM sc WHERE score>0 ORDER BY score DESC, event_id LIMIT 5""", "claims"))
+sc AS (SELECT event_id, 2.0*(CASE WHEN v1 AND coalesce(vd<=150,false) AND vh>=2 THEN 1 ELSE 0 END + CASE WHEN v2 AND wd<=150 AND wh>=2 THEN 1 ELSE 0 END) + CASE WHEN c0-c1>=1 THEN 1 ELSE 0 END + CASE WHEN dm>=150 THEN 1 ELSE 0 END + CASE WHEN cd>=150 THEN 1 ELSE 0 END AS score, reasons FROM jj WHERE status<>'confirmed')
+SELECT event_id, score::DOUBLE AS score, reasons FROM sc WHERE score>0 ORDER BY score DESC, event_id LIMIT 5""", "claims"))
 def a17(spark, sf):
-    return T.near_misses(judged(spark, sf)).select("event_id", "score")
+    return T.near_misses(judged(spark, sf)).select("event_id", "score", F.array_join("verdict.reasons", "+").alias("reasons"))
 
 
 @query("p19_strengths", B.sql("""
