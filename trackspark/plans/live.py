@@ -83,13 +83,15 @@ def r5(spark, sf):
 
 
 @query("r6_register_identities", """
-WITH f AS (SELECT vec_id, vec_id//100 AS camera, vec_id%10 AS track FROM embeddings), m AS (SELECT camera, track, min(vec_id) AS first FROM f GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY first) AS cluster FROM m)
-SELECT f.camera, f.vec_id AS event_id, k.cluster FROM f JOIN k USING (camera, track)""")
+WITH f AS (SELECT vec_id, vec_id//100 AS camera, vec_id%10 AS track, label::BIGINT AS label, (vec_id%10)/10.0::DOUBLE>=0.47 AND (vec_id%10)/10.0::DOUBLE-(vec_id%7)/10.0::DOUBLE>=0.12 AS sure FROM embeddings),
+m AS (SELECT camera, track, min(vec_id) AS first FROM f GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY first) AS cluster FROM m),
+b AS (SELECT camera, track, min(vec_id) AS bid FROM f WHERE sure GROUP BY ALL), p AS (SELECT b.*, label AS player FROM b JOIN f ON vec_id=bid)
+SELECT f.camera, f.vec_id AS event_id, k.cluster, CASE WHEN f.vec_id>=bid THEN p.player END AS player, coalesce(f.vec_id=bid, false) AS bound_now FROM f JOIN k USING (camera, track) LEFT JOIN p USING (camera, track)""")
 def r6(spark, sf):
     e = R.replay_table(spark, sf, "embeddings")
     o = e.select(F.expr("vec_id div 100L").alias("camera"), (F.col("vec_id") % 10).alias("track"), F.col("embedding").cast("array<double>").alias("vec"), F.col("vec_id").alias("event_id"), F.col("label").cast("long").alias("player"),
                  ((F.col("vec_id") % 10) / 10.0).alias("sim"), ((F.col("vec_id") % 7) / 10.0).alias("runner_up"))
-    return R.drain(R.register_identities(o, "camera")).select("camera", "event_id", "cluster")
+    return R.drain(R.register_identities(o, "camera"))
 
 
 @query("r7_board_changes", """
