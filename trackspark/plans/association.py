@@ -95,7 +95,15 @@ def w18o(spark, sf):
     return out.select("event_id", F.array_join("drop_reasons", "+").alias("reasons"))
 
 
-@query("w23_frame_gate")
+@query("w23_frame_gate", B.sql("""
+, g AS (SELECT dataset, frame_no, count(*) AS n, (sum(event_id)%300+1000)::DOUBLE AS cloth, (sum(x)%9+100)::DOUBLE AS bright, max(score)>=0.99 AS person FROM detections GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY frame_no) AS rn FROM g),
+f AS (SELECT DISTINCT dataset, 0::BIGINT AS rn, NULL::BIGINT AS frame_no, NULL::DOUBLE AS ref, NULL::DOUBLE AS light, []::BIGINT[] AS census, NULL::VARCHAR AS reason FROM o UNION ALL
+ SELECT dataset, rn, frame_no, CASE WHEN why IS NULL THEN 0.95::DOUBLE*base+0.05::DOUBLE*cloth ELSE base END, bright, CASE WHEN why IS NULL THEN list_append(census, n)[-30:] ELSE census END, why FROM (
+  SELECT o.dataset, o.rn, o.frame_no, o.n, o.cloth, o.bright, f.census, CASE WHEN f.ref IS NULL AND NOT o.person THEN o.cloth ELSE f.ref END AS base,
+   CASE WHEN o.person THEN 'person_on_table' WHEN f.ref IS NULL THEN 'warming_up' WHEN NOT o.cloth BETWEEN 0.85::DOUBLE*f.ref AND 1.15::DOUBLE*f.ref THEN 'cloth_area_out_of_band' WHEN abs(o.bright-f.light)>6 THEN 'exposure_shift'
+    WHEN len(f.census)>0 AND o.n<list_aggregate(f.census,'median')-2 THEN 'ball_census_off' END AS why
+  FROM f JOIN o ON o.dataset=f.dataset AND o.rn=f.rn+1))
+SELECT dataset, frame_no, reason FROM f WHERE rn>0""".lstrip()[1:], "detections", recursive=True))
 def w23(spark, sf):
     f = B.detections(spark, sf).groupBy("dataset", "frame_no").agg(
         F.count(F.lit(1)).alias("n"), (F.sum("event_id") % 300 + 1000).cast("double").alias("cloth"), (F.sum("x") % 9 + 100).cast("double").alias("brightness"), (F.max("score") >= 0.99).alias("person"))

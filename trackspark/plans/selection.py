@@ -109,6 +109,13 @@ def w19d(spark, sf):
     return ids(spark, sf)[1].select("kind", "key", "id")
 
 
-@query("w20_split_blocks")
+@query("w20_split_blocks", B.sql("""
+, o AS (SELECT dataset, event_id, us, row_number() OVER (PARTITION BY dataset ORDER BY us, event_id) AS rn FROM series),
+f AS (SELECT dataset, rn, event_id, us, us AS first, 0::BIGINT AS block FROM o WHERE rn=1 UNION ALL
+ SELECT o.dataset, o.rn, o.event_id, o.us, CASE WHEN o.us-f.us>10800000000 OR o.us-f.first>=108000000000 THEN o.us ELSE f.first END, f.block + CASE WHEN o.us-f.us>10800000000 OR o.us-f.first>=108000000000 THEN 1 ELSE 0 END
+ FROM f JOIN o ON o.dataset=f.dataset AND o.rn=f.rn+1),
+b AS (SELECT dataset, block, min(us) AS b0, max(us) AS b1 FROM f GROUP BY ALL), n AS (SELECT *, lag(b1) OVER w AS pb, lead(b0) OVER w AS nb FROM b WINDOW w AS (PARTITION BY dataset ORDER BY block)),
+j AS (SELECT f.dataset, event_id, us, block, CASE WHEN (pb IS NULL OR nb IS NULL OR b0-pb<18000000000 OR nb-b1<18000000000) AND (us-b0<18000000000 OR b1-us<18000000000) THEN 'dropped' WHEN block%4=3 THEN 'held' ELSE 'train' END AS side FROM f JOIN n USING (dataset, block))
+SELECT dataset, event_id, block, CASE WHEN side='train' AND EXISTS (SELECT 1 FROM j h WHERE h.dataset=j.dataset AND h.side='held' AND abs(h.us-j.us)<18000000000) THEN 'dropped' ELSE side END AS side FROM j""".lstrip()[1:], "series", recursive=True))
 def w20(spark, sf):
     return S.split_blocks(B.series(spark, sf), SEC)
