@@ -44,7 +44,7 @@ def test_encoding_of_an_empty_table_and_repeated_rows(spark, notes):
 
 def test_piece_counts_equal_greedy_matching(spark, notes):
     with open(VOCABULARY, "rb") as f:
-        voc = vocabulary.load(f.read())
+        voc = vocabulary.Vocabulary(f.read())
     known = set(voc.symbols)
     longest = max(map(len, known))
 

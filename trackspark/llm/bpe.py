@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import vocabulary
-from .records import by_pieces, checked_broadcast, id_and_text
+from .records import by_pieces, checked_broadcast, id_and_text, resident
 
 VOCABULARY_LIMIT = 64 << 20
 
@@ -106,7 +104,7 @@ class Encoder:
         key = (left, right)
         ok = self.compatible.get(key)
         if ok is None:
-            if len(self.compatible) >= 1_000_000:
+            if len(self.compatible) >= 100_000:
                 self.compatible.clear()
             ok = self.compatible[key] = self._unmerged(left, right, 1 << 60)
         return ok
@@ -166,9 +164,8 @@ def _gather(ids: np.ndarray, offsets: np.ndarray, blob: np.ndarray, step: int =
     return b"".join(out)[:-1]
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(raw: bytes) -> Encoder:
-    return Encoder(vocabulary.load(raw))
+    return resident("bpe", raw, lambda r: Encoder(vocabulary.Vocabulary(r)))
 
 
 def encode_notes(notes: DataFrame, vocabulary_path: str, *, id_col: str = "id", text_col: str = "text") -> DataFrame:

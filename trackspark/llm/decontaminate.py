@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import pickle
 import re
 from itertools import repeat
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .records import by_pieces, checked_broadcast, id_and_text, staged
+from .records import by_pieces, checked_broadcast, resident, staged
 
 # Lower-cased ASCII letters, digits and everything beyond ASCII make words; on UTF-8 bytes these are:
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -140,9 +139,8 @@ class Automaton:
         return hit
 
 
-@functools.lru_cache(maxsize=2)
 def _automaton(packed: bytes, window: int) -> Automaton:
-    return Automaton(pickle.loads(packed), window)
+    return resident(f"test items, {window}", packed, lambda p: Automaton(pickle.loads(p), window))
 
 
 def _chunks(items: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -201,51 +199,45 @@ def find_contamination(notes: DataFrame, items: DataFrame, *, window: int = 13,
     for p in range(parts):
         rows = chunks.filter(part == p).select("item", "whole", "words").collect()  # at most PART_BYTES, or one chunk
         packed = checked_broadcast(spark, pickle.dumps(sorted((r.item, r.whole, bytes(r.words).split(b" ")) for r in rows)), 64 << 20, "a part of the test items")
-        out = _pass(out, packed, window)
         if p + 1 < parts:
-            out = staged(out, "contamination")
-    return _spans(out, one_in).select("id", "text", "n_words", "n_hit", "items", "spans", "cleaned", "contaminated", "carry")
+            out = staged(_pass(out, packed, window), "contamination")
+    return _judged(out, packed, window, one_in)
+
+
+def _hits(part: pa.RecordBatch, auto: Automaton):
+    """Mask of hit words, items and number of words per note, added to what earlier parts found."""
+    for text, mask, items in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist()):
+        words = words_of(text)
+        hit, names = auto.match(words)
+        if hit is not None and mask is not None:
+            hit = (np.frombuffer(hit, np.uint8) | np.frombuffer(mask, np.uint8)).tobytes()
+        yield text, mask if hit is None else bytes(hit), sorted({*items, *names}), len(words)
 
 
 def _pass(notes: DataFrame, packed, window: int) -> DataFrame:
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        auto = _automaton(packed.value, window)
-        masks, found, sizes = [], [], []
-        for text, mask, items in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist()):
-            words = words_of(text)
-            hit, names = auto.match(words)
-            if hit is not None and mask is not None:
-                hit = (np.frombuffer(hit, np.uint8) | np.frombuffer(mask, np.uint8)).tobytes()
-            masks.append(mask if hit is None else bytes(hit))
-            found.append(sorted({*items, *names}))
-            sizes.append(len(words))
-        return pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(masks, pa.binary()), pa.array(found, pa.list_(pa.string())), pa.array(sizes, pa.int64())], part.schema.names)
+        _, masks, items, sizes = zip(*_hits(part, _automaton(packed.value, window)))
+        return pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(sizes, pa.int64())], part.schema.names)
 
     return by_pieces(notes, work, notes.schema)
 
 
-def _spans(hits: DataFrame, one_in: int) -> DataFrame:
-    """Hit words as spans of the text, its hit count and the text without them."""
-    kept = ("id", "text", "carry", "items", "n_words")
-    made = StructType.fromDDL("n_hit long, spans array<struct<start:int,end:int>>, cleaned string, contaminated boolean")
-    schema = StructType([*(hits.schema[c] for c in kept), *made])
+def _judged(notes: DataFrame, packed, window: int, one_in: int) -> DataFrame:
+    """The last part, and what all parts together say: spans of the text, counts and the text without the spans."""
+    made = StructType.fromDDL("n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, cleaned string, contaminated boolean")
+    schema = StructType([*(notes.schema[c] for c in ("id", "text")), *made, notes.schema["carry"]])
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string(), pa.bool_())
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        n_hit, spans, cleaned, bad = [], [], [], []
-        for text, mask, n in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), part.column(5).to_pylist()):
+        rows = []
+        for text, mask, items, n in _hits(part, _automaton(packed.value, window)):
             k = sum(mask) if mask else 0
             gone = k > 0 and one_in * k >= n
             own = _runs(text, mask) if k else []
-            n_hit.append(k)
-            spans.append([{"start": a, "end": b} for a, b in own])
-            bad.append(gone)
-            cleaned.append(None if gone else _without(text, own) if own else text)
-        same = [part.column(i) for i in (0, 1, 2, 4, 5)]
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.RecordBatch.from_arrays([*same, pa.array(n_hit, pa.int64()), pa.array(spans, kind), pa.array(cleaned, pa.string()), pa.array(bad, pa.bool_())],
-                                          [*kept, "n_hit", "spans", "cleaned", "contaminated"])
-
-    return by_pieces(hits, work, schema)
+            rows.append((n, k, items, [{"start": a, "end": b} for a, b in own], None if gone else _without(text, own) if own else text, gone))
+        return pa.RecordBatch.from_arrays([*part.columns[:2], *(pa.array(c, t) for c, t in zip(zip(*rows), kinds)), part.column(2)], schema.names)
+
+    return by_pieces(notes, work, schema)
 
 
 def _runs(text: str, mask: bytes) -> list[tuple[int, int]]:

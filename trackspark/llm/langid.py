@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .records import by_pieces, checked_broadcast, pieces
+from .records import by_pieces, checked_broadcast, pieces, resident
 
 DIM = 1024            # components of a vector
 SEED = 20_11
@@ -73,9 +73,8 @@ class Vectors:
         return total.astype(np.float64)
 
 
-@functools.cache
 def _vectors() -> Vectors:
-    return Vectors()
+    return resident("n-gram vectors", b"", lambda _: Vectors())
 
 
 def learn_profiles(notes: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:

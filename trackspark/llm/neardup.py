@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .records import by_pieces, bytes_and_offsets, id_and_text, staged
+from .records import by_pieces, bytes_and_offsets, id_and_text, staged, tidy
 
 ROWS, BANDS = 6, 64      # at similarity 0.75 a pair meets in 11 of 64 buckets on average, in none with probability 4e-6
 SLOTS = ROWS * BANDS
@@ -102,7 +102,7 @@ def _confirmed(notes: DataFrame, pairs: DataFrame, share: tuple[int, int], kind:
             if out.num_rows:
                 yield out
 
-    return staged(both.select("a", "b", "x", "y").mapInArrow(work, f"a {kind}, b {kind}"), "near-links")
+    return staged(both.select("a", "b", "x", "y").mapInArrow(tidy(work), f"a {kind}, b {kind}"), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def _rest(notes: DataFrame, left: DataFrame, share: tuple[int, int], kind: str)
                 if pairs.num_rows:
                     yield pairs
 
-    return cells.select("i", "j", "m").mapInArrow(work, f"a {kind}, b {kind}").distinct()
+    return cells.select("i", "j", "m").mapInArrow(tidy(work), f"a {kind}, b {kind}").distinct()
 
 
 def _compare(m: pa.StructArray, alone: bool, share: tuple[int, int]) -> pa.RecordBatch:

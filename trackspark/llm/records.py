@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, ship_package
 
-PIECE_BYTES = 1 << 20  # text handled at once inside a task; a longer text is a piece of its own
+PIECE_BYTES = 1 << 19  # text handled at once inside a task; a longer text is a piece of its own
 
 
 def id_and_text(notes: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -45,7 +47,25 @@ def by_pieces(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: an idle worker shares its executor with the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """``run`` over the batches of a task, then ``give_back``."""
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return whole
 
 
 def bytes_and_offsets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,3 +93,19 @@ def checked_broadcast(spark: SparkSession, value: bytes, limit: int, what: str):
     if len(value) > limit:
         raise ValueError(f"{what} holds {len(value)} bytes; at most {limit} may be broadcast")
     return spark.sparkContext.broadcast(value)
+
+
+_resident: dict = {}
+
+
+def resident(what: str, raw: bytes, make):
+    """The one large object a Python worker keeps: built from ``raw``, dropped when another is asked for.
+
+    Workers outlive a stage, so without this the automata and caches of every operator that ever
+    ran on an executor would add up.
+    """
+    if _resident.get("key") != (what, raw):
+        _resident.clear()
+        gc.collect()
+        _resident.update(key=(what, raw), value=make(raw))
+    return _resident["value"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 import pickle
 import re
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .records import by_pieces, checked_broadcast, staged
+from .records import by_pieces, checked_broadcast, resident, staged
 from .vocabulary import WordCache
 
 WORD = re.compile(r"[^\W_]+")
@@ -268,15 +267,15 @@ def _featured(rows: DataFrame, model: dict, made: str, keep_text: bool = False)
     return by_pieces(rows, work, schema)
 
 
-@functools.lru_cache(maxsize=4)
 def _loads(raw: bytes):
-    return pickle.loads(raw)
+    return resident("candidate stems", raw, pickle.loads)
 
 
-@functools.lru_cache(maxsize=2)
 def _loaded(raw: bytes):
-    model = pickle.loads(raw)
-    return Lexicon(model["stems"]), model["weights"], model["coef"]
+    def make(r):
+        model = pickle.loads(r)
+        return Lexicon(model["stems"]), model["weights"], model["coef"]
+    return resident("toxicity", raw, make)
 
 
 def score(notes: DataFrame, model: dict, *, keep_text: bool = False, id_col: str = "id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

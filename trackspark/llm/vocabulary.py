@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import unicodedata
@@ -90,15 +89,10 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-@functools.lru_cache(maxsize=2)
-def load(raw: bytes) -> Vocabulary:
-    return Vocabulary(raw)
-
-
 class WordCache(dict):
     """Result per word; emptied when it holds ``limit`` words, so memory stays bounded."""
 
-    def __init__(self, make, limit: int = 400_000, longest: int = 64):
+    def __init__(self, make, limit: int = 120_000, longest: int = 64):
         super().__init__()
         self.make, self.limit, self.longest = make, limit, longest
 

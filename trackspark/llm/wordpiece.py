@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import vocabulary
 from .bpe import VOCABULARY_LIMIT
-from .records import by_pieces, checked_broadcast, id_and_text
+from .records import by_pieces, checked_broadcast, id_and_text, resident
 
 DEAD = -1
 
@@ -86,9 +84,8 @@ class NoteCounter:
         return words, tokens
 
 
-@functools.lru_cache(maxsize=2)
 def counter(raw: bytes) -> NoteCounter:
-    return NoteCounter(vocabulary.load(raw))
+    return resident("word pieces", raw, lambda r: NoteCounter(vocabulary.Vocabulary(r)))
 
 
 def count_tokens(notes: DataFrame, vocabulary_path: str, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
