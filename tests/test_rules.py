@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from trackspark.functions import geometry as G
 from trackspark.functions import scalars as P
 from trackspark.operators import association as A
+from trackspark.operators import audit as V
 from trackspark.operators import evaluation as E
 from trackspark.operators import identity as I
 from trackspark.operators import ledger as L
@@ -294,3 +295,11 @@ def test_an_id_posted_again_is_ignored_however_late(spark):
 def test_a_held_board_change_is_not_lost(spark):
     df = spark.createDataFrame([(1, 0, 0, "a"), (1, 1, 5, "b"), (1, 2, 20, "b"), (1, 3, 60, "b")], "key long, event_id long, us long, digest string")
     assert [(r.event_id, r.digest) for r in R.board_changes(df, "key", ["us", "event_id"], 10).orderBy("event_id").collect()] == [(0, "a"), (1, "b")]
+
+
+def test_first_difference_past_a_million_items_and_dotted_names(spark):
+    same = "[" + "0," * 999_999
+    rows = [(1, same + "1,1]", same + "2,2]"), (2, '{"a":{"b":1},"a.b":1}', '{"a":{"b":2},"a.b":1}'), (3, '{"a":[1]}', '{"a":[1]}')]
+    a, b = (spark.createDataFrame([(r[0], r[k]) for r in rows], "id long, doc string") for k in (1, 2))
+    got = {r.id: (r.path, r.why, r.differences) for r in V.first_difference(a, b).collect()}
+    assert got == {1: ("$[999999]", "value", 2), 2: ("$.a.b", "value", 1)}

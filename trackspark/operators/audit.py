@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+FLAT_ROWS = 20_000  # rows of a flattened document that are handed on at once
+
 
 def check_domains(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """One row per (rule, key) violated, all rules of a table in one scan; null fails no CHECK."""
@@ -48,36 +51,56 @@ def table_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def flatten_json(df: DataFrame, key: str, doc: str) -> DataFrame:
-    """(key, path, kind, value) per leaf and container; path steps are zero-padded so they sort."""
-    import pandas as pd
+    """(key, path, kind, value) per leaf and container; a path is an array of typed steps, so that it sorts at any length.
+
+    A step is a name (``index`` -1) or a place in a list (``name`` empty); ``path_text`` shows a path.
+    """
+    import pyarrow as pa
 
     from ..session import ship_package
 
     ship_package(df.sparkSession)
 
-    def walk(path, v, out):
+    def walk(path, v):
         if isinstance(v, dict):
-            out.append((path, "object", ""))
+            yield path, "object", ""
             for k in v:
-                walk(f"{path}.{k}", v[k], out)
+                yield from walk((*path, (-1, k)), v[k])
         elif isinstance(v, list):
-            out.append((path, "array", str(len(v))))
+            yield path, "array", str(len(v))
             for i, x in enumerate(v):
-                walk(f"{path}[{i:06d}]", x, out)
+                yield from walk((*path, (i, "")), x)
         else:
             kind = "bool" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "null" if v is None else "string"
-            out.append((path, kind, json.dumps(float(v) if kind == "number" else v)))
+            yield path, kind, json.dumps(float(v) if kind == "number" else v)
+
+    def packed(keys, rows, key_type):
+        steps = [s for path, _, _ in rows for s in path]
+        flat = pa.StructArray.from_arrays([pa.array([i for i, _ in steps], pa.int64()), pa.array([n for _, n in steps], pa.string())], ["index", "name"])
+        ends = pa.array(list(accumulate((len(path) for path, _, _ in rows), initial=0)), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(keys, key_type), pa.ListArray.from_arrays(ends, flat), pa.array([k for _, k, _ in rows], pa.string()), pa.array([v for _, _, v in rows], pa.string())],
+                                          [key, "path", "kind", "value"])
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for k, text in zip(pdf[key], pdf[doc]):
-                out: list = []
-                walk("$", json.loads(text), out)
-                rows += [(k, *o) for o in out]
-            yield pd.DataFrame(rows, columns=[key, "path", "kind", "value"])
+        for batch in batches:
+            keys, rows = [], []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for row in walk((), json.loads(text)):
+                    keys.append(k)
+                    rows.append(row)
+                    if len(rows) == FLAT_ROWS:
+                        yield packed(keys, rows, batch.column(0).type)
+                        keys, rows = [], []
+            if rows:
+                yield packed(keys, rows, batch.column(0).type)
     kind = dict(df.dtypes)[key]
-    return df.select(key, doc).mapInPandas(run, f"{key} {kind}, path string, kind string, value string")
+    return df.select(key, doc).mapInArrow(run, f"{key} {kind}, path array<struct<index: bigint, name: string>>, kind string, value string")
+
+
+def path_text(path: Column) -> Column:
+    """``$.name[000001]``: places in lists have six digits at least."""
+    shown = F.transform(path, lambda s: F.when(s["index"] < 0, F.concat(F.lit("."), s["name"])).otherwise(F.format_string("[%06d]", s["index"])))
+    return F.concat(F.lit("$"), F.array_join(shown, ""))
 
 
 def first_difference(a: DataFrame, b: DataFrame, key: str = "id", doc: str = "doc") -> DataFrame:
@@ -87,4 +110,5 @@ def first_difference(a: DataFrame, b: DataFrame, key: str = "id", doc: str = "do
     d = l.join(r, [key, "path"], "full").filter(F.col("l").isNull() | F.col("r").isNull() | (F.col("l") != F.col("r")))
     why = (F.when(F.col("r").isNull(), "missing in b").when(F.col("l").isNull(), "missing in a").when(F.col("l.kind") != F.col("r.kind"), "type")
            .when(F.col("l.kind") == "array", "length").otherwise("value"))
-    return d.groupBy(key).agg(F.min(F.struct("path", why.alias("why"))).alias("f"), F.count(F.lit(1)).alias("differences")).select(key, "f.path", "f.why", "differences")
+    return d.groupBy(key).agg(F.min(F.struct("path", why.alias("why"))).alias("f"), F.count(F.lit(1)).alias("differences")).select(
+        key, path_text(F.col("f.path")).alias("path"), "f.why", "differences")
