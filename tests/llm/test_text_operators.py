@@ -211,6 +211,35 @@ def test_random_strings_are_found_and_ordinary_ones_left(spark, notes):
         assert clean[i] == want + text[at:]
 
 
+def test_values_of_names_and_segments_of_paths_are_found(spark, notes):
+    rng = random.Random(11)
+    key = lambda n=40: "".join(rng.choice(secrets.ENCODINGS["base62"]) for _ in range(n - 2)) + "a1"
+    shapes = [("AWS_SECRET_ACCESS_KEY=", ""), ("STRIPE_KEY=", ""), ("https://h.example/a?sig=", "&x=1"), ("https://hooks.example/services/T0/B0/", ""), ("x=", "==")]
+    rows, where = [], []
+    for i in range(100):
+        before, after = shapes[i % 5]
+        text, k = words(rng, 800, "etaoinshr", 9) + " " + before, key()
+        rows.append(text + k + after + " end")
+        where.append((len(text), len(text) + len(k) + 2 * (after == "==")))
+    inner = key(20) + "0123456789abcdef" + key(30)
+    rows.append(words(rng, 800, "etaoinshr", 9) + " " + inner)
+    got = {r.id: r for r in secrets.find_secrets(notes(rows), rate=0.05).collect()}
+    for at in range(5):
+        assert sum(any(s.start <= where[i][0] and where[i][1] <= s.end for s in got[i + 1].spans) for i in range(at, 100, 5)) >= 16, shapes[at]
+    assert any(s.kind == "hex" for s in got[101].spans)
+    assert all(not (a.start <= b.start and b.end <= a.end) for r in got.values() for a, b in itertools.permutations([s for s in r.spans if s.kind not in secrets.BASE_KINDS], 2))
+
+
+def test_runs_are_cut_and_base_spans_leave_their_rest():
+    spans = lambda text: [c[:2] for c in secrets.candidates(text, secrets.base_spans(text))]
+    k = "Q7mZ2xK9pL4vT8nR1cY6wB3d"
+    assert spans(f"NAME={k}") == [(5, 29)] and spans(f"{k}==") == [(0, 26)] and spans(f"{k}={k}") == [(0, 24), (25, 49)]
+    assert spans(f"a/b/{k}/c") == [(0, 30), (4, 28)] and spans(f"a-b/{k}+") == [(4, 29)]
+    text = f"{k}0123456789abcdef{k}"
+    assert secrets.base_spans(text)[0][2] == "hex" and {(0, len(text)), (0, 22)} <= set(spans(text)) and spans("0123456789abcdef0123") == []
+    assert [c[4] for c in secrets.candidates(f"a/b/{k}/c", [])][0] == [] and len(secrets.candidates(f"a/b/{k}/c", [])[1][4]) == 1
+
+
 def test_test_battery_is_calibrated():
     rng = random.Random(7)
     alphabet = secrets.ENCODINGS["base62"]

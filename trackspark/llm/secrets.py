@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ SHORTEST = {"assign": 12, "access": 18}
 BASE_KINDS = ("assign", "access", "hex")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+VALUE = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?")  # between the '=' of a run, with its padding
+SEGMENT = re.compile(r"[^/]+")
 # Alphabets in the order they are tried: a run belongs to the first that holds all its characters.
 ENCODINGS = {
     "hexupper": "0123456789ABCDEF",
@@ -116,15 +119,56 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], BASE_KINDS.index(s[2])))
 
 
-def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int]]:
-    """Runs of encoded-looking characters outside the base spans, with their p-value bin."""
+def _outside(a: int, b: int, taken: list[tuple[int, int]], starts: list[int]) -> list[tuple[int, int]]:
+    """Parts of [a, b) that no span of ``taken`` (apart and in order) covers."""
+    out = []
+    for x, y in taken[max(0, bisect_right(starts, a) - 1):]:
+        if x >= b:
+            break
+        if y > a:
+            if x > a:
+                out.append((a, x))
+            a = y
+    return [*out, (a, b)] if a < b else out
+
+
+def _segments(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    return [m.span() for m in SEGMENT.finditer(text, a, b)]
+
+
+def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int, list[int]]]:
+    """Runs of encoded-looking characters that base spans do not cover, with p-value bin and the codes of the runs around them.
+
+    A run is cut at ``=`` unless that is its padding.  What is left is tested as a whole, by its
+    segments between slashes, by its parts outside the base spans and by the segments of those
+    parts; a code is class * 64 + bin.
+    """
+    apart: list[tuple[int, int]] = []
+    for x, y, _ in taken:
+        if apart and x <= apart[-1][1]:
+            apart[-1] = (apart[-1][0], max(y, apart[-1][1]))
+        else:
+            apart.append((x, y))
+    starts = [x for x, _ in apart]
     out = []
     for m in RUN.finditer(text):
-        if any(a < m.end() and m.start() < b for a, b, _ in taken):
-            continue
-        kind = encoding_of(m.group())
-        if kind:
-            out.append((m.start(), m.end(), kind, p_bin(randomness(m.group().rstrip("="), kind))))
+        for v in VALUE.finditer(text, *m.span()):
+            a, b = v.span()
+            left = _outside(a, b, apart, starts)
+            if b - a < LENGTH_CLASSES[0] or not left:
+                continue
+            parts = [(a, b)]
+            if "/" in v.group():
+                parts += _segments(text, a, b)
+            if left != [(a, b)]:
+                parts += left + [s for x, y in left for s in _segments(text, x, y)]
+            tested: list[tuple[int, int, int]] = []
+            for x, y in sorted({p for p in parts if p[1] - p[0] >= LENGTH_CLASSES[0]}, key=lambda p: (p[0] - p[1], p[0])):  # longest first
+                kind = encoding_of(text[x:y]) if _outside(x, y, apart, starts) else None
+                if kind:
+                    p = p_bin(randomness(text[x:y].rstrip("="), kind))
+                    out.append((x, y, kind, p, [c for i, j, c in tested if i <= x and y <= j]))
+                    tested.append((x, y, length_class(y - x) * 64 + p))
     return out
 
 
@@ -147,8 +191,9 @@ def find_secrets(notes: DataFrame, *, rate: float = 0.01, keep_text: bool = True
 
     ``notes(id, text)`` are the workbench's notes (``text`` is returned if ``keep_text``).  Spans are code points, end exclusive.  The
     stated patterns (``assign``, ``access``, ``hex``) always stay.  Other long runs that mix
-    letters and digits get the p-value of the randomness battery for the alphabet they fit; a run
-    is a secret when its p-value is at least 0.01 and above the limit of its length class.  The limit is the
+    letters and digits, the values of ``name=value`` and segments of paths among them, get the p-value of the randomness battery for the alphabet they fit; a run
+    is a secret when its p-value is at least 0.01 and above the limit of its length class; a part
+    of such a run is not named again.  The limit is the
     lowest at which the expected share of ordinary text among the accepted runs is at most
     ``rate``: decoys of the same lengths, cut from the notes themselves, say how often ordinary
     text gets that far.  Counts of runs and decoys come from all notes and are a table of
@@ -158,7 +203,7 @@ def find_secrets(notes: DataFrame, *, rate: float = 0.01, keep_text: bool = True
     one by one; a class without decoys or runs accepts nothing beyond the stated patterns.
     """
     base = notes.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(True).alias("_")).alias("carry"))
-    made = StructType.fromDDL("base array<struct<start:int,end:int,kind:string>>, runs array<struct<start:int,end:int,kind:string,bin:int>>, decoys array<int>")
+    made = StructType.fromDDL("base array<struct<start:int,end:int,kind:string>>, runs array<struct<start:int,end:int,kind:string,bin:int,outer:array<int>>>, decoys array<int>")
     schema = StructType([*base.schema, *made])
     span = [("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]
 
@@ -167,15 +212,16 @@ def find_secrets(notes: DataFrame, *, rate: float = 0.01, keep_text: bool = True
         for text in part.column(1).to_pylist():
             own = base_spans(text or "")
             found.append([dict(start=a, end=b, kind=k) for a, b, k in own])
-            runs.append([dict(start=a, end=b, kind=k, bin=p) for a, b, k, p in candidates(text or "", own)])
+            runs.append([dict(start=a, end=b, kind=k, bin=p, outer=o) for a, b, k, p, o in candidates(text or "", own)])
             controls.append(decoys(text or ""))
-        return pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.struct(span))), pa.array(runs, pa.list_(pa.struct([*span, ("bin", pa.int32())]))),
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.struct(span))), pa.array(runs, pa.list_(pa.struct([*span, ("bin", pa.int32()), ("outer", pa.list_(pa.int32()))]))),
                                            pa.array(controls, pa.list_(pa.int32()))], schema.names)
 
     scanned = by_pieces(base, work, schema)
     scanned = staged(scanned if keep_text else scanned.drop("text"), "secrets")  # scanned once: the limits come before the answer
     limits = _limits(scanned, rate)
-    good = F.filter("runs", lambda r: r["bin"] <= _limit_of(r["end"] - r["start"], limits))
+    most = F.array(*map(F.lit, limits))
+    good = F.filter("runs", lambda r: (r["bin"] <= _limit_of(r["end"] - r["start"], limits)) & ~F.exists(r["outer"], lambda c: c % 64 <= F.get(most, F.floor(c / 64).cast("int"))))
     spans = F.array_sort(
         F.concat("base", F.transform(good, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["kind"].alias("kind")))),
         lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(F.signum(_order(a["kind"]) - _order(b["kind"]))).cast("int"))
