@@ -286,6 +286,23 @@ def test_toxicity_learns_from_labels_and_scores_all(spark, notes):
     assert toxicity.score(notes([]), none).count() == 0 and toxicity.score(notes(["a"]), none).first().toxic == 0
 
 
+def test_stems_are_found_anywhere_in_a_word(spark, notes):
+    lex = toxicity.Lexicon(["idiot", "scum"], [True, True])
+    assert [lex.inner[w] for w in ("vollidiot", "xyzscumidiot", "idiot", "idiotscum", "voll1diot", "a" * 90 + "idiot")] == [(2,), (4, 2), (), (4,), (3,), (2,)]
+    assert toxicity.Lexicon(["scum"], [False]).inner["xscum"] == () and toxicity.features(lex, [1.0, 1.0], "a " + "b" * 40 + "scum")[0] > 0
+    rng = random.Random(12)
+    sentence = lambda: "".join(chr(rng.randrange(0x4E00, 0x4E80)) for _ in range(40))
+    bad = lambda t: t[:30] + "\u9f8d\u9f9f" + t[30:]
+    texts = [words(rng, 60, "etaoinshr", 8) + (" idiot scum idiot scum" if i % 4 == 0 else "") for i in range(200)]
+    texts += ["\u3002".join(bad(sentence()) if i % 4 == 0 else sentence() for _ in range(6)) for i in range(200)]
+    texts += [words(rng, 30, "etaoinshr", 8) + (" vollidiot superidiot megascum #yousoscum" if i % 2 == 0 else "") for i in range(20)]
+    labels = spark.createDataFrame([(i + 1, int(i % 4 == 0)) for i in (*range(100), *range(200, 300))], "id long, toxic int")
+    model = toxicity.learn(notes(texts), labels)
+    got = {r.id: r.toxic for r in toxicity.score(notes(texts), model).collect()}
+    assert "\u9f8d\u9f9f" in model["stems"]
+    assert all(got[i + 1] == int(i % 4 == 0) for i in range(400)) and all(got[i + 1] == int(i % 2 == 0) for i in range(400, 420))
+
+
 def test_languages_by_profiles(spark, notes):
     rng = random.Random(10)
     make = lambda k: words(rng, 50, ("the and ing", "ñoción lla", "schäeng")[k].replace(" ", ""), 7)

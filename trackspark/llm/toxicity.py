@@ -17,8 +17,8 @@ from .records import by_pieces, checked_broadcast, resident, staged
 from .vocabulary import WordCache
 
 WORD = re.compile(r"[^\W_]+")
-LONGEST = 24            # letters of a word that are looked at
-SHORTEST_STEM = 3
+LONGEST = 24            # letters of a stem
+SHORTEST_STEM = 3       # two where letters are ideographs or kana
 FUZZY_FROM = 5          # a stem of so many letters may hold one edit
 SAMPLE = 40_000         # labelled notes to learn from, about
 CANDIDATES = 4_000      # stems that the cover is chosen from
@@ -37,11 +37,15 @@ class Lexicon:
 
     A state is a set of (trie node, edits so far); reading a letter matches it, replaces it or
     takes it as added, and a missing letter is a step without reading.  A word hits a stem when
-    some prefix of the word is within the stem's edits of it.
+    some prefix of the word is within the stem's edits of it.  The stems marked in ``inside`` are
+    also looked for from every later letter of the word.
     """
 
-    def __init__(self, stems: list[str]):
+    def __init__(self, stems: list[str], inside: list[bool] = ()):
         self.stems = stems
+        self.places = [i for i, ok in enumerate(inside) if ok]
+        self.within = Lexicon([stems[i] for i in self.places]) if self.places else None
+        self.inner = WordCache(self._inner)
         self.go: list[dict[str, int]] = [{}]
         self.stem: list[int | None] = [None]
         self.room = [0]
@@ -99,12 +103,29 @@ class Lexicon:
         out = self.step[state, c] = self._state(to) if to else -1
         return out
 
-    def _hit(self, word: str) -> int:
-        """0 or 2 * (stem + 1) + (1 if an edit was needed)."""
+    def _inner(self, word: str) -> tuple[int, ...]:
+        """Codes as in ``_hit`` of the stems that start after the first letter, in no part of the word twice; exact ones go first."""
+        if self.within is None or len(word) <= 2:
+            return ()
+        code = self.hits[word]
+        at = len(self.stems[(code >> 1) - 1]) + (code & 1) if code else 1
+        found = [(i, c) for i in range(at, len(word)) if (c := self.within._hit(word, i))]
+        taken, out = bytearray(len(word) + 1), []
+        for fuzzy in (0, 1):
+            for i, c in found:
+                end = min(len(word), i + len(self.within.stems[(c >> 1) - 1]))
+                if c & 1 == fuzzy and not any(taken[i:end]):
+                    taken[i:end] = b"\1" * (end - i)
+                    out.append(2 * (self.places[(c >> 1) - 1] + 1) + fuzzy)
+        return tuple(out)
+
+    def _hit(self, word: str, at: int = 0) -> int:
+        """0 or 2 * (stem + 1) + (1 if an edit was needed), for stems that start at letter ``at``."""
         if len(self.step) > 500_000:
             self._reset()
         state, best = self.start, None
-        for c in word[:LONGEST]:
+        for k in range(at, len(word)):
+            c = word[k]
             nxt = self.step.get((state, c))
             state = self._next(state, c) if nxt is None else nxt
             if state < 0:
@@ -116,16 +137,23 @@ class Lexicon:
 
 
 def features(lexicon: Lexicon, weights: list[float], text: str | None) -> list[float]:
-    """Plain hits, misspelled hits, quoted hits, the strongest plain hit, their share of the words, length; logarithms of counts."""
+    """Plain hits, misspelled hits, quoted hits, the strongest plain hit, their share of the words, length, misspelled hits inside words; logarithms of counts."""
     low = (text or "").lower()
     words = WORD.findall(low)
     codes = list(map(lexicon.hits.__getitem__, words))
-    plain = fuzzy = quoted = strongest = 0.0
-    if any(codes):
+    inner = list(map(lexicon.inner.__getitem__, words))
+    plain = fuzzy = quoted = strongest = blurred = 0.0
+    if any(codes) or any(inner):
         places = [m.span() for m in WORD.finditer(low)]
-        for i, code in enumerate(codes):
-            if code:
-                if _reads_quoted(low, places, i):
+        for i, (head, more) in enumerate(zip(codes, inner)):
+            held = (head, *more) if head else more
+            if not held:
+                continue
+            said = _reads_quoted(low, places, i)
+            for k, code in enumerate(held):
+                if code & 1 and (k or not head):
+                    blurred += 1
+                elif said:
                     quoted += 1
                 elif code & 1:
                     fuzzy += 1
@@ -133,7 +161,7 @@ def features(lexicon: Lexicon, weights: list[float], text: str | None) -> list[f
                     plain += weights[(code >> 1) - 1]
                     strongest = max(strongest, weights[(code >> 1) - 1])
     n = len(words)
-    return [math.log1p(plain), math.log1p(fuzzy), math.log1p(quoted), strongest, 20 * plain / (n + 20), math.log1p(n) / 10]
+    return [math.log1p(plain), math.log1p(fuzzy), math.log1p(quoted), strongest, 20 * plain / (n + 20), math.log1p(n) / 10, math.log1p(blurred)]
 
 
 def _reads_quoted(low: str, places, i: int) -> bool:
@@ -149,12 +177,25 @@ def _reads_quoted(low: str, places, i: int) -> bool:
 def _stems_in(text: str | None) -> dict[str, int]:
     """Prefixes of a note's words and how often they occur, ``ENOUGH`` at most."""
     out: dict[str, int] = {}
-    for word, times in Counter(w[:LONGEST] for w in WORD.findall((text or "").lower())).items():
-        for k in range(SHORTEST_STEM, len(word) + 1):
+    for word, times in Counter(WORD.findall((text or "").lower())).items():
+        for k in range(_shortest(word), min(LONGEST, len(word)) + 1):
             out[word[:k]] = min(ENOUGH, out.get(word[:k], 0) + times)
     return out
 
 
+def _shortest(part: str) -> int:
+    return SHORTEST_STEM - ("\u2e80" <= part[0] <= "\u9fff")
+
+
+def _parts_of(word: str) -> dict[str, bool]:
+    """All parts of a word that may be stems; true if it starts after the first letter."""
+    out: dict[str, bool] = {}
+    for i in range(len(word)):
+        for k in range(i + _shortest(word[i]), min(i + LONGEST, len(word)) + 1):
+            out[word[i:k]] = out.get(word[i:k], False) or i > 0
+    return out
+
+
 def labelled_sample(notes: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
     """About ``sample`` labelled notes at most, ``text, toxic``, distinct texts only.
 
@@ -169,13 +210,14 @@ def labelled_sample(notes: DataFrame, labels: DataFrame, *, sample: int = SAMPLE
     return staged(rows.dropDuplicates(["text"]), "toxic-sample")
 
 
-def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[float]]:
+def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[float], list[bool]]:
     """Stems that mark toxic notes: a greedy cover of the toxic sample by stems that clean notes hold less.
 
     A toxic note is explained by ``ENOUGH`` occurrences, so that stems which a clean note may hold
     once by chance still serve.  Stem counts over the sample are made in Spark; only the
     ``CANDIDATES`` best stems and, for each toxic sample note, which of them it holds come to the
-    driver (both bounded).
+    driver (both bounded).  ``learn_inside`` then adds the stems that words hold elsewhere than at
+    their start; the third list says which stems are looked for inside words.
     """
     def stems(part: pa.RecordBatch) -> pa.RecordBatch:
         held = [_stems_in(t) for t in part.column(0).to_pylist()]
@@ -184,7 +226,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[float]]:
     held = by_pieces(sample.select("text", F.col("toxic").cast("int").alias("toxic")), stems, "stems array<string>, times array<int>, toxic int")
     total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0)).alias("t")).first()
     if not total.t or total.t == total.n:
-        return [], []
+        return [], [], []
     least = max(4, total.t // 100)  # toxic notes that hold a stem, and occurrences it must explain
     counts = held.select(F.explode(F.arrays_zip("stems", "times")).alias("s"), "toxic").groupBy(F.col("s.stems").alias("stem")).agg(
         F.sum(F.col("toxic") * F.col("s.times")).alias("t"), F.sum((1 - F.col("toxic")) * F.col("s.times")).alias("c"), F.sum("toxic").alias("d"))
@@ -217,7 +259,66 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[float]]:
         related += [i for i, r in enumerate(rows) if r.stem.startswith(stem) or stem.startswith(r.stem)]
         docs = [(d, left - d.get(best, 0)) for d, left in docs if left > d.get(best, 0)]
     rate = [(rows[i].t + 0.5) / total.t / ((rows[i].c + 0.5) / (total.n - total.t)) for i in chosen]
-    return [rows[i].stem for i in chosen], [min(1.0, math.log(r) / math.log(100)) for r in rate]
+    heads, weights = [rows[i].stem for i in chosen], [min(1.0, math.log(r) / math.log(100)) for r in rate]
+    more, more_weights, inside = learn_inside(sample, heads, total.n, total.t, least)
+    return [*heads, *more], [*weights, *more_weights], [*inside, *[True] * len(more)]
+
+
+def learn_inside(sample: DataFrame, heads: list[str], n: int, toxic: int, least: int) -> tuple[list[str], list[float], list[bool]]:
+    """Stems that mark toxic notes anywhere in a word, their weights, and which of ``heads`` are looked for there too.
+
+    Counted over distinct words, every letter of a word may start a stem.  A head is looked for
+    inside words unless clean notes hold it there too often; a new stem explains words without a head.
+    """
+    def words(part: pa.RecordBatch) -> pa.RecordBatch:
+        held = [Counter(WORD.findall((t or "").lower())) for t in part.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array([list(h) for h in held], pa.list_(pa.string())), pa.array([[min(ENOUGH, k) for k in h.values()] for h in held], pa.list_(pa.int32())), part.column(1)], ["words", "times", "toxic"])
+
+    held = by_pieces(sample.select("text", F.col("toxic").cast("int").alias("toxic")), words, "words array<string>, times array<int>, toxic int")
+    table = staged(held.select(F.explode(F.arrays_zip("words", "times")).alias("w"), "toxic").groupBy(F.col("w.words").alias("word")).agg(
+        F.sum(F.col("toxic") * F.col("w.times")).alias("t"), F.sum((1 - F.col("toxic")) * F.col("w.times")).alias("c"), F.sum("toxic").alias("d")), "toxic-words")
+    packed = checked_broadcast(sample.sparkSession, pickle.dumps(heads), 16 << 20, "the stems")
+
+    def parts(part: pa.RecordBatch) -> pa.RecordBatch:
+        lexicon = resident("head stems", packed.value, lambda raw: Lexicon(pickle.loads(raw)))
+        held = part.column(0).to_pylist()
+        rows = [_parts_of(w) for w in held]
+        return pa.RecordBatch.from_arrays([pa.array([list(r) for r in rows], pa.list_(pa.string())), pa.array([list(r.values()) for r in rows], pa.list_(pa.bool_())),
+                                           pa.array([not lexicon.hits[w] for w in held]), *part.columns[1:]], ["parts", "inner", "new", "t", "c", "d"])
+
+    made = by_pieces(table.filter("length(word) >= 2"), parts, "parts array<string>, inner array<boolean>, new boolean, t bigint, c bigint, d bigint", text="word")
+    counts = made.select(F.explode(F.arrays_zip("parts", "inner")).alias("p"), "new", "t", "c", "d").groupBy(F.col("p.parts").alias("stem")).agg(
+        F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum(F.when(F.col("new"), F.col("d")).otherwise(0)).alias("d"), F.sum(F.when(F.col("new"), F.col("t")).otherwise(0)).alias("gain"),
+        F.sum(F.when(F.col("p.inner"), F.col("t")).otherwise(0)).alias("ti"), F.sum(F.when(F.col("p.inner"), F.col("c")).otherwise(0)).alias("ci"))
+    pure = lambda t, c: F.col(t) * (n - toxic) >= PURER * F.col(c) * toxic
+    wanted = (F.col("d") >= least) & (F.col("ti") > 0) & pure("t", "c")
+    kept = staged(counts.withColumn("wanted", wanted).withColumn("inside", pure("ti", "ci")).filter(F.col("wanted") | F.col("stem").isin(heads)), "toxic-parts")
+    able = {r.stem: r.inside for r in kept.filter(F.col("stem").isin(heads)).select("stem", "inside").collect()}
+    order = [F.desc(F.col("gain") - CLEAN_COST * F.col("c")), F.desc(F.length("stem")), F.asc("stem")]
+    rows = [r for r in kept.filter("wanted").orderBy(*order).limit(CANDIDATES).collect() if r.stem not in able]
+    place = {r.stem: i for i, r in enumerate(rows)}
+    known = checked_broadcast(sample.sparkSession, pickle.dumps((heads, place)), 16 << 20, "the candidate stems")
+
+    def present(part: pa.RecordBatch) -> pa.RecordBatch:
+        lexicon, at = resident("candidate parts", known.value, lambda raw: (lambda x: (Lexicon(x[0]), x[1]))(pickle.loads(raw)))
+        held = [[] if lexicon.hits[w] else [at[p] for p in _parts_of(w) if p in at] for w in part.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32())), part.column(1)], ["at", "t"])
+
+    left = [(set(r.at), r.t) for r in by_pieces(table.filter("t > 0 AND length(word) >= 2").select("word", "t"), present, "at array<int>, t bigint", text="word").filter("size(at) > 0").collect()] if rows else []
+    clean, size = np.array([r.c for r in rows]), np.array([len(r.stem) for r in rows])
+    chosen: list[int] = []
+    while left and len(chosen) < LEXICON:
+        gain = -CLEAN_COST * clean
+        for at, t in left:
+            gain[list(at)] += t
+        gain[chosen] = -np.inf
+        best = int(np.lexsort((size, gain))[-1])
+        if gain[best] < least:
+            break
+        chosen.append(best)
+        left = [x for x in left if best not in x[0]]
+    rate = [(rows[i].t + 0.5) / toxic / ((rows[i].c + 0.5) / (n - toxic)) for i in chosen]
+    return [rows[i].stem for i in chosen], [min(1.0, math.log(r) / math.log(100)) for r in rate], [able.get(s, True) for s in heads]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
@@ -239,12 +340,12 @@ def learn(notes: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> dict:
     constant.  Learns from about ``sample`` labelled notes at most.
     """
     rows = labelled_sample(notes, labels, sample=sample)
-    stems, weights = learn_lexicon(rows)
-    model = dict(stems=stems, weights=weights, coef=None)
+    stems, weights, inside = learn_lexicon(rows)
+    model = dict(stems=stems, weights=weights, inside=inside, coef=None)
     got = _featured(rows.select("text", F.col("toxic").cast("double").alias("toxic")), model, "f array<double>").select("f", "toxic").collect()  # at most the sample, a few numbers each
     y = np.array([r.toxic for r in got])
     x = np.array([[1.0, *r.f] for r in got])
-    constant = [math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else -2.0, *[0.0] * 6]
+    constant = [math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else -2.0, *[0.0] * 7]
     model["coef"] = _logistic(x, y).tolist() if stems and 0 < y.sum() < len(y) else constant
     return model
 
@@ -274,7 +375,7 @@ def _loads(raw: bytes):
 def _loaded(raw: bytes):
     def make(r):
         model = pickle.loads(r)
-        return Lexicon(model["stems"]), model["weights"], model["coef"]
+        return Lexicon(model["stems"], model["inside"]), model["weights"], model["coef"]
     return resident("toxicity", raw, make)
 
 
