@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, neardup, secrets, topk, toxicity, urltree, warc, wordpiece
+from . import bpe, decontaminate, infill, langid, neardup, secrets, simhash, spelling, topk, toxicity, urltree, warc, wordpiece
 from .records import shared_folder
 
 # The stated url rules (verdict, host/path).
@@ -94,6 +94,22 @@ def op10_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.judge_sources(sources, URL_RULES).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.fingerprint_notes(_notes(spark, sf_dir))
+    shown = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", *shown, "near_edited", "near_next", "class_id", "n_links")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.rearrange_notes(_notes(spark, sf_dir))
+    return made.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_notes(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_decontaminate": op2_decontaminate,
@@ -105,6 +121,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_secrets": op9_secrets,
     "op10_url_tree": op10_url_tree,
+    "op11_simhash": op11_simhash,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 LOWER = f"translate(text, '{urltree.UPPER}', '{urltree.LOWER}')"
 
@@ -151,6 +170,18 @@ SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, {BA
        CASE WHEN page_id < refers_to THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < refers_to THEN refers_to END AS refers_to
 FROM page JOIN top USING (h)"""
 
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+e AS (SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS p, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS q,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+           WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, array_to_string(u[1:least(p, q)], '') AS prefix, array_to_string(u[least(p, q) + 1:greatest(p, q)], '') AS middle, array_to_string(u[greatest(p, q) + 1:n], '') AS suffix FROM e)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM c"""
+
 
 def _url_sql() -> str:
     """The url tree with its default parameters, level by level."""
@@ -192,4 +223,5 @@ ORACLE: dict[str, str] = {
     "op3_near_duplicates": OP3_SQL,
     "op5_warc": OP5_SQL,
     "op10_url_tree": _url_sql(),
+    "op12_fill_in_middle": OP12_SQL,
 }

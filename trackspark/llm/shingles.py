@@ -49,7 +49,7 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     breaks = np.zeros(len(data) + 1, bool)
     breaks[ends] = True
     word = ~blank
-    first = word & np.concatenate(([True], blank[:-1] if len(blank) else []))[: len(data)]
+    first = word & np.concatenate(([True], blank[:-1]))[: len(data)]
     first |= word & breaks[:-1]
     last = word & (np.concatenate((blank[1:], [True]))[: len(data)] | breaks[1:])
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
