@@ -93,11 +93,11 @@ def test_repeated_rows_null_ids_and_lone_notes(spark, notes, monkeypatch):
     assert simhash.fingerprint_notes(notes([])).count() == 0
 
 
-@pytest.mark.parametrize("radius, n", [(7, 300), (3, 300), (7, 1 << 40)])
-def test_tables_find_all_within_the_radius(spark, monkeypatch, radius, n):
+@pytest.mark.parametrize("radius, corpus", [(11, 300), (3, 300), (7, 1 << 36)])
+def test_tables_find_all_within_the_radius(spark, monkeypatch, radius, corpus):
     monkeypatch.setattr(simhash, "CELL_ROWS", 16)
-    if n > 300:  # tables of a large corpus: several blocks a key
-        monkeypatch.setattr(simhash, "block_tables", lambda _, bits=256, radius=7, real=simhash.block_tables: real(n, bits, 3)[:] if radius == 3 else real(1 << 30, bits, radius))
+    real = simhash.block_tables  # the tables of a corpus of so many fingerprints: several blocks a key in the last case
+    monkeypatch.setattr(simhash, "block_tables", lambda n, bits=simhash.BITS, radius=radius: real(corpus, bits, radius))
     rng = np.random.default_rng(6)
     base = rng.integers(0, 256, (6, 32), np.uint8)
     rows = []
@@ -122,7 +122,7 @@ def test_tables_find_all_within_the_radius(spark, monkeypatch, radius, n):
 def test_table_keys_cover_every_choice_of_blocks():
     for n, radius in ((100, 7), (1 << 20, 7), (1 << 36, 7), (1 << 20, 3)):
         tables = simhash.block_tables(n, 256, radius)
-        assert len(tables[0][0]) * len(tables[0]) >= min(48, n.bit_length()) - len(tables[0])
+        assert len(tables[0][0]) * len(tables[0]) >= min(48, n.bit_length() - 3) - len(tables[0])
         rng = random.Random(n)
         for _ in range(200):
             changed = set(rng.sample(range(256), radius))

@@ -267,7 +267,7 @@ def test_lexicon_finds_one_edit_and_reads_quotes():
     pool = stems + ["".join(rng.choice("idotmrnscu") for _ in range(rng.randint(1, 7))) for _ in range(3000)]
     pool += [s[:k] + rng.choice("idotx") + s[k + rng.randint(0, 1):] for s in stems for k in range(len(s)) for _ in range(4)]
     for w in pool:
-        code = lex.hits[w]
+        code = lex.head(w)
         exact = any(w.startswith(s) for s in stems)
         assert (code > 0 and not code & 1) == exact, w
         assert (code > 0) == (exact or near(w, "idiot") or near(w, "moron")), w
@@ -288,8 +288,9 @@ def test_toxicity_learns_from_labels_and_scores_all(spark, notes):
 
 def test_stems_are_found_anywhere_in_a_word(spark, notes):
     lex = toxicity.Lexicon(["idiot", "scum"], [True, True])
-    assert [lex.inner[w] for w in ("vollidiot", "xyzscumidiot", "idiot", "idiotscum", "voll1diot", "a" * 90 + "idiot")] == [(2,), (4, 2), (), (4,), (3,), (2,)]
-    assert toxicity.Lexicon(["scum"], [False]).inner["xscum"] == () and toxicity.features(lex, [1.0, 1.0], "a " + "b" * 40 + "scum")[0] > 0
+    inner = lambda lexicon, w: (lexicon.codes[w] or (0,))[1:]
+    assert [inner(lex, w) for w in ("vollidiot", "xyzscumidiot", "idiot", "idiotscum", "voll1diot", "a" * 90 + "idiot")] == [(2,), (4, 2), (), (4,), (3,), (2,)]
+    assert inner(toxicity.Lexicon(["scum"], [False]), "xscum") == () and toxicity.features(lex, [1.0, 1.0], "a " + "b" * 40 + "scum")[0] > 0
     rng = random.Random(12)
     sentence = lambda: "".join(chr(rng.randrange(0x4E00, 0x4E80)) for _ in range(40))
     bad = lambda t: t[:30] + "\u9f8d\u9f9f" + t[30:]
@@ -303,6 +304,60 @@ def test_stems_are_found_anywhere_in_a_word(spark, notes):
     assert all(got[i + 1] == int(i % 4 == 0) for i in range(400)) and all(got[i + 1] == int(i % 2 == 0) for i in range(400, 420))
 
 
+def test_edits_inside_words_equal_brute_force():
+    rng = random.Random(13)
+    stems = ["idiot", "moron", "scum"]
+    auto = toxicity.Automaton(stems, True)
+
+    def within(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            row = list(itertools.accumulate(zip(b, row, row[1:]), lambda left, x: min(left + 1, x[2] + 1, x[1] + (x[0] != c)), initial=i))
+        return row[-1]
+
+    for _ in range(400):
+        w = "".join(rng.choice("idotmrnscu") for _ in range(rng.randint(0, 5))) + rng.choice(stems) + rng.choice(["", "x", "ot"])
+        at = rng.randrange(len(w))
+        w = w[:at] + rng.choice(["", "i", "x"]) + w[at + 1:]
+        state = auto.start
+        for k, c in enumerate(w, 1):
+            state = auto.step[state].get(c, None) if c in auto.step[state] else auto.follow(state, c)
+            best = {i: min(within(w[a:k], s) for a in range(k + 1)) for i, s in enumerate(stems)}
+            assert dict((i, e) for e, i in auto.found[state]) == {i: e for i, e in best.items() if e <= (len(stems[i]) >= toxicity.FUZZY_FROM)}
+
+
+def test_held_out_labels_are_told_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").selectExpr("doc_id AS id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").selectExpr("doc_id AS id", "toxic")
+    held = F.crc32(F.col("id").cast("string")) % 3 == 1
+    model = toxicity.learn(docs, labels.filter(~held))
+    got = toxicity.score(docs.join(labels.filter(held), "id", "left_semi"), model).withColumnRenamed("toxic", "found").join(labels, "id").groupBy("toxic").agg(F.avg("found"), F.count(F.lit(1))).collect()
+    rate = {r.toxic: r[1] for r in got}
+    assert rate[1] >= 0.9 and rate[0] <= 0.002
+
+
+def test_learning_from_unbroken_text_and_doubly_labelled_texts(spark, notes, monkeypatch):
+    rng = random.Random(14)
+    run = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    words_ = spark.createDataFrame([(run(30_000), 1, 0, 1, 0)], "word string, t long, c long, d long, dc long")
+    whole = toxicity._part_counts(words_, ["d"], held_most=1 << 10)
+    assert whole.agg(F.sum("d")).first()[0] == sum(min(toxicity.LONGEST, 30_000 - i) - 2 for i in range(30_000 - 2))
+    texts = [words(rng, 20) + (" scumbag" * 6 if i % 4 == 0 else "") for i in range(80)] + [run(200_000), "both ways", "both ways"]
+    labels = spark.createDataFrame([(i + 1, int(i % 4 == 0)) for i in range(80)] + [(81, 1), (82, 0), (83, 1)], "id long, toxic int")
+    sample = {r.text: r.toxic for r in toxicity.labelled_sample(notes(texts), labels).collect()}
+    assert sample["both ways"] == 1 and len(sample) == 82
+    model = toxicity.learn(notes(texts), labels)
+    assert any("scumbag".startswith(s) for s in model["stems"])
+
+
+def test_rare_stems_are_learned_however_large_the_sample(spark, notes):
+    rng = random.Random(15)
+    texts = [words(rng, 12, "etaoinshr", 6) + (" idiot idiot idiot" if i % 4 == 0 else "") for i in range(1200)] + [words(rng, 12) + " quxbazling" for _ in range(12)]
+    labels = spark.createDataFrame([(i + 1, int(i % 4 == 0 or i >= 1200)) for i in range(1212)], "id long, toxic int")
+    stems = toxicity.learn(notes(texts), labels)["stems"]
+    assert any(s in "quxbazling" for s in stems)
+
+
 def test_languages_by_profiles(spark, notes):
     rng = random.Random(10)
     make = lambda k: words(rng, 50, ("the and ing", "ñoción lla", "schäeng")[k].replace(" ", ""), 7)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import pickle
 import re
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .records import by_pieces, checked_broadcast, resident, staged
+from ..session import ship_package
+from .records import by_pieces, checked_broadcast, resident, staged, tidy
 from .vocabulary import WordCache
 
 WORD = re.compile(r"[^\W_]+")
@@ -21,8 +23,8 @@ LONGEST = 24            # letters of a stem
 SHORTEST_STEM = 3       # two where letters are ideographs or kana
 FUZZY_FROM = 5          # a stem of so many letters may hold one edit
 SAMPLE = 40_000         # labelled notes to learn from, about
-CANDIDATES = 4_000      # stems that the cover is chosen from
-LEXICON = 400           # most stems
+LEAST = 4               # toxic notes that hold a stem, and occurrences it must newly explain, whatever the size of the sample
+SURE = 3.0              # nats by which a stem's share of toxic notes must stand out beyond the number of stems looked at
 CLEAN_COST = 0.5        # occurrences that a stem must newly explain per occurrence in clean notes
 ENOUGH = 6              # occurrences of lexicon stems that explain a toxic note
 PURER = 6               # a stem is so many times more frequent in toxic notes
@@ -32,20 +34,16 @@ OPENING, CLOSING = "\"'“«„‘‹", "\"'”»“’›"
 REPORTING = re.compile(r"\b(said|says|called|calls|quote|quoted|word|wrote|sagte|nannte|dit|appelé|dijo|llamó)\b")  # fixed cues of reported speech
 
 
-class Lexicon:
-    """Levenshtein automaton of the stems, intersected with their trie and determinised as words ask for it.
+class Automaton:
+    """Levenshtein automaton of stems, intersected with their trie and determinised as words ask for it.
 
     A state is a set of (trie node, edits so far); reading a letter matches it, replaces it or
-    takes it as added, and a missing letter is a step without reading.  A word hits a stem when
-    some prefix of the word is within the stem's edits of it.  The stems marked in ``inside`` are
-    also looked for from every later letter of the word.
+    takes it as added, and a missing letter is a step without reading.  ``anywhere`` keeps the
+    start in every state, so one pass over a word finds the stems that end at each letter.
     """
 
-    def __init__(self, stems: list[str], inside: list[bool] = ()):
-        self.stems = stems
-        self.places = [i for i, ok in enumerate(inside) if ok]
-        self.within = Lexicon([stems[i] for i in self.places]) if self.places else None
-        self.inner = WordCache(self._inner)
+    def __init__(self, stems: list[str], anywhere: bool):
+        self.anywhere = anywhere
         self.go: list[dict[str, int]] = [{}]
         self.stem: list[int | None] = [None]
         self.room = [0]
@@ -62,13 +60,13 @@ class Lexicon:
             self.stem[node] = i
             self.room[0] = max(self.room[0], edits)
         self._reset()
-        self.hits = WordCache(self._hit)
 
     def _reset(self):
         self.sets: dict[frozenset, int] = {}
         self.members: list[frozenset] = []
-        self.found: list[tuple[int, int] | None] = []
-        self.step: dict[tuple[int, str], int] = {}
+        self.found: list[tuple[tuple[int, int], ...]] = []
+        self.step: list[dict[str, int]] = []
+        self.steps = 0
         self.start = self._state({(0, 0)})
 
     def _state(self, pairs) -> int:
@@ -87,12 +85,13 @@ class Lexicon:
         if at is None:
             at = self.sets[key] = len(self.members)
             self.members.append(key)
-            ends = [(e, self.stem[node]) for node, e in key if self.stem[node] is not None and e <= self.room[node]]
-            self.found.append(min(ends) if ends else None)
+            self.step.append({})
+            self.found.append(tuple(sorted((e, self.stem[node]) for node, e in key if self.stem[node] is not None and e <= self.room[node])))
         return at
 
-    def _next(self, state: int, c: str) -> int:
-        to = set()
+    def follow(self, state: int, c: str) -> int:
+        """The state after a letter that was not asked for in this state before; -1 where nothing goes on."""
+        to = {(0, 0)} if self.anywhere else set()
         for node, e in self.members[state]:
             if e < self.room[node]:
                 to.add((node, e + 1))
@@ -100,55 +99,81 @@ class Lexicon:
                 cost = e + (letter != c)
                 if cost <= self.room[child]:
                     to.add((child, cost))
-        out = self.step[state, c] = self._state(to) if to else -1
+        out = self.step[state][c] = self._state(to) if to else -1
+        self.steps += 1
         return out
 
-    def _inner(self, word: str) -> tuple[int, ...]:
-        """Codes as in ``_hit`` of the stems that start after the first letter, in no part of the word twice; exact ones go first."""
-        if self.within is None or len(word) <= 2:
-            return ()
-        code = self.hits[word]
-        at = len(self.stems[(code >> 1) - 1]) + (code & 1) if code else 1
-        found = [(i, c) for i in range(at, len(word)) if (c := self.within._hit(word, i))]
-        taken, out = bytearray(len(word) + 1), []
-        for fuzzy in (0, 1):
-            for i, c in found:
-                end = min(len(word), i + len(self.within.stems[(c >> 1) - 1]))
-                if c & 1 == fuzzy and not any(taken[i:end]):
-                    taken[i:end] = b"\1" * (end - i)
-                    out.append(2 * (self.places[(c >> 1) - 1] + 1) + fuzzy)
-        return tuple(out)
-
-    def _hit(self, word: str, at: int = 0) -> int:
-        """0 or 2 * (stem + 1) + (1 if an edit was needed), for stems that start at letter ``at``."""
-        if len(self.step) > 500_000:
+    def room_made(self) -> None:
+        if self.steps > 500_000 or len(self.members) > 100_000:
             self._reset()
-        state, best = self.start, None
-        for k in range(at, len(word)):
-            c = word[k]
-            nxt = self.step.get((state, c))
-            state = self._next(state, c) if nxt is None else nxt
+
+
+class Lexicon:
+    """Stems a word begins with, and stems (those marked in ``inside``) it holds after its first letter.
+
+    A code is 2 * (stem + 1) + (1 if an edit was needed).  The head of a word is the stem with the fewest edits
+    that some prefix of the word fits; inside, exact stems go before edited ones and no letter counts twice.
+    ``codes[word]`` is None where there is nothing, which most words are.
+    """
+
+    def __init__(self, stems: list[str], inside: list[bool] = ()):
+        self.stems = stems
+        self.places = [i for i, ok in enumerate(inside) if ok]
+        self.at_head = Automaton(stems, False)
+        self.anywhere = Automaton([stems[i] for i in self.places], True) if self.places else None
+        self.codes = WordCache(self._codes, limit=250_000)
+
+    def _codes(self, word: str) -> tuple[int, ...] | None:
+        """(head code or 0, codes inside ...)"""
+        head = self.head(word)
+        inner = self._inner(word, len(self.stems[(head >> 1) - 1]) + (head & 1) if head else 1) if self.anywhere is not None and len(word) > 2 else ()
+        return (head, *inner) if head or inner else None
+
+    def head(self, word: str) -> int:
+        auto = self.at_head
+        auto.room_made()
+        state, best, step, found = auto.start, None, auto.step, auto.found
+        for c in word:
+            nxt = step[state].get(c)
+            state = auto.follow(state, c) if nxt is None else nxt
             if state < 0:
                 break
-            found = self.found[state]
-            if found is not None and (best is None or found < best):
-                best = found
+            if found[state] and (best is None or found[state][0] < best):
+                best = found[state][0]
         return 0 if best is None else 2 * (best[1] + 1) + (best[0] > 0)
 
+    def _inner(self, word: str, at: int) -> tuple[int, ...]:
+        auto = self.anywhere
+        auto.room_made()
+        state, step, found, ends = auto.start, auto.step, auto.found, []
+        for k, c in enumerate(word, 1):
+            nxt = step[state].get(c)
+            state = auto.follow(state, c) if nxt is None else nxt
+            if found[state]:
+                ends += [(e, begin, k, stem) for e, stem in found[state] if (begin := k - len(self.stems[self.places[stem]])) >= at]
+        if not ends:
+            return ()
+        taken, out = bytearray(len(word) + 1), []
+        for e, begin, end, stem in sorted(ends):
+            if 1 not in taken[begin:end]:
+                taken[begin:end] = b"\1" * (end - begin)
+                out.append(2 * (self.places[stem] + 1) + (e > 0))
+        return tuple(out)
+
 
 def features(lexicon: Lexicon, weights: list[float], text: str | None) -> list[float]:
     """Plain hits, misspelled hits, quoted hits, the strongest plain hit, their share of the words, length, misspelled hits inside words; logarithms of counts."""
     low = (text or "").lower()
     words = WORD.findall(low)
-    codes = list(map(lexicon.hits.__getitem__, words))
-    inner = list(map(lexicon.inner.__getitem__, words))
+    codes = list(map(lexicon.codes.__getitem__, words))
     plain = fuzzy = quoted = strongest = blurred = 0.0
-    if any(codes) or any(inner):
+    if any(codes):
         places = [m.span() for m in WORD.finditer(low)]
-        for i, (head, more) in enumerate(zip(codes, inner)):
-            held = (head, *more) if head else more
+        for i, held in enumerate(codes):
             if not held:
                 continue
+            head = held[0]
+            held = held if head else held[1:]
             said = _reads_quoted(low, places, i)
             for k, code in enumerate(held):
                 if code & 1 and (k or not head):
@@ -174,30 +199,12 @@ def _reads_quoted(low: str, places, i: int) -> bool:
     return inside or bool(REPORTING.search(left[-24:]))
 
 
-def _stems_in(text: str | None) -> dict[str, int]:
-    """Prefixes of a note's words and how often they occur, ``ENOUGH`` at most."""
-    out: dict[str, int] = {}
-    for word, times in Counter(WORD.findall((text or "").lower())).items():
-        for k in range(_shortest(word), min(LONGEST, len(word)) + 1):
-            out[word[:k]] = min(ENOUGH, out.get(word[:k], 0) + times)
-    return out
-
-
 def _shortest(part: str) -> int:
     return SHORTEST_STEM - ("\u2e80" <= part[0] <= "\u9fff")
 
 
-def _parts_of(word: str) -> dict[str, bool]:
-    """All parts of a word that may be stems; true if it starts after the first letter."""
-    out: dict[str, bool] = {}
-    for i in range(len(word)):
-        for k in range(i + _shortest(word[i]), min(i + LONGEST, len(word)) + 1):
-            out[word[i:k]] = out.get(word[i:k], False) or i > 0
-    return out
-
-
 def labelled_sample(notes: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
-    """About ``sample`` labelled notes at most, ``text, toxic``, distinct texts only.
+    """About ``sample`` labelled notes at most, ``text, toxic``; equal texts are one, with their larger label.
 
     The ids are chosen by hash before texts are touched; that list is small enough by
     construction to be sent to all tasks, so the notes' texts are never shuffled.
@@ -207,118 +214,183 @@ def labelled_sample(notes: DataFrame, labels: DataFrame, *, sample: int = SAMPLE
     keep = min(1.0, sample / max(1, n))
     marks = marks.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(keep * (1 << 20)) + 1)
     rows = notes.select("id", "text").filter("text IS NOT NULL").join(F.broadcast(marks), "id").select("text", "toxic")
-    return staged(rows.dropDuplicates(["text"]), "toxic-sample")
+    return staged(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-sample")
 
 
-def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[float], list[bool]]:
-    """Stems that mark toxic notes: a greedy cover of the toxic sample by stems that clean notes hold less.
-
-    A toxic note is explained by ``ENOUGH`` occurrences, so that stems which a clean note may hold
-    once by chance still serve.  Stem counts over the sample are made in Spark; only the
-    ``CANDIDATES`` best stems and, for each toxic sample note, which of them it holds come to the
-    driver (both bounded).  ``learn_inside`` then adds the stems that words hold elsewhere than at
-    their start; the third list says which stems are looked for inside words.
-    """
-    def stems(part: pa.RecordBatch) -> pa.RecordBatch:
-        held = [_stems_in(t) for t in part.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array([list(h) for h in held], pa.list_(pa.string())), pa.array([list(h.values()) for h in held], pa.list_(pa.int32())), part.column(1)], ["stems", "times", "toxic"])
-
-    held = by_pieces(sample.select("text", F.col("toxic").cast("int").alias("toxic")), stems, "stems array<string>, times array<int>, toxic int")
-    total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0)).alias("t")).first()
-    if not total.t or total.t == total.n:
-        return [], [], []
-    least = max(4, total.t // 100)  # toxic notes that hold a stem, and occurrences it must explain
-    counts = held.select(F.explode(F.arrays_zip("stems", "times")).alias("s"), "toxic").groupBy(F.col("s.stems").alias("stem")).agg(
-        F.sum(F.col("toxic") * F.col("s.times")).alias("t"), F.sum((1 - F.col("toxic")) * F.col("s.times")).alias("c"), F.sum("toxic").alias("d"))
-    pure = counts.filter((F.col("d") >= least) & (F.col("t") * (total.n - total.t) >= PURER * F.col("c") * total.t))
-    order = [F.desc(F.col("t") - CLEAN_COST * F.col("c")), F.desc(F.length("stem")), F.asc("stem")]
-    rows = pure.orderBy(*order).limit(CANDIDATES).collect()
-    place = {r.stem: i for i, r in enumerate(rows)}
-    packed = checked_broadcast(sample.sparkSession, pickle.dumps(place), 16 << 20, "the candidate stems")
-
-    def present(part: pa.RecordBatch) -> pa.RecordBatch:
-        known = _loads(packed.value)
-        held = [[(known[s], n) for s, n in _stems_in(t).items() if s in known] for t in part.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array([[i for i, _ in h] for h in held], pa.list_(pa.int32())), pa.array([[n for _, n in h] for h in held], pa.list_(pa.int32()))], ["at", "times"])
-
-    docs = [(dict(zip(r.at, r.times)), ENOUGH) for r in by_pieces(sample.filter("toxic = 1").select("text"), present, "at array<int>, times array<int>").collect() if r.at]
-    clean = np.array([r.c for r in rows])
-    size = np.array([len(r.stem) for r in rows])
-    chosen: list[int] = []
-    related: list[int] = []
-    while docs and len(chosen) < LEXICON:
-        gain = -CLEAN_COST * clean
-        for held_here, left in docs:
-            gain[list(held_here)] += np.minimum(list(held_here.values()), left)
-        gain[related] = -np.inf  # parts and extensions of a chosen stem are the same occurrences
-        best = int(np.lexsort((size, gain))[-1])  # largest gain, then the longest stem
-        if gain[best] < least:
-            break
-        chosen.append(best)
-        stem = rows[best].stem
-        related += [i for i, r in enumerate(rows) if r.stem.startswith(stem) or stem.startswith(r.stem)]
-        docs = [(d, left - d.get(best, 0)) for d, left in docs if left > d.get(best, 0)]
-    rate = [(rows[i].t + 0.5) / total.t / ((rows[i].c + 0.5) / (total.n - total.t)) for i in chosen]
-    heads, weights = [rows[i].stem for i in chosen], [min(1.0, math.log(r) / math.log(100)) for r in rate]
-    more, more_weights, inside = learn_inside(sample, heads, total.n, total.t, least)
-    return [*heads, *more], [*weights, *more_weights], [*inside, *[True] * len(more)]
-
-
-def learn_inside(sample: DataFrame, heads: list[str], n: int, toxic: int, least: int) -> tuple[list[str], list[float], list[bool]]:
-    """Stems that mark toxic notes anywhere in a word, their weights, and which of ``heads`` are looked for there too.
-
-    Counted over distinct words, every letter of a word may start a stem.  A head is looked for
-    inside words unless clean notes hold it there too often; a new stem explains words without a head.
-    """
+def sample_words(sample: DataFrame) -> DataFrame:
+    """``word, t, c, d, dc``: occurrences in toxic and clean notes (``ENOUGH`` a note at most), and toxic and clean notes that hold the word."""
     def words(part: pa.RecordBatch) -> pa.RecordBatch:
         held = [Counter(WORD.findall((t or "").lower())) for t in part.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array([list(h) for h in held], pa.list_(pa.string())), pa.array([[min(ENOUGH, k) for k in h.values()] for h in held], pa.list_(pa.int32())), part.column(1)], ["words", "times", "toxic"])
 
     held = by_pieces(sample.select("text", F.col("toxic").cast("int").alias("toxic")), words, "words array<string>, times array<int>, toxic int")
-    table = staged(held.select(F.explode(F.arrays_zip("words", "times")).alias("w"), "toxic").groupBy(F.col("w.words").alias("word")).agg(
-        F.sum(F.col("toxic") * F.col("w.times")).alias("t"), F.sum((1 - F.col("toxic")) * F.col("w.times")).alias("c"), F.sum("toxic").alias("d")), "toxic-words")
-    packed = checked_broadcast(sample.sparkSession, pickle.dumps(heads), 16 << 20, "the stems")
-
-    def parts(part: pa.RecordBatch) -> pa.RecordBatch:
-        lexicon = resident("head stems", packed.value, lambda raw: Lexicon(pickle.loads(raw)))
-        held = part.column(0).to_pylist()
-        rows = [_parts_of(w) for w in held]
-        return pa.RecordBatch.from_arrays([pa.array([list(r) for r in rows], pa.list_(pa.string())), pa.array([list(r.values()) for r in rows], pa.list_(pa.bool_())),
-                                           pa.array([not lexicon.hits[w] for w in held]), *part.columns[1:]], ["parts", "inner", "new", "t", "c", "d"])
-
-    made = by_pieces(table.filter("length(word) >= 2"), parts, "parts array<string>, inner array<boolean>, new boolean, t bigint, c bigint, d bigint", text="word")
-    counts = made.select(F.explode(F.arrays_zip("parts", "inner")).alias("p"), "new", "t", "c", "d").groupBy(F.col("p.parts").alias("stem")).agg(
-        F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum(F.when(F.col("new"), F.col("d")).otherwise(0)).alias("d"), F.sum(F.when(F.col("new"), F.col("t")).otherwise(0)).alias("gain"),
-        F.sum(F.when(F.col("p.inner"), F.col("t")).otherwise(0)).alias("ti"), F.sum(F.when(F.col("p.inner"), F.col("c")).otherwise(0)).alias("ci"))
-    pure = lambda t, c: F.col(t) * (n - toxic) >= PURER * F.col(c) * toxic
-    wanted = (F.col("d") >= least) & (F.col("ti") > 0) & pure("t", "c")
-    kept = staged(counts.withColumn("wanted", wanted).withColumn("inside", pure("ti", "ci")).filter(F.col("wanted") | F.col("stem").isin(heads)), "toxic-parts")
-    able = {r.stem: r.inside for r in kept.filter(F.col("stem").isin(heads)).select("stem", "inside").collect()}
-    order = [F.desc(F.col("gain") - CLEAN_COST * F.col("c")), F.desc(F.length("stem")), F.asc("stem")]
-    rows = [r for r in kept.filter("wanted").orderBy(*order).limit(CANDIDATES).collect() if r.stem not in able]
-    place = {r.stem: i for i, r in enumerate(rows)}
-    known = checked_broadcast(sample.sparkSession, pickle.dumps((heads, place)), 16 << 20, "the candidate stems")
-
-    def present(part: pa.RecordBatch) -> pa.RecordBatch:
-        lexicon, at = resident("candidate parts", known.value, lambda raw: (lambda x: (Lexicon(x[0]), x[1]))(pickle.loads(raw)))
-        held = [[] if lexicon.hits[w] else [at[p] for p in _parts_of(w) if p in at] for w in part.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32())), part.column(1)], ["at", "t"])
-
-    left = [(set(r.at), r.t) for r in by_pieces(table.filter("t > 0 AND length(word) >= 2").select("word", "t"), present, "at array<int>, t bigint", text="word").filter("size(at) > 0").collect()] if rows else []
-    clean, size = np.array([r.c for r in rows]), np.array([len(r.stem) for r in rows])
-    chosen: list[int] = []
-    while left and len(chosen) < LEXICON:
-        gain = -CLEAN_COST * clean
-        for at, t in left:
-            gain[list(at)] += t
-        gain[chosen] = -np.inf
-        best = int(np.lexsort((size, gain))[-1])
-        if gain[best] < least:
+    return held.select(F.explode(F.arrays_zip("words", "times")).alias("w"), "toxic").groupBy(F.col("w.words").alias("word")).agg(
+        F.sum(F.col("toxic") * F.col("w.times")).alias("t"), F.sum((1 - F.col("toxic")) * F.col("w.times")).alias("c"), F.sum("toxic").alias("d"), F.sum(1 - F.col("toxic")).alias("dc"))
+
+
+def _part_counts(words: DataFrame, counts: list[str], known=None, held_most: int = 1 << 16) -> DataFrame:
+    """``part`` with the sums of ``counts`` over the words that hold it, and over those that begin with it (``h_...``).
+
+    Every letter of a word may start a part.  ``known`` (a broadcast list) names the parts wanted; where
+    a part is not, none that continues it is.  Sums are made inside the task and handed on whenever
+    ``held_most`` parts are held, so even a text without breaks takes bounded memory.
+    """
+    names = [*counts, *(f"h_{c}" for c in counts)]
+    width = len(counts)
+
+    def flush(held):
+        columns = np.array(list(held.values()), np.int64).reshape(len(held), 2 * width)
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array(columns[:, i]) for i in range(2 * width))], ["part", *names])
+
+    def run(batches):
+        wanted = resident("known parts", known.value, lambda raw: set(pickle.loads(raw))) if known is not None else None
+        held: dict[str, list[int]] = {}
+        for batch in batches:
+            for word, *values in zip(*(c.to_pylist() for c in batch.columns)):
+                for i in range(len(word)):
+                    for k in range(i + _shortest(word[i]), min(i + LONGEST, len(word)) + 1):
+                        part = word[i:k]
+                        if wanted is not None and part not in wanted:
+                            break
+                        row = held.get(part)
+                        if row is None:
+                            row = held[part] = [0] * (2 * width)
+                        for j, v in enumerate(values):
+                            row[j] += v
+                            if not i:
+                                row[width + j] += v
+                    if len(held) >= held_most:
+                        yield flush(held)
+                        held = {}
+        if held:
+            yield flush(held)
+
+    ship_package(words.sparkSession)
+    made = words.select("word", *counts).mapInArrow(tidy(run), "part string, " + ", ".join(f"{n} long" for n in names))
+    return made.groupBy("part").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _stands_out(t: str, c: str, d: str, dc: str, n: int, toxic: int, looked_at: int):
+    """Purer than ``PURER`` and beyond chance: the toxic share among the notes that hold a part, by its likelihood ratio against the number of parts."""
+    pure = F.col(t) * (n - toxic) >= PURER * F.col(c) * toxic
+    all_, share = F.col(d) + F.col(dc), toxic / n
+    q = F.col(d) / all_
+    nats = F.col(d) * F.log(q / share) + F.when(F.col(dc) > 0, F.col(dc) * F.log((1 - q) / (1 - share))).otherwise(0.0)
+    return (F.col(d) >= LEAST) & pure & (nats >= math.log(max(1, looked_at)) + SURE)
+
+
+def _cover(held: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, clean: np.ndarray, stems: list[str], apart: bool) -> list[int]:
+    """Greedy cover: the stem that newly explains most, less its cost in clean notes, until none explains ``LEAST``.
+
+    ``held[stem]`` are the rows that hold it and how often; ``left`` is what each row still lacks.
+    ``apart``: parts and extensions of a chosen stem are the same occurrences and are left out.
+    Gains only fall, so a stem is looked at again only when it comes first.
+    """
+    def gain(i):
+        rows, times = held[i]
+        return float(np.minimum(times, left[rows]).sum() - CLEAN_COST * clean[i])
+
+    heap = [(-gain(i), -len(stems[i]), stems[i], i) for i in range(len(stems))]
+    heapq.heapify(heap)
+    chosen, whole, begun = [], set(), set()
+    while heap:
+        before, size, stem, i = heapq.heappop(heap)
+        if -before < LEAST:
             break
-        chosen.append(best)
-        left = [x for x in left if best not in x[0]]
-    rate = [(rows[i].t + 0.5) / toxic / ((rows[i].c + 0.5) / (n - toxic)) for i in chosen]
-    return [rows[i].stem for i in chosen], [min(1.0, math.log(r) / math.log(100)) for r in rate], [able.get(s, True) for s in heads]
+        if apart and (stem in begun or any(stem[:k] in whole for k in range(1, len(stem)))):
+            continue
+        now = -gain(i)
+        if now > before:
+            heapq.heappush(heap, (now, size, stem, i))
+            continue
+        chosen.append(i)
+        whole.add(stem)
+        begun.update(stem[:k] for k in range(1, len(stem) + 1))
+        rows, times = held[i]
+        left[rows] = np.maximum(0, left[rows] - times)
+    return chosen
+
+
+def _by_stem(rows, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows and times of each stem from the stems and times of each row."""
+    at = np.concatenate([np.zeros(0, np.int64), *(np.array(r.at, np.int64) for r in rows)])
+    times = np.concatenate([np.zeros(0, np.int64), *(np.array(r.times, np.int64) for r in rows)])
+    row = np.repeat(np.arange(len(rows)), [len(r.at) for r in rows])
+    order = np.argsort(at, kind="stable")
+    border = np.searchsorted(at[order], np.arange(n + 1))
+    return [(row[order[a:b]], times[order[a:b]]) for a, b in zip(border[:-1], border[1:])]
+
+
+def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[float], list[bool]]:
+    """Stems that mark toxic notes, their weights, and which of them are looked for inside words too.
+
+    All is counted over the sample's distinct words.  Parts that ``LEAST`` toxic notes hold are counted in all
+    words; those that stand out beyond chance are candidates.  A greedy cover of the toxic notes
+    by candidates that begin words comes first (a note is explained by ``ENOUGH`` occurrences, so that
+    stems which a clean note may hold once by chance still serve); a cover of the toxic words
+    without such a stem, by candidates anywhere in them, follows.  Neither cover has a size limit; what comes
+    to the driver are candidates and, for each toxic sample note or word, which of them it holds, so the
+    sample bounds both.
+    """
+    total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0)).alias("t")).first()
+    if not total.t or total.t == total.n:
+        return [], [], []
+    n, toxic, spark = total.n, total.t, sample.sparkSession
+    table = staged(sample_words(sample), "toxic-words")
+    often = [r.part for r in _part_counts(table.filter("d > 0"), ["d"]).filter(F.col("d") >= LEAST).select("part").collect()]
+    known = checked_broadcast(spark, pickle.dumps(often), 256 << 20, "the parts of toxic words")
+    counts = _part_counts(table, ["t", "c", "d", "dc"], known).withColumn("ti", F.col("t") - F.col("h_t")).withColumn("ci", F.col("c") - F.col("h_c"))
+    tests = (n, toxic, 2 * len(often))
+    begins, holds = _stands_out("h_t", "h_c", "h_d", "h_dc", *tests), _stands_out("t", "c", "d", "dc", *tests) & (F.col("ti") > 0)
+    found = sorted(counts.withColumn("begins", begins).withColumn("holds", holds).filter("begins OR holds").collect(), key=lambda r: r.part)
+
+    rows = [r for r in found if r.begins]
+    stems = [r.part for r in rows]
+    packed = checked_broadcast(spark, pickle.dumps({s: i for i, s in enumerate(stems)}), 64 << 20, "the candidate stems")
+
+    def begun(part: pa.RecordBatch) -> pa.RecordBatch:
+        place = resident("candidate stems", packed.value, pickle.loads)
+        out = []
+        for text in part.column(0).to_pylist():
+            held: dict[int, int] = {}
+            for word, times in Counter(WORD.findall((text or "").lower())).items():
+                for k in range(_shortest(word), min(LONGEST, len(word)) + 1):
+                    i = place.get(word[:k])
+                    if i is not None:
+                        held[i] = min(ENOUGH, held.get(i, 0) + times)
+            out.append(held)
+        return pa.RecordBatch.from_arrays([pa.array([list(h) for h in out], pa.list_(pa.int32())), pa.array([list(h.values()) for h in out], pa.list_(pa.int32()))], ["at", "times"])
+
+    notes = by_pieces(sample.filter("toxic = 1").select("text"), begun, "at array<int>, times array<int>").filter("size(at) > 0").collect() if stems else []
+    chosen = _cover(_by_stem(notes, len(stems)), np.full(len(notes), ENOUGH), np.array([r.h_c for r in rows]), stems, True)
+    heads = [stems[i] for i in chosen]
+    weights = [_weight(rows[i].h_t, rows[i].h_c, n, toxic) for i in chosen]
+    inside = [rows[i].ti * (n - toxic) >= PURER * rows[i].ci * toxic for i in chosen]
+
+    rows = [r for r in found if r.holds and r.part not in set(heads)]
+    stems = [r.part for r in rows]
+    known = checked_broadcast(spark, pickle.dumps((heads, {s: i for i, s in enumerate(stems)})), 64 << 20, "the candidate parts")
+
+    def held_in(part: pa.RecordBatch) -> pa.RecordBatch:
+        lexicon, place = resident("candidate parts", known.value, lambda raw: (lambda x: (Lexicon(x[0]), x[1]))(pickle.loads(raw)))
+        longest = max(map(len, place), default=0)
+        out = []
+        for word in part.column(0).to_pylist():
+            held = set()
+            if lexicon.codes[word] is None:
+                for i in range(len(word)):
+                    held.update(at for k in range(i + 2, min(i + longest, len(word)) + 1) if (at := place.get(word[i:k])) is not None)
+            out.append(sorted(held))
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), part.column(1)], ["at", "t"])
+
+    words = by_pieces(table.filter("t > 0").select("word", "t"), held_in, "at array<int>, t bigint", text="word").filter("size(at) > 0").select(
+        "at", F.expr("array_repeat(t, size(at))").alias("times"), "t").collect() if stems else []
+    chosen = _cover(_by_stem(words, len(stems)), np.array([r.t for r in words], np.int64), np.array([r.c for r in rows]), stems, False)
+    return ([*heads, *(stems[i] for i in chosen)], [*weights, *(_weight(rows[i].t, rows[i].c, n, toxic) for i in chosen)], [*inside, *[True] * len(chosen)])
+
+
+def _weight(t: int, c: int, n: int, toxic: int) -> float:
+    return min(1.0, math.log((t + 0.5) / toxic / ((c + 0.5) / (n - toxic))) / math.log(100))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
@@ -368,10 +440,6 @@ def _featured(rows: DataFrame, model: dict, made: str, keep_text: bool = False)
     return by_pieces(rows, work, schema)
 
 
-def _loads(raw: bytes):
-    return resident("candidate stems", raw, pickle.loads)
-
-
 def _loaded(raw: bytes):
     def make(r):
         model = pickle.loads(r)
