@@ -17,6 +17,7 @@ from .records import by_pieces, checked_broadcast, resident, staged
 # Lower-cased ASCII letters, digits and everything beyond ASCII make words; on UTF-8 bytes these are:
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 PART_BYTES = 1 << 20    # item text behind one automaton
+CELLS = 32              # hash cells of item text per part
 CHUNK_BYTES = 1 << 17   # a longer item is cut into chunks that overlap by a window less one word
 
 
@@ -164,6 +165,18 @@ def _chunks(items: DataFrame, window: int, id_col: str, text_col: str) -> DataFr
     return by_pieces(named, work, "item string, no int, whole boolean, words binary, size long")
 
 
+def _packed_parts(sizes: list[tuple[int, int]]) -> list[list[int]]:
+    """Cells in order, packed until a part would exceed ``PART_BYTES``."""
+    parts, held = [], 0
+    for cell, size in sizes:
+        if not parts or held + size > PART_BYTES:
+            parts.append([])
+            held = 0
+        parts[-1].append(cell)
+        held += size
+    return parts
+
+
 def find_contamination(notes: DataFrame, items: DataFrame, *, window: int = 13, one_in: int = 20, id_col: str = "id", text_col: str = "text",
                        item_id_col: str = "id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Where the notes repeat the test items, and what is left without those spans.
@@ -179,27 +192,25 @@ def find_contamination(notes: DataFrame, items: DataFrame, *, window: int = 13,
     Null or wordless texts have no words and are clean; null or wordless items match nothing; an
     empty item table leaves all notes clean; repeated rows are answered one by one.
 
-    Items are cut into parts of at most about 1 MB of words (long items into overlapping
-    chunks), each part is one automaton that is sent to the tasks, and notes pass the parts one
+    Items are cut into parts of about 1 MB of words (long items into overlapping chunks; chunks
+    that repeat under one id count once; many small cells of a hash are packed by size, so the parts
+    never depend on how ids repeat), each part is one automaton that is sent to the tasks, and notes pass the parts one
     after the other, so neither the driver nor a task holds a large item table.
     """
     spark = notes.sparkSession
-    chunks = staged(_chunks(items, window, item_id_col, item_text_col), "test-items")
+    chunks = staged(_chunks(items, window, item_id_col, item_text_col).dropDuplicates(["item", "whole", "words"]), "test-items")
     total = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    parts = max(1, -(-total // (PART_BYTES // 2)))
-    while True:
-        part = F.pmod(F.xxhash64("item", "no"), F.lit(parts))
-        largest = chunks.groupBy(part.alias("p")).agg(F.sum("size").alias("s"), F.max("size").alias("m")).agg(F.max(F.when(F.col("s") > F.col("m"), F.col("s")))).first()[0]
-        if (largest or 0) <= PART_BYTES:
-            break
-        parts *= 2
+    cells = max(1, -(-total * CELLS // PART_BYTES))
+    cell = F.pmod(F.xxhash64("item", "no", "words"), F.lit(cells))
+    sizes = chunks.groupBy(cell.alias("cell")).agg(F.sum("size").alias("s")).collect()  # CELLS a part at most
+    parts = _packed_parts(sorted((r.cell, r.s) for r in sizes)) or [[0]]
     columns = [F.col(f"`{c}`") for c in carry]
     out = notes.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*columns, F.lit(True).alias("_")).alias("carry"),
                        F.lit(None).cast("binary").alias("mask"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
-    for p in range(parts):
-        rows = chunks.filter(part == p).select("item", "whole", "words").collect()  # at most PART_BYTES, or one chunk
+    for p, own in enumerate(parts):
+        rows = chunks.filter(cell.isin(own)).select("item", "whole", "words").collect()  # about PART_BYTES, or one cell
         packed = checked_broadcast(spark, pickle.dumps(sorted((r.item, r.whole, bytes(r.words).split(b" ")) for r in rows)), 64 << 20, "a part of the test items")
-        if p + 1 < parts:
+        if p + 1 < len(parts):
             out = staged(_pass(out, packed, window), "contamination")
     return _judged(out, packed, window, one_in)
 

@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import shingles
-from .records import by_pieces, bytes_and_offsets, id_and_text, staged, tidy
+from .records import by_pieces, bytes_and_offsets, id_and_text, join_counted, staged, tidy
 
 ROWS, BANDS = 6, 64      # at similarity 0.75 a pair meets in 11 of 64 buckets on average, in none with probability 4e-6
 SLOTS = ROWS * BANDS
@@ -110,21 +111,22 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes: every node hands its larger neighbours to its
     smallest neighbour, then its smaller ones; chains halve each time.  Every step aggregates
-    per node before it joins, and each round is written once to the shared folder.
+    per node before it joins, a hub's edges stay where they are (``join_counted``), and each round is
+    written once to the shared folder.
     """
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "near-edges")
-    state = None
+    state, n = None, edges.count()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n"))
+        large = join_counted(both.filter("v > u"), least, "u", "_n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+        small = join_counted(large, least, "u", "_n", n).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = staged(small.select("e.u", "e.v").filter("u <> v").distinct(), "near-edges")
         now = tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if now == state:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        state = now
+        state, n = now, now[0]
 
 
 def _labelled(members: DataFrame, parts: DataFrame) -> DataFrame:
@@ -132,10 +134,12 @@ def _labelled(members: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component, with the bucket's number of blocks."""
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / CELL_ROWS, F.sum("n") * 4 / CELL_BYTES)).cast("int")
-    keys = members.groupBy("key").agg(blocks.alias("blocks"), F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("key", "blocks")
-    return members.join(keys, "key")
+    """Members of buckets that hold more than one component, with the bucket's number of blocks; ``astray``: outside its commonest component."""
+    kinds = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_s"))
+    blocks = F.ceil(F.greatest(F.sum("_m") / CELL_ROWS, F.sum("_s") * 4 / CELL_BYTES)).cast("int")
+    keys = kinds.groupBy("key").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("_kinds"), F.max(F.struct("_m", "component")).alias("_c"))
+    keys = keys.filter("_kinds > 1").select("key", "blocks", F.col("_c.component").alias("_common"))
+    return members.join(keys, "key").withColumn("astray", F.col("component") != F.col("_common")).drop("_common")
 
 
 def _star(members: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -150,47 +154,47 @@ def _star(members: DataFrame, share: tuple[int, int]) -> DataFrame:
 def _rest(notes: DataFrame, left: DataFrame, share: tuple[int, int], kind: str) -> DataFrame:
     """Pairs of open buckets that the stars left apart and that reach the similarity.
 
-    A bucket is dealt into blocks of bounded size and every two blocks meet in a cell of their
-    own, where whole sets (32 bits of each hash, which can only add to a count) are compared
-    through the inverted lists of one side.  Pairs are made and judged inside the task; only those
-    that pass leave it, and they are confirmed on the full hashes like all others.
+    A bucket is dealt into blocks of bounded size.  Members of its commonest component stay in their block, the
+    others are copied to every block and compared there with all that are at home in it, so copies
+    follow the stragglers.  Whole sets (32 bits of each hash, which can only add to a count) are compared
+    through inverted lists.  Pairs are made and judged inside the task; only those that pass
+    leave it, and they are confirmed on the full hashes like all others.
     """
     ids = staged(left.select(F.col("rep").alias("id")).distinct(), "near-ids")
     sets = _full_sets(notes, ids, kind, 32).withColumnRenamed("id", "rep")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = left.join(sets, "rep").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("rep", "component", "n", "block", "hashes")).alias("m"))
+    visits = F.when(F.col("astray"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    dealt = left.join(sets, "rep").withColumn("block", block).withColumn("cell", F.explode(visits))
+    row = F.struct("rep", "component", "n", "astray", (F.col("block") == F.col("cell")).alias("home"), "hashes")
+    cells = dealt.groupBy("key", "cell").agg(F.collect_list(row).alias("m"))
 
     def work(batches):
         for batch in batches:
-            for i, j, m in zip(*(batch.column(c) for c in range(3))):
-                pairs = _compare(m.values, i.as_py() == j.as_py(), share)
+            for m in batch.column(0):
+                pairs = _compare(m.values, share)
                 if pairs.num_rows:
                     yield pairs
 
-    return cells.select("i", "j", "m").mapInArrow(tidy(work), f"a {kind}, b {kind}").distinct()
+    return cells.select("m").mapInArrow(tidy(work), f"a {kind}, b {kind}").distinct()
 
 
-def _compare(m: pa.StructArray, alone: bool, share: tuple[int, int]) -> pa.RecordBatch:
-    """Pairs of a cell in different components whose counts reach the similarity."""
-    rep, component, n, block = (m.field(c) for c in range(4))
+def _compare(m: pa.StructArray, share: tuple[int, int]) -> pa.RecordBatch:
+    """Pairs of a cell in different components, a straggler and a member at home, whose counts reach the similarity."""
+    rep, component, n, astray, home = (m.field(c) for c in range(5))
     _, component = np.unique(np.array(component.to_pylist(), object).astype(str), return_inverse=True)
-    n, block = n.to_numpy(zero_copy_only=False), block.to_numpy(zero_copy_only=False)
-    sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in m.field(4)]
-    common = np.bincount(component).argmax()
+    n, astray, home = (x.to_numpy(zero_copy_only=False) for x in (n, astray, home))
+    sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in m.field(5)]
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     found = []
-    for x in np.flatnonzero(component != common):  # two members of the commonest component need no comparison
+    for x in np.flatnonzero(astray):
         a, b = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
         size = b - a
         at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
         shared = np.bincount(owner[at], minlength=len(sets))
-        good = (share[1] * shared >= share[0] * (n + n[x] - shared)) & (component != component[x])
-        if not alone:
-            good &= block != block[x]
+        good = (share[1] * shared >= share[0] * (n + n[x] - shared)) & (component != component[x]) & home
         found += [(min(p, q), max(p, q)) for p, q in ((rep[int(x)].as_py(), rep[int(y)].as_py()) for y in np.flatnonzero(good))]
     found = sorted(set(found))
     return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], rep.type), pa.array([q for _, q in found], rep.type)], ["a", "b"])
@@ -214,6 +218,11 @@ def near_duplicates(notes: DataFrame, *, share: tuple[int, int] = (75, 100), id_
     id are answered with a null component and stay; repeated rows are answered one by one; an
     empty table gives no rows; other columns are not read.
     """
+    return _judged(notes, share, id_col, text_col).select("id", F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _judged(notes: DataFrame, share: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """``near_duplicates`` with the two checksums of each row's set."""
     texts = id_and_text(notes, id_col, text_col)
     kind = texts.schema["id"].dataType.simpleString()
     sketch = staged(by_pieces(texts, _sketch, f"id {kind}, n long, k1 long, k2 long, bands array<bigint>"), "near-sketch")
@@ -232,20 +241,28 @@ def near_duplicates(notes: DataFrame, *, share: tuple[int, int] = (75, 100), id_
     grouped = own.join(top.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = sketch.drop("bands").join(grouped, ["k1", "k2", "n"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
-    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select("id", "n", "k1", "k2", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(notes: DataFrame, *, share: tuple[int, int] = (75, 100), id_col: str = "id", text_col: str = "text") -> DataFrame:
     """The rows of ``notes``, all columns, without the near copies: one note of each component stays.
 
-    Notes without words stay.  Of rows that repeat a note (same id, linked with itself) one stays.
+    Notes without words stay, as do rows with a null id.  Rows that share an id are judged each by its own
+    set: unlike texts of one id stay or go on their own, and of equal sets under one id the row with the smallest text stays.
     """
-    judged = staged(near_duplicates(notes, share=share, id_col=id_col, text_col=text_col), "near-judged")
+    judged = staged(_judged(notes, share, id_col, text_col), "near-judged")
     gone = judged.filter("NOT kept").select(F.col("id").alias(id_col)).distinct()
-    left = notes.join(F.broadcast(gone) if gone.count() <= SMALL else gone, id_col, "left_anti")
-    repeated = judged.filter("kept AND id IS NOT NULL AND n_shingles > 0").groupBy("id").count().filter("count > 1").select(F.col("id").alias(id_col))
+    repeated = staged(judged.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").select(F.col("id").alias(id_col)), "near-repeated")
     if repeated.isEmpty():
-        return left
-    wordy = F.coalesce(F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    again = left.join(repeated, id_col, "left_semi")
-    return left.join(repeated, id_col, "left_anti").unionByName(again.filter(~wordy)).unionByName(again.filter(wordy).dropDuplicates([id_col]))
+        return notes.join(F.broadcast(gone) if gone.count() <= SMALL else gone, id_col, "left_anti")
+    once = notes.join(repeated, id_col, "left_anti").join(gone, id_col, "left_anti")
+    again = notes.join(repeated, id_col, "left_semi").select(F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in notes.columns]).alias("row"))
+
+    def keyed(part: pa.RecordBatch) -> pa.RecordBatch:
+        got = _sketch(pa.RecordBatch.from_arrays([part.column(0), part.column(0)], ["id", "text"]))
+        return pa.RecordBatch.from_arrays([*part.columns, *(got.column(c) for c in (1, 2, 3))], ["text", "row", "n", "k1", "k2"])
+
+    sets = by_pieces(again, keyed, StructType([*again.schema, *StructType.fromDDL("n long, k1 long, k2 long")])).withColumn("id", F.col(f"row.`{id_col}`"))
+    stays = judged.filter("kept").select("id", "n", "k1", "k2").distinct()
+    one = sets.filter("n > 0").groupBy("id", "n", "k1", "k2").agg(F.min_by("row", "text").alias("row")).join(stays, ["id", "n", "k1", "k2"], "left_semi")
+    return once.unionByName(sets.filter("n = 0").select("row").unionByName(one.select("row")).select("row.*"))

@@ -184,37 +184,33 @@ FROM c"""
 
 
 def _url_sql() -> str:
-    """The url tree with its default parameters, level by level."""
+    """The url tree with its default parameters: templates from the host down, then judgements from the host down."""
     tree = urltree.Tree()
     rule = verdict = "NULL"
     for kind, text in sorted(URL_RULES, key=lambda r: (len(r[1]), r[1])):
         at = text.index("/")
         fits = f"(host = '{text[:at]}' OR ends_with(host, '.{text[:at]}')) AND starts_with(path, '{text[at:]}')"
         rule, verdict = f"CASE WHEN {fits} THEN '{text}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{kind}' ELSE {verdict} END"
-    seg = [f"CASE WHEN regexp_matches(coalesce(parts[{i}], ''), '[0-9]') THEN '*' ELSE coalesce(parts[{i}], '') END" for i in range(1, urltree.LEVELS + 1)]
-    seg[-1] = f"CASE WHEN len(parts) > {urltree.LEVELS} THEN '**' ELSE {seg[-1]} END"
-    raw = [f"s{i}" for i in range(1, urltree.LEVELS + 1)]
-    steps, done = [], ["host"]
-    for i, s in enumerate(raw, 1):
-        keys = ", ".join(done)
-        steps.append(f"""v{i} AS (SELECT {keys}, count(*) > {tree.wide} AND sum(k) < {tree.thin} * count(*) AS wild FROM (SELECT {keys}, {s}, sum(n) AS k FROM g{i - 1} GROUP BY ALL) GROUP BY {keys}),
-g{i} AS (SELECT g.*, CASE WHEN wild AND {s} <> '' THEN '*' ELSE {s} END AS t{i} FROM g{i - 1} g JOIN v{i} USING ({keys}))""")
-        done.append(f"t{i}")
-    keys, above = ", ".join(done), ", ".join(done[:-1])
     return f"""
-WITH u AS (SELECT page_id, coalesce(url, '') AS url, position('://' IN coalesce(url, '')) AS sep FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url, position('://' IN coalesce(url, '')) AS sep FROM pages),
 p AS (SELECT page_id, CASE WHEN sep > 0 THEN translate(regexp_extract(substr(url, sep + 3), '^([^/?#]*)', 1), '{urltree.UPPER}', '{urltree.LOWER}') ELSE '' END AS host,
       CASE WHEN sep > 0 THEN regexp_extract(substr(url, sep + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
-q AS (SELECT *, {rule} AS rule, {verdict} AS rv, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p),
-links AS (SELECT page_id, host, path, rule, rv, {", ".join(f"{e} AS {n}" for e, n in zip(seg, raw))} FROM q),
-g0 AS (SELECT host, {", ".join(raw)}, count(*) AS n, count(rv) AS labels, count(*) FILTER (WHERE rv = 'block') AS blocked FROM links GROUP BY ALL),
-{",".join(steps)},
-leaf AS (SELECT {keys}, sum(labels) AS l, sum(blocked) AS b FROM g{urltree.LEVELS} GROUP BY {keys}),
-pool AS (SELECT {above}, sum(l) AS pl, sum(b) AS pb FROM leaf GROUP BY {above}),
-j AS (SELECT *, coalesce(abs(b / nullif(l, 0) - pb / nullif(pl, 0)) <= {tree.z} * sqrt(pb / nullif(pl, 0) * (1 - pb / nullif(pl, 0)) / nullif(l, 0)), false) AS alike FROM leaf JOIN pool USING ({above})),
-v AS (SELECT {keys}, CASE WHEN (CASE WHEN alike THEN pb ELSE b END + {tree.weight * tree.prior}) / (CASE WHEN alike THEN pl ELSE l END + {tree.weight}) >= {tree.reject} THEN 'block' ELSE 'allow' END AS tv FROM j),
-t AS (SELECT host, {", ".join(raw)}, tv FROM g{urltree.LEVELS} JOIN v USING ({keys}))
-SELECT page_id, host, path, rule, coalesce(rv, tv, 'allow') AS verdict FROM links LEFT JOIN t USING (host, {", ".join(raw)})"""
+q AS (SELECT *, {rule} AS rule, {verdict} AS rv,
+      list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS parts FROM p),
+g AS (SELECT host, parts, count(*) AS n, count(rv) AS l, count(*) FILTER (WHERE rv = 'block') AS b FROM q GROUP BY ALL),
+lev AS (SELECT *, 0 AS d, CAST([] AS VARCHAR[]) AS t FROM g
+        UNION ALL
+        SELECT host, parts, n, l, b, d + 1, list_append(t, CASE WHEN kinds > {tree.wide} AND links < {tree.thin} * kinds THEN '*' ELSE parts[d + 1] END)
+        FROM (SELECT *, count(DISTINCT parts[d + 1]) OVER w AS kinds, sum(n) OVER w AS links FROM lev WHERE len(parts) > d WINDOW w AS (PARTITION BY host, t))),
+leaf AS (SELECT * FROM lev WHERE d = len(parts)),
+node AS (SELECT host, k, t[1:k] AS t, sum(l) AS l, sum(b) AS b FROM (SELECT host, t, l, b, unnest(range(0, len(t) + 1)) AS k FROM leaf) GROUP BY ALL),
+judge AS (SELECT *, l AS jl, b AS jb FROM node WHERE k = 0
+          UNION ALL
+          SELECT host, k, t, l, b, CASE WHEN differs THEN l ELSE jl END, CASE WHEN differs THEN b ELSE jb END
+          FROM (SELECT c.*, a.jl, a.jb, c.l > 0 AND abs(c.b / c.l - a.b / a.l) > {tree.z} * sqrt(a.b / a.l * (1 - a.b / a.l) / c.l) AS differs
+                FROM judge a JOIN node c ON c.host = a.host AND c.k = a.k + 1 AND c.t[1:a.k] = a.t))
+SELECT page_id, q.host, path, rule, coalesce(rv, CASE WHEN (jb + {tree.weight * tree.prior}) / (jl + {tree.weight}) >= {tree.reject} THEN 'block' ELSE 'allow' END) AS verdict
+FROM q JOIN leaf ON leaf.host = q.host AND leaf.parts = q.parts JOIN judge ON judge.host = q.host AND judge.t = leaf.t"""
 
 
 ORACLE: dict[str, str] = {

@@ -88,6 +88,18 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_counted(rows: DataFrame, known: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``known``, one row per ``key`` with the number of ``rows`` that have it in ``count``.
+
+    Fewer than a thousand keys can hold more than a thousandth of ``total`` rows each; those keys are
+    sent to all tasks, so their rows stay where they are and no task gathers a hot key.
+    """
+    large = F.col(count) * 1000 > total
+    hot = F.broadcast(known.filter(large).drop(count))
+    rest = rows.join(hot.select(key), key, "left_anti").join(known.filter(~large).drop(count), key, how)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def checked_broadcast(spark: SparkSession, value: bytes, limit: int, what: str):
     """Broadcast a parameter (a vocabulary, an automaton's source) whose size is checked first."""
     if len(value) > limit:

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from ..session import ship_package
 from . import shingles
-from .records import bytes_and_offsets, by_pieces, checked_broadcast, pieces, staged, tidy
+from .records import bytes_and_offsets, by_pieces, checked_broadcast, join_counted, pieces, staged, tidy
 
 BITS = 256              # of a fingerprint
 RADIUS = 11             # bits in which two fingerprints may differ
@@ -290,18 +290,12 @@ def linked_classes(prints: DataFrame, *, radius: int = RADIUS) -> DataFrame:
 def count_links(prints: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     """Every row of ``prints(id, fingerprint, ...)`` with its ``class_id`` and ``n_links`` (see ``linked_classes``).
 
-    Fewer than a thousand classes can hold more than a thousandth of all rows each; those are sent
-    to all tasks, so a class with a third of all rows is never gathered.  Null fingerprints
-    have neither class nor links; null ids name a class only if it has no other; an empty table
+    A class with a third of all rows is never gathered (``join_counted``).  Null fingerprints have neither class nor links; null ids name a class only if it has no other; an empty table
     gives no rows.
     """
     known = staged(linked_classes(prints, radius=radius), "fingerprint-links")
     n = known.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-    large = F.col("members") * 1000 > n
-    answer = ["fingerprint", "class_id", "n_links"]
-    hot = F.broadcast(known.filter(large).select(*answer))
-    rest = prints.join(hot.select("fingerprint"), "fingerprint", "left_anti").join(known.filter(~large).select(*answer), "fingerprint", "left")
-    return prints.join(hot, "fingerprint").unionByName(rest)
+    return join_counted(prints, known, "fingerprint", "members", n, "left")
 
 
 def _cell_links(x: list[bytes], y: list[bytes], no: int, tables, radius: int) -> pa.RecordBatch | None:
