@@ -89,7 +89,7 @@ def test_repeated_rows_null_ids_and_lone_notes(spark, notes, monkeypatch):
     first = next(r for r in got if r.id is None)
     assert first.n_chars == 3 and first.class_id is None
     lone = simhash.fingerprint_notes(notes(["only one note"])).first()
-    assert lone.near_next == 1.0 and lone.edited_sha256 == hashlib.sha256(b"only oonly on").hexdigest()
+    assert lone.near_next == 1.0 and lone.edited_sha256 == hashlib.sha256(b"only ononly o").hexdigest()
     assert simhash.fingerprint_notes(notes([])).count() == 0
 
 

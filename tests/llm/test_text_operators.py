@@ -249,6 +249,37 @@ def test_test_battery_is_calibrated():
     assert secrets.find_secrets.__doc__ and hashlib.sha256(b"").hexdigest().startswith("e3b0")
 
 
+# -- repeats and hot groups of op2, op3 ---------------------------------------------------------------
+
+
+def test_parts_end_however_items_repeat(spark, notes, monkeypatch):
+    rng = random.Random(31)
+    same = [(1, words(rng, 18_000)) for _ in range(4)] * 3  # 12 rows of one id, about 80 KB each
+    none = [(None, words(rng, 13)) for _ in range(20_000)]
+    items = spark.createDataFrame(same + none, "id long, text string")
+    texts = [" ".join(same[2][1].split()[500:520]), none[77][1], "nothing of it", " ".join(same[3][1].split()[9_000:9_013])]
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 1 << 19)
+    got = {r.id: r for r in decontaminate.find_contamination(notes(texts), items).collect()}
+    assert [(got[i].items, got[i].n_hit) for i in (1, 2, 3, 4)] == [(["1"], 20), (["null"], 13), ([], 0), (["1"], 13)]
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a), (1, b), (1, b.upper()), (1, None), (1, None), (2, a), (3, c), (3, b), (None, a)]
+    left = neardup.keep_one(spark.createDataFrame(rows, "id long, text string").repartition(5)).collect()
+    assert sorted((str(r.id), str(r.text)) for r in left) == sorted([("1", a), ("1", b.upper()), ("1", "None"), ("1", "None"), ("3", c), ("None", a)])
+    blank = neardup.near_duplicates(spark.createDataFrame([(1, None), (2, ""), (3, " ")], "id long, text string").coalesce(1))
+    assert [(r.n_shingles, r.component_id) for r in blank.orderBy("id").collect()] == [(0, 1), (0, 2), (0, 3)]
+
+
+def test_hubs_and_stragglers(spark):
+    rng = random.Random(32)
+    star = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(40)] + [(2999, 6000)]
+    rng.shuffle(star)
+    got = {r.id: r.component for r in neardup.components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {i: 0 for i in (*range(1, 3000), 6000)} | {5001 + i: 5000 for i in range(40)}
+
+
 # -- op6, op7 ---------------------------------------------------------------------------------------
 
 

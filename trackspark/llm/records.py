@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -88,6 +90,29 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def border_key(row_id, h) -> tuple:
+    """Order of (id, hash) keys as Spark has it: null ids first."""
+    return (row_id is not None, 0 if row_id is None else row_id, h)
+
+
+def sampled_borders(keyed: DataFrame, every: int, most: int = 1 << 18, id_col: str = "id"):
+    """Broadcast of sorted keys of ``keyed(id, h)``, the smallest and about one in ``every`` (fewer where they would exceed ``most``); and their number.
+
+    Keys are chosen by hash, so the borders depend on the rows alone, and ranges between them hold
+    about as many distinct keys each however ids are spread or repeated.
+    """
+    every = max(every, -(-keyed.count() * 2 // most))
+    keys = keyed.select(F.col(id_col).alias("id"), "h")
+    chosen = keys.filter(F.pmod(F.xxhash64("id", "h"), F.lit(every)) == 0).union(keys.orderBy(F.asc_nulls_first("id"), "h").limit(1)).distinct()
+    borders = sorted(border_key(r.id, r.h) for r in chosen.collect())
+    return checked_broadcast(keyed.sparkSession, pickle.dumps(borders), 64 << 20, "the borders"), len(borders)
+
+
+@functools.lru_cache(maxsize=2)
+def borders_in(raw: bytes) -> list[tuple]:
+    return pickle.loads(raw)
+
+
 def join_counted(rows: DataFrame, known: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``known``, one row per ``key`` with the number of ``rows`` that have it in ``count``.
 

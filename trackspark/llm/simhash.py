@@ -6,7 +6,6 @@ import bisect
 import functools
 import hashlib
 import itertools
-import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +15,13 @@ from pyspark.sql.types import StructType
 
 from ..session import ship_package
 from . import shingles
-from .records import bytes_and_offsets, by_pieces, checked_broadcast, join_counted, pieces, staged, tidy
+from .records import border_key, borders_in, by_pieces, bytes_and_offsets, join_counted, pieces, sampled_borders, staged, tidy
 
 BITS = 256              # of a fingerprint
 RADIUS = 11             # bits in which two fingerprints may differ
 LONG_WORD, WINDOW = 32, 12  # bytes: a longer word also counts as its windows of so many bytes
 WEIGHT = 16             # steps of a term's weight, which is 1 + ln(occurrences)
 BUCKET_ROWS = 2048      # rows between two borders of the ordered notes, about
-BORDERS = 1 << 18       # most borders that are sent to all tasks
 CELL_ROWS = 1024        # fingerprints of a cell side
 _WORDS = BITS // 64
 
@@ -102,36 +100,21 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # -- texts against the notes that follow them --------------------------------------------------------
 
 
-def _key(note_id, h) -> tuple:
-    return (note_id is not None, 0 if note_id is None else note_id, h)
-
-
-def _borders(keyed: DataFrame) -> list[tuple]:
-    """Sorted keys of some notes, the smallest among them: one in ``BUCKET_ROWS``, or fewer so that they stay below ``BORDERS``."""
-    n = keyed.count()
-    every = max(BUCKET_ROWS, -(-n // (BORDERS // 2)))
-    keys = keyed.select("id", "h")
-    chosen = keys.filter(F.pmod(F.xxhash64("id", "h"), F.lit(every)) == 0).union(keys.orderBy(F.asc_nulls_first("id"), "h").limit(1)).distinct()
-    return sorted(_key(r.id, r.h) for r in chosen.collect())
-
-
 def half_replaced(text: str, following: str) -> str:
     """The last half of a text (rounded down) replaced by the first code points of another."""
     half = len(text) // 2
     return text[: len(text) - half] + following[:half]
 
 
-def _dealt(keyed: DataFrame, borders: list[tuple]) -> DataFrame:
+def _dealt(keyed: DataFrame, borders) -> DataFrame:
     """Notes with the bucket between borders that holds them; the first note of a bucket also ends the bucket before (``guest``).
 
     Equal rows that meet in a batch are one row with a count.
     """
-    packed = checked_broadcast(keyed.sparkSession, pickle.dumps(borders), 64 << 20, "the borders of the notes")
-
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        edges = _edges(packed.value)
+        edges = borders_in(borders.value)
         times: dict[tuple, list[int]] = {}
-        for i, key in enumerate(map(_key, part.column(0).to_pylist(), part.column(2).to_pylist())):
+        for i, key in enumerate(map(border_key, part.column(0).to_pylist(), part.column(2).to_pylist())):
             times.setdefault(key, [i, 0])[1] += 1
         rows = []
         for key, (i, n) in times.items():
@@ -148,11 +131,6 @@ def _dealt(keyed: DataFrame, borders: list[tuple]) -> DataFrame:
     return by_pieces(keyed, work, schema)
 
 
-@functools.lru_cache(maxsize=2)
-def _edges(raw: bytes):
-    return pickle.loads(raw)
-
-
 MADE = "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, times long"
 
 
@@ -173,8 +151,8 @@ def compare_with_next(notes: DataFrame, *, id_col: str = "id", text_col: str = "
     ship_package(spark)
     keyed = notes.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     schema = StructType([keyed.schema["id"], *StructType.fromDDL(MADE)])
-    borders = _borders(keyed)
-    if not borders:
+    borders, n = sampled_borders(keyed, BUCKET_ROWS)
+    if not n:
         return spark.createDataFrame([], schema).drop("times")
     placed = _dealt(keyed, borders).repartition("bucket").sortWithinPartitions("bucket", "guest", F.asc_nulls_first("id"), "h")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import io
@@ -14,9 +15,10 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from ..session import ship_package
-from .records import pieces, staged
+from .records import border_key, borders_in, by_pieces, pieces, sampled_borders, staged
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -25,7 +27,7 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nConte
 RECORD_SPACE = uuid.UUID("8c4b6a0e-6d0a-5c8e-9a55-0f6a3a1f2b11")
 
 SHARD_RECORDS = 2048         # records of one shard, about
-CELLS = 1 << 16              # most cells of the id range, and so most rows of the table that is sent to all tasks
+TASK_BYTES = 128 << 20       # payload that a writing or reading task takes, about
 FILE_BYTES = 16 << 20        # a file is closed when its compressed size reaches this
 MANIFEST = "shard string, file string, records long, bytes long, sha256 string"
 
@@ -34,24 +36,26 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record_id(page_id: int | None, copy: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(RECORD_SPACE, f'{page_id}/{copy}')}>"
+def _record_id(page_id: int | None, h: int, copy: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(RECORD_SPACE, f'{page_id}/{h}/{copy}')}>"
 
 
-def record(page_id: int | None, copy: int, url: str | None, html: str | None, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    """One WARC record; every header and digest is made from the row, so equal rows give equal bytes.
+def record(page_id: int | None, h: int, copy: int, url: str | None, html: str | None, refers_to: tuple[int, int] | None, date: str) -> bytes:
+    """One WARC record; every header and digest is made from the row (``h``: hash of url and payload; ``copy`` counts rows equal in all), so equal rows give equal bytes.
+
+    ``refers_to`` (page id and hash of the response) makes it a revisit.
 
     A revisit keeps the payload's digest and length in its headers and has an empty block.
     """
-    payload = (html or "").encode()
+    payload, revisit = (html or "").encode(), refers_to is not None
     block = b"" if revisit else HTTP_HEAD % len(payload) + payload
     head = [
-        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _record_id(page_id, copy)), ("WARC-Date", date),
+        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _record_id(page_id, h, copy)), ("WARC-Date", date),
         ("WARC-Target-URI", None if url is None else quote(url, safe="!#$%&'()*+,/:;=?@[]~-._")),
         ("WARC-Payload-Digest", "sha1:" + sha1_base32(payload)), ("WARC-Block-Digest", "sha1:" + sha1_base32(block)),
-        ("WARC-Profile", REVISIT_PROFILE if revisit else None), ("WARC-Refers-To", _record_id(refers_to, 0) if revisit else None),
+        ("WARC-Profile", REVISIT_PROFILE if revisit else None), ("WARC-Refers-To", _record_id(*refers_to, 0) if revisit else None),
         ("Content-Type", "application/http; msgtype=response"), ("X-Page-Id", None if page_id is None else str(page_id)),
-        ("X-Payload-Bytes", str(len(payload))), ("X-Refers-To-Page", str(refers_to) if revisit and refers_to is not None else None),
+        ("X-Payload-Bytes", str(len(payload))), ("X-Refers-To-Page", str(refers_to[0]) if revisit else None),
         ("Content-Length", str(len(block)))]
     return b"\r\n".join([VERSION, *(f"{k}: {v}".encode() for k, v in head if v is not None), b"", block, b"", b""])
 
@@ -101,32 +105,20 @@ class _Shard:
 
 
 def revisits(digests: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``page_id, digest, refers_to`` of the rows that repeat a payload: all but the largest page id of each digest.
+    """``page_id, h, refers_to, refers_h`` of the rows that repeat a payload: all but those with the largest page id of each digest.
 
-    ``digests(page_id, digest, size)`` is narrow; the largest id per digest is aggregated before
-    it is joined back, so a payload that a third of all pages share is one aggregated row.
+    ``digests(page_id, h, digest, size)`` is narrow; the largest id per digest (of rows with that id, the
+    largest hash) is aggregated before it is joined back, so a payload that a third of all pages share is one aggregated row.
     """
-    top = digests.filter(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    top = digests.filter(F.col("size") >= least_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "h")).alias("_top"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    top = top.select("digest", F.col("_top.page_id").alias("refers_to"), F.col("_top.h").alias("refers_h"))
     older = F.coalesce(F.col("page_id") < F.col("refers_to"), F.col("page_id").isNull() & F.col("refers_to").isNotNull())
-    return digests.join(top, "digest").filter(older).select("page_id", "digest", "refers_to")
-
-
-def _shards(digests: DataFrame, shard_records: int) -> tuple[DataFrame, int]:
-    """``cell, shard`` and the width of a cell: the id range in at most ``CELLS`` equal cells, joined in order to shards of ``shard_records`` or more."""
-    ends = digests.agg(F.min("page_id").alias("a"), F.max("page_id").alias("b")).first()
-    width = max(1, -(-((ends.b or 0) - (ends.a or 0) + 1) // CELLS))
-    counts = sorted((r.cell, r.n) for r in digests.groupBy(_cell(width).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect())  # CELLS + 2 rows at most
-    shard, held, rows = 0, 0, []
-    for cell, n in counts:
-        if held >= shard_records:
-            shard, held = shard + 1, 0
-        rows.append((cell, shard))
-        held += n
-    return digests.sparkSession.createDataFrame(rows, "cell long, shard long"), width
+    return digests.join(top, "digest").filter(older).select("page_id", "h", "refers_to", "refers_h")
 
 
-def _cell(width: int):
-    return F.coalesce(F.expr(f"page_id div {width}L"), F.lit(-(1 << 62)))
+def _tasks(spark: SparkSession, most: int, size: int) -> int:
+    """Tasks for ``size`` bytes in ``most`` units that cannot be split."""
+    return max(1, min(most, max(4 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))))
 
 
 def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = 0, date: str = "2025-01-01T00:00:00Z", shard_records: int = SHARD_RECORDS,
@@ -136,8 +128,8 @@ def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = 0, date:
     The workbench keeps sources (``sources.url``) but no copies of their pages, so the operator is
     general: ``pages(page_id, url, html)``.  Of equal payloads of at least ``least_bytes`` the one
     with the largest page id is the response, the others revisit it.  Records are in order of
-    page id (nulls first, then url and payload); consecutive id ranges of about ``shard_records``
-    make a shard, and a shard's files are closed at ``file_bytes`` compressed; each record is a
+    page id (nulls first) and a hash of url and payload; ranges of about ``shard_records`` records between
+    sampled borders of that order make a shard, however ids are spread or repeated, and a shard's files are closed at ``file_bytes`` compressed; each record is a
     gzip member of its own.  The bytes depend on the rows alone.  Payloads are shuffled once:
     digests decide the record types beforehand, and the few marks of repeated payloads meet
     their pages in the writer.
@@ -153,19 +145,27 @@ def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = 0, date:
     spark = pages.sparkSession
     ship_package(spark)
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
-    digests = staged(rows.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size")), "page-digests")
-    cells, width = _shards(digests, shard_records)
+    digest = F.sha2("html", 256)
+    rows = rows.withColumn("h", F.xxhash64("url", digest))
+    digests = staged(rows.select("page_id", "h", digest.alias("digest"), F.octet_length("html").alias("size")), "page-digests")
+    borders, shards = sampled_borders(digests, shard_records, id_col="page_id")
     none = F.lit(None).cast("string")
-    both = rows.select("page_id", F.lit(1).alias("kind"), "url", "html", none.alias("digest"), F.lit(None).cast("long").alias("refers_to")).unionByName(
-        revisits(digests, least_bytes).select("page_id", F.lit(0).alias("kind"), none.alias("url"), none.alias("html"), "digest", "refers_to"))
-    placed = both.withColumn("cell", _cell(width)).join(F.broadcast(cells), "cell").drop("cell")
-    order = [F.asc("shard"), F.asc_nulls_first("page_id"), F.asc("kind"), F.asc("url"), F.asc("html")]
-    sorted_rows = placed.repartition("shard").sortWithinPartitions(*order).select("shard", "page_id", "kind", "url", "html", "digest", "refers_to")
+    both = rows.select("page_id", "h", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("long").alias("refers_h")).unionByName(
+        revisits(digests, least_bytes).select("page_id", "h", F.lit(0).alias("kind"), none.alias("url"), none.alias("html"), "refers_to", "refers_h"))
+
+    def deal(part: pa.RecordBatch) -> pa.RecordBatch:
+        edges = borders_in(borders.value)
+        shard = [bisect.bisect_right(edges, border_key(i, h)) - 1 for i, h in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(shard, pa.int64())], [*part.schema.names, "shard"])
+
+    placed = by_pieces(both, deal, StructType([*both.schema]).add("shard", LongType()), text="html")
+    tasks = _tasks(spark, shards, digests.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    sorted_rows = placed.repartition(tasks, "shard").sortWithinPartitions(F.asc("shard"), F.asc_nulls_first("page_id"), F.asc("h"), F.asc("kind"), F.asc("url"), F.asc("html"))
     filesystem, root = _filesystem(folder)
     filesystem.create_dir(f"{root}/_temporary", recursive=True)
 
     def run(batches):
-        at, writer, last, copy, marks = None, None, object(), 0, {}
+        at, writer, last, copy, mark = None, None, None, 0, None
         for batch in batches:
             for part in pieces(batch, "html"):
                 for row in part.to_pylist():
@@ -173,14 +173,13 @@ def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = 0, date:
                         if writer is not None:
                             writer.close()
                             yield _manifest(writer.done)
-                        at, writer, last = row["shard"], _Shard(folder, f"shard-{row['shard']:08d}", file_bytes), object()
-                    if row["page_id"] != last:
-                        last, copy, marks = row["page_id"], 0, {}
+                        at, writer, last = row["shard"], _Shard(folder, f"shard-{row['shard']:08d}", file_bytes), None
+                    if (row["page_id"], row["h"]) != last:
+                        last, copy, mark = (row["page_id"], row["h"]), 0, None
                     if row["kind"] == 0:
-                        marks[row["digest"]] = row["refers_to"]
+                        mark = (row["refers_to"], row["refers_h"])
                         continue
-                    digest = hashlib.sha256(row["html"].encode()).hexdigest() if marks else None
-                    writer.write(record(last, copy, row["url"], row["html"], marks.get(digest), digest in marks, date))
+                    writer.write(record(*last, copy, row["url"], row["html"], mark, date))
                     copy += 1
         if writer is not None:
             writer.close()
@@ -225,7 +224,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                     yield _batch(rows)
 
     files = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
-    return files.repartition(F.col("file")).mapInArrow(run, READ)
+    held = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    return files.repartitionByRange(_tasks(spark, *held), "file").mapInArrow(run, READ)
 
 
 def _members(stream, sha, step: int = 1 << 20):
