@@ -70,16 +70,15 @@ class Automaton:
         self.start = self._state({(0, 0)})
 
     def _state(self, pairs) -> int:
-        todo, seen = list(pairs), set(pairs)
-        while todo:  # missing letters
+        least: dict[int, int] = {}
+        todo = sorted(pairs, key=lambda p: -p[1])
+        while todo:  # missing letters; the fewest edits come last, so they are taken first
             node, e = todo.pop()
-            for child in self.go[node].values():
-                if e < self.room[child] and (child, e + 1) not in seen:
-                    seen.add((child, e + 1))
-                    todo.append((child, e + 1))
-        least = {}
-        for node, e in seen:
-            least[node] = min(e, least.get(node, 9))
+            if least.get(node, 9) <= e:
+                continue
+            least[node] = e
+            if e < self.room[node]:
+                todo[:0] = [(child, e + 1) for child in self.go[node].values() if e < self.room[child]]
         key = frozenset(least.items())
         at = self.sets.get(key)
         if at is None:
@@ -92,12 +91,17 @@ class Automaton:
     def follow(self, state: int, c: str) -> int:
         """The state after a letter that was not asked for in this state before; -1 where nothing goes on."""
         to = {(0, 0)} if self.anywhere else set()
+        go, room = self.go, self.room
         for node, e in self.members[state]:
-            if e < self.room[node]:
-                to.add((node, e + 1))
-            for letter, child in self.go[node].items():
+            if e >= room[node]:  # no edit left below: only the letter itself leads on
+                child = go[node].get(c)
+                if child is not None and e <= room[child]:
+                    to.add((child, e))
+                continue
+            to.add((node, e + 1))
+            for letter, child in go[node].items():
                 cost = e + (letter != c)
-                if cost <= self.room[child]:
+                if cost <= room[child]:
                     to.add((child, cost))
         out = self.step[state][c] = self._state(to) if to else -1
         self.steps += 1
