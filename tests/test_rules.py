@@ -187,31 +187,82 @@ TRACKER = "dataset long, frame_no long, us long, event_id long, x double, y doub
 
 def test_slot_tracker_events(spark):
     df = spark.createDataFrame(tracker_rows(), TRACKER)
-    got = [(r.frame_no, r.slot, r.kind) for r in R.slot_tracker(R.close_keys(df), SEC).orderBy("frame_no", "slot").collect()]
+    got = [(r.frame_no, r.slot, r.kind) for r in R.slot_tracker(df, SEC).orderBy("frame_no", "slot").collect()]
     assert got == [(0, 1, "seeded"), (0, 2, "seeded"), (4, 2, "lost"), (7, 2, "reacquired")]
 
 
+def shuffled_files(df, folder, parts=6):
+    """One row order, many files, none of them in order of time."""
+    df.repartition(parts).write.parquet(str(folder))
+
+
+def live_of(spark, df, folder, **last):
+    ending = R.Ending(spark, df.schema, **last)
+    return ending.after(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))), ending
+
+
 def test_slot_tracker_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(tracker_rows(), TRACKER)
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    live = R.drain(R.slot_tracker(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), SEC))
-    assert sorted(map(tuple, live.collect())) == sorted(map(tuple, R.slot_tracker(R.close_keys(df), SEC).collect()))
+    shuffled_files(df, tmp_path / "in")
+    stream, ending = live_of(spark, df, tmp_path / "in", dataset=0, frame_no=10**9, us=10**9 * SEC)
+    live = R.drain(R.slot_tracker(stream, SEC), ending=ending)
+    assert sorted(map(tuple, live.collect())) == sorted(map(tuple, R.slot_tracker(df, SEC).collect()))
 
 
-@pytest.mark.parametrize("rule", ["latency", "audit", "board"])
+@pytest.mark.parametrize("rule", ["latency", "audit", "board", "identities"])
 def test_keyed_rules_stream_equals_batch(spark, tmp_path, rule):
-    df = spark.createDataFrame([(i % 3, i, i * SEC, float(i * 7 % 11), int(i % 4 == 0), str(i // 5 % 2)) for i in range(60)], "key long, event_id long, us long, value double, behind long, digest string")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = [(i % 3, i, i * SEC, float(i * 7 % 11), int(i % 4 == 0), str(i // 5 % 2), i % 7, [float(i % 5), 1.0], i % 4, 0.1 * (i % 9), 0.05 * (i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "key long, event_id long, us long, value double, behind long, digest string, track long, vec array<double>, player long, sim double, runner_up double")
+    shuffled_files(df, tmp_path / "in")
     def apply(d):
         if rule == "latency":
             return R.latency_summary(d, "key", "value", ["us", "event_id"], 7)
         if rule == "audit":
             return R.append_audit(d, "key", ["us", "event_id"])
+        if rule == "identities":
+            return R.register_identities(d, "key", bar=0.97, margin=0.0)
         return R.board_changes(d, "key", ["us", "event_id"], 2 * SEC)
-    live = R.drain(apply(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))))
+    stream, ending = live_of(spark, df, tmp_path / "in", key=0, us=10**9 * SEC, **({"event_id": 10**9} if rule == "identities" else {}))
+    live = R.drain(apply(stream), ending=ending)
     assert sorted(map(str, live.collect())) == sorted(map(str, apply(df).collect()))
 
 
+def test_keys_that_ended_are_forgotten(spark, tmp_path):
+    rows = [(0, i, i * SEC, 1.0) for i in range(20)] + [(1, 100 + i, (100_000 + i) * SEC, 2.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "key long, event_id long, us long, value double")
+    for part in (df.filter("key = 0"), df.filter("key = 1")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream, ending = live_of(spark, df, tmp_path / "in", key=1, us=10**9 * SEC)
+    totals = []
+    out = R.drain(R.latency_summary(stream, "key", "value", ["us", "event_id"], 7, delay="10 seconds", idle_us=3600 * SEC), ending=ending, progress=totals)
+    assert out.count() == 40
+    assert max(totals) > 0 and totals[-1] == 0
+
+
+def test_a_repeated_post_counts_once_within_its_time(spark):
+    rows = [(0, 5, 0, 0), (0, 6, SEC, 0), (0, 5, 2 * SEC, 0), (0, 5, 100 * SEC, 0), (0, 7, 101 * SEC, 1)]
+    df = spark.createDataFrame(rows, "key long, event_id long, us long, behind long")
+    got = [(r.event_id, r.revision, r.refusal) for r in R.append_audit(df, "key", ["us", "event_id"], repeat_us=50 * SEC).collect()]
+    assert got == [(5, 1, None), (6, 2, None), (5, 3, None), (7, None, "stale revision")]
+
+
+def test_identities_merge_at_a_finite_bar(spark):
+    rows = [(1, 0, [1.0, 0.0], 0, None, None, None), (1, 1, [0.0, 1.0], 1, None, None, None), (1, 2, [0.99, 0.05], 2, 7, 0.6, 0.1), (1, 3, [0.7, 0.7], 3, 8, 0.9, 0.1), (1, 0, [1.0, 0.1], 4, 9, 0.9, 0.1)]
+    df = spark.createDataFrame(rows, "key long, track long, vec array<double>, event_id long, player long, sim double, runner_up double")
+    got = [(r.event_id, r.cluster, r.player, r.bound_now) for r in R.register_identities(df, "key", bar=0.9, margin=0.05).orderBy("event_id").collect()]
+    assert got == [(0, 1, None, False), (1, 2, None, False), (2, 1, 7, True), (3, 3, 8, True), (4, 1, 7, False)]
+
+
+def test_sessions_close_with_the_source(spark, tmp_path):
+    rows = [("a", t, 0.5) for t in (0, 600, 10_000)] + [("b", 9_900, 0.1)]
+    df = spark.createDataFrame(rows, "color string, s long, score double").select("color", F.timestamp_seconds(F.col("s") + 86_400).alias("ts"), "score")
+    shuffled_files(df, tmp_path / "in", 4)
+    from datetime import datetime
+    stream, ending = live_of(spark, df, tmp_path / "in", ts=datetime(2200, 1, 1))
+    live = R.drain(R.activity_sessions(stream, ["color"], "30 minutes", delay="5 hours"), ending=ending)
+    assert sorted((r.color, r.n) for r in live.collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
 def test_stages_are_absent_not_stale(spark):
     df = spark.range(4).withColumnRenamed("id", "seq")
     out = U.run_stages(df, [U.Stage("a", lambda d: F.col("seq") * 10), U.Stage("b", lambda d: F.col("seq"), lambda d: F.lit(9.0), every=2, budget_ms=5.0)]).orderBy("seq").collect()

@@ -1,7 +1,8 @@
 """Live operators: each is one definition for batch and stream, plus keyed state where a rule needs it.
 
 Stateful rules run through ``keyed``: the same ``step(state, rows)`` is a sorted fold in
-batch and ``applyInPandasWithState`` in a stream; the state is small and picklable.
+batch and, in a stream, runs over rows that a stateful processor holds back until the watermark
+has passed them; so it sees them in order however files and micro-batches are cut.
 """
 
 from __future__ import annotations
@@ -13,36 +14,118 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions.scalars import UNKNOWN
 from ..operators.kernels import stream_fold
 from ..session import checkpoint_dir, ship_package
 
+DAY_US = 86_400_000_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def keyed(df: DataFrame, key: str, order: Sequence[str], make, step, schema: str) -> DataFrame:
-    """Run a sequential rule per key, in batch or in a stream."""
+
+class OrderedRule(StatefulProcessor):
+    """A sequential rule over rows in order of event time, whatever micro-batch brought them.
+
+    ``waiting`` is a list of chunks (first time, rows); a timer at the first waiting row wakes the
+    key once the watermark has passed it, and all rows up to the watermark go through ``step``
+    sorted.  ``held`` is the rule's own small state.  A key whose last row lies ``idle_us``
+    behind the watermark is forgotten.
+    """
+
+    def __init__(self, order: list[str], make, step, real: str, idle_us: int | None):
+        self.order, self.make, self.step, self.real, self.idle_us = order, make, step, real, idle_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "first long, rows binary")
+        self.held = handle.getValueState("held", "state binary, last long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        got = pd.concat(list(rows), ignore_index=True)
+        got = got[got[self.real].notna()]  # a closing row only moves the watermark
+        if len(got):
+            self.waiting.appendValue((int(got["at_us"].min()), pickle.dumps(got)))
+            yield from self._release(timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._release(timerValues)
+
+    def close(self) -> None:
+        pass
+
+    def _release(self, timers):
+        passed = timers.getCurrentWatermarkInMs() * 1000
+        chunks = list(self.waiting.get())
+        ready = [pickle.loads(bytes(rows)) for first, rows in chunks if first <= passed]
+        left = [(first, rows) for first, rows in chunks if first > passed]
+        if ready:
+            rows = pd.concat(ready, ignore_index=True)
+            late = rows[rows["at_us"] > passed]
+            if len(late):
+                left.append((int(late["at_us"].min()), pickle.dumps(late)))
+            rows = rows[rows["at_us"] <= passed].sort_values(self.order, kind="stable")
+            state = pickle.loads(bytes(self.held.get()[0])) if self.held.exists() else self.make()
+            out = self.step(state, rows.drop(columns=["at_us", "at_time"]))
+            self.held.update((pickle.dumps(state), int(rows["at_us"].max())))
+            self.waiting.put(left) if left else self.waiting.clear()
+            if len(out):
+                yield out
+        if left:
+            self.handle.registerTimer(min(first for first, _ in left) // 1000 + 1)
+        elif self.idle_us is not None and self.held.exists():
+            forget = self.held.get()[1] + self.idle_us
+            if forget <= passed:
+                self.held.clear()
+            else:
+                self.handle.registerTimer(forget // 1000 + 1)
+
+
+def keyed(df: DataFrame, key: str, order: Sequence[str], make, step, schema: str, *, at: Column | None = None, delay: str = "1 hour", idle_us: int | None = None, real: str = "event_id") -> DataFrame:
+    """Run a sequential rule per key, in batch or in a stream.
+
+    ``order`` sorts the rows of a key and must agree with ``at``, their event time in microseconds (by
+    default the first order column).  A stream waits ``delay`` for rows out of order; rows later still are dropped.
+    Rows without ``real`` are closing rows (``Ending``).
+    """
     if not df.isStreaming:
         return stream_fold(df, [key], list(order), make, step, schema)
 
     ship_package(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    timed = df.withColumn("at_us", (at if at is not None else F.col(order[0])) + DAY_US)  # a watermark starts at 0 and takes what is not above it for late
+    timed = timed.withColumn("at_time", F.timestamp_micros("at_us")).withWatermark("at_time", delay)
+    return timed.groupBy(key).transformWithStateInPandas(OrderedRule(list(order), make, step, real, idle_us), schema, "Append", "EventTime")
+
+
+class Ending:
+    """The end of a bounded source, said inside the stream: one closing row far in the future moves the watermark past all rows.
+
+    The closing row comes from a folder of its own, which is empty until ``say``; ``last`` names the columns it fills.
+    """
 
-    def advance(k, batches, state):
-        held = pickle.loads(bytes(state.get[0])) if state.exists else make()
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(list(order), kind="stable")
-        out = step(held, rows)
-        state.update((pickle.dumps(held),))
-        yield out
-    return df.groupBy(key).applyInPandasWithState(advance, schema, "held binary", "append", "NoTimeout")
+    def __init__(self, spark: SparkSession, schema, **last):
+        self.spark, self.schema, self.last = spark, schema, last
+        self.folder = f"{checkpoint_dir(spark)}/streams/end-{uuid.uuid4().hex}"
+        spark.createDataFrame([], schema).write.parquet(self.folder)
 
+    def after(self, stream: DataFrame) -> DataFrame:
+        return stream.unionByName(self.spark.readStream.schema(self.schema).parquet(self.folder))
 
-def drain(df: DataFrame, mode: str = "append") -> DataFrame:
+    def say(self) -> None:
+        row = tuple(self.last.get(f.name) for f in self.schema)
+        self.spark.createDataFrame([row], self.schema).write.mode("append").parquet(self.folder)
+
+
+def drain(df: DataFrame, mode: str = "append", ending: Ending | None = None, progress: list[int] | None = None) -> DataFrame:
     """Run a stream over the data available now and return what it wrote.
 
-    The sink and its checkpoint live in the shared folder, so a lost executor or a restart
-    resumes from the committed offsets; rewriting a batch replaces its own folder only.
+    With ``ending`` the stream is then told that its source is over and run on from its
+    checkpoint, so rows held back and open sessions come out.  The sink and its checkpoint live in the shared folder, so a lost
+    executor or a restart resumes from the committed offsets; rewriting a batch replaces its own folder only.
+    ``progress`` takes the number of state rows after each micro-batch.
     """
     spark = df.sparkSession
     root = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
@@ -50,16 +133,30 @@ def drain(df: DataFrame, mode: str = "append") -> DataFrame:
     def sink(batch: DataFrame, batch_id: int) -> None:
         part = "all" if mode == "complete" else f"batch={batch_id}"
         batch.write.mode("overwrite").parquet(f"{root}/out/{part}")
-    q = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
+
+    def run() -> None:
+        q = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        if progress is not None:
+            progress.extend([sum(o.numRowsTotal for o in p.stateOperators) for p in q.recentProgress])
+
+    run()
+    if ending is not None:
+        ending.say()
+        run()
     got = spark.read.schema(df.schema).parquet(f"{root}/out/all" if mode == "complete" else f"{root}/out")
     return got.select(*df.columns)
 
 
-def replay_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
+def replay_table(spark: SparkSession, sf_dir: str, name: str, ending: Ending | None = None) -> DataFrame:
+    """A table of the folder as a stream of files, with its ``ending`` if one is given."""
+    schema = table_schema(spark, sf_dir, name)
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
+    return ending.after(stream) if ending is not None else stream
+
+
+def table_schema(spark: SparkSession, sf_dir: str, name: str):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
 
 
 def frame_outcomes(frames: DataFrame, budget_us: int) -> DataFrame:
@@ -77,7 +174,7 @@ def outcome_counts(outcomes: DataFrame, ts: str = "ts", window: str = "1 day", d
     return w.groupBy(F.window(ts, window).alias("w"), "outcome").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "outcome", "n")
 
 
-def latency_summary(samples: DataFrame, key: str, value: str, order: Sequence[str], size: int = 120) -> DataFrame:
+def latency_summary(samples: DataFrame, key: str, value: str, order: Sequence[str], size: int = 120, *, delay: str = "1 hour", idle_us: int | None = None) -> DataFrame:
     """Nearest-rank p50/p95, max and last over the newest ``size`` samples of each step."""
     def step(state, pdf):
         out = []
@@ -90,15 +187,14 @@ def latency_summary(samples: DataFrame, key: str, value: str, order: Sequence[st
         return pd.concat([pdf[[key, "event_id"]].reset_index(drop=True), got], axis=1)
     kind = dict(samples.dtypes)[key]
     return keyed(samples.select(key, "event_id", value, *[o for o in order if o != "event_id"]), key, order, lambda: {"held": []}, step,
-                 f"{key} {kind}, event_id long, count long, p50 double, p95 double, max double, last double")
+                 f"{key} {kind}, event_id long, count long, p50 double, p95 double, max double, last double", delay=delay, idle_us=idle_us)
 
 
 def activity_sessions(events: DataFrame, keys: Sequence[str], gap: str, ts: str = "ts", delay: str | None = None) -> DataFrame:
     """Sessions of activity, open ones included.
 
-    With ``delay`` a stream emits a session once the watermark closes it and drops rows that
-    come later still; without, all sessions are kept up to date (complete output), so none is
-    lost at the end of data and files may come in any order.
+    With ``delay`` a stream emits a session once the watermark closes it, gives its state back and drops rows that
+    come later still; the source's ``Ending`` closes what is open.  Without, all sessions are kept up to date (complete output).
     """
     e = events.withWatermark(ts, delay) if events.isStreaming and delay else events
     return e.groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("peak")).select(
@@ -249,11 +345,11 @@ class SlotTracker:
         return events
 
 
-def slot_tracker(obs: DataFrame, second: int, **config) -> DataFrame:
+def slot_tracker(obs: DataFrame, second: int, *, frame_us: int = 1000, delay: str = "1 hour", **config) -> DataFrame:
     """Identity slots per recording; one event row per status change, and one per sighting that no slot took (slot 0).
 
     obs: dataset, us, frame_no, event_id, x, y, color, conf, hidden (the sighting is also an
-    occluder).  Whole frames only: the rows of a frame must not straddle micro-batches.
+    occluder).  The rows of a frame share its time (``frame_us`` a frame), so they are seen together in a stream as well.
     """
     def step(state, pdf):
         tracker, out = state.setdefault("tracker", SlotTracker(**config)), []
@@ -268,16 +364,12 @@ def slot_tracker(obs: DataFrame, second: int, **config) -> DataFrame:
     schema = "dataset long, frame_no long, slot long, kind string, x double, y double"
     src = obs.select(*cols)
     if src.isStreaming:
-        return keyed(src, "dataset", ["frame_no", "us", "event_id"], dict, step, schema)
-    return stream_fold(src, ["dataset"], ["frame_no", "us", "event_id"], dict, _whole_frames(step), schema)
+        return keyed(src, "dataset", ["frame_no", "us", "event_id"], dict, step, schema, at=F.col("frame_no") * frame_us, delay=delay)
+    return stream_fold(close_keys(src.filter("event_id IS NOT NULL")), ["dataset"], ["frame_no", "us", "event_id"], dict, _whole_frames(step), schema)
 
 
 def _whole_frames(step: Callable) -> Callable:
-    """A batch boundary may cut a frame: hold its rows until the next frame begins.
-
-    The last frame of a key is released by :func:`slot_tracker`'s caller adding a closing row
-    (``event_id`` null), which is how a bounded batch says that it ended.
-    """
+    """A batch boundary may cut a frame: hold its rows until the next frame, or the closing row of the key, begins."""
     def run(state, pdf):
         held = state.get("tail")
         rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
@@ -294,7 +386,7 @@ def close_keys(obs: DataFrame) -> DataFrame:
     return obs.unionByName(end, allowMissingColumns=True)
 
 
-def register_identities(obs: DataFrame, key: str, bar: float = math.inf, margin: float = 0.05, bank: int = 32) -> DataFrame:
+def register_identities(obs: DataFrame, key: str, bar: float = math.inf, margin: float = 0.05, bank: int = 32, *, delay: str = "1 hour") -> DataFrame:
     """Track -> cluster, online.  A known track is idempotent; by default nothing ever merges.
 
     obs: key, track, vec, event_id, player, sim, runner_up.  The first confident face binds a
@@ -321,7 +413,7 @@ def register_identities(obs: DataFrame, key: str, bar: float = math.inf, margin:
         got.insert(0, key, pdf[key].to_numpy())
         return got
     return keyed(obs.select(key, "track", "vec", "event_id", "player", "sim", "runner_up"), key, ["event_id"], lambda: {"tracks": {}, "clusters": {}}, step,
-                 f"{key} long, event_id long, cluster long, player long, bound_now boolean")
+                 f"{key} long, event_id long, cluster long, player long, bound_now boolean", at=F.col("event_id") * 1000, delay=delay, real="vec")
 
 
 def _join_or_open(state, v, bar, margin):
@@ -339,7 +431,7 @@ def _join_or_open(state, v, bar, margin):
     return cid
 
 
-def board_changes(boards: DataFrame, key: str, order: Sequence[str], min_interval_us: int = 0) -> DataFrame:
+def board_changes(boards: DataFrame, key: str, order: Sequence[str], min_interval_us: int = 0, *, delay: str = "1 hour", idle_us: int | None = None) -> DataFrame:
     """Emit a board only when the digest of its stable content changes, at a bounded rate.
 
     A change inside the interval is held and goes out, with its own id, once the interval is
@@ -364,34 +456,32 @@ def board_changes(boards: DataFrame, key: str, order: Sequence[str], min_interva
         got = pd.DataFrame(out, columns=["event_id", "digest"])
         got.insert(0, key, pdf[key].iloc[0])
         return got
-    return keyed(boards.select(key, "us", "event_id", "digest"), key, order, dict, step, f"{key} long, event_id long, digest string")
+    return keyed(boards.select(key, "us", "event_id", "digest"), key, order, dict, step, f"{key} long, event_id long, digest string", delay=delay, idle_us=idle_us)
 
 
-def append_audit(posts: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+def append_audit(posts: DataFrame, key: str, order: Sequence[str], *, repeat_us: int = 7 * DAY_US, delay: str = "1 hour") -> DataFrame:
     """One audit row per accepted revision; a post based on an older revision is refused, a repeated id ignored.
 
     posts: key, event_id, us, behind (how many revisions the writer's base is behind).  An id
-    counts once, at its first post, however many others came between.
+    counts once, at its first post, however many others came between; ids are remembered for
+    ``repeat_us`` after their last post, so a document's state follows its recent posts.
     """
-    if posts.isStreaming:
-        posts = posts.dropDuplicates([key, "event_id"])
-    else:
-        first = W.partitionBy(key, "event_id").orderBy(*order)
-        posts = posts.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
-
     def step(state, pdf):
-        out = []
-        for eid, behind in zip(pdf["event_id"], pdf["behind"]):
-            base = state["revision"] - int(behind)
-            if base == state["revision"]:
-                state["revision"] += 1
-                out.append((eid, state["revision"], None))
-            else:
-                out.append((eid, None, "stale revision"))
+        out, known = [], state["known"]
+        for us, eid, behind in zip(pdf["us"], pdf["event_id"], pdf["behind"]):
+            again = known.pop(eid, None)
+            known[eid] = int(us)  # in order of the last post
+            while known and next(iter(known.values())) < us - repeat_us:
+                del known[next(iter(known))]
+            if again is not None and again >= us - repeat_us:
+                continue
+            accepted = int(behind) == 0
+            state["revision"] += accepted
+            out.append((eid, state["revision"] if accepted else None, None if accepted else "stale revision"))
         got = pd.DataFrame(out, columns=["event_id", "revision", "refusal"]).astype({"revision": "Int64"})
         got.insert(0, key, pdf[key].iloc[0])
         return got
-    return keyed(posts.select(key, "us", "event_id", "behind"), key, order, lambda: {"revision": 0}, step, f"{key} long, event_id long, revision long, refusal string")
+    return keyed(posts.select(key, "us", "event_id", "behind"), key, order, lambda: {"revision": 0, "known": {}}, step, f"{key} long, event_id long, revision long, refusal string", delay=delay)
 
 
 def source_delay(segments: DataFrame, key: str, now_us) -> DataFrame:
