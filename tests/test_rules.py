@@ -1,6 +1,7 @@
 """Literal scenarios for the order-dependent, geometric and live rules."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from trackspark.operators import evaluation as E
 from trackspark.operators import identity as I
 from trackspark.operators import ledger as L
 from trackspark.operators import selection as S
+from trackspark.operators import signals as SG
 from trackspark.plans.geometry import box_cover
 from trackspark.streaming import live as R
 from trackspark.streaming import stages as U
@@ -354,3 +356,31 @@ def test_first_difference_past_a_million_items_and_dotted_names(spark):
     a, b = (spark.createDataFrame([(r[0], r[k]) for r in rows], "id long, doc string") for k in (1, 2))
     got = {r.id: (r.path, r.why, r.differences) for r in V.first_difference(a, b).collect()}
     assert got == {1: ("$[999999]", "value", 2), 2: ("$.a.b", "value", 1)}
+
+
+@pytest.mark.parametrize("shape", ["random", "falling", "ties"])
+def test_long_chains_of_peaks_equal_the_walk(spark, shape):
+    rng = random.Random(5)
+    n, gap = 30_000, 10
+    peaks = [(0, i * 6, i * 6, {"random": rng.random(), "falling": -float(i), "ties": 1.0}[shape], 1) for i in range(n)]
+    df = spark.createDataFrame(peaks, "dataset long, onset_us long, peak_us long, peak double, n_frames long")
+    got = sorted(r.peak_us for r in SG.enforce_gap(df, ["dataset"], gap, 5000).collect())
+    kept = set()
+    for _, onset, at, _, _ in sorted(peaks, key=lambda p: (-p[3], p[1])):
+        if not any(at + 6 * k in kept for k in (-1, 1)):
+            kept.add(at)
+    assert got == sorted(kept)
+
+
+def test_weaker_candidates_go_to_the_strongest_that_stays(spark):
+    rng = random.Random(6)
+    rows = [(i % 2, "shot", rng.randrange(4000) * SEC // 10, i, rng.choice([None, rng.random() * 900]), rng.random() * 900, float(rng.randrange(40))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "dataset long, kind string, us long, event_id long, mx double, my double, strength double")
+    got = {r.event_id: r.duplicates for r in A.prune_candidates(df, SEC, 60 * SEC).collect()}
+    kept, want = [], {}
+    for d, _, us, i, mx, my, s in sorted(rows, key=lambda r: (-r[6], r[2], r[3])):
+        same = next((k for k in kept if k[0] == d and abs(k[1] - us) <= 4 * SEC and (k[3] is None or mx is None or ((k[3] - mx) ** 2 + (k[4] - my) ** 2) ** 0.5 <= 250)), None)
+        if same is None:
+            kept.append((d, us, i, mx, my))
+        want[(same or kept[-1])[2]] = want.get((same or kept[-1])[2], 0) + 1
+    assert got == want

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import scalars as P
 from ..session import cut_lineage
-from .joins import fields_type
-from .kernels import bounded_lag, exact_quantiles, gap_islands, ordered_index, stream_fold
+from .joins import range_pairs
+from .kernels import bounded_lag, exact_quantiles, gap_islands, ordered_index, stream_fold, strongest_first
 
 TRACK = ("dataset", "track_id")
 
@@ -300,23 +300,23 @@ def occlusion_reasons(cands: DataFrame, person: Column, cloth: Column, median: C
 
 
 def prune_candidates(cands: DataFrame, second: int, width: int, window_s: float = 4.0, near_mm: float = 250.0) -> DataFrame:
-    """Strongest candidate per act; weaker ones within the window and distance are counted."""
-    reach = int(window_s * second)
-    isl = gap_islands(cands, ["dataset", "kind"], "us", reach, width, ["event_id"], "island")
-    item = F.struct((-F.col("strength")).alias("k"), "us", "event_id", "mx", "my")
-    folded = isl.groupBy("dataset", "kind", "island").agg(F.array_sort(F.collect_list(item)).alias("_i"))
-    kind = fields_type(folded.select("_i"))
-    zero = F.expr(f"named_struct('k', cast(array() as {kind}), 'm', cast(array() as array<struct<id:bigint,leader:bigint>>))")
-
-    def step(acc, c):
-        def fits(k):
-            apart = F.hypot(k["mx"] - c["mx"], k["my"] - c["my"]) <= near_mm
-            return (F.abs(k["us"] - c["us"]) <= reach) & (k["mx"].isNull() | c["mx"].isNull() | apart)
-        same = F.get(F.filter(acc["k"], fits), F.lit(0))
-        return F.struct(F.when(same.isNull(), F.array_append(acc["k"], c)).otherwise(acc["k"]).alias("k"),
-                        F.array_append(acc["m"], F.struct(c["event_id"].alias("id"), F.coalesce(same["event_id"], c["event_id"]).alias("leader"))).alias("m"))
-    rows = folded.select("dataset", "kind", F.explode(F.aggregate("_i", zero, step)["m"]).alias("m"))
-    return rows.groupBy("dataset", "kind", F.col("m.leader").alias("event_id")).agg(F.count(F.lit(1)).alias("duplicates"))
+    """Strongest candidate per act; weaker ones within the window and distance are counted.
+
+    Candidates that exclude each other are paired once, by time bucket; ``strongest_first`` settles the pairs, and a candidate
+    that goes counts for the strongest of its neighbours that stay.
+    """
+    keys, reach = ["dataset", "kind"], int(window_s * second)
+    item = F.struct((-F.col("strength")).alias("k"), "us", "event_id")
+    rows = cut_lineage(cands.select(*keys, "us", "event_id", "mx", "my", item.alias("order")))
+    other = rows.select(*keys, *[F.col(c).alias(f"s_{c}") for c in ("us", "event_id", "mx", "my", "order")])
+    apart = F.hypot(F.col("mx") - F.col("s_mx"), F.col("my") - F.col("s_my")) > near_mm
+    pairs = range_pairs(rows, other, keys, "us", "s_us", -reach, reach, max(width, reach)).filter((F.col("s_order") < F.col("order")) & ~F.coalesce(apart, F.lit(False)))
+    pairs = cut_lineage(pairs.select(*keys, F.col("event_id").alias("weak"), F.col("s_event_id").alias("strong"), "order", "s_order"))
+    gone = cut_lineage(strongest_first(pairs, keys))
+    leaders = pairs.join(gone.select(F.col("weak").alias("strong")), "strong", "left_anti").join(gone, "weak").groupBy(*keys, "weak").agg(F.min("s_order").alias("_s"))
+    led = leaders.groupBy(*keys, F.col("_s.event_id").alias("event_id")).agg(F.count(F.lit(1)).alias("_n"))
+    stays = rows.select(*keys, "event_id").join(gone.select(F.col("weak").alias("event_id")), "event_id", "left_anti")
+    return stays.join(led, [*keys, "event_id"], "left").select(*keys, "event_id", (F.coalesce("_n", F.lit(0)) + 1).alias("duplicates"))
 
 
 def debounce(rows: DataFrame, second: int, window_s: float = 4.0) -> DataFrame:

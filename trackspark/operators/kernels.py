@@ -186,6 +186,41 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, salt: Col
     return cut.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= k)
 
 
+def strongest_first(pairs: DataFrame, group: Sequence[str], rounds: int = 3) -> DataFrame:
+    """``weak``: the rows that go when rows are taken strongest first and a row goes if a stronger one that stays excludes it.
+
+    pairs: ``group`` columns, ``weak``, ``strong`` (ids of two rows that exclude each other) and ``order``, the
+    weak row's place among its group, stronger first.  In a round every row without a live stronger
+    neighbour stays and its neighbours go, by joins alone; a few rounds settle all but chains of steadily
+    falling strength.  What is left of those is walked once in order, with the ids that went as state.
+    """
+    import pandas as pd
+
+    from ..session import cut_lineage
+
+    live, gone = cut_lineage(pairs.select(*group, "weak", "strong", "order")), pairs.select("weak").limit(0)
+    for _ in range(rounds):
+        stays = live.select("strong").distinct().join(live.select(F.col("weak").alias("strong")).distinct(), "strong", "left_anti")
+        out = cut_lineage(live.join(stays, "strong").select("weak").distinct())
+        gone = gone.unionByName(out)
+        live = cut_lineage(live.join(out, "weak", "left_anti").join(out.select(F.col("weak").alias("strong")), "strong", "left_anti"))
+        if live.isEmpty():
+            return gone
+
+    def step(state, pdf):
+        out, went = [], state["gone"]
+        for weak, strong in zip(pdf["weak"], pdf["strong"]):
+            if weak not in went and strong not in went:
+                went.add(weak)
+                out.append(weak)
+        return pd.DataFrame({"weak": out})
+
+    kind = live.schema["weak"].dataType.simpleString()
+    fields = [f"order.{f.name}" for f in live.schema["order"].dataType]
+    walked = live.select(*group, "weak", "strong", *[F.col(f).alias(f"_o{i}") for i, f in enumerate(fields)])
+    return gone.unionByName(stream_fold(walked, group, [*(f"_o{i}" for i in range(len(fields))), "weak"], lambda: {"gone": set()}, step, f"weak {kind}"))
+
+
 def stream_fold(df: DataFrame, keys: Sequence[str], order: Sequence, make_state, step, schema: str) -> DataFrame:
     """Sequential rule over sorted rows of each key with bounded state.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .joins import fields_type, range_pairs
-from .kernels import (bounded_lag, bucket_of, exact_quantiles, exact_ranks, gap_islands, in_intervals, merge_intervals,
+from .kernels import (bounded_lag, bucket_of, exact_quantiles, exact_ranks, gap_islands, in_intervals, merge_intervals, strongest_first,
                       ordered_index)
 from ..session import cut_lineage
 from .stats import FLOOR_MARGIN, array_median
@@ -166,21 +166,12 @@ def detect_onsets(indexed: DataFrame, keys: Sequence[str], threshold: float, mer
 
 
 def enforce_gap(onsets: DataFrame, keys: Sequence[str], min_gap: int, width: int = DAY) -> DataFrame:
-    """Strongest peak per neighbourhood.
-
-    Peaks at least ``min_gap`` apart never compete, so clusters split there are exact; the
-    fold keeps peaks strongest-first inside one cluster.
-    """
-    c = gap_islands(onsets, keys, "peak_us", min_gap - 1, width, ["onset_us"], "cluster")
-    item = F.struct((-F.col("peak")).alias("k"), "onset_us", "peak_us", "peak", "n_frames")
-    folded = c.groupBy(*keys, "cluster").agg(F.array_sort(F.collect_list(item)).alias("_p"))
-    kind = fields_type(folded.select("_p"))
-
-    def step(acc, p):
-        clear = F.forall(acc, lambda k: F.abs(k["peak_us"] - p["peak_us"]) >= min_gap)
-        return F.when(clear, F.array_append(acc, p)).otherwise(acc)
-    kept = F.aggregate("_p", F.expr(f"cast(array() as {kind})"), step)
-    return folded.select(*keys, F.explode(kept).alias("o")).select(*keys, "o.onset_us", "o.peak_us", "o.peak", "o.n_frames")
+    """Strongest peak per neighbourhood: peaks closer than ``min_gap`` exclude each other, ties go to the earlier onset."""
+    order = F.struct((-F.col("peak")).alias("k"), "onset_us", "peak_us")
+    rows = cut_lineage(onsets.select(*keys, "onset_us", "peak_us", "peak", "n_frames", order.alias("order"), F.to_json(F.struct(*keys, "onset_us", "peak_us")).alias("weak")))
+    other = rows.select(*keys, F.col("peak_us").alias("s_us"), F.col("weak").alias("strong"), F.col("order").alias("s_order"))
+    pairs = range_pairs(rows, other, keys, "peak_us", "s_us", 1 - min_gap, min_gap - 1, max(width, min_gap)).filter(F.col("s_order") < F.col("order"))
+    return rows.join(strongest_first(pairs, keys), "weak", "left_anti").select(*keys, "onset_us", "peak_us", "peak", "n_frames")
 
 
 def decay_shape(onsets: DataFrame, signal: DataFrame, keys: Sequence[str], window: int, second: int, width: int = DAY,
