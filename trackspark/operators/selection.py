@@ -55,13 +55,27 @@ def select_for_gating(kept: DataFrame, planned: DataFrame, served: DataFrame, co
     both = sel.unionByName(spare)
     extra = served.join(both.select("event_id"), "event_id", "left_anti").withColumn("measured", F.lit("served"))
     out = both.unionByName(extra, allowMissingColumns=True).withColumn("_g", F.when(F.col("measured") == "planned", 0).when(F.col("measured") == "control", 1).otherwise(2))
-    return assign_order(out, ["_g", F.desc("strength"), "t", "event_id"], first_id)
+    return assign_order(out, "_g", "strength", ["t", "event_id"], first_id).drop("_g")
 
 
-def assign_order(df: DataFrame, order: Sequence, first_id: int) -> DataFrame:
-    """Ids by position for the rows without one.  The selection is a report of bounded size."""
-    w = W.orderBy(*order)
-    return df.withColumn("id", F.coalesce(F.col("id"), F.row_number().over(w) - 1 + first_id).cast("long")).drop("_g")
+def assign_order(df: DataFrame, group: str, strength: str, ties: Sequence[str], first_id: int) -> DataFrame:
+    """Ids by position (group, strongest first without strength last, ties) for the rows without one.
+
+    A row's position is its rank inside a cell of like strength, plus the rows of stronger cells of its group,
+    plus the rows of earlier groups; only counts per cell are ordered together, never the rows.
+    """
+    from .kernels import value_cell
+
+    cell = F.coalesce(value_cell(-F.col(strength)), F.lit(9_000_000_000))
+    rows = df.withColumn("_cell", cell)
+    counts = rows.groupBy(group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = counts.groupBy(group).agg(F.sum("_n").alias("_n")).agg(F.map_from_entries(F.collect_list(F.struct(group, "_n"))).alias("_all"))  # one entry a group
+    upto = W.partitionBy(group).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    before = F.aggregate(F.map_entries(F.map_filter("_all", lambda g, _: g < F.col(group))), F.lit(0).cast("long"), lambda total, e: total + e["value"])
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(upto), F.lit(0))).crossJoin(earlier).select(group, "_cell", (F.col("_off") + before).alias("_off"))
+    local = W.partitionBy(group, "_cell").orderBy(F.desc(strength), *ties)
+    return rows.join(offsets, [group, "_cell"]).withColumn("id", F.coalesce(F.col("id"), F.col("_off") + F.row_number().over(local) - 1 + first_id).cast("long")).drop("_cell", "_off")
+
 
 
 def pending(requested: DataFrame, cached: DataFrame, refetch: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ import importlib
 from ..session import ship_package
 
 MODULES = ("geometry", "matching", "signals", "census", "judging", "identities", "scoring", "ledgers",
-           "documents", "selection", "association", "live")
+           "documents", "selection", "association", "live", "registered")
 
 def _shipped(fn):
     """Ship the package to the executors before a query builds its plan."""
