@@ -40,7 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages make a twentieth or more go; the others stay as they are."""
+    """Documents of which benchmark passages make a twentieth or more go; the others stay as they are, shorter passages in long texts included."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_contamination(docs, items, id_col="doc_id", item_id_col="item_id", carry=_others(docs))
     return _documents(found.filter("NOT contaminated"), docs)
@@ -68,7 +68,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: No SQL can state the learned toxicity score or the exact merges; the stages are tested against brute force.
+#: No SQL can state the learned toxicity score or the exact merges; tests/llm/test_pipeline.py holds each stage and run() against brute force.
 ORACLE_SQL = None
 
 
