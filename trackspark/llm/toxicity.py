@@ -6,6 +6,7 @@ import heapq
 import math
 import pickle
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -62,8 +63,8 @@ class Automaton:
         self._reset()
 
     def _reset(self):
-        self.sets: dict[frozenset, int] = {}
-        self.members: list[frozenset] = []
+        self.sets: dict[bytes, int] = {}
+        self.members: list[bytes] = []  # of each state, the packed numbers 2 * node + edits
         self.found: list[tuple[tuple[int, int], ...]] = []
         self.step: list[dict[str, int]] = []
         self.steps = 0
@@ -79,20 +80,21 @@ class Automaton:
             least[node] = e
             if e < self.room[node]:
                 todo[:0] = [(child, e + 1) for child in self.go[node].values() if e < self.room[child]]
-        key = frozenset(least.items())
+        key = array("i", sorted(2 * node + e for node, e in least.items())).tobytes()
         at = self.sets.get(key)
         if at is None:
             at = self.sets[key] = len(self.members)
             self.members.append(key)
             self.step.append({})
-            self.found.append(tuple(sorted((e, self.stem[node]) for node, e in key if self.stem[node] is not None and e <= self.room[node])))
+            self.found.append(tuple(sorted((e, self.stem[node]) for node, e in least.items() if self.stem[node] is not None and e <= self.room[node])))
         return at
 
     def follow(self, state: int, c: str) -> int:
         """The state after a letter that was not asked for in this state before; -1 where nothing goes on."""
         to = {(0, 0)} if self.anywhere else set()
         go, room = self.go, self.room
-        for node, e in self.members[state]:
+        for code in array("i", self.members[state]):
+            node, e = code >> 1, code & 1
             if e >= room[node]:  # no edit left below: only the letter itself leads on
                 child = go[node].get(c)
                 if child is not None and e <= room[child]:
@@ -108,7 +110,7 @@ class Automaton:
         return out
 
     def room_made(self) -> None:
-        if self.steps > 500_000 or len(self.members) > 100_000:
+        if self.steps > 500_000 or len(self.members) > 50_000:
             self._reset()
 
 
@@ -125,7 +127,7 @@ class Lexicon:
         self.places = [i for i, ok in enumerate(inside) if ok]
         self.at_head = Automaton(stems, False)
         self.anywhere = Automaton([stems[i] for i in self.places], True) if self.places else None
-        self.codes = WordCache(self._codes, limit=250_000)
+        self.codes = WordCache(self._codes, limit=150_000)
 
     def _codes(self, word: str) -> tuple[int, ...] | None:
         """(head code or 0, codes inside ...)"""
