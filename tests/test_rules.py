@@ -98,6 +98,116 @@ def test_association_does_not_depend_on_partitioning(spark):
     assert tids(A.associate(df, SEC, 10 * SEC)) == tids(A.associate(df.repartition(7), SEC, SEC // 2))
 
 
+def naive_association(rows, cfg=A.LinkConfig()):
+    """The stated rule over whole lists: (sightings in order, identities as lists of places, marks per sighting, skips)."""
+    frame = lambda t: round(t / cfg.bucket_s)
+    order = sorted(range(len(rows)), key=lambda i: (frame(rows[i][0]), rows[i][2], rows[i][1], rows[i][3], i))
+    ids, marks, skips = [], {}, 0
+
+    def color(k):
+        seen = [rows[i][1] for i in k]
+        named = {c: (seen.count(c), -max(j for j, d in enumerate(seen) if d == c)) for c in seen if c != "unknown"}
+        return max(named, key=named.get) if named else "unknown"
+
+    def ahead(k, t):
+        last, v = rows[k[-1]], (0.0, 0.0)
+        if len(k) > 1 and last[0] - rows[k[-2]][0] > 1e-6:
+            dt = last[0] - rows[k[-2]][0]
+            v = ((last[3] - rows[k[-2]][3]) / dt, (last[4] - rows[k[-2]][4]) / dt)
+        lead = max(0.0, t - last[0])
+        return last[3] + v[0] * lead, last[4] + v[1] * lead, float(np.hypot(*v))
+
+    def gate(k, t, base):
+        gap, (px, py, speed) = t - rows[k[-1]][0], ahead(k, t)
+        if len(k) < 2:
+            return px, py, cfg.bootstrap_px if gap <= cfg.bootstrap_dt_s else base
+        return px, py, base + cfg.slack * speed * max(0.0, gap)
+    for i in order:
+        t, c, source, x, y = rows[i]
+        fits = []
+        for n, k in enumerate(ids):
+            if any(frame(rows[j][0]) == frame(t) and rows[j][2] == source for j in k):
+                skips += 1
+                continue
+            px, py, bar = gate(k, t, cfg.match_px)
+            away, same = float(np.hypot(px - x, py - y)), color(k)
+            flicker = len(k) < 2 and rows[k[-1]][2] == source and away <= cfg.flicker_px
+            if t - rows[k[-1]][0] <= cfg.gap_s and away <= bar and ("unknown" in (same, c) or same == c or flicker):
+                fits.append((away, n))
+        if fits:
+            away, n = min(fits)
+            marks[i] = (away, t - rows[ids[n][-1]][0] > cfg.bridge_s, False)
+            ids[n].append(i)
+        else:
+            marks[i] = (None, False, False)
+            ids.append([i])
+
+    def joinable():
+        for a in sorted(ids, key=lambda k: rows[k[-1]][0]):
+            for b in sorted(ids, key=lambda k: rows[k[0]][0]):
+                gap = rows[b[0]][0] - rows[a[-1]][0]
+                if a is b or not cfg.bucket_s <= gap <= cfg.stitch_gap_s or len({color(a), color(b)} - {"unknown"}) > 1:
+                    continue
+                px, py, bar = gate(a, rows[b[0]][0], cfg.stitch_px)
+                away = float(np.hypot(px - rows[b[0]][3], py - rows[b[0]][4]))
+                if away <= bar:
+                    return a, b, away, gap > cfg.bridge_s
+        return None
+    while (pair := joinable()) is not None:
+        a, b, away, bridged = pair
+        marks[b[0]] = (away, bridged, True)
+        a.extend(b)
+        ids = [k for k in ids if k is not b]
+    return ids, marks, skips
+
+
+def crowd(seed, frames=70):
+    """Balls that roll, stop, hide and flicker, read by two detectors."""
+    rng = np.random.default_rng(seed)
+    at, v, rows = rng.uniform(0, 260, (7, 2)), rng.normal(0, 60, (7, 2)), []
+    hidden = np.zeros(7)
+    for f in range(frames):
+        at, v = at + v / 15, np.where(rng.random((7, 1)) < 0.05, rng.normal(0, 150, (7, 2)), v * 0.97)
+        hidden = np.where(rng.random(7) < 0.06, rng.integers(1, 14, 7), hidden - 1)
+        for k in np.flatnonzero(hidden <= 0):
+            for source in ("plain", "scored")[: 1 + (rng.random() < 0.4)]:
+                c = ("red", "blue", "red", "pink", "blue", "red", "pink")[k]
+                c = "unknown" if rng.random() < 0.15 else "pink" if rng.random() < 0.06 else c
+                x, y = at[k] + rng.normal(0, 4, 2)
+                rows.append((round(f / 16, 6), c, source, float(x), float(y)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_association_and_its_counters_equal_the_rule_over_lists(spark, seed):
+    rows = crowd(seed)
+    ids, marks, skips = naive_association(rows)
+    linked = A.associate(sightings(spark, rows), SEC, 10 * SEC).cache()
+    got = {r.event_id: r for r in linked.collect()}
+    groups = {}
+    for i, r in got.items():
+        groups.setdefault(r.tid, set()).add(i)
+    assert {frozenset(k) for k in ids} == {frozenset(g) for g in groups.values()}
+    assert {i: (r.bridged, r.stitched) for i, r in got.items()} == {i: m[1:] for i, m in marks.items()}
+    for i, (away, _, _) in marks.items():
+        assert (away is None) == (got[i].residual_px is None) and (away is None or abs(away - got[i].residual_px) < 1e-6)
+    frame, of = lambda i: round(rows[i][0] / 0.02), {i: n for n, k in enumerate(ids) for i in k}
+    double = [frame(a) for a in range(len(rows)) for b in range(a + 1, len(rows))
+              if frame(a) == frame(b) and of[a] != of[b] and np.hypot(rows[a][3] - rows[b][3], rows[a][4] - rows[b][4]) <= 12]
+    kinks = []
+    for k in ids:
+        spots = [rows[i] for i in {frame(i): i for i in k}.values()]
+        v = [((b[3] - a[3]) / (b[0] - a[0]), (b[4] - a[4]) / (b[0] - a[0])) for a, b in zip(spots, spots[1:])]
+        kinks.append(sum(np.hypot(q[0] - p[0], q[1] - p[1]) > 200 for p, q in zip(v, v[1:])))
+    plain = [m for m in marks.values() if not m[2]]
+    want = {"dataset": 0, "assignments": len(rows), "bridged_links": sum(m[1] for m in plain), "wide_links": sum(m[0] is not None and m[0] > 30 for m in plain),
+            "stitched_links": sum(m[2] for m in marks.values()), "frame_source_skips": skips, "tracks": len(ids), "kinked_tracks": sum(n > 0 for n in kinks), "kinks": sum(kinks),
+            "double_claims": len(double), "frames_with_double_claims": len(set(double))}
+    assert A.association_stats(linked, SEC).collect()[0].asDict() == want
+    assert min(want["stitched_links"], want["bridged_links"], want["kinks"]) > 0
+    linked.unpersist()
+
+
 def claims(spark, rows):
     return spark.createDataFrame([(0, k, int(t * SEC), i, c, p, None if xy is None else float(xy[0]), None if xy is None else float(xy[1])) for i, (k, t, c, p, xy) in enumerate(rows)],
                                  "dataset long, kind string, us long, event_id long, color string, pocket string, mx double, my double")

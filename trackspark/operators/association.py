@@ -7,6 +7,8 @@ long recording spreads over many tasks and no island is collected.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import scalars as P
 from ..session import cut_lineage
-from .joins import range_pairs
+from .joins import near_pairs, range_pairs
 from .kernels import bounded_lag, exact_quantiles, gap_islands, ordered_index, stream_fold, strongest_first
 
 TRACK = ("dataset", "track_id")
@@ -39,6 +41,8 @@ class LinkConfig:
     stitch_gap_s: float = 1.0
     stitch_px: float = 45.0
     bucket_s: float = 0.02
+    kink_px_s: float = 200.0
+    double_px: int = 12
 
 
 class Identity:
@@ -134,10 +138,11 @@ def _link(pool: OpenPool, bucket, t, x, y, color, source, cfg):
 
 
 def associate(obs: DataFrame, second: int, width: int, cfg: LinkConfig = LinkConfig()) -> DataFrame:
-    """obs + (tid, residual_px, bridged): constant-velocity association, then stitching.
+    """obs + (tid, residual_px, bridged, stitched, bucket, seq): constant-velocity association, then stitching.
 
     obs: dataset, us, event_id, color, source, x, y.  ``tid`` is unique per dataset: the
-    local number inside an island plus the identities opened in earlier islands.
+    local number inside an island plus the identities opened in earlier islands.  ``seq`` is
+    the place of a sighting in the walk over its island; ``association_stats`` counts the links.
     """
     import pandas as pd
 
@@ -149,70 +154,181 @@ def associate(obs: DataFrame, second: int, width: int, cfg: LinkConfig = LinkCon
         t0 = state.setdefault("t0", int(pdf["us"].iloc[0]))
         for bucket, us, x, y, c, s in zip(pdf["bucket"], pdf["us"], pdf["x"], pdf["y"], pdf["color"], pdf["source"]):
             k, away, bridged = _link(state["pool"], int(bucket), (int(us) - t0) / second, float(x), float(y), c, s, cfg)
-            rows.append((k.tid, away, bridged))
-        got = pd.DataFrame(rows, columns=["local", "residual_px", "bridged"])
-        return pd.concat([pdf[["dataset", "island", "event_id", "us", "x", "y", "color"]].reset_index(drop=True), got], axis=1)
+            rows.append((state["seq"], k.tid, away, bridged))
+            state["seq"] += 1
+        got = pd.DataFrame(rows, columns=["seq", "local", "residual_px", "bridged"])
+        return pd.concat([pdf[["dataset", "island", "event_id", "us", "bucket", "source", "x", "y", "color"]].reset_index(drop=True), got], axis=1)
     cols = ["dataset", "island", "bucket", "source", "color", "x", "y", "us", "event_id"]
-    linked = stream_fold(isl.select(*cols), ["dataset", "island"], ["bucket", "source", "color", "x", "event_id"], lambda: {"pool": OpenPool(cfg)}, step,
-                         "dataset long, island long, event_id long, us long, x double, y double, color string, local long, residual_px double, bridged boolean")
+    linked = stream_fold(isl.select(*cols), ["dataset", "island"], ["bucket", "source", "color", "x", "event_id"], lambda: {"pool": OpenPool(cfg), "seq": 0}, step,
+                         "dataset long, island long, event_id long, us long, bucket long, source string, x double, y double, color string, seq long, local long, residual_px double, bridged boolean")
     # five branches of the stitch read the links: written once, so the fold runs once
     return stitch(cut_lineage(linked), second, cfg)
 
 
+class Piece:
+    """One identity as the stitch sees it: its ends, the sighting before its last, colour votes and the pieces it took in."""
+
+    __slots__ = ("local", "hits", "first", "last", "prev", "votes", "parts", "gone")
+
+    def __init__(self, row):
+        self.local, self.hits, self.gone = int(row["local"]), int(row["hits"]), False
+        self.first = (int(row["a_us"]), row["ax"], row["ay"], int(row["head"]))
+        self.last = (int(row["z_us"]), row["zx"], row["zy"])
+        self.prev = None if row["w_us"] is None or row["w_us"] != row["w_us"] else (int(row["w_us"]), row["wx"], row["wy"])
+        self.votes = {v["color"]: (int(v["n"]), int(v["at"])) for v in (row["votes"] if row["votes"] is not None else ())}
+        self.parts = [(self.local, None, None, None)]
+
+    @property
+    def color(self):
+        return max(self.votes, key=lambda c: (self.votes[c][0], -self.votes[c][1])) if self.votes else P.UNKNOWN
+
+    def fits(self, other: Piece, second: int, cfg: LinkConfig):
+        """Distance of the other's first sighting from where this piece points, if the gate admits it."""
+        gap = (other.first[0] - self.last[0]) / second
+        if not cfg.bucket_s <= gap <= cfg.stitch_gap_s or (P.UNKNOWN not in (self.color, other.color) and self.color != other.color):
+            return None
+        dt = (self.last[0] - self.prev[0]) / second if self.prev else 0.0
+        vx, vy = ((self.last[1] - self.prev[1]) / dt, (self.last[2] - self.prev[2]) / dt) if dt > 1e-6 else (0.0, 0.0)
+        away = math.hypot(self.last[1] + vx * gap - other.first[1], self.last[2] + vy * gap - other.first[2])
+        bar = cfg.stitch_px + cfg.slack * math.hypot(vx, vy) * gap if self.hits > 1 else cfg.bootstrap_px if gap <= cfg.bootstrap_dt_s else cfg.stitch_px
+        return away if away <= bar else None
+
+    def take(self, other: Piece, away: float, bridged: bool) -> bool:
+        """Continue with the other piece; true if the colour of the whole is another one now."""
+        before = self.color
+        self.prev, self.last, self.hits = other.prev or self.last, other.last, self.hits + other.hits
+        for c, (n, at) in other.votes.items():
+            self.votes[c] = (self.votes.get(c, (0, 0))[0] + n, at)
+        local, *_ = other.parts[0]
+        self.parts += [(local, other.first[3], away, bridged), *other.parts[1:]]
+        other.gone = True
+        return self.color != before
+
+
+class Stitcher:
+    """Pieces arrive by start and are settled by end: each takes the earliest later piece that fits, then looks again.
+
+    A piece is settled once every piece that may start in its reach has arrived.  A settled piece stays at
+    hand while an unsettled one starts in its reach, because that one may still change its colour and fit.
+    """
+
+    def __init__(self, second: int, cfg: LinkConfig):
+        self.second, self.cfg, self.reach = second, cfg, cfg.stitch_gap_s * second
+        self.waiting, self.settled, self.born = [], [], []
+
+    def arrive(self, piece: Piece) -> list[Piece]:
+        done = self.settle(piece.first[0])
+        heapq.heappush(self.waiting, (piece.last[0], piece.local, piece))
+        self.born.append(piece)
+        return done
+
+    def settle(self, until: float) -> list[Piece]:
+        moved = False
+        while self.waiting and self.waiting[0][0] + self.reach < until:
+            moved = True
+            _, _, older = heapq.heappop(self.waiting)
+            if older.gone:
+                continue
+            for newer in self.born:
+                away = None if newer.gone or newer is older else older.fits(newer, self.second, self.cfg)
+                if away is not None:
+                    gap = (newer.first[0] - older.last[0]) / self.second
+                    if older.take(newer, away, gap > self.cfg.bridge_s):
+                        again = [k for k in self.settled if 0 < older.first[0] - k.last[0] <= self.reach]
+                        self.settled = [k for k in self.settled if k not in again]
+                        for k in again:
+                            heapq.heappush(self.waiting, (k.last[0], k.local, k))
+                    heapq.heappush(self.waiting, (older.last[0], older.local, older))
+                    break
+            else:
+                self.settled.append(older)
+        return self.release(until) if moved else []
+
+    def release(self, until: float) -> list[Piece]:
+        """Settled pieces that nothing can change any more; they leave the state."""
+        live = [k for _, _, k in self.waiting if not k.gone]
+        starts, keep, done = sorted(k.first[0] for k in live), [], []
+        # from the latest end back: a piece that stays at hand holds the ones before it in turn
+        for k in sorted((k for k in self.settled if not k.gone), key=lambda k: -k.last[0]):
+            i = bisect.bisect_right(starts, k.last[0])
+            if i < len(starts) and starts[i] <= k.last[0] + self.reach:
+                keep.append(k)
+                bisect.insort(starts, k.first[0])
+            else:
+                done.append(k)
+        self.settled = keep
+        # a piece can still be taken while a piece that waits or is at hand ends less than the reach before it starts
+        low = min([k.last[0] for k in (*live, *self.settled)], default=until)
+        self.born = [k for k in self.born if not k.gone and k.first[0] >= low]
+        return done
+
+
 def stitch(linked: DataFrame, second: int, cfg: LinkConfig) -> DataFrame:
     """Re-join identities split by a short occlusion; works on one summary row per identity.
 
-    The first sighting of a re-joined piece is marked bridged, with its distance from where the
-    earlier piece pointed.
+    The pair with the earliest end, then the earliest start, is joined first, until no pair fits.  The first
+    sighting of a re-joined piece is ``stitched``: it carries its distance from where the earlier piece
+    pointed, and is bridged if the hole is longer than ``bridge_s``.
     """
     import pandas as pd
 
     keys = ["dataset", "island", "local"]
-    p = F.struct("us", "event_id", "x", "y")
-    votes = linked.filter(F.col("color") != P.UNKNOWN).groupBy(*keys, "color").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("us", "event_id")).alias("at"))
-    major = votes.groupBy(*keys).agg(F.max_by("color", F.struct("n", (-F.col("at.us")).alias("u"), (-F.col("at.event_id")).alias("e"))).alias("major"))
+    p = F.struct("seq", "us", "event_id", "x", "y")
+    votes = linked.filter(F.col("color") != P.UNKNOWN).groupBy(*keys, "color").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("at"))
+    votes = votes.groupBy(*keys).agg(F.collect_list(F.struct("color", "n", "at")).alias("votes"))
     ends = linked.groupBy(*keys).agg(F.count(F.lit(1)).alias("hits"), F.min(p).alias("a"), F.max(p).alias("z"))
-    prev = linked.join(ends.select(*keys, F.col("z.event_id").alias("_z")), keys).filter("event_id <> _z").groupBy(*keys).agg(F.max(p).alias("w"))
-    tails = ends.join(prev, keys, "left").join(major, keys, "left").select(
-        *keys, "hits", F.col("a.event_id").alias("head"), F.col("a.us").alias("a_us"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("z.us").alias("z_us"), F.col("z.x").alias("zx"), F.col("z.y").alias("zy"),
-        F.col("w.us").alias("w_us"), F.col("w.x").alias("wx"), F.col("w.y").alias("wy"), F.coalesce("major", F.lit(P.UNKNOWN)).alias("major"))
+    prev = linked.join(ends.select(*keys, F.col("z.seq").alias("_z")), keys).filter("seq <> _z").groupBy(*keys).agg(F.max(p).alias("w"))
+    tails = ends.join(prev, keys, "left").join(votes, keys, "left").select(
+        *keys, "hits", "votes", F.col("a.event_id").alias("head"), *[F.col(f"{s}.{c}").alias(f"{s}_us" if c == "us" else s + c) for s in "azw" for c in ("us", "x", "y")])
+
+    def rows(key, done):
+        out = [(*key, local, k.local, head, away, bridged) for k in done for local, head, away, bridged in k.parts]
+        return pd.DataFrame(out, columns=["dataset", "island", "local", "root", "head", "away", "joined_bridged"]).astype({"head": "Int64", "away": "Float64", "joined_bridged": "boolean"})
 
     def step(state, pdf):
-        """Identities arrive by start; each continues the earliest-ending fitting identity."""
-        out = []
-        for r in pdf.to_dict("records"):
-            t = r["a_us"]
-            state["open"] = [k for k in state["open"] if t - k["z_us"] <= cfg.stitch_gap_s * second]
-            best = residual = None
-            for k in sorted(state["open"], key=lambda o: o["z_us"]):
-                gap = (t - k["z_us"]) / second
-                if gap < cfg.bucket_s or (P.UNKNOWN not in (k["major"], r["major"]) and k["major"] != r["major"]):
-                    continue
-                dt = (k["z_us"] - k["w_us"]) / second if k["w_us"] == k["w_us"] and k["w_us"] is not None else 0.0
-                vx, vy = ((k["zx"] - k["wx"]) / dt, (k["zy"] - k["wy"]) / dt) if dt > 1e-6 else (0.0, 0.0)
-                away = math.hypot(k["zx"] + vx * gap - r["ax"], k["zy"] + vy * gap - r["ay"])
-                bar = (cfg.stitch_px + cfg.slack * math.hypot(vx, vy) * gap) if k["hits"] >= 2 else (cfg.bootstrap_px if gap <= cfg.bootstrap_dt_s else cfg.stitch_px)
-                if away <= bar:
-                    best, residual = k, away
-                    break
-            root = best["root"] if best else r["local"]
-            if best:
-                state["open"].remove(best)
-                if r["w_us"] is None or r["w_us"] != r["w_us"]:
-                    r.update(w_us=best["z_us"], wx=best["zx"], wy=best["zy"])
-                r["hits"] += best["hits"]
-                r["major"] = best["major"] if best["major"] != P.UNKNOWN else r["major"]
-            r["root"] = root
-            state["open"].append(r)
-            out.append((r["dataset"], r["island"], r["local"], root, r["head"] if best else None, residual))
-        return pd.DataFrame(out, columns=["dataset", "island", "local", "root", "head", "away"]).astype({"head": "Int64", "away": "Float64"})
-    roots = stream_fold(tails, ["dataset", "island"], ["a_us", "local"], lambda: {"open": []}, step, "dataset long, island long, local long, root long, head long, away double")
+        state["key"] = (pdf["dataset"].iloc[0], pdf["island"].iloc[0])
+        return rows(state["key"], [k for r in pdf.to_dict("records") for k in state["stitcher"].arrive(Piece(r))])
+
+    roots = stream_fold(tails, ["dataset", "island"], ["a_us", "local"], lambda: {"stitcher": Stitcher(second, cfg)}, step,
+                        "dataset long, island long, local long, root long, head long, away double, joined_bridged boolean",
+                        finish=lambda state: rows(state["key"], state["stitcher"].settle(math.inf)))
     counts = linked.groupBy("dataset", "island").agg(F.max("local").alias("n"))
     w = W.partitionBy("dataset").orderBy("island").rowsBetween(W.unboundedPreceding, -1)
     offs = counts.select("dataset", "island", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("off"))
     joined = F.coalesce(F.col("event_id") == F.col("head"), F.lit(False))
-    return linked.join(roots, keys).join(offs, ["dataset", "island"]).withColumn("tid", F.col("off") + F.col("root")).withColumn(
-        "bridged", F.col("bridged") | joined).withColumn("residual_px", F.when(joined, F.col("away")).otherwise(F.col("residual_px"))).drop("local", "root", "off", "head", "away")
+    return linked.join(roots, keys).join(offs, ["dataset", "island"]).withColumn("tid", F.col("off") + F.col("root")).withColumn("stitched", joined).withColumn(
+        "bridged", F.when(F.col("stitched"), F.col("joined_bridged")).otherwise(F.col("bridged"))).withColumn(
+        "residual_px", F.when(F.col("stitched"), F.col("away")).otherwise(F.col("residual_px"))).drop("local", "root", "off", "head", "away", "joined_bridged")
+
+
+def association_stats(linked: DataFrame, second: int, cfg: LinkConfig = LinkConfig()) -> DataFrame:
+    """Purity counters of ``associate`` per dataset.
+
+    assignments, tracks, bridged_links and wide_links (links the fixed gate would refuse) of the walk,
+    stitched_links, frame_source_skips (identities passed over because the frame and source had them already),
+    kinks (speed changes beyond ``kink_px_s`` between the frames of an identity), kinked_tracks, double_claims
+    (two identities within ``double_px`` in one frame) and frames_with_double_claims.
+    """
+    links = linked.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("assignments"), F.count_if(F.col("bridged") & ~F.col("stitched")).alias("bridged_links"),
+        F.count_if(~F.col("stitched") & (F.col("residual_px") > cfg.match_px)).alias("wide_links"), F.count_if("stitched").alias("stitched_links"))
+    seen = linked.groupBy("dataset", "bucket", "source").agg(F.count(F.lit(1)).alias("n"))
+    skips = seen.groupBy("dataset").agg(F.sum(F.expr("n * (n - 1) div 2")).alias("frame_source_skips"))
+    spots = linked.groupBy("dataset", "tid", "bucket").agg(F.max(F.struct("island", "seq", "us", "x", "y")).alias("p")).select("dataset", "tid", "bucket", "p.us", "p.x", "p.y")
+    w = W.partitionBy("dataset", "tid").orderBy("bucket")
+    dt = (F.col("us") - F.lag("us").over(w)) / F.lit(float(second))
+    moved = F.when(dt > 1e-6, F.struct(((F.col("x") - F.lag("x").over(w)) / dt).alias("x"), ((F.col("y") - F.lag("y").over(w)) / dt).alias("y")))
+    v = spots.withColumn("v", moved)
+    turn = v.withColumn("u", F.lag("v").over(w)).withColumn("kink", F.coalesce(F.hypot(F.col("v.x") - F.col("u.x"), F.col("v.y") - F.col("u.y")) > cfg.kink_px_s, F.lit(False)))
+    kinks = turn.groupBy("dataset", "tid").agg(F.count_if("kink").alias("k")).groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("tracks"), F.count_if(F.col("k") > 0).alias("kinked_tracks"), F.sum("k").alias("kinks"))
+    one = linked.select("dataset", "bucket", "x", "y", F.col("event_id").alias("a"), F.col("tid").alias("ta"))
+    two = linked.select("dataset", "bucket", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("event_id").alias("b"), F.col("tid").alias("tb"))
+    near = near_pairs(one, two, ["dataset", "bucket"], cfg.double_px, ("x", "y"), ("x2", "y2")).filter("a < b and ta <> tb")
+    double = near.groupBy("dataset", "bucket").agg(F.count(F.lit(1)).alias("n")).groupBy("dataset").agg(
+        F.sum("n").alias("double_claims"), F.count(F.lit(1)).alias("frames_with_double_claims"))
+    out = links.join(skips, "dataset").join(kinks, "dataset").join(double, "dataset", "left")
+    return out.fillna(0, ["double_claims", "frames_with_double_claims"])
 
 
 def iou_tracklets(boxes: DataFrame, keys: Sequence[str], order: Sequence[str], mode: str = "burst", bar: float | None = None, grace: int = 3) -> DataFrame:

@@ -221,12 +221,13 @@ def strongest_first(pairs: DataFrame, group: Sequence[str], rounds: int = 3) ->
     return gone.unionByName(stream_fold(walked, group, [*(f"_o{i}" for i in range(len(fields))), "weak"], lambda: {"gone": set()}, step, f"weak {kind}"))
 
 
-def stream_fold(df: DataFrame, keys: Sequence[str], order: Sequence, make_state, step, schema: str) -> DataFrame:
+def stream_fold(df: DataFrame, keys: Sequence[str], order: Sequence, make_state, step, schema: str, finish=None) -> DataFrame:
     """Sequential rule over sorted rows of each key with bounded state.
 
     Rows are hash-placed by key and sorted inside the partition (the sort spills), then
     flow through ``mapInPandas`` batch by batch: a key is never collected, only ``state``
-    lives in memory.  ``step(state, pdf) -> pdf`` sees rows of one key, in order.
+    lives in memory.  ``step(state, pdf) -> pdf`` sees rows of one key, in order;
+    ``finish(state) -> pdf`` gives what is still held when a key ends.
     """
     import pandas as pd
 
@@ -248,10 +249,16 @@ def stream_fold(df: DataFrame, keys: Sequence[str], order: Sequence, make_state,
                 chunk = pdf.iloc[a:b]
                 key = tuple(chunk.iloc[0][names])
                 if key != current:
+                    if finish and state is not None:
+                        parts.append(finish(state))
                     current, state = key, make_state()
                 parts.append(step(state, chunk))
             parts = [p for p in parts if len(p)]
             if parts:
                 yield parts[0] if len(parts) == 1 else pd.concat([p.astype(object) for p in parts], ignore_index=True)
+        if finish and state is not None:
+            rest = finish(state)
+            if len(rest):
+                yield rest
 
     return df.repartition(*names).sortWithinPartitions(*names, *order).mapInPandas(run, schema)

@@ -37,6 +37,11 @@ def w15(spark, sf):
     return A.associate(obs(spark, sf), SEC, WIDTH).select("dataset", "event_id", "tid", F.round("residual_px", 6).alias("residual_px"), "bridged")
 
 
+@query("w15_association_stats")
+def w15s(spark, sf):
+    return A.association_stats(A.associate(obs(spark, sf), SEC, WIDTH), SEC)
+
+
 @query("w16_iou_tracklets")
 def w16(spark, sf):
     b = boxes(B.detections(spark, sf)).withColumn("burst", F.expr("frame_no div 6"))
