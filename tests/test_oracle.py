@@ -14,7 +14,7 @@ from tools.check_oracle import TABLES, compare
 SF = "/root/testdata/sf0.001"
 DEFAULT = ("w17_dedupe_claims", "w18_debounce", "b2_tournament_status", "r4_stream_pots", "p2_project", "p9_playfield_check", "j1_asof_first", "j5_nearest_time", "j6_match_frames", "j10_match_truth", "w1_streaks", "a1_summary", "a4_noise_floor", "w3_rolling_baseline",
            "w5_enforce_gap", "w7_window_profile", "a8_window_summary", "w9_census_drops", "g2_judge", "a31_consolidate", "j14_match_gallery", "a13_medoids", "w26_longest_run", "a21_pr_sweep",
-           "j26_trajectory_search", "w18_prune_candidates", "w19_assign_ids", "b2_propagate", "i3_table_diff", "i4_first_difference", "s4_shred_operations", "s5_render_operations", "r2_latency_summary",
+           "j26_trajectory_search", "w18_prune_candidates", "w19_assign_ids", "b2_propagate", "i3_table_diff", "i4_first_difference", "s3_write_read", "s4_shred_operations", "s5_render_operations", "r2_latency_summary",
            "r6_register_identities", "r7_board_changes", "r8_append_audit", "t2_select_for_gating", "u4_nearest_rank", "u4_medoid", "u4_leader_count", "u5_bracket_times", "u5_grid_points", "u5_sweep", "u5_bracket_slots")
 NAMES = list(entry.oracle_sql()) if os.environ.get("TRACKSPARK_FULL") else list(DEFAULT)
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import bindings as B
 from ..sources import documents as D
 from ..sources import operations_store as O
-from ..session import cut_lineage
+from ..session import checkpoint_dir, cut_lineage
 from ..sources import sets as S
+from ..sources import stamped as T
 
 QUERIES, ORACLE = {}, {}
 
@@ -70,6 +73,15 @@ def s3d(spark, sf):
     return D.document_status(stamped(spark, sf), "doc", ["scan", "probe"])
 
 
+@query("s3_write_read", "WITH " + STAMPS + """
+SELECT doc::VARCHAR AS doc, row_number() OVER (PARTITION BY doc ORDER BY event_id)-1 AS "position", event_id, t, 1::BIGINT AS version, 'scan' AS producer FROM st WHERE t IS NOT NULL AND coalesce(prod='scan',true) AND coalesce(ver<=1,true)""")
+def s3w(spark, sf):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stamped-{uuid.uuid4().hex}"
+    T.write_documents(D.stamp(stamped(spark, sf), "scan").filter("refusal is null").drop("refusal"), path, "scan", ["event_id"])
+    back = T.numbered(T.read_documents(spark, path, ["scan", "probe"]).filter("refusal is null"))
+    return back.select("doc", "position", F.get_json_object("body", "$.event_id").cast("long").alias("event_id"), "t", F.col("stamp.version").alias("version"), F.col("stamp.producer").alias("producer"))
+
+
 def operations_docs(spark, sf):
     """One operations document per order, its lines as matches."""
     o, l = B.table(spark, sf, "orders"), B.table(spark, sf, "lineitem")
