@@ -494,3 +494,68 @@ def test_weaker_candidates_go_to_the_strongest_that_stays(spark):
             kept.append((d, us, i, mx, my))
         want[(same or kept[-1])[2]] = want.get((same or kept[-1])[2], 0) + 1
     assert got == want
+
+
+def faces_around(rng, n, people, spread, dim=16):
+    base = rng.normal(0, 1, (people, dim))
+    who = rng.integers(0, people, n)
+    return who, base[who] + rng.normal(0, spread, (n, dim))
+
+
+@pytest.mark.parametrize("spread", [0.02, 1.5])
+def test_gallery_match_skips_block_pairs_and_stays_exact(spark, monkeypatch, spread):
+    from trackspark.functions import vectors as V
+    from trackspark.operators import identity as I
+
+    monkeypatch.setattr(V.metric_blocks, "__defaults__", (4,))
+    monkeypatch.setattr(V.block_bounds, "__defaults__", (5,))
+    rng = np.random.default_rng(8)
+    gw, gv = faces_around(rng, 400, 24, spread)
+    pw, pv = gw[:120], gv[:120] + rng.normal(0, spread, (120, 16))
+    pv[3], pv[5, 2], gv[7], gv[9, 1] = 0.0, np.nan, 0.0, np.nan
+    gallery = spark.createDataFrame([(i, int(w), [float(x) for x in v]) for i, (w, v) in enumerate(zip(gw, gv))] + [(900, 5, None)], "vec_id long, player long, vec array<double>")
+    probes = spark.createDataFrame([(1000 + i, int(w), [float(x) for x in v]) for i, (w, v) in enumerate(zip(pw, pv))] + [(2000, 1, None)], "vec_id long, expected long, vec array<double>")
+
+    def unit(m):
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return m / np.where(norm == 0, 1, norm)
+    sims = unit(pv) @ unit(gv).T
+    best = np.array([[np.where(np.isnan(s[gw == k]), -np.inf, s[gw == k]).max() for k in range(24)] for s in sims])
+    got = {r.vec_id: r for r in I.match_gallery(probes, gallery, keep=["expected"]).collect()}
+    assert len(got) == 121 and got[2000].player is None
+    for i, row in enumerate(best):
+        order = np.argsort(-row, kind="stable")
+        r = got[1000 + i]
+        assert np.isclose(r.similarity, row[order[0]]) and np.isclose(r.runner_up, row[order[1]])
+        assert r.player == order[0] or np.isclose(row[r.player], row[order[0]])
+    counts = {r.player: r for r in I.bind_counts(probes.filter("vec is not null"), gallery, 0.9).collect()}
+    for k, r in counts.items():
+        assert r.own_bound == int((best[pw == k, k] >= 0.9).sum()) and r.other_clearing == int((best[pw != k, k] >= 0.9).sum())
+    left, right = V.metric_blocks(probes, ["vec_id"], "l_"), V.metric_blocks(gallery, ["vec_id", "player"], "r_")
+    bounds = V.block_bounds(left, right)
+    assert bounds.count() == left.count() * right.count() and left.agg(F.max("l_n")).first()[0] <= 120
+    of_l = {i: r.l_block for r in left.collect() for i in r.l_vec_id}
+    of_r = {i: r.r_block for r in right.collect() for i in r.r_vec_id}
+    assert len(of_l) == 120 and len(of_r) == 400
+    bound = {(r.l_block, r.r_block): r.bound for r in bounds.collect()}
+    assert all(np.isnan(sims[i, j]) or sims[i, j] <= bound[of_l[1000 + i], of_r[j]] for i in range(120) for j in range(400))
+    clear = sum(b < 0.9 for b in bound.values()) / len(bound)
+    assert clear > 0.5 or spread > 1
+
+    def top(sims, a, b):
+        return {"vec_id": np.repeat(a["vec_id"], sims.shape[1]), "player": np.tile(b["player"], len(sims)), "sim": sims.ravel()}
+    seeds, rest, _ = I.gallery_pairs(left.filter(F.col("l_radius") < 9), right.filter(F.col("r_radius") < 9), top)
+    best_two = seeds.count() + rest.count()
+    assert best_two < len(bound) * 0.5 or spread > 1
+
+
+def test_gallery_match_of_nothing(spark):
+    from trackspark.operators import identity as I
+
+    gallery = spark.createDataFrame([(1, 2, [1.0, 0.0])], "vec_id long, player long, vec array<double>")
+    probes = spark.createDataFrame([(5, 2, [1.0, 0.0])], "vec_id long, expected long, vec array<double>")
+    assert I.match_gallery(probes.limit(0), gallery).count() == 0
+    alone = I.match_gallery(probes, gallery.limit(0)).collect()
+    assert len(alone) == 1 and alone[0].player is None
+    one = I.match_gallery(probes, gallery).collect()[0]
+    assert (one.player, one.similarity, one.runner_up, one.accepted) == (2, 1.0, None, True)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import cut_lineage, ship_package
 
 BLOCK = 512
 
@@ -68,6 +68,125 @@ def cosine_blocks(left: DataFrame, right: DataFrame, keys: Sequence[str], lcols:
     return pairs.mapInPandas(run, schema)
 
 
+#: pivots that place vectors into blocks, chosen from four times as many: they decide only how tight blocks are
+PIVOTS = 1024
+_SLACK = 1e-9
+
+
+def spread_out(m: np.ndarray, k: int) -> np.ndarray:
+    """At most ``k`` of the rows, each the one farthest from those before it."""
+    own = (m * m).sum(axis=1)
+    picked, away = [0], own + own[0] - 2 * (m @ m[0])
+    while len(picked) < k:
+        at = int(np.argmax(away))
+        if away[at] <= _SLACK:
+            break
+        picked.append(at)
+        away = np.minimum(away, own + own[at] - 2 * (m @ m[at]))
+    return m[picked]
+
+
+def metric_blocks(df: DataFrame, cols: Sequence[str], prefix: str, size: int = BLOCK) -> DataFrame:
+    """Unit vectors packed in blocks of near ones: (block, count, id arrays, vec, centre, radius).
+
+    Every vector goes to its nearest pivot; a pivot with more than ``size`` vectors is split by hash.  At most
+    ``PIVOTS`` vectors, spread out among the first by hash, are pivots.  Vectors that hold NaN have a cell of their own
+    with an infinite radius; rows without a vector take no part.  The table is written once: the index is
+    read by every step of a search.
+    """
+    ship_package(df.sparkSession)
+    df = df.select(*cols, "vec").filter(F.col("vec").isNotNull())
+    n = df.count()
+    order = F.xxhash64(*cols)
+    wanted = int(min(PIVOTS, -(-n // size)))
+    first = df.filter(~F.exists("vec", F.isnan)).orderBy(order, *cols).limit(4 * wanted).select("vec").collect()
+    pivots = spread_out(_unit([r["vec"] for r in first], len(first)), wanted) if first else np.zeros((0, 0))
+    half = (pivots * pivots).sum(axis=1) / 2
+
+    def place(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            m = _unit(np.stack(pdf["vec"].to_numpy()), len(pdf))
+            bad = np.isnan(m).any(axis=1)
+            cell = np.argmax(np.nan_to_num(m) @ pivots.T - half, axis=1) if len(pivots) else np.zeros(len(m), dtype=np.int64)
+            yield pdf.assign(_c=np.where(bad, -1, cell))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    # cells are counted and packed from one written placing
+    placed = cut_lineage(df.mapInPandas(place, fields + ", _c long"))
+    counts = placed.groupBy("_c").agg(F.ceil(F.count(F.lit(1)) / size).alias("_n"))
+    blocks = placed.join(counts, "_c").withColumn("_b", F.struct("_c", F.pmod(F.xxhash64(*cols), F.col("_n")).alias("_p")))
+    packed = pack(blocks, [], cols, "_b", prefix)
+
+    def summarise(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            got = []
+            for cell, flat, n in zip(pdf["_cell"], pdf[prefix + "vec"], pdf[prefix + "n"]):
+                m = _unit(flat, n)
+                centre = np.nan_to_num(m).mean(axis=0)
+                got.append((centre, np.inf if cell < 0 else float(np.sqrt(((m - centre) ** 2).sum(axis=1).max()))))
+            yield pdf.assign(**{prefix + "centre": [c for c, _ in got], prefix + "radius": [r for _, r in got]}).drop(columns="_cell")
+
+    shaped = packed.select((F.shiftleft(F.col("_b._c") + 1, 32) + F.col("_b._p")).alias(prefix + "block"), F.col("_b._c").alias("_cell"), F.size(prefix + cols[0]).alias(prefix + "n"),
+                           *[prefix + c for c in cols], prefix + "vec")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shaped.drop("_cell").schema) + f", {prefix}centre array<double>, {prefix}radius double"
+    return cut_lineage(shaped.mapInPandas(summarise, schema))
+
+
+def block_bounds(left: DataFrame, right: DataFrame, group: int = BLOCK) -> DataFrame:
+    """(l_block, r_block, bound): no cosine of the block pair is above ``bound``.
+
+    Centres c, d and radii r, s: a . b <= c . d + |c| s + |d| r + r s, and for vectors no longer than one
+    a . b <= 1 - max(0, |c - d| - r - s)^2 / 2; the smaller one counts.  Centres meet group against group.
+    """
+    def grouped(df, p, name):
+        n = max(1, -(-df.count() // group))
+        head = df.withColumn(name, F.pmod(F.xxhash64(p + "block"), F.lit(n)))
+        return n, head.groupBy(name).agg(F.collect_list(F.struct(p + "block", p + "centre", p + "radius")).alias(p + "s"))
+    _, l = grouped(left, "l_", "_lg")
+    nr, r = grouped(right, "r_", "_rg")
+    pairs = l.withColumn("_rg", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).join(r.withColumn("_rg", F.col("_rg").cast("int")), "_rg").select("l_s", "r_s")
+
+    def run(batches):
+        for pdf in batches:
+            for ls, rs in zip(pdf["l_s"], pdf["r_s"]):
+                c, d = np.array([k["l_centre"] for k in ls]), np.array([k["r_centre"] for k in rs])
+                cr, dr = np.array([k["l_radius"] for k in ls])[:, None], np.array([k["r_radius"] for k in rs])[None, :]
+                dot, cn, dn = c @ d.T, np.linalg.norm(c, axis=1)[:, None], np.linalg.norm(d, axis=1)[None, :]
+                away = np.sqrt(np.maximum(cn * cn + dn * dn - 2 * dot, 0.0))
+                whole = np.isfinite(cr) & np.isfinite(dr)
+                cr, dr = np.where(whole, cr, 0.0), np.where(whole, dr, 0.0)
+                bound = np.minimum(dot + cn * dr + dn * cr + cr * dr, 1 - np.maximum(away - cr - dr, 0.0) ** 2 / 2) + _SLACK
+                i, j = np.indices(bound.shape).reshape(2, -1)
+                yield pd.DataFrame({"l_block": np.array([k["l_block"] for k in ls])[i], "r_block": np.array([k["r_block"] for k in rs])[j],
+                                    "bound": np.where(whole, bound, np.inf).ravel()})
+
+    return pairs.mapInPandas(run, "l_block long, r_block long, bound double")
+
+
+def score_blocks(left: DataFrame, right: DataFrame, pairs: DataFrame, lcols: Sequence[str], rcols: Sequence[str], reduce: Callable, schema: str) -> DataFrame:
+    """``reduce(sims, left, right)`` of the given block pairs only; blocks meet by their own ids.
+
+    A result column ``l_block`` in the schema is filled in.
+    """
+    named = "l_block" in [k.split()[0] for k in schema.split(", ")]
+    met = pairs.select("l_block", "r_block").join(left.drop("l_centre", "l_radius", "l_n"), "l_block").join(right.drop("r_centre", "r_radius", "r_n"), "r_block")
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                a = {c: np.asarray(row["l_" + c]) for c in lcols}
+                b = {c: np.asarray(row["r_" + c]) for c in rcols}
+                out = pd.DataFrame(reduce(_unit(row["l_vec"], len(a[lcols[0]])) @ _unit(row["r_vec"], len(b[rcols[0]])).T, a, b))
+                if len(out):
+                    yield out.assign(l_block=row["l_block"]) if named else out
+
+    return met.mapInPandas(run, schema)
+
+
 def mean_vector(df: DataFrame, keys: Sequence[str], unit: bool = False) -> DataFrame:
     """Element-wise mean per key (optionally of unit vectors), partially aggregated per position."""
     vec = F.col("vec")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import scalars as P
-from ..functions.vectors import cosine_blocks, mean_vector
+from ..functions.vectors import block_bounds, cosine_blocks, mean_vector, metric_blocks, score_blocks
 from ..session import cut_lineage
 from .kernels import bounded_lag, exact_quantiles, gap_islands, ordered_index, stream_fold, top_k
 
@@ -38,12 +38,41 @@ def associate_faces(persons: DataFrame, faces: DataFrame, keys: Sequence[str] =
     return good.groupBy(*keys, "person_id").agg(F.min("face_id").alias("face_id"), F.count(F.lit(1)).alias("usable"))
 
 
+BEST = "vec_id long, player long, sim double, l_block long"
+
+
+def gallery_pairs(left: DataFrame, right: DataFrame, two_best) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs scored first, other pairs to score, best players of the first).
+
+    The gallery block of the highest bound, and the highest with another player if that one holds a single
+    player, give every probe a runner-up.  A block pair is left out when its bound is below the smallest
+    runner-up of its probes: nothing in it can be best or runner-up.
+    """
+    held = right.select("r_block", F.array_min("r_player").alias("lo"), F.array_max("r_player").alias("hi"))
+    w = W.partitionBy("l_block")
+    # blocks of broken vectors have no bound; they are scored, but not first
+    order = w.orderBy((F.col("bound") == float("inf")), F.desc("bound"), "r_block")
+    ranked = block_bounds(left, right).join(held, "r_block").withColumn("place", F.row_number().over(order)).withColumn("_p", F.first("lo").over(order))
+    other = F.when((F.col("lo") != F.col("_p")) | (F.col("hi") != F.col("_p")), F.col("place"))
+    ranked = cut_lineage(ranked.withColumn("_o", F.min(other).over(w)).select(
+        "l_block", "r_block", "bound", ((F.col("place") == 1) | (F.col("place") == F.coalesce("_o", F.lit(1)))).alias("seed")))
+    seeds = ranked.filter("seed")
+    seen = cut_lineage(score_blocks(left, right, seeds, ["vec_id"], ["vec_id", "player"], two_best, BEST))
+    per = seen.groupBy("l_block", "vec_id", "player").agg(F.max("sim").alias("sim"))
+    # with one player only a probe has no runner-up yet, so everything is still to score
+    second = per.groupBy("l_block", "vec_id").agg(F.get(F.reverse(F.array_sort(F.collect_list("sim"))), F.lit(1)).alias("second"))
+    floors = second.groupBy("l_block").agg(F.min(F.coalesce("second", F.lit(float("-inf")))).alias("floor"))
+    rest = ranked.filter("not seed").join(floors, "l_block").filter(F.col("bound") >= F.col("floor"))
+    return seeds, rest, seen
+
+
 def match_gallery(probes: DataFrame, gallery: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN,
                   bind_bar: float | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Best and runner-up player per probe by the largest cosine, with both accept rules.
 
     Exact: each block pair reports its two best players, and the overall runner-up is
-    always among the two best of its own block.  A NaN similarity never matches.
+    always among the two best of its own block.  Block pairs whose bound lies below every
+    runner-up found so far are not scored.  A NaN similarity never matches.
     """
     bar = round(threshold + margin, 4) if bind_bar is None else bind_bar
 
@@ -55,8 +84,9 @@ def match_gallery(probes: DataFrame, gallery: DataFrame, threshold: float = THRE
         rows = np.repeat(np.arange(len(per)), order.shape[1])
         cols = order.ravel()
         return {"vec_id": left["vec_id"][rows], "player": players[cols], "sim": per[rows, cols]}
-    best = cosine_blocks(probes.select("vec_id", "vec"), gallery.select("vec_id", "player", "vec"), [], ["vec_id"], ["vec_id", "player"],
-                         two_best, "vec_id long, player long, sim double")
+    left, right = metric_blocks(probes.select("vec_id", "vec"), ["vec_id"], "l_"), metric_blocks(gallery.select("vec_id", "player", "vec"), ["vec_id", "player"], "r_")
+    seeds, rest, seen = gallery_pairs(left, right, two_best)
+    best = seen.unionByName(score_blocks(left, right, rest, ["vec_id"], ["vec_id", "player"], two_best, BEST)).select("vec_id", "player", "sim")
     per = best.groupBy("vec_id", "player").agg(F.max("sim").alias("sim"))
     ranked = per.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("k"), "player", "sim"))).alias("_r"))
     out = ranked.select("vec_id", F.col("_r")[0]["player"].alias("player"), F.col("_r")[0]["sim"].alias("similarity"),
@@ -81,13 +111,15 @@ def evaluate_binding(matched: DataFrame, threshold: float = THRESHOLD, margin: f
 def bind_counts(probes: DataFrame, gallery: DataFrame, bar: float) -> DataFrame:
     """Per enrolled player: own and foreign probes, and how many of each clear the bar.
 
-    Only (probe, player) pairs that clear the bar leave a block.
+    Only (probe, player) pairs that clear the bar leave a block, and only block pairs whose bound reaches the bar are scored.
     """
     def clearing(sims, left, right):
         i, j = np.nonzero(sims >= bar)
         return {"vec_id": left["vec_id"][i], "expected": left["expected"][i], "player": right["player"][j]}
-    hits = cosine_blocks(probes.select("vec_id", "expected", "vec"), gallery.select("vec_id", "player", "vec"), [], ["vec_id", "expected"], ["vec_id", "player"],
-                         clearing, "vec_id long, expected long, player long").distinct()
+    left = metric_blocks(probes.select("vec_id", "expected", "vec"), ["vec_id", "expected"], "l_")
+    right = metric_blocks(gallery.select("vec_id", "player", "vec"), ["vec_id", "player"], "r_")
+    pairs = block_bounds(left, right).filter(F.col("bound") >= bar)
+    hits = score_blocks(left, right, pairs, ["vec_id", "expected"], ["vec_id", "player"], clearing, "vec_id long, expected long, player long").distinct()
     own = F.col("expected") == F.col("player")
     got = hits.groupBy("player").agg(F.count_if(own).alias("own_bound"), F.count_if(~own).alias("other_clearing"))
     total = probes.groupBy(F.col("expected").alias("player")).agg(F.count(F.lit(1)).alias("own_n"))
