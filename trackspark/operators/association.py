@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import itertools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -229,7 +230,12 @@ class Stitcher:
             _, _, older = heapq.heappop(self.waiting)
             if older.gone:
                 continue
-            for newer in self.born:
+            # born is in order of start
+            lo = bisect.bisect_left(self.born, older.last[0], key=lambda k: k.first[0])
+            for newer in itertools.islice(self.born, lo, None):
+                if newer.first[0] > older.last[0] + self.reach:
+                    self.settled.append(older)
+                    break
                 away = None if newer.gone or newer is older else older.fits(newer, self.second, self.cfg)
                 if away is not None:
                     gap = (newer.first[0] - older.last[0]) / self.second
@@ -242,7 +248,8 @@ class Stitcher:
                     break
             else:
                 self.settled.append(older)
-        return self.release(until) if moved else []
+        # letting go costs a look at all that is at hand, so a few are kept longer
+        return self.release(until) if moved and (len(self.settled) > 64 or until == math.inf) else []
 
     def release(self, until: float) -> list[Piece]:
         """Settled pieces that nothing can change any more; they leave the state."""
