@@ -176,7 +176,7 @@ class Piece:
         self.first = (int(row["a_us"]), row["ax"], row["ay"], int(row["head"]))
         self.last = (int(row["z_us"]), row["zx"], row["zy"])
         self.prev = None if row["w_us"] is None or row["w_us"] != row["w_us"] else (int(row["w_us"]), row["wx"], row["wy"])
-        self.votes = {v["color"]: (int(v["n"]), int(v["at"])) for v in (row["votes"] if row["votes"] is not None else ())}
+        self.votes = {} if row["vote_color"] is None else {c: (int(n), int(at)) for c, n, at in zip(row["vote_color"], row["vote_n"], row["vote_at"])}
         self.parts = [(self.local, None, None, None)]
 
     @property
@@ -282,15 +282,15 @@ def stitch(linked: DataFrame, second: int, cfg: LinkConfig) -> DataFrame:
     keys = ["dataset", "island", "local"]
     p = F.struct("seq", "us", "event_id", "x", "y")
     votes = linked.filter(F.col("color") != P.UNKNOWN).groupBy(*keys, "color").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("at"))
-    votes = votes.groupBy(*keys).agg(F.collect_list(F.struct("color", "n", "at")).alias("votes"))
+    votes = votes.groupBy(*keys).agg(F.collect_list(F.struct("color", "n", "at")).alias("v")).select(*keys, *[F.col(f"v.{c}").alias(f"vote_{c}") for c in ("color", "n", "at")])
     ends = linked.groupBy(*keys).agg(F.count(F.lit(1)).alias("hits"), F.min(p).alias("a"), F.max(p).alias("z"))
     prev = linked.join(ends.select(*keys, F.col("z.seq").alias("_z")), keys).filter("seq <> _z").groupBy(*keys).agg(F.max(p).alias("w"))
     tails = ends.join(prev, keys, "left").join(votes, keys, "left").select(
-        *keys, "hits", "votes", F.col("a.event_id").alias("head"), *[F.col(f"{s}.{c}").alias(f"{s}_us" if c == "us" else s + c) for s in "azw" for c in ("us", "x", "y")])
+        *keys, "hits", "vote_color", "vote_n", "vote_at", F.col("a.event_id").alias("head"), *[F.col(f"{s}.{c}").alias(f"{s}_us" if c == "us" else s + c) for s in "azw" for c in ("us", "x", "y")])
 
     def rows(key, done):
         out = [(*key, local, k.local, head, away, bridged) for k in done for local, head, away, bridged in k.parts]
-        return pd.DataFrame(out, columns=["dataset", "island", "local", "root", "head", "away", "joined_bridged"]).astype({"head": "Int64", "away": "Float64", "joined_bridged": "boolean"})
+        return pd.DataFrame(out, columns=["dataset", "island", "local", "root", "head", "away", "joined_bridged"], dtype=object)
 
     def step(state, pdf):
         state["key"] = (pdf["dataset"].iloc[0], pdf["island"].iloc[0])
