@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import scalars as P
-from .joins import greedy_nearest, near_pairs, range_pairs, vanished
+from .joins import near_pairs, range_pairs, vanished
 from ..session import cut_lineage
-from .kernels import bounded_lag, bucket_of, gap_islands, halo_window, ordered_index
+from .kernels import bounded_lag, bucket_of, dominant_pairs, gap_islands, halo_window, ordered_index
 from .stats import array_median, running_median
 
 KEYS = ("dataset", "frame_no")
@@ -204,8 +204,7 @@ def displacement(sides: DataFrame, min_mm: float = 300.0, still_mm: float = 60.0
     a = per.filter("side = 'pre'").select("claim_id", "claim_color", F.col("track_id").alias("a_id"), F.col("mx").alias("ax"), F.col("my").alias("ay"), F.col("color").alias("ac"), F.col("hits").alias("ah"))
     b = per.filter("side = 'post'").select("claim_id", F.col("track_id").alias("b_id"), F.col("mx").alias("bx"), F.col("my").alias("by"), F.col("color").alias("bc"), F.col("hits").alias("bh"))
     pairs = a.join(b, "claim_id").withColumn("d", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")))
-    won = greedy_nearest(pairs, ["claim_id"], None, "a_id", "b_id", "d")
-    full = won.join(pairs.drop("d"), ["claim_id", "a_id", "b_id"]).withColumn("dist", F.rint("d"))
+    full = dominant_pairs(pairs, ["claim_id"], "a_id", "b_id", [F.col("d")]).withColumn("dist", F.rint("d"))
     want = (F.col("claim_color") == F.col("ac")) | (F.col("claim_color") == F.col("bc"))
     moved = F.col("dist") >= min_mm
     item = F.struct(F.when(want, 1).otherwise(0).alias("w"), F.col("dist").alias("dist"), (-F.col("a_id")).alias("k"), F.col("ac").alias("color"), F.col("ah").alias("ah"), F.col("bh").alias("bh"))

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as P
+from ..session import cut_lineage
+from .joins import near_pairs
+from .kernels import strongest_first
 
 # Side reasons that contradict the reference, and the reason of a blind side.
 REFUTE = ("boundary_outside_band", "prior_disagreement")
@@ -150,18 +153,22 @@ def agreement(queue: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def consolidate(vanish: DataFrame, group: Sequence[str], radius_mm: float = 200.0) -> DataFrame:
-    """One row per vanished ball: walk by pocket distance, join the first kept row of the same
-    colour within the radius; the kept row takes the largest hit count."""
-    item = F.struct(F.col("dist").isNull().alias("n"), F.coalesce("dist", F.lit(0.0)).alias("d"), "id", "color", "mx", "my", "hits")
-    folded = vanish.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("_i"))
-    kind = dict(vanish.dtypes)
-    zero = F.expr(f"named_struct('k', cast(array() as array<struct<id:{kind['id']},color:string,mx:double,my:double>>), "
-                  f"'m', cast(array() as array<struct<id:{kind['id']},leader:{kind['id']},hits:{kind['hits']}>>))")
-
-    def step(acc, v):
-        same = F.get(F.filter(acc["k"], lambda k: (k["color"] == v["color"]) & (F.hypot(k["mx"] - v["mx"], k["my"] - v["my"]) <= radius_mm)), F.lit(0))
-        kept = F.array_append(acc["k"], F.struct(v["id"].alias("id"), v["color"].alias("color"), v["mx"].alias("mx"), v["my"].alias("my")))
-        return F.struct(F.when(same.isNull(), kept).otherwise(acc["k"]).alias("k"), F.array_append(acc["m"], F.struct(
-            v["id"].alias("id"), F.coalesce(same["id"], v["id"]).alias("leader"), v["hits"].alias("hits"))).alias("m"))
-    rows = folded.select(*group, F.explode(F.aggregate("_i", zero, step)["m"]).alias("m"))
-    return rows.groupBy(*group, F.col("m.leader").alias("id")).agg(F.max("m.hits").alias("hits"), F.count(F.lit(1)).alias("merged"))
+    """One row per vanished ball: by pocket distance, each joins the first kept row of its colour within the
+    radius or is kept itself; the kept row takes the largest hit count.
+
+    Rows that exclude each other are paired once on a grid of the radius and settled by ``strongest_first``, so
+    no group is gathered.  A ball without a pocket distance comes last, ties go by id; ids are unique in a
+    group, and a ball without colour or position is kept.
+    """
+    row = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in (*group, "id")])
+    place = F.struct(F.col("dist").isNull().alias("n"), F.coalesce("dist", F.lit(0.0)).alias("d"), F.col("id").alias("i"))
+    balls = cut_lineage(vanish.select(*group, "id", "color", "mx", "my", "hits", row.alias("weak"), place.alias("order")))
+    early = balls.select(*group, "color", F.col("mx").alias("sx"), F.col("my").alias("sy"), F.col("weak").alias("strong"), F.col("order").alias("first"))
+    pairs = near_pairs(balls, early, [*group, "color"], radius_mm * (1 + 1e-9), ("mx", "my"), ("sx", "sy")).filter(
+        (F.col("first") < F.col("order")) & (F.hypot(F.col("mx") - F.col("sx"), F.col("my") - F.col("sy")) <= radius_mm))
+    pairs = cut_lineage(pairs.select(*group, "weak", "strong", "order", "first"))
+    gone = cut_lineage(strongest_first(pairs, group))
+    leaders = pairs.join(gone, "weak").join(gone.withColumnRenamed("weak", "strong"), "strong", "left_anti").groupBy("weak").agg(
+        F.min("first").alias("first"))
+    return balls.join(leaders, "weak", "left").groupBy(*group, F.coalesce("first.i", "id").alias("id")).agg(
+        F.max("hits").alias("hits"), F.count(F.lit(1)).alias("merged"))

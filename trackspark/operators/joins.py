@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .kernels import HOUR_US, bucket_of, halo_window
+from .kernels import HOUR_US, bucket_of, dominant_pairs, halo_window
 
 
 def asof_first(left: DataFrame, right: DataFrame, keys: Sequence[str], pos: str, tol: int, order: str,
@@ -84,24 +84,8 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], radius: i
 
 def greedy_nearest(pairs: DataFrame, group: Sequence[str], order: Column, left: str, right: str,
                    cost: str) -> DataFrame:
-    """Greedy one-to-one: walk all pairs of a group by (cost, left, right), skip used ends.
-
-    The fold runs over pairs that already passed the radius, per frame and colour.
-    """
-    item = F.struct(F.col(cost).alias("c"), F.col(left).alias("l"), F.col(right).alias("r"))
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.select(item.alias("s")).schema[0].dataType}
-    zero = F.expr(f"named_struct('l', cast(array() as array<{kinds['l']}>), 'r', cast(array() as array<{kinds['r']}>), "
-                  f"'m', cast(array() as array<struct<c:{kinds['c']},l:{kinds['l']},r:{kinds['r']}>>))")
-
-    def step(acc, p):
-        taken = F.array_contains(acc["l"], p["l"]) | F.array_contains(acc["r"], p["r"])
-        return F.when(taken, acc).otherwise(F.struct(
-            F.array_append(acc["l"], p["l"]).alias("l"), F.array_append(acc["r"], p["r"]).alias("r"),
-            F.array_append(acc["m"], p).alias("m")))
-    folded = pairs.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("_p")).withColumn(
-        "_m", F.aggregate("_p", zero, step)["m"])
-    return folded.select(*group, F.explode("_m").alias("_x")).select(
-        *group, F.col("_x.l").alias(left), F.col("_x.r").alias(right), F.col("_x.c").alias(cost))
+    """Greedy one-to-one: all pairs of a group by (cost, left, right), those with a used end skipped."""
+    return dominant_pairs(pairs.select(*group, left, right, cost), group, left, right, [F.col(cost)])
 
 
 def match_frames(prev: DataFrame, cur: DataFrame, radius: int, keys: Sequence[str] = ("dataset", "frame_no", "color")) -> DataFrame:
@@ -122,9 +106,9 @@ def match_frames(prev: DataFrame, cur: DataFrame, radius: int, keys: Sequence[st
     second = one_p.join(one_c, list(keys)).withColumn("d2", dx * dx + dy * dy).filter(F.col("d2") > radius * radius).select(
         *keys, "prev_id", "cur_id", "d2").withColumn("stage", F.lit(2))
     matched = first.unionByName(second)
-    gone = p.join(matched.select("prev_id"), "prev_id", "left_anti").select(*keys, "prev_id")
+    before = p.select(*keys, "prev_id").join(matched.drop(*keys), "prev_id", "left")
     fresh = c.join(matched.select("cur_id"), "cur_id", "left_anti").select(*keys, "cur_id")
-    return matched.unionByName(gone, allowMissingColumns=True).unionByName(fresh, allowMissingColumns=True)
+    return before.unionByName(fresh, allowMissingColumns=True)
 
 
 def match_truth(pred: DataFrame, truth: DataFrame, tol: int, keys: Sequence[str] = ("dataset", "frame_no")) -> DataFrame:
@@ -136,19 +120,8 @@ def match_truth(pred: DataFrame, truth: DataFrame, tol: int, keys: Sequence[str]
     p = pred.select(*keys, F.col("id").alias("pred_id"), "score", F.col("x").alias("px"), F.col("y").alias("py"))
     t = truth.select(*keys, F.col("id").alias("truth_id"), F.col("x").alias("tx"), F.col("y").alias("ty"))
     near = near_pairs(p, t, keys, tol, ("px", "py"), ("tx", "ty"))
-    offers = near.groupBy(*keys, "pred_id", "score").agg(
-        F.array_sort(F.collect_list(F.struct("d2", "truth_id"))).alias("offers"))
-    walk = offers.groupBy(*keys).agg(F.array_sort(F.collect_list(
-        F.struct((-F.col("score")).alias("k"), "pred_id", "offers"))).alias("walk"))
-    zero = F.expr("named_struct('used', cast(array() as array<bigint>), 'm', "
-                  "cast(array() as array<struct<pred_id:bigint,truth_id:bigint,d2:bigint>>))")
-
-    def step(acc, p):
-        free = F.get(F.filter(p["offers"], lambda o: ~F.array_contains(acc["used"], o["truth_id"])), F.lit(0))
-        return F.when(free.isNull(), acc).otherwise(F.struct(
-            F.array_append(acc["used"], free["truth_id"]).alias("used"),
-            F.array_append(acc["m"], F.struct(p["pred_id"].alias("pred_id"), free["truth_id"].alias("truth_id"), free["d2"].alias("d2"))).alias("m")))
-    return walk.select(*keys, F.explode(F.aggregate("walk", zero, step)["m"]).alias("m")).select(*keys, "m.*")
+    best = dominant_pairs(near, keys, "pred_id", "truth_id", [-F.col("score"), F.col("pred_id"), F.col("d2")])
+    return best.select(*keys, "pred_id", "truth_id", "d2")
 
 
 def mutual_nearest(prev: DataFrame, cur: DataFrame, keys: Sequence[str], max_px: int, min_px: int) -> DataFrame:
