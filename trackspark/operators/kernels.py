@@ -221,30 +221,33 @@ def strongest_first(pairs: DataFrame, group: Sequence[str], rounds: int = 3) ->
     return gone.unionByName(stream_fold(walked, group, [*(f"_o{i}" for i in range(len(fields))), "weak"], lambda: {"gone": set()}, step, f"weak {kind}"))
 
 
-def dominant_pairs(pairs: DataFrame, group: Sequence[str], left: str, right: str, order: Sequence, rounds: int = 3) -> DataFrame:
+def dominant_pairs(pairs: DataFrame, group: Sequence[str], left: str, right: str, order: Sequence, rounds: int = 2, passes: int = 2) -> DataFrame:
     """One-to-one pairs: all pairs of a group walked by (``order``, left, right), a pair with a used end skipped.
 
     A pair that comes first at both of its ends is won whatever the rest of the group holds, and every other pair
     at these ends is lost.  A round wins and drops such pairs by windows over one end, so no group is gathered
-    and rows are dealt by end, not by group; only chains of steadily later pairs outlast the rounds.  What is
-    left of those is walked once in order, with the used ends as state.  Equal pairs count once; all columns of
-    ``pairs`` are kept.  Ends that are null are ends like any other.
+    and rows are dealt by end, not by group.  A pass is ``rounds`` rounds in one plan over the pairs the last pass left
+    open; only chains of steadily later pairs outlast the passes, and what is left of those is walked once in order,
+    with the used ends as state.  Equal pairs count once; all columns of ``pairs`` are kept.  Ends that are null are
+    ends like any other.
     """
     from ..session import cut_lineage
 
     at_left, at_right = W.partitionBy(*group, left), W.partitionBy(*group, right)
     steps = [c.alias(f"_o{i}") for i, c in enumerate([*order, F.col(left), F.col(right)])]
-    live = pairs.withColumn("_k", F.struct(*steps))
-    for _ in range(rounds):
-        live = live.withColumn("_l", F.min("_k").over(at_left)).withColumn("_r", F.min("_k").over(at_right))
-        live = live.withColumn("_won", (F.col("_k") == F.col("_l")) & (F.col("_k") == F.col("_r")))
-        for end in (at_right, at_left):
-            live = live.withColumn("_taken", F.max("_won").over(end)).filter("_won or not _taken")
     once = F.row_number().over(at_left.orderBy("_k"))
-    settled = cut_lineage(live.withColumn("_n", once).filter("not _won or _n = 1").drop("_l", "_r", "_taken", "_n"))
-    won, rest = settled.filter("_won").drop("_won", "_k"), settled.filter("not _won").drop("_won")
-    if rest.isEmpty():
-        return won
+    won, rest = None, pairs.withColumn("_k", F.struct(*steps))
+    for _ in range(passes):
+        for _ in range(rounds):
+            rest = rest.withColumn("_l", F.min("_k").over(at_left)).withColumn("_r", F.min("_k").over(at_right))
+            rest = rest.withColumn("_won", (F.col("_k") == F.col("_l")) & (F.col("_k") == F.col("_r")))
+            for end in (at_right, at_left):
+                rest = rest.withColumn("_taken", F.max("_won").over(end)).filter("_won or not _taken")
+        settled = cut_lineage(rest.withColumn("_n", once).filter("not _won or _n = 1").drop("_l", "_r", "_taken", "_n"))
+        new, rest = settled.filter("_won").drop("_won", "_k"), settled.filter("not _won").drop("_won")
+        won = new if won is None else won.unionByName(new)
+        if rest.isEmpty():
+            return won
     columns = won.columns
 
     def step(state, pdf):
